@@ -353,7 +353,7 @@ def graph_metrics(spark, d):
 
 def graph_triangles(spark, d):
     edges = network.mention_edges(_with_mentions(spark, d))
-    edges = edges.filter("weight > 1").withColumnsRenamed({"src": "source", "dst": "target"})
+    edges = edges.withColumnsRenamed({"src": "source", "dst": "target"})
     return graph.triangles(graph.simple_edges(edges))
 
 
@@ -519,7 +519,7 @@ def dataset_catalog(spark, d):
     posts = sample_posts(spark, d)
     known = posts.groupBy(F.col("source_dataset").alias("id")).agg(
         F.bool_or(F.col("created_at").isNotNull()).alias("has_timestamp"),
-        F.bool_or(F.col("user_id").isNotNull() & (F.col("user_followers") > 9000)).alias(
+        F.bool_or(F.col("user_id").isNotNull() & (F.col("user_followers") > 5000)).alias(
             "has_user_metadata"
         ),
         F.count("*").alias("size_estimate_rows"),

@@ -141,22 +141,17 @@ def _hits_by_join(posts: DataFrame, usable: DataFrame) -> DataFrame:
     wanted = usable.filter(~F.col("any_text")).select("request_id", F.explode("kws").alias("k"))
     grams = wanted.select("k").distinct().withColumn("gram", F.substring("k", 1, _GRAM))
 
-    def pieces(chars: Column) -> Column:
+    def runs_of(chars: Column, size: int) -> Column:
         n = F.size(chars)
-        longer = [
-            F.transform(
-                F.sequence(F.lit(0), n - size),
-                lambda i, size=size: F.concat(*[F.get(chars, i + j) for j in range(size)]),
-            )
-            for size in range(2, _GRAM + 1)
-        ]
-        return F.array_distinct(
-            F.concat(
-                chars,
-                *[F.when(n >= size, g).otherwise(F.array().cast("array<string>"))
-                  for size, g in zip(range(2, _GRAM + 1), longer)],
-            )
+        runs = F.transform(
+            F.sequence(F.lit(0), n - size),
+            lambda i: F.concat(*[F.get(chars, i + j) for j in range(size)]),
         )
+        return F.when(n >= size, runs).otherwise(F.array().cast("array<string>"))
+
+    def pieces(chars: Column) -> Column:
+        longer = [runs_of(chars, size) for size in range(2, _GRAM + 1)]
+        return F.array_distinct(F.concat(chars, *longer))
 
     keyed = posts.select("post_id", tx.search_key(F.col("text")).alias("_text"))
     post_grams = keyed.select(

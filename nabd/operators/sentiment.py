@@ -2,9 +2,11 @@
 
 from collections.abc import Callable, Sequence
 
+import numpy as np
 from pyspark.ml.functions import predict_batch_udf
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from nabd import fixed_values as fv
 from nabd.functions.dates import iso_day, post_day
@@ -68,26 +70,27 @@ def with_model_sentiment(
             predict = None
 
         def run(texts):
-            failed = {"label": [None] * len(texts), "score": [0.0] * len(texts)}
             try:
                 answers = list(predict([t or "" for t in texts]))
-                return {
-                    "label": [str(label) for label, _ in answers],
-                    "score": [float(score) for _, score in answers],
-                }
+                labels, scores = zip(*answers, strict=True)
             except Exception:
-                return failed
+                labels, scores = [""] * len(texts), [float("nan")] * len(texts)
+            return {
+                "label": np.array([str(v) for v in labels], dtype=object),
+                "score": np.array(scores, dtype="float64"),
+            }
 
         return run
 
-    scored = predict_batch_udf(
-        guarded, return_type="struct<label:string,score:double>", batch_size=batch_size
+    answer = T.StructType(
+        [T.StructField("label", T.StringType()), T.StructField("score", T.DoubleType())]
     )
+    scored = predict_batch_udf(guarded, return_type=answer, batch_size=batch_size)
     df = with_lexicon_sentiment(df, text).withColumn("_model", scored(text))
     if staged:
         df = staged(df)
     failed = df.agg(
-        F.coalesce(F.bool_or(F.col("_model.label").isNull()), F.lit(False)).alias("failed")
+        F.coalesce(F.bool_or(F.isnan("_model.score")), F.lit(False)).alias("failed")
     )
     return (
         df.withColumn("_failed", failed.scalar())

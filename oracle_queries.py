@@ -195,6 +195,7 @@ def influencers(source: str, keys=(), top: int = 10, extra=()) -> str:
     )
     u_keys = "".join(f"u.{x}, " for x in keys)
     c_keys = "".join(f"c.{x}, " for x in keys)
+    c_over = f"OVER ({'PARTITION BY ' + ', '.join('c.' + x for x in keys) if keys else ''})"
     return with_(
         (
             *extra,
@@ -214,7 +215,7 @@ def influencers(source: str, keys=(), top: int = 10, extra=()) -> str:
       ELSE CAST(0.50 AS DOUBLE) * p + CAST(0.30 AS DOUBLE) * e + CAST(0.20 AS DOUBLE) * m END)''', 3)} AS influence,
     posts AS total_posts, {rounded('rate', 2)} AS avg_engagement, CAST(0 AS BIGINT) AS by_count FROM scored_u
   UNION ALL
-  SELECT {c_keys}c.handle, '@' || c.handle, 0, {rounded(f'c.mentions / max(c.mentions) {over}', 3)},
+  SELECT {c_keys}c.handle, '@' || c.handle, 0, {rounded(f'c.mentions / max(c.mentions) {c_over}', 3)},
     c.mentions, CAST(0.0 AS DOUBLE), c.mentions FROM mc c JOIN fl ON {_match('c', 'fl', keys)}
   WHERE NOT fl.has_users)""",
             f"""placed AS (SELECT *, CAST(row_number() {_over(keys, 'by_count DESC, influence DESC, uid')} AS INT) AS rank
@@ -688,8 +689,8 @@ WHERE {keyword_test('text', keywords)} AND {in_days('2024-01-03', None)}""",
         "graph_triangles": with_(
             (
                 *BASE,
-                f"""sym AS (SELECT DISTINCT u, v FROM (SELECT src AS u, dst AS v FROM ({author_edges('posts_m')}) WHERE weight > 1
-  UNION ALL SELECT dst, src FROM ({author_edges('posts_m')}) WHERE weight > 1))""",
+                f"""sym AS (SELECT DISTINCT u, v FROM (SELECT src AS u, dst AS v FROM ({author_edges('posts_m')}) 
+  UNION ALL SELECT dst, src FROM ({author_edges('posts_m')})))""",
             ),
             """SELECT x.u AS id, CAST(count(*) / 2 AS BIGINT) AS triangles FROM sym x JOIN sym y ON x.v = y.u
 JOIN sym z ON z.u = y.v AND z.v = x.u GROUP BY x.u""",
@@ -733,7 +734,7 @@ QUALIFY row_number() OVER (ORDER BY place, post_id) <= 150""",
             (
                 POSTS,
                 """known AS (SELECT source_dataset AS id, bool_or(created_at IS NOT NULL) AS has_timestamp,
-  bool_or(user_id IS NOT NULL AND user_followers > 9000) AS has_user_metadata, count(*) AS n FROM posts GROUP BY source_dataset)""",
+  bool_or(user_id IS NOT NULL AND user_followers > 5000) AS has_user_metadata, count(*) AS n FROM posts GROUP BY source_dataset)""",
             ),
             """SELECT id, n AS size_estimate_rows, has_user_metadata AS supports_influencers,
   has_user_metadata AS supports_network, has_timestamp AS supports_timeline
