@@ -208,7 +208,7 @@ def nation_request_stats(spark, d):
 def request_matches_by_join(spark, d):
     """The matching path for keyword sets too large to list."""
     usable = match.prepare_requests(nation_requests(spark, d))
-    matched = match._hits_by_join(sample_posts(spark, d), usable)
+    matched = match.hits_by_join(sample_posts(spark, d), usable)
     pairs = matched.select("post_id", F.explode("hits").alias("h"))
     return pairs.select("post_id", F.col("h.request_id").alias("request_id"))
 

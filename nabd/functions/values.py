@@ -44,36 +44,41 @@ def safe_int_number(column) -> Column:
     return F.coalesce(column.try_cast("bigint"), F.lit(0).cast("bigint"))
 
 
-_LOW = (1 << 30) - 1
+_LIMB = 40
+_MASK = (1 << _LIMB) - 1
 
 
 def _exact_units(value: Column, digits: int) -> Column:
     """`value` >= 0 in units of 10**-digits, rounded half to even on the exact binary value.
 
-    The fraction of a double is taken apart into two 30-bit integers, so no step loses a bit.
+    The fraction of a double is taken apart into two 40-bit integers, so no step loses a bit.
     Decimal-digit rounding would differ for values such as 2.675, which is stored below the tie.
     """
     scale = 10**digits
-
-    def from_fraction(n: Column) -> Column:
-        low = n.bitwiseAND(F.lit(_LOW)) * scale
-        high = F.shiftright(n, 30) * scale + F.shiftright(low, 30)
-        rest = F.shiftleft(high.bitwiseAND(F.lit(_LOW)), 30) + low.bitwiseAND(F.lit(_LOW))
-        return F.struct(F.shiftright(high, 30).alias("q"), rest.alias("rest"))
-
+    mask, two_limb = F.lit(_MASK), F.lit(float(1 << _LIMB))
     whole = F.floor(value).cast("bigint")
-    scaled = (value - whole) * F.lit(float(1 << 60))
-    # Bits below 2**-60 (tiny fractions only) still put a value above the tie.
-    beyond = scaled > F.floor(scaled)
-    fraction = scaled.cast("bigint")
+    shifted = (value - whole) * two_limb
+    high = F.floor(shifted).cast("bigint")
+    low = F.floor((shifted - F.floor(shifted)) * two_limb).cast("bigint")
+
+    def scaled(limbs: Column) -> Column:
+        lower = limbs["low"] * scale
+        upper = limbs["high"] * scale + F.shiftright(lower, _LIMB)
+        return F.struct(
+            F.shiftright(upper, _LIMB).alias("q"),
+            upper.bitwiseAND(mask).alias("r_high"),
+            lower.bitwiseAND(mask).alias("r_low"),
+        )
 
     def finish(p: Column) -> Column:
         units = whole * F.lit(scale).cast("bigint") + p["q"]
-        half = F.lit(1 << 59)
-        up = (p["rest"] > half) | ((p["rest"] == half) & (beyond | (F.pmod(units, F.lit(2)) == 1)))
-        return units + F.when(up, 1).otherwise(0)
+        half = F.lit(1 << (_LIMB - 1))
+        above = (p["r_high"] > half) | ((p["r_high"] == half) & (p["r_low"] > 0))
+        tie = (p["r_high"] == half) & (p["r_low"] == 0)
+        return units + F.when(above | (tie & (F.pmod(units, F.lit(2)) == 1)), 1).otherwise(0)
 
-    return let(let(fraction, from_fraction), finish)
+    limbs = F.struct(high.alias("high"), low.alias("low"))
+    return let(let(limbs, scaled), finish)
 
 
 def round_exact(value: Column, digits: int = 0) -> Column:

@@ -98,8 +98,8 @@ def component_labels(nodes: DataFrame, pairs: DataFrame, keys: Sequence[str] = (
         return moved.unionByName(own).filter("a <> b").distinct()
 
     def fingerprint(e: DataFrame):
-        h = F.xxhash64(*name, "a", "b")
-        return e.agg(F.count("*"), F.bit_xor(h), F.sum(F.shiftright(h, 8))).first()
+        hashes = (F.xxhash64(*name, "a", "b"), F.xxhash64("b", F.lit(1), "a", *name))
+        return e.agg(F.count("*"), *map(F.bit_xor, hashes)).first()
 
     current = stage(pairs, "components")
     before = fingerprint(current)

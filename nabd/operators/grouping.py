@@ -11,16 +11,39 @@ from pyspark.sql import functions as F
 # Above this k Spark no longer cuts each task's rows to k before the shuffle of a ranked window.
 _SINGLE_WINDOW_K = 1000
 _SPREAD = 64
+MAX_BROADCAST_ROWS = 1_000_000
+
+
+class FewGroups(tuple):
+    """Keys whose number of groups was counted. It bounds what may be broadcast per group."""
+
+    def __new__(cls, columns: Sequence[str], groups: int):
+        keys = super().__new__(cls, columns)
+        keys.groups = groups
+        return keys
+
+
+def bounded(values: DataFrame, keys: Sequence[str], rows_per_group: int = 1) -> DataFrame:
+    """Mark `values` for broadcast when its size is known to be small; else leave it to Spark.
+
+    Without keys there is one group. With plain keys the number of groups is unknown: adaptive
+    execution then decides from the measured size.
+    """
+    groups = 1 if not keys else getattr(keys, "groups", None)
+    if groups is not None and groups * rows_per_group <= MAX_BROADCAST_ROWS:
+        return F.broadcast(values)
+    return values
 
 
 def attach(df: DataFrame, values: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Add the per-group columns of `values` (one row per group) to the rows of `df`.
 
-    Without keys the one row is a scalar subquery. With keys it is an equi-join that adaptive
-    execution broadcasts when the aggregate turns out small, and splits when one group is hot.
+    Without keys the one row is a scalar subquery. With keys it is an equi-join: a broadcast when
+    the number of groups was counted, else adaptive execution broadcasts the aggregate if it
+    turns out small, and splits a hot group if not.
     """
     if keys:
-        return df.join(values, list(keys), "left")
+        return df.join(bounded(values, keys), list(keys), "left")
     added = [c for c in values.columns if c not in df.columns]
     packed = values.select(F.struct(*added).alias("v"))
     return df.withColumn("_group", packed.scalar()).select(

@@ -1,6 +1,6 @@
 """Keyword and date selection: one request, or many requests over one scan."""
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from nabd import fixed_values as fv
 from nabd.functions import text as tx
 from nabd.functions.dates import in_range, post_day, request_day_text
-from nabd.functions.values import let
+from nabd.functions.values import let, with_computed
 from nabd.operators.dedup import dedup_by_hash, text_hash
 
 # Up to these sizes the requests travel as one array literal with every task.
@@ -103,7 +103,7 @@ def _hit(r: Column) -> Column:
     return F.struct(r["request_id"], r["scope"], r["from_day"], r["to_day"])
 
 
-def _hits_by_list(posts: DataFrame, usable: DataFrame) -> DataFrame:
+def hits_by_list(posts: DataFrame, usable: DataFrame) -> DataFrame:
     """Requests small enough to list: one pass over the posts, no join and no shuffle."""
     keyword_list = usable.select(F.explode("kws").alias("k")).agg(
         F.array_sort(F.collect_set("k")).alias("v")
@@ -128,10 +128,11 @@ def _hits_by_list(posts: DataFrame, usable: DataFrame) -> DataFrame:
         lambda text: F.filter(F.col("_keywords"), lambda k: F.contains(text, k)),
     )
     hits = F.transform(let(found, matching), _hit)
-    return listed.select(*posts.columns, hits.alias("hits")).filter(F.size("hits") > 0)
+    matched = with_computed(listed, "hits", hits)
+    return matched.select(*posts.columns, "hits").filter(F.size("hits") > 0)
 
 
-def _hits_by_join(posts: DataFrame, usable: DataFrame) -> DataFrame:
+def hits_by_join(posts: DataFrame, usable: DataFrame) -> DataFrame:
     """Any number of requests: keywords meet posts through their first characters.
 
     A keyword can only occur in a text that holds its first three characters (or all of a shorter
@@ -203,20 +204,19 @@ def match_requests(posts: DataFrame, prepared: DataFrame) -> DataFrame:
         F.count("*").alias("n"), F.coalesce(F.sum(F.size("kws")), F.lit(0)).alias("keywords")
     ).first()
     if size["n"] <= MAX_LISTED_REQUESTS and size["keywords"] <= MAX_LISTED_KEYWORDS:
-        return _hits_by_list(posts, usable)
-    return _hits_by_join(posts, usable)
+        return hits_by_list(posts, usable)
+    return hits_by_join(posts, usable)
 
 
 def survivors_per_scope(matched: DataFrame) -> DataFrame:
-    """Keep a post's hits only in the scopes where it is the first copy of its text.
+    """Keep a post's hits only in the scopes where it is the first copy of its text (hash `_h`).
 
     Scopes are the distinct sets of datasets that requests name (usually one), so the pairs that
     are grouped are far fewer than (request, post) pairs.
     """
-    text = F.coalesce(F.col("text"), F.lit(""))
     scopes = F.array_distinct(F.col("hits.scope"))
     first = (
-        matched.select(text_hash(text).alias("_h"), "post_id", F.explode(scopes).alias("scope"))
+        matched.select("_h", "post_id", F.explode(scopes).alias("scope"))
         .groupBy("scope", "_h")
         .agg(F.min("post_id").alias("post_id"))
         .groupBy("post_id")
@@ -227,15 +227,23 @@ def survivors_per_scope(matched: DataFrame) -> DataFrame:
 
 
 def select_posts(
-    posts: DataFrame, prepared: DataFrame, deduplicate=True, strict_days=False
+    posts: DataFrame,
+    prepared: DataFrame,
+    deduplicate=True,
+    strict_days=False,
+    staged: Callable[[DataFrame], DataFrame] | None = None,
 ) -> DataFrame:
     """Posts that any request selects, with the array `requests` of request ids.
 
     Order of steps: keywords in the scan, then dedup, then dates (the surviving copy decides).
+    Dedup reads the matched posts twice, once for hashes and once for the rows; `staged` writes
+    them in between, so that texts are scanned and matched only once.
     """
     matched = match_requests(posts, prepared)
     if deduplicate:
-        matched = survivors_per_scope(matched)
+        text = F.coalesce(F.col("text"), F.lit(""))
+        matched = matched.withColumn("_h", text_hash(text))
+        matched = survivors_per_scope(staged(matched) if staged else matched).drop("_h")
     day = post_day(F.col("created_at"), strict_days)
     dated = let(
         day,

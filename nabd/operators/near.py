@@ -23,12 +23,11 @@ from nabd.functions import text as tx
 from nabd.functions.unicode import with_search_text
 from nabd.functions.values import let
 from nabd.operators.dedup import text_hash
-from nabd.operators.grouping import attach, top_k
+from nabd.operators.grouping import MAX_BROADCAST_ROWS, attach, bounded, top_k
 from nabd.plans.staging import stage
 
 _FIRST_WIDTH = 16
 _GROWTH = 4
-_BROADCAST_ROWS = 1_000_000
 _MARGIN = 1e-9
 
 
@@ -47,7 +46,7 @@ def _near_vocabulary(texts: DataFrame, size: int) -> DataFrame:
 
 def near_vectors(texts: DataFrame, size: int) -> DataFrame:
     """Unit vectors: post_id, ts (term positions ascending), ws. Posts without terms are absent."""
-    vocab = F.broadcast(_near_vocabulary(texts, size))  # at most `size` rows
+    vocab = bounded(_near_vocabulary(texts, size), (), size)
     counts = (
         texts.select("post_id", F.explode("terms").alias("term"))
         .join(vocab, "term")
@@ -121,7 +120,7 @@ def first_wins(vectors: DataFrame, threshold: float) -> DataFrame:
             undecided, ["t"], [F.asc("post_id")], width, spread_by="post_id"
         ).select("post_id", "k", "t")
         heads = stage(heads, "heads")
-        if width * terms <= _BROADCAST_ROWS:
+        if width * terms <= MAX_BROADCAST_ROWS:
             few_heads = F.broadcast(heads.select("post_id", "t"))
         else:
             few_heads = heads.select("post_id", "t")

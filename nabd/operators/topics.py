@@ -11,7 +11,7 @@ from nabd import fixed_values as fv
 from nabd.functions import text as tx
 from nabd.functions.unicode import with_search_text
 from nabd.functions.values import round_exact, with_computed
-from nabd.operators.grouping import as_list, attach, top_k
+from nabd.operators.grouping import as_list, attach, bounded, top_k
 from nabd.plans.staging import stage
 
 
@@ -62,16 +62,19 @@ def vocabulary(documents: DataFrame, keys: Sequence[str] = (), size=fv.TOPIC_VOC
     return best.select(*keys, "term", "term_id", "df", "cf", "n", idf.alias("idf"))
 
 
-def term_weights(documents: DataFrame, vocab: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+def term_weights(
+    documents: DataFrame,
+    vocab: DataFrame,
+    keys: Sequence[str] = (),
+    size=fv.TOPIC_VOCABULARY,
+) -> DataFrame:
     """Unit-length TF-IDF weights per (post_id, term_id).
 
     The vocabulary is at most a few thousand rows per group. Only occurrences of its terms, as
     numbers and already counted per task, are shuffled by document.
     """
     entries = documents.select(*keys, "post_id", F.explode(document_terms()).alias("term"))
-    ids = vocab.select(*keys, "term", "term_id", "idf")
-    if not keys:
-        ids = F.broadcast(ids)  # at most `size` rows
+    ids = bounded(vocab.select(*keys, "term", "term_id", "idf"), keys, size)
     document = [*keys, "post_id"]
     counts = (
         entries.join(ids, [*keys, "term"])
@@ -88,7 +91,7 @@ def phrase_scores(
 ) -> DataFrame:
     """Score of every vocabulary term: its summed weight over all documents."""
     vocab = stage(vocabulary(documents, keys, size), "vocabulary")
-    weights = term_weights(documents, vocab, keys)
+    weights = term_weights(documents, vocab, keys, size)
     scores = weights.groupBy(*keys, "term_id").agg(F.sum("weight").alias("score"))
     return scores.join(vocab.select(*keys, "term_id", "term"), [*keys, "term_id"])
 

@@ -11,7 +11,7 @@ from nabd.functions import text as tx
 from nabd.functions.unicode import with_search_text
 from nabd.operators import report
 from nabd.operators.clean import clean_posts, valid_posts
-from nabd.operators.grouping import as_list
+from nabd.operators.grouping import FewGroups, as_list
 from nabd.operators.influence import detect_influencers
 from nabd.operators.match import prepare_requests, select_posts
 from nabd.operators.network import interaction_network
@@ -25,7 +25,7 @@ from nabd.operators.stats import breakdown_map, overall_stats
 from nabd.operators.topics import phrase_scores, top_phrases
 from nabd.plans.staging import stage
 
-KEYS = ("request_id",)
+KEY = "request_id"
 
 
 def enriched_posts(
@@ -36,7 +36,7 @@ def enriched_posts(
     Work that depends on the post alone (cleaning, sentiment, tokens) happens here once, however
     many requests share the post.
     """
-    selected = select_posts(posts, prepared, deduplicate)
+    selected = select_posts(posts, prepared, deduplicate, staged=stage)
     scored = score(valid_posts(clean_posts(selected)))
     tokens = with_search_text(scored, F.col("cleaned_text"), "_norm")
     return tokens.select(
@@ -146,30 +146,31 @@ def analyze(
     `completed_results` gives the rows to publish.
     """
     prepared = stage(prepare_requests(requests, default_dataset_ids), "requests")
+    keys = FewGroups((KEY,), prepared.count())
     enriched = stage(enriched_posts(posts, prepared, deduplicate, score), "posts")
     matched = matched_posts(enriched)
 
-    stats = overall_stats(matched, KEYS)
-    documents = matched.filter("document <> ''").select(*KEYS, "post_id", "document")
-    topics = top_phrases(phrase_scores(documents, KEYS), KEYS, n_topics)
-    influencers = detect_influencers(matched, KEYS, top_n)
-    nodes, edges = interaction_network(matched, KEYS, max_nodes, max_edges)
-    timeline = sentiment_timeline(matched, KEYS)
+    stats = overall_stats(matched, keys)
+    documents = matched.filter("document <> ''").select(*keys, "post_id", "document")
+    topics = top_phrases(phrase_scores(documents, keys), keys, n_topics)
+    influencers = detect_influencers(matched, keys, top_n)
+    nodes, edges = interaction_network(matched, keys, max_nodes, max_edges)
+    timeline = sentiment_timeline(matched, keys)
 
     person = F.struct("handle", "followers", "influence", "total_posts", "avg_engagement")
     lists = {
-        "top_topics": (as_list(topics, KEYS, F.struct("label", "weight"), "rank", "v"), schema.TOPICS),
-        "top_influencers": (as_list(influencers, KEYS, person, "rank", "v"), schema.INFLUENCERS),
+        "top_topics": (as_list(topics, keys, F.struct("label", "weight"), "rank", "v"), schema.TOPICS),
+        "top_influencers": (as_list(influencers, keys, person, "rank", "v"), schema.INFLUENCERS),
         "sentiment_timeline": (
-            as_list(timeline, KEYS, F.struct("day", *CLASSES), "day", "v"),
+            as_list(timeline, keys, F.struct("day", *CLASSES), "day", "v"),
             schema.TIMELINE,
         ),
         "network_nodes": (
-            as_list(nodes, KEYS, F.struct("id", "handle", "size", "group"), "rank", "v"),
+            as_list(nodes, keys, F.struct("id", "handle", "size", "group"), "rank", "v"),
             schema.NODES,
         ),
         "network_edges": (
-            as_list(edges, KEYS, F.struct("source", "target", "weight"), "rank", "v"),
+            as_list(edges, keys, F.struct("source", "target", "weight"), "rank", "v"),
             schema.EDGES,
         ),
     }
@@ -180,13 +181,13 @@ def analyze(
     else:
         result = result.withColumn("keywords", F.array().cast("array<string>"))
     result = result.join(stats, "request_id", "left").join(
-        sentiment_shares(matched, KEYS), "request_id", "left"
+        sentiment_shares(matched, keys), "request_id", "left"
     )
     for name, (frame, kind) in lists.items():
         result = result.join(frame.withColumnRenamed("v", name), "request_id", "left").withColumn(
             name, F.coalesce(F.col(name).cast(kind), F.array().cast(kind))
         )
-    result = result.join(breakdown_map(matched, KEYS), "request_id", "left")
+    result = result.join(breakdown_map(matched, keys), "request_id", "left")
     result = result.join(collection_state(posts, prepared, stats), "request_id", "left")
     zero = F.lit(0).cast("bigint")
     result = result.withColumns(

@@ -34,3 +34,13 @@ def stage(df: DataFrame, name: str = "stage") -> DataFrame:
     path = staging_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def release(df: DataFrame) -> None:
+    """Delete the files a staged table reads, once nothing needs it any more."""
+    jvm = df.sparkSession._jvm
+    configuration = df.sparkSession._jsc.hadoopConfiguration()
+    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        path = jvm.org.apache.hadoop.fs.Path(folder)
+        if path.getName().startswith("nabd-"):
+            path.getFileSystem(configuration).delete(path, True)

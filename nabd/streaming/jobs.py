@@ -1,5 +1,7 @@
 """Continuous versions: sentiment timeline, duplicate removal, request processing."""
 
+import time
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -59,6 +61,7 @@ def process_requests(
         pending = batch.filter("status = 'pending'").dropDuplicates(["request_id"])
         if pending.isEmpty():
             return
+        started = time.monotonic()
         results = analyze(posts, pending, **analysis_options).persist()
         try:
             save_results(completed_results(results), f"{output_path}/results")
@@ -71,7 +74,7 @@ def process_requests(
                 f"{output_path}/status",
             )
             append(notifications(pending, results), f"{output_path}/notifications")
-            append(audit_rows(results, 0.0), f"{output_path}/audit")
+            append(audit_rows(results, time.monotonic() - started), f"{output_path}/audit")
         finally:
             results.unpersist()
 
