@@ -89,9 +89,9 @@ def with_model_sentiment(
     df = with_lexicon_sentiment(df, text).withColumn("_model", scored(text))
     if staged:
         df = staged(df)
-    failed = df.agg(
-        F.coalesce(F.bool_or(F.isnan("_model.score")), F.lit(False)).alias("failed")
-    )
+    # Arrow may turn a NaN into a null.
+    unanswered = F.isnan(F.coalesce("_model.score", F.lit(float("nan"))))
+    failed = df.agg(F.coalesce(F.bool_or(unanswered), F.lit(False)).alias("failed"))
     return (
         df.withColumn("_failed", failed.scalar())
         .withColumns(
