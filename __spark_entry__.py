@@ -45,7 +45,7 @@ BY_LANG = ("lang",)
 
 
 def _joined(names) -> Column:
-    return F.array_join(F.array_sort(names), " ")
+    return F.array_join(F.sort_array(names), " ")
 
 
 def _cleaned(spark, d) -> DataFrame:

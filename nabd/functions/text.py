@@ -153,4 +153,4 @@ def term_occurrences(terms) -> Column:
             lambda a, b: F.struct(a.alias("term"), F.coalesce(a != b, F.lit(True)).alias("last")),
         )
 
-    return let(F.array_sort(terms), marked)
+    return let(F.sort_array(terms), marked)

@@ -82,5 +82,5 @@ def top_k(
 
 def as_list(df: DataFrame, keys: Sequence[str], item: Column, order: str, name: str) -> DataFrame:
     """One array per group, in the order of column `order`. For bounded lists (a top-k) only."""
-    pairs = F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), item.alias("v"))))
+    pairs = F.sort_array(F.collect_list(F.struct(F.col(order).alias("o"), item.alias("v"))))
     return df.groupBy(*keys).agg(F.transform(pairs, lambda p: p["v"]).alias(name))

@@ -78,7 +78,7 @@ def prepare_requests(
     datasets = F.when(F.size(chosen) > 0, chosen).otherwise(default.cast(strings))
     columns = {
         "kws": F.array_distinct(F.transform(usable, tx.search_key)),
-        "datasets": F.array_sort(F.array_distinct(datasets)),
+        "datasets": F.sort_array(F.array_distinct(datasets)),
     }
     for bound in ("date_from", "date_to"):
         columns[f"_{bound}"] = request_day_text(_optional(requests, bound, "string"))
@@ -106,10 +106,10 @@ def _hit(r: Column) -> Column:
 def hits_by_list(posts: DataFrame, usable: DataFrame) -> DataFrame:
     """Requests small enough to list: one pass over the posts, no join and no shuffle."""
     keyword_list = usable.select(F.explode("kws").alias("k")).agg(
-        F.array_sort(F.collect_set("k")).alias("v")
+        F.sort_array(F.collect_set("k")).alias("v")
     )
     fields = ["request_id", "scope", "from_day", "to_day", "kws", "any_text", "datasets"]
-    request_list = usable.agg(F.array_sort(F.collect_list(F.struct(*fields))).alias("v"))
+    request_list = usable.agg(F.sort_array(F.collect_list(F.struct(*fields))).alias("v"))
     listed = posts.withColumns(
         {"_keywords": keyword_list.scalar(), "_requests": request_list.scalar()}
     )
@@ -187,7 +187,7 @@ def hits_by_join(posts: DataFrame, usable: DataFrame) -> DataFrame:
     unrestricted = everywhere.filter("any_text").agg(
         F.collect_list(F.struct(*fields)).alias("v")
     )
-    hits = F.array_sort(F.concat(F.coalesce("_found", "_every"), "_every"))
+    hits = F.sort_array(F.concat(F.coalesce("_found", "_every"), "_every"))
     return (
         posts.join(per_post, "post_id", "left")
         .withColumn("_every", unrestricted.scalar())

@@ -21,13 +21,14 @@ from pyspark.sql import functions as F
 from nabd import fixed_values as fv
 from nabd.functions import text as tx
 from nabd.functions.unicode import with_search_text
-from nabd.functions.values import let
+from nabd.functions.values import let, with_computed
 from nabd.operators.dedup import text_hash
 from nabd.operators.grouping import MAX_BROADCAST_ROWS, attach, bounded, top_k
 from nabd.plans.staging import stage
 
 _FIRST_WIDTH = 16
 _GROWTH = 4
+_GRID = 64
 _MARGIN = 1e-9
 
 
@@ -54,7 +55,7 @@ def near_vectors(texts: DataFrame, size: int) -> DataFrame:
         .agg(F.count("*").alias("tf"))
     )
     packed = counts.groupBy("post_id").agg(
-        F.array_sort(F.collect_list(F.struct("t", (F.col("tf") * F.col("idf")).alias("w")))).alias("v")
+        F.sort_array(F.collect_list(F.struct("t", (F.col("tf") * F.col("idf")).alias("w")))).alias("v")
     )
     norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x["w"] * x["w"]))
     return packed.withColumn("norm", norm).select(
@@ -75,6 +76,57 @@ def _prefix_length(ws: Column, threshold: float) -> Column:
     return F.aggregate(ws, start, step)["k"]
 
 
+def _profiles(vectors: DataFrame, threshold: float, positions: int) -> DataFrame:
+    """post_id, k (prefix length), last (position where the prefix ends), and how much squared
+    length lies at or before each of `_GRID` evenly spaced positions."""
+    step = max(1, -(-positions // _GRID))
+    squares = F.zip_with("ts", "ws", lambda t, w: F.struct(t.alias("t"), (w * w).alias("q")))
+
+    def up_to(limit: Column) -> Column:
+        inside = F.filter(F.col("_sq"), lambda x: x["t"] <= limit)
+        return F.aggregate(inside, F.lit(0.0), lambda s, x: s + x["q"])
+
+    grid = F.transform(F.sequence(F.lit(0), F.lit(_GRID)), lambda j: up_to(j * step))
+    return (
+        with_computed(vectors, "_sq", squares)
+        .withColumn("k", _prefix_length(F.col("ws"), threshold))
+        .select(
+            "post_id",
+            "k",
+            F.element_at("ts", F.col("k")).alias("last"),
+            F.floor(F.element_at("ts", F.col("k")) / step).cast("int").alias("cell"),
+            grid.alias("mass"),
+        )
+    )
+
+
+def _candidates(
+    heads: DataFrame, followers: DataFrame, profiles: DataFrame, threshold: float
+) -> DataFrame:
+    """(head, post_id) with head earlier, a common prefix term, and a chance to be similar.
+
+    Up to where the shorter prefix ends, all common terms are known and give the shared part of
+    the cosine. What comes later is at most the product of the two remaining lengths.
+
+    The shared part is whole when the head is listed for all its terms (so for every newly kept
+    head), or the later post is (every earlier post of a term is then listed too). Those are the
+    pairs that decide anything; another pair left out here only spares no waiting.
+    """
+    met = followers.join(heads.withColumnsRenamed({"post_id": "head", "w": "head_w"}), "t")
+    shared = (
+        met.filter("head < post_id")
+        .groupBy("head", "post_id")
+        .agg(F.sum(F.col("w") * F.col("head_w")).alias("shared"))
+    )
+    own = profiles.select("post_id", "cell", "mass")
+    theirs = own.withColumnsRenamed({"post_id": "head", "cell": "head_cell", "mass": "head_mass"})
+    cell = F.least("cell", "head_cell")
+    left = (F.lit(1.0) - F.get("mass", cell)) * (F.lit(1.0) - F.get("head_mass", cell))
+    bound = F.col("shared") + F.sqrt(F.greatest(left, F.lit(0.0)))
+    paired = shared.join(own, "post_id").join(theirs, "head")
+    return paired.filter(bound >= threshold - _MARGIN).select("head", "post_id")
+
+
 def _similar(pairs: DataFrame, vectors: DataFrame, threshold: float) -> DataFrame:
     """Pairs (head, post_id) whose vectors reach the threshold."""
 
@@ -95,37 +147,35 @@ def _similar(pairs: DataFrame, vectors: DataFrame, threshold: float) -> DataFram
     )
 
 
-def _candidates(heads: DataFrame, followers: DataFrame) -> DataFrame:
-    """Distinct (head, post_id) with a common prefix term and head earlier than post_id."""
-    met = followers.join(heads.withColumnRenamed("post_id", "head"), "t")
-    return met.filter("head < post_id").select("head", "post_id").distinct()
-
-
 def first_wins(vectors: DataFrame, threshold: float) -> DataFrame:
     """post_id of the vectors kept by the greedy rule. `vectors` holds distinct vectors."""
     vectors = stage(vectors, "vectors")
-    length = _prefix_length(F.col("ws"), threshold)
-    prefixed = vectors.select("post_id", "ts", length.alias("k"))
+    positions = vectors.agg(F.coalesce(F.max(F.array_max("ts")), F.lit(0))).first()[0]
+    profiles = stage(_profiles(vectors, threshold, positions), "profiles")
+    weighted = F.arrays_zip(
+        F.slice("ts", 1, F.col("k")).alias("t"), F.slice("ws", 1, F.col("k")).alias("w")
+    )
     postings = stage(
-        prefixed.select("post_id", "k", F.explode(F.slice("ts", 1, F.col("k"))).alias("t")),
+        vectors.join(profiles.select("post_id", "k"), "post_id").select(
+            "post_id", "k", F.inline(weighted)
+        ),
         "postings",
     )
-    terms = postings.agg(F.countDistinct("t")).first()[0]
-    state = prefixed.select("post_id", F.lit(None).cast("bigint").alias("waits_for"))
+    state = profiles.select("post_id", F.lit(None).cast("bigint").alias("waits_for"))
     kept_rounds = []
     width = _FIRST_WIDTH
     while True:
         undecided = postings.join(state, "post_id")
         heads = top_k(
             undecided, ["t"], [F.asc("post_id")], width, spread_by="post_id"
-        ).select("post_id", "k", "t")
+        ).select("post_id", "k", "t", "w")
         heads = stage(heads, "heads")
-        if width * terms <= MAX_BROADCAST_ROWS:
-            few_heads = F.broadcast(heads.select("post_id", "t"))
-        else:
-            few_heads = heads.select("post_id", "t")
-        open_posts = undecided.filter("waits_for IS NULL").select("post_id", "t")
-        similar = stage(_similar(_candidates(few_heads, open_posts), vectors, threshold), "similar")
+        few_heads = heads.select("post_id", "t", "w")
+        if width * positions <= MAX_BROADCAST_ROWS:
+            few_heads = F.broadcast(few_heads)
+        open_posts = undecided.filter("waits_for IS NULL").select("post_id", "t", "w")
+        pairs = _candidates(few_heads, open_posts, profiles, threshold)
+        similar = stage(_similar(pairs, vectors, threshold), "similar")
 
         # Met every earlier candidate, and none of them is similar: kept.
         complete = heads.groupBy("post_id", "k").agg(F.count("*").alias("seen")).filter("seen = k")
@@ -138,9 +188,10 @@ def first_wins(vectors: DataFrame, threshold: float) -> DataFrame:
         kept_rounds.append(kept)
 
         # Waiting posts have not been compared this round: compare them with the new kept ones.
-        waiting = undecided.filter("waits_for IS NOT NULL").select("post_id", "t")
-        kept_postings = postings.join(kept, "post_id", "left_semi").select("post_id", "t")
-        late = _similar(_candidates(kept_postings, waiting), vectors, threshold)
+        waiting = undecided.filter("waits_for IS NOT NULL").select("post_id", "t", "w")
+        kept_postings = postings.join(kept, "post_id", "left_semi").select("post_id", "t", "w")
+        pairs = _candidates(kept_postings, waiting, profiles, threshold)
+        late = _similar(pairs, vectors, threshold)
         new_heads = kept.withColumnRenamed("post_id", "head")
         removed = (
             similar.join(new_heads, "head", "left_semi")

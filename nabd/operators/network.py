@@ -48,14 +48,14 @@ def edges_among(
     any pair is built: a post gives at most |nodes| edges, or |nodes|^2/2 co-occurrence pairs, and
     the aggregation sees at most |nodes|^2 keys per group however many posts there are.
     """
-    kept = nodes.groupBy(*keys).agg(F.array_sort(F.collect_list("handle")).alias("_top"))
+    kept = nodes.groupBy(*keys).agg(F.sort_array(F.collect_list("handle")).alias("_top"))
     rows = attach(
         posts.select(*keys, author_key().alias("_author"), "mentions"), kept, keys
     ).select(
         *keys,
         "_author",
         F.array_contains("_top", F.col("_author")).alias("_author_kept"),
-        F.array_sort(F.array_intersect("mentions", "_top")).alias("_named"),
+        F.sort_array(F.array_intersect("mentions", "_top")).alias("_named"),
     )
 
     def edge(src: Column, dst: Column, weight: int) -> Column:

@@ -1,7 +1,9 @@
 """Posts and requests derived from the generated test tables, in SQL that two engines share."""
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from nabd.functions.values import with_computed
 from nabd.sources.readers import spread
 
 TABLES = ("documents", "events", "customer", "labels")
@@ -45,7 +47,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def sample_posts(spark: SparkSession, sf_dir: str) -> DataFrame:
     frames = {name: table(spark, sf_dir, name) for name in TABLES}
     frames["documents"] = spread(frames["documents"])
-    return spark.sql(POSTS_SQL, **frames)
+    posts = spark.sql(POSTS_SQL, **frames)
+    # Built once per row, after the rows are spread over the cores.
+    return with_computed(posts, "text", F.col("text")).select(*posts.columns)
 
 
 def sample_requests(spark: SparkSession) -> DataFrame:
