@@ -12,21 +12,22 @@ def text_hash(column) -> Column:
     return F.unhex(F.sha2(column, 256))
 
 
+def first_ids(keyed: DataFrame, key: Column) -> DataFrame:
+    """Smallest post_id per key; rows with a null key are left out.
+
+    Only (hash, post_id) pairs are grouped, and they are combined before the shuffle, so a text
+    that makes up a third of the table costs one row per task.
+    """
+    pairs = keyed.select("post_id", key.alias("_key")).filter(F.col("_key").isNotNull())
+    return pairs.groupBy("_key").agg(F.min("post_id").alias("post_id")).select("post_id")
+
+
 def keep_first(posts: DataFrame, key: Column) -> DataFrame:
     """Keep the post with the smallest post_id per key; posts with a null key are dropped.
 
-    Only (hash, post_id) pairs are grouped, and they are combined before the shuffle, so a text
-    that makes up a third of the table costs one row per task. The wide rows are then shuffled
-    once, by post_id, which cannot be skewed.
+    The wide rows are shuffled once, by post_id, which cannot be skewed.
     """
-    first = (
-        posts.select("post_id", key.alias("_key"))
-        .filter(F.col("_key").isNotNull())
-        .groupBy("_key")
-        .agg(F.min("post_id").alias("post_id"))
-        .select("post_id")
-    )
-    return posts.join(first, "post_id", "left_semi")
+    return posts.join(first_ids(posts, key), "post_id", "left_semi")
 
 
 def dedup_by_hash(posts: DataFrame, mode: str = "raw") -> DataFrame:
@@ -42,4 +43,4 @@ def dedup_exact(posts: DataFrame, text: Column | None = None) -> DataFrame:
         text = tx.analysis_text() if "cleaned_text" in posts.columns else F.col("text")
     keyed = with_search_text(posts, text, "_norm")
     key = F.when(F.col("_norm") != "", text_hash(F.col("_norm")))
-    return keep_first(keyed, key).select(*posts.columns)
+    return posts.join(first_ids(keyed, key), "post_id", "left_semi")

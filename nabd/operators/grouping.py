@@ -35,15 +35,17 @@ def bounded(values: DataFrame, keys: Sequence[str], rows_per_group: int = 1) ->
     return values
 
 
-def attach(df: DataFrame, values: DataFrame, keys: Sequence[str]) -> DataFrame:
+def attach(
+    df: DataFrame, values: DataFrame, keys: Sequence[str], row_weight: int = 1
+) -> DataFrame:
     """Add the per-group columns of `values` (one row per group) to the rows of `df`.
 
     Without keys the one row is a scalar subquery. With keys it is an equi-join: a broadcast when
     the number of groups was counted, else adaptive execution broadcasts the aggregate if it
-    turns out small, and splits a hot group if not.
+    turns out small, and splits a hot group if not. `row_weight` counts rows that hold a list.
     """
     if keys:
-        return df.join(bounded(values, keys), list(keys), "left")
+        return df.join(bounded(values, keys, row_weight), list(keys), "left")
     added = [c for c in values.columns if c not in df.columns]
     packed = values.select(F.struct(*added).alias("v"))
     return df.withColumn("_group", packed.scalar()).select(

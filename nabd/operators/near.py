@@ -32,9 +32,13 @@ _GRID = 64
 _MARGIN = 1e-9
 
 
+def _terms() -> Column:
+    return tx.one_and_two_grams(tx.words(F.col("_norm")))
+
+
 def _near_vocabulary(texts: DataFrame, size: int) -> DataFrame:
     """term, t (position, rarest first), idf. `copies` weighs each text by how often it occurs."""
-    entries = texts.select("copies", F.inline(tx.term_occurrences(F.col("terms"))))
+    entries = texts.select("copies", F.inline(tx.term_occurrences(_terms())))
     stats = entries.groupBy("term").agg(
         F.sum(F.when(F.col("last"), F.col("copies"))).alias("df"), F.sum("copies").alias("cf")
     )
@@ -49,7 +53,7 @@ def near_vectors(texts: DataFrame, size: int) -> DataFrame:
     """Unit vectors: post_id, ts (term positions ascending), ws. Posts without terms are absent."""
     vocab = bounded(_near_vocabulary(texts, size), (), size)
     counts = (
-        texts.select("post_id", F.explode("terms").alias("term"))
+        texts.select("post_id", F.explode(_terms()).alias("term"))
         .join(vocab, "term")
         .groupBy("post_id", "t", "idf")
         .agg(F.count("*").alias("tf"))
@@ -243,16 +247,7 @@ def dedup_near(
         "near_texts",
     )
     groups = keyed.groupBy("_h").agg(F.min("post_id").alias("post_id"), F.count("*").alias("copies"))
-    distinct_texts = keyed.drop("_h").join(groups, "post_id")
-    texts = stage(
-        distinct_texts.select(
-            "post_id",
-            "_h",
-            "copies",
-            tx.one_and_two_grams(tx.words(F.col("_norm"))).alias("terms"),
-        ),
-        "near_terms",
-    )
+    texts = stage(keyed.join(groups.drop("_h"), "post_id"), "near_distinct")
     vectors = stage(near_vectors(texts, max_features), "near_vectors")
     same = [F.xxhash64("ts", "ws").alias("_s1"), F.xxhash64(F.lit(1), "ws", "ts").alias("_s2")]
     first = vectors.select("post_id", *same).groupBy("_s1", "_s2").agg(F.min("post_id").alias("post_id"))

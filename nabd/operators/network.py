@@ -49,9 +49,8 @@ def edges_among(
     the aggregation sees at most |nodes|^2 keys per group however many posts there are.
     """
     kept = nodes.groupBy(*keys).agg(F.sort_array(F.collect_list("handle")).alias("_top"))
-    rows = attach(
-        posts.select(*keys, author_key().alias("_author"), "mentions"), kept, keys
-    ).select(
+    authored = posts.select(*keys, author_key().alias("_author"), "mentions")
+    rows = attach(authored, kept, keys, row_weight=50).select(
         *keys,
         "_author",
         F.array_contains("_top", F.col("_author")).alias("_author_kept"),

@@ -33,7 +33,7 @@ def dedup_stream(posts: DataFrame, delay: str = "2 days") -> DataFrame:
     """The first copy of each text that arrives within the watermark.
 
     State holds one hash per text of the last days, not the whole history. Posts without a
-    readable time have no place in the watermark and pass through.
+    readable time have no place in the watermark and are left to the batch job.
     """
     hashed = posts.withColumn("text_hash", text_hash(F.coalesce("text", F.lit(""))))
     dated = hashed.filter(F.col("ts").isNotNull()).withWatermark("ts", delay)
