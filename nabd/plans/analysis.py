@@ -1,6 +1,7 @@
 """The whole analysis: any number of requests over one set of posts, one result row each."""
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -62,51 +63,46 @@ def matched_posts(enriched: DataFrame) -> DataFrame:
     return enriched.withColumn("request_id", F.explode("requests")).drop("requests")
 
 
-def collection_state(posts: DataFrame, prepared: DataFrame, stats: DataFrame) -> DataFrame:
+def collection_state(posts: DataFrame, prepared: DataFrame, matched: DataFrame) -> DataFrame:
     """For requests that selected nothing: did their datasets have rows, and valid ones?
 
-    Adaptive execution drops this branch when every request selected something.
+    The posts are read again only when there are such requests: per named dataset, and for
+    requests over everything just until one row, and one valid row, is found in each task.
     """
-    empty = prepared.join(stats, "request_id", "left_anti").filter(~F.col("bad_dates"))
-    listed = empty.filter(F.col("datasets").isNotNull()).select(
-        "request_id", F.explode("datasets").alias("source_dataset")
-    )
-    checked = posts.select("text", "source_dataset")
-    wanted = listed.select("source_dataset").distinct()
-    # A request over everything needs all posts; without one, only the listed datasets.
-    everything = empty.filter(F.col("datasets").isNull()).limit(1).agg(
-        (F.count("*") > 0).alias("v")
-    )
-    checked = (
-        checked.withColumn("_all", everything.scalar())
-        .join(wanted.withColumn("_listed", F.lit(True)), "source_dataset", "left")
-        .filter(F.col("_all") | F.col("_listed"))
-        .select("text", "source_dataset")
-    )
-    cleaned = clean_posts(checked)
+    usable = prepared.filter(~F.col("bad_dates"))
+    empty = usable.join(matched.select(KEY).distinct(), KEY, "left_anti")
+    kinds = empty.agg(
+        F.count_if(F.col("datasets").isNull()).alias("whole"),
+        F.count_if(F.col("datasets").isNotNull()).alias("listed"),
+    ).first()
     valid = tx.is_valid_text(tx.analysis_text())
-    per_dataset = cleaned.groupBy("source_dataset").agg(F.bool_or(valid).alias("_valid"))
-    overall = per_dataset.agg(
-        (F.count("*") > 0).alias("rows"), F.coalesce(F.bool_or("_valid"), F.lit(False)).alias("ok")
-    )
-    some = (
-        listed.join(per_dataset, "source_dataset")
-        .groupBy("request_id")
-        .agg(F.lit(True).alias("_rows"), F.bool_or("_valid").alias("_any_valid"))
-    )
-    state = empty.select("request_id", "datasets").withColumn(
-        "_overall", overall.select(F.struct("*")).scalar()
-    ).join(some, "request_id", "left")
-    for_all = F.col("datasets").isNull()
-    return state.select(
-        "request_id",
-        F.when(for_all, F.col("_overall.rows"))
-        .otherwise(F.coalesce("_rows", F.lit(False)))
-        .alias("_has_rows"),
-        F.when(for_all, F.col("_overall.ok"))
-        .otherwise(F.coalesce("_any_valid", F.lit(False)))
-        .alias("_has_valid"),
-    )
+    parts = [empty.filter("false").select(KEY, *_state(F.lit(None), F.lit(None)))]
+    if kinds["whole"]:
+        any_row = posts.limit(1).agg((F.count("*") > 0).alias("v"))
+        any_valid = clean_posts(posts.select("text")).filter(valid).limit(1)
+        any_valid = any_valid.agg((F.count("*") > 0).alias("v"))
+        whole = empty.filter(F.col("datasets").isNull()).withColumns(
+            {"_r": any_row.scalar(), "_v": any_valid.scalar()}
+        )
+        parts.append(whole.select(KEY, *_state(F.col("_r"), F.col("_v"))))
+    if kinds["listed"]:
+        listed = empty.select(KEY, F.explode("datasets").alias("source_dataset"))
+        named = posts.select("text", "source_dataset").join(
+            listed.select("source_dataset").distinct(), "source_dataset", "left_semi"
+        )
+        per_dataset = clean_posts(named).groupBy("source_dataset").agg(F.bool_or(valid).alias("_ok"))
+        some = listed.join(per_dataset, "source_dataset", "left").groupBy(KEY).agg(
+            F.bool_or(F.col("_ok").isNotNull()).alias("_r"), F.bool_or("_ok").alias("_v")
+        )
+        parts.append(some.select(KEY, *_state(F.col("_r"), F.col("_v"))))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def _state(has_rows: Column, has_valid: Column) -> list[Column]:
+    return [
+        F.coalesce(has_rows.cast("boolean"), F.lit(False)).alias("_has_rows"),
+        F.coalesce(has_valid.cast("boolean"), F.lit(False)).alias("_has_valid"),
+    ]
 
 
 def _status(min_posts: int) -> tuple[Column, Column]:
@@ -188,7 +184,7 @@ def analyze(
             name, F.coalesce(F.col(name).cast(kind), F.array().cast(kind))
         )
     result = result.join(breakdown_map(matched, keys), "request_id", "left")
-    result = result.join(collection_state(posts, prepared, stats), "request_id", "left")
+    result = result.join(collection_state(posts, prepared, matched), "request_id", "left")
     zero = F.lit(0).cast("bigint")
     result = result.withColumns(
         {
