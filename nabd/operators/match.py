@@ -137,9 +137,10 @@ def hits_by_join(posts: DataFrame, usable: DataFrame) -> DataFrame:
 
     A keyword can only occur in a text that holds its first three characters (or all of a shorter
     keyword), so an equi-join on that gram finds all candidates and `contains` decides. Only
-    numbers and grams are joined; the text comes back by post_id.
+    numbers, grams and requests are joined on grams; the texts move once, by post_id.
     """
-    wanted = usable.filter(~F.col("any_text")).select("request_id", F.explode("kws").alias("k"))
+    request = F.struct("request_id", "scope", "from_day", "to_day").alias("r")
+    wanted = usable.filter(~F.col("any_text")).select(F.explode("kws").alias("k"), "datasets", request)
     grams = wanted.select("k").distinct().withColumn("gram", F.substring("k", 1, _GRAM))
 
     def runs_of(chars: Column, size: int) -> Column:
@@ -154,48 +155,42 @@ def hits_by_join(posts: DataFrame, usable: DataFrame) -> DataFrame:
         longer = [runs_of(chars, size) for size in range(2, _GRAM + 1)]
         return F.array_distinct(F.concat(chars, *longer))
 
-    keyed = posts.select("post_id", tx.search_key(F.col("text")).alias("_text"))
-    post_grams = keyed.select(
-        "post_id", F.explode(let(F.split("_text", ""), pieces)).alias("gram")
-    )
-    candidates = post_grams.join(grams, "gram").select("post_id", "k")
-    found = (
-        candidates.join(keyed, "post_id")
-        .filter(F.contains(F.col("_text"), F.col("k")))
-        .select("post_id", "k")
-    )
-    by_keyword = found.join(wanted, "k").select("post_id", "request_id").distinct()
-
-    fields = ["request_id", "scope", "from_day", "to_day"]
-    sources = posts.select("post_id", "source_dataset")
-    listed = usable.filter(F.col("datasets").isNotNull()).select(
-        *fields, "any_text", F.explode("datasets").alias("source_dataset")
+    chars = F.split(tx.search_key(F.col("text")), "")
+    post_grams = posts.select("post_id", F.explode(let(chars, pieces)).alias("gram"))
+    offered = (
+        post_grams.join(grams, "gram")
+        .join(wanted, "k")
+        .groupBy("post_id")
+        .agg(F.collect_list(F.struct("k", "datasets", "r")).alias("_offered"))
     )
-    everywhere = usable.filter(F.col("datasets").isNull()).select(*fields, "any_text")
-    with_source = by_keyword.join(sources, "post_id")
-    restricted = [
-        with_source.join(listed.drop("any_text"), ["request_id", "source_dataset"]),
-        by_keyword.join(everywhere.drop("any_text"), "request_id"),
-        sources.join(listed.filter("any_text"), "source_dataset"),
-    ]
-    pairs = restricted[0].select("post_id", *fields)
-    for more in restricted[1:]:
-        pairs = pairs.unionByName(more.select("post_id", *fields))
-    per_post = pairs.groupBy("post_id").agg(F.collect_list(F.struct(*fields)).alias("_found"))
-    # Requests without any restriction are part of every post's answer, so the list of them is
-    # no larger than a single output row.
-    unrestricted = everywhere.filter("any_text").agg(
-        F.collect_list(F.struct(*fields)).alias("v")
+    # Requests without keywords: per dataset they name, or part of every post's answer. Neither
+    # list is longer than the answer of a single post.
+    whole = usable.filter("any_text")
+    by_dataset = (
+        whole.filter(F.col("datasets").isNotNull())
+        .select(request, F.explode("datasets").alias("source_dataset"))
+        .groupBy("source_dataset")
+        .agg(F.collect_list("r").alias("_named"))
     )
-    hits = F.sort_array(F.concat(F.coalesce("_found", "_every"), "_every"))
-    return (
-        posts.join(per_post, "post_id", "left")
-        .withColumn("_every", unrestricted.scalar())
-        .withColumn("hits", F.array_distinct(hits))
-        .select(*posts.columns, "hits")
-        .filter(F.size("hits") > 0)
+    everywhere = whole.filter(F.col("datasets").isNull()).select(request)
+    joined = (
+        posts.join(offered, "post_id", "left")
+        .join(by_dataset, "source_dataset", "left")
+        .withColumn("_every", everywhere.agg(F.collect_list("r")).scalar())
     )
 
+    def confirmed(text: Column) -> Column:
+        return F.filter(
+            F.col("_offered"),
+            lambda o: F.contains(text, o["k"])
+            & (o["datasets"].isNull() | F.array_contains(o["datasets"], F.col("source_dataset"))),
+        )
+
+    by_keyword = F.transform(let(tx.search_key(F.col("text")), confirmed), lambda o: o["r"])
+    hits = F.concat(F.coalesce(by_keyword, F.array()), F.coalesce("_named", F.array()), "_every")
+    matched = with_computed(joined, "hits", F.sort_array(F.array_distinct(hits)))
+    return matched.select(*posts.columns, "hits").filter(F.size("hits") > 0)
+
 
 def match_requests(posts: DataFrame, prepared: DataFrame) -> DataFrame:
     """Posts with `hits`: the requests whose datasets and keywords they match."""

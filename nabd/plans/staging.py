@@ -6,12 +6,18 @@ pruning, so each later branch reads only the columns it needs.
 
 import tempfile
 import uuid
+from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
 
 _DIR = "spark.checkpoint.dir"
 
 
+@cache
+def _local_root() -> str:
+    return tempfile.mkdtemp(prefix="nabd-")
+
+
 def staging_root(spark: SparkSession) -> str:
     """The shared folder the cluster names; a temporary one only for a single-machine session."""
     root = spark.conf.get(_DIR, None)
@@ -19,9 +25,7 @@ def staging_root(spark: SparkSession) -> str:
         return root.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError(f"set {_DIR} to a folder that every executor can reach")
-    root = tempfile.mkdtemp(prefix="nabd-")
-    spark.conf.set(_DIR, root)
-    return root
+    return _local_root()
 
 
 def staging_path(spark: SparkSession, name: str = "stage") -> str:

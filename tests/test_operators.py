@@ -3,6 +3,7 @@
 import math
 import random
 import re
+import tempfile
 from collections import Counter
 
 import pytest
@@ -23,6 +24,7 @@ from nabd.operators import (
     topics,
 )
 from nabd.operators.grouping import FewGroups, top_k
+from nabd.plans import staging
 from nabd.plans.staging import release, stage, staging_root
 from nabd.sources.sample import sample_posts
 
@@ -435,6 +437,20 @@ def test_partition_count_does_not_matter(spark, sf):
     assert found[0] == found[1]
 
 
+def test_staging_without_a_named_folder(spark, monkeypatch):
+    monkeypatch.setattr(staging, "_DIR", "spark.nabd.not.set")
+    root = staging_root(spark)
+    assert root.startswith(tempfile.gettempdir()) and staging_root(spark) == root
+    assert stage(spark.range(3)).count() == 3
+
+    class Cluster:
+        conf = spark.conf
+        sparkContext = type("Context", (), {"master": "yarn"})
+
+    with pytest.raises(ValueError):
+        staging_root(Cluster())
+
+
 def test_staging(spark):
     assert staging_root(spark)
     df = stage(spark.range(5), "test")
