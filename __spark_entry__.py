@@ -184,7 +184,7 @@ def dedup_hash_normalized(spark, d):
 
 
 def dedup_exact(spark, d):
-    return dedup.dedup_exact(_cleaned(spark, d)).select("post_id")
+    return dedup.dedup_exact(_cleaned(spark, d), staged=staging.stage).select("post_id")
 
 
 def dedup_near(spark, d):

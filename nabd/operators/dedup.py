@@ -1,5 +1,7 @@
 """Duplicate removal by text: one survivor per key, the smallest post_id."""
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -37,10 +39,22 @@ def dedup_by_hash(posts: DataFrame, mode: str = "raw") -> DataFrame:
     return keep_first(posts, text_hash(keys[mode]))
 
 
-def dedup_exact(posts: DataFrame, text: Column | None = None) -> DataFrame:
-    """Dedup on the full search normalization; posts whose key is empty are dropped."""
+def dedup_exact(
+    posts: DataFrame,
+    text: Column | None = None,
+    staged: Callable[[DataFrame], DataFrame] | None = None,
+) -> DataFrame:
+    """Dedup on the full search normalization; posts whose key is empty are dropped.
+
+    The posts are read twice, for their keys and for the rows. When their columns are expensive
+    (cleaned text), pass `nabd.plans.staging.stage` as `staged` to compute them only once.
+    """
     if text is None:
         text = tx.analysis_text() if "cleaned_text" in posts.columns else F.col("text")
     keyed = with_search_text(posts, text, "_norm")
     key = F.when(F.col("_norm") != "", text_hash(F.col("_norm")))
-    return posts.join(first_ids(keyed, key), "post_id", "left_semi")
+    keyed = keyed.withColumn("_hash", key).drop("_norm")
+    if staged:
+        keyed = staged(keyed)
+        posts = keyed.drop("_hash")
+    return posts.join(first_ids(keyed, F.col("_hash")), "post_id", "left_semi")
