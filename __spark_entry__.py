@@ -706,9 +706,25 @@ def entry(spark: SparkSession) -> DataFrame:
     return request_stats(spark, "/root/testdata/sf0.001")
 
 
+def _training_data() -> tuple[dict, dict]:
+    """Queries and SQL of the training-data package, which may be absent."""
+    try:
+        import corpus_pipeline
+        from nabd.llm import queries as llm
+    except ModuleNotFoundError as error:
+        if error.name not in ("corpus_pipeline", "nabd.llm", "nabd.llm.queries"):
+            raise
+        return {}, {}
+    found, sql = dict(llm.QUERIES), dict(llm.ORACLE_SQL)
+    found["pipeline"] = corpus_pipeline.run
+    if corpus_pipeline.ORACLE_SQL:
+        sql["pipeline"] = corpus_pipeline.ORACLE_SQL
+    return found, sql
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {query.__name__: query for query in _QUERIES}
+    return {query.__name__: query for query in _QUERIES} | _training_data()[0]
 
 
 def oracle_sql() -> dict[str, str]:
-    return oracle_queries.all_queries()
+    return oracle_queries.all_queries() | _training_data()[1]
