@@ -9,9 +9,8 @@ document has are dropped, and the stretches of text around the others are gather
 route is a reference shard. Its rows arrive in doc_id order: a document's stretches are streamed
 through the suffix automaton of all earlier documents for matching statistics, and enter it
 afterwards. Where the match is `span` words or longer its words are covered. Memory holds the
-distinct stretches of one route. A route of more than `HOT` documents is split into its windows,
-each first counted by grouped aggregation; a repeated window's automaton is sent to `SALTS` tasks
-that share its documents.
+distinct stretches of one route. A route of more than `HOT` documents is split into its windows, and
+each task sends on a stretch it has met before without its words, as repeated.
 
 Null and empty texts have no words; rows without a doc_id are neither earlier nor later and stay as
 they are. Rows that repeat a doc_id are one document: they lose nothing to each other. Extra columns
@@ -34,8 +33,8 @@ from nabd.plans.staging import stage
 SPAN = 13
 GRAM = 4
 HOT = 10_000
-SALTS = 16
 _KNOWN_WORDS = 500_000
+_KNOWN_STRETCHES = 200_000
 
 
 class Automaton:
@@ -159,22 +158,25 @@ def routes(docs: DataFrame, span: int) -> DataFrame:
 
 
 def stretches(marked: DataFrame, span: int) -> DataFrame:
-    """(route, hot, doc_id, text_id, start, words): the text around each shared route.
+    """(route, doc_id, text_id, start, end, words): the text around each shared route.
 
-    `marked` has doc_id, text and the document's shared routes as (route, hot). Windows that follow
-    each other on one route are one stretch; windows of a hot route are cut apart and routed by
-    their words.
+    `marked` has doc_id, text and the document's shared routes as (route, hot), or null. Windows that
+    follow each other on one route are one stretch; windows of a hot route are cut apart and routed by
+    their words. A stretch that this task has met in a smaller doc_id is known to be repeated: its
+    words are left out, so a common passage leaves a task about once.
     """
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()]
+    names = ["route", "doc_id", "text_id", "start", "end", "words"]
 
     def batches(rows: Iterator[pa.RecordBatch]):
-        known = _WordHashes()
-        names = ["route", "hot", "doc_id", "text_id", "start", "words"]
-        kinds = [pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int32(), pa.binary()]
+        known, met = _WordHashes(), {}
         for batch in slices(rows, 64):
             out: list[tuple] = []
             texts = batch.column("text").cast(pa.binary())
             docs, marks_of = (batch.column(c).to_pylist() for c in ("doc_id", "shared"))
             for doc, text, shared in zip(docs, texts, marks_of, strict=True):
+                if shared is None:
+                    continue
                 text = text.as_py()
                 words = _words(text)
                 own = window_routes(words, known, span)
@@ -184,57 +186,65 @@ def stretches(marked: DataFrame, span: int) -> DataFrame:
                     continue
                 name = _text_id(text)
                 cut = np.flatnonzero((np.diff(starts) > 1) | (np.diff(own[starts]) != 0)) + 1
+                pieces = []
                 for part in np.split(starts, cut):
                     first, last, route = int(part[0]), int(part[-1]), int(own[part[0]])
-                    if not marks[route]:
-                        out.append((route, False, doc, name, first, b" ".join(words[first : last + span])))
-                        continue
-                    for s in range(first, last + 1):
-                        window = b" ".join(words[s : s + span])
-                        key = xxhash.xxh64_intdigest(window) >> 1
-                        out.append((key, True, doc, name, s, window))
+                    if marks[route]:
+                        pieces += [(None, s, s + span) for s in range(first, last + 1)]
+                    else:
+                        pieces.append((route, first, last + span))
+                for route, a, b in pieces:
+                    piece = b" ".join(words[a:b])
+                    if route is None:
+                        route = xxhash.xxh64_intdigest(piece) >> 1
+                    if met.get(piece, doc) < doc:
+                        out.append((route, doc, name, a, b, None))
+                    else:
+                        met[piece] = doc
+                        out.append((route, doc, name, a, b, piece))
+            if len(met) > _KNOWN_STRETCHES:
+                met.clear()
             columns = zip(*out, strict=True) if out else [[] for _ in names]
             yield pa.RecordBatch.from_arrays(
                 [pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names
             )
 
     return marked.mapInArrow(
-        batches, "route long, hot boolean, doc_id long, text_id long, start int, words binary"
+        batches, "route long, doc_id long, text_id long, start int, end int, words binary"
     )
 
 
 def _match(span: int):
-    """Stream the rows of each (route, salt), in doc_id order, through its growing automaton."""
+    """Stream the rows of each route, in doc_id order, through its growing automaton."""
 
     def batches(rows: Iterator[pa.RecordBatch]):
-        key = doc = None
-        automaton, known, waiting = Automaton(), set(), []
+        key = doc = automaton = None
+        inside, waiting = set(), []
+        names = ("route", "doc_id", "text_id", "start", "end", "words")
+        kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32())
         for batch in rows:
             out: list[tuple[int, int, int, int]] = []
-            names = ("route", "salt", "doc_id", "text_id", "start", "words", "role")
             columns = (batch.column(c).to_pylist() for c in names)
-            for route, salt, this, name, start, text, role in zip(*columns, strict=True):
-                if (route, salt) != key:
-                    key, doc = (route, salt), this
-                    automaton, known, waiting = None, set(), []
+            for route, this, name, start, end, text in zip(*columns, strict=True):
+                if route != key:
+                    key, doc, automaton = route, this, None
+                    inside, waiting = set(), []
                 elif this != doc:  # what the last document brought is earlier from here on
                     doc = this
                     for earlier in waiting:
-                        if earlier not in known:
-                            known.add(earlier)
+                        if earlier not in inside:
+                            inside.add(earlier)
                             automaton = automaton or Automaton()
                             automaton.add(earlier.split())
                     waiting = []
-                if role != "reference":
-                    if text in known:
-                        out.append((this, name, start, start + text.count(b" ") + 1))
-                    elif automaton:
-                        found = automaton.covered(text.split(), span)
-                        out += [(this, name, start + a, start + b) for a, b in found]
-                if role != "query":
-                    waiting.append(text)
+                if text is None or text in inside:
+                    out.append((this, name, start, end))
+                    continue
+                if automaton:
+                    found = automaton.covered(text.split(), span)
+                    out += [(this, name, start + a, start + b) for a, b in found]
+                waiting.append(text)
             columns = zip(*out, strict=True) if out else [[], [], [], []]
-            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32())
             yield pa.RecordBatch.from_arrays(
                 [pa.array(c, k) for c, k in zip(columns, kinds, strict=True)],
                 ["doc_id", "text_id", "start", "end"],
@@ -244,40 +254,31 @@ def _match(span: int):
 
 
 def repeated_spans(docs: DataFrame, span: int = SPAN) -> DataFrame:
-    """(doc_id, text_id, start, end): word ranges that also occur in an earlier document."""
-    texts = docs.filter("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    every = stage(routes(texts, span), "routes")
+    """(doc_id, text_id, start, end): word ranges that also occur in an earlier document.
+
+    `docs` has doc_id and text alone. Its join by doc_id is the one that `_kept` does, so that one
+    shuffle of the texts serves both.
+    """
+    every = stage(routes(docs.filter("doc_id is not null"), span), "routes")
     shared = (
         every.groupBy("route")
         .agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b"), F.count("*").alias("n"))
         .filter("a < b")
         .select("route", (F.col("n") > HOT).alias("hot"))
     )
-    marks = every.join(shared, "route").groupBy("doc_id").agg(
+    marks = every.join(shared, "route").groupBy(F.col("doc_id").alias("_id")).agg(
         F.collect_set(F.struct("route", "hot")).alias("shared")  # no more than the document has windows
     )
-    found = stage(stretches(texts.join(marks, "doc_id"), span), "stretches")
-    salt = F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")
-    cold = found.filter("not hot").withColumns({"salt": F.lit(0), "role": F.lit("both")})
-    asked = found.filter("hot").withColumns({"salt": salt, "role": F.lit("query")})
-    first = (
-        found.filter("hot")
-        .groupBy("route", "words")
-        .agg(F.min("doc_id").alias("doc_id"), F.max("doc_id").alias("last"))
-        .filter("doc_id < last")
-        .withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        .withColumns({"text_id": F.lit(0).cast("long"), "start": F.lit(0), "role": F.lit("reference")})
-    )
-    columns = ["route", "salt", "doc_id", "text_id", "start", "words", "role"]
-    rows = cold.select(*columns).unionByName(asked.select(*columns)).unionByName(first.select(*columns))
+    marked = docs.join(marks, F.col("doc_id") == F.col("_id"), "left").drop("_id")
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = rows.repartition(parts, "route", "salt").sortWithinPartitions("route", "salt", "doc_id")
+    dealt = stretches(marked, span).repartition(parts, "route").sortWithinPartitions("route", "doc_id")
     return dealt.mapInArrow(_match(span), "doc_id long, text_id long, start int, end int")
 
 
 def _kept(docs: DataFrame, span: int) -> DataFrame:
     """`docs` with `_spans`, the removed ranges of its doc_id."""
-    spans = repeated_spans(docs, span).groupBy(F.col("doc_id").alias("_id")).agg(
+    spans = repeated_spans(docs.select("doc_id", "text"), span)
+    spans = spans.groupBy(F.col("doc_id").alias("_id")).agg(
         F.collect_list(F.struct("text_id", "start", "end")).alias("_spans")
     )
     return docs.join(spans, F.col("doc_id") == F.col("_id"), "left").drop("_id")
