@@ -1,0 +1,378 @@
+"""Each training-data operator against brute force, a round trip, recall or held-out accuracy."""
+
+import hashlib
+import math
+import random
+import re
+
+import numpy as np
+import pytest
+import xxhash
+
+import corpus_pipeline
+from nabd.llm import (
+    ann,
+    chat,
+    decontaminate,
+    language,
+    lines,
+    mixing,
+    sharding,
+    simhash,
+    substring,
+    toxicity,
+)
+from nabd.llm.queries import HOSTILE
+
+DOCS = "doc_id long, text string, lang string, source string, n_chars long, size string, shard int"
+
+
+def make(spark, rows):
+    """Documents with extra columns whose names clash with the operators' own."""
+    data = [(i, t, "en", s, len(t or ""), "extra", 1) for i, t, s in rows]
+    return spark.createDataFrame(data, DOCS)
+
+
+@pytest.fixture(scope="module")
+def texts():
+    rng = random.Random(5)
+    vocabulary = ["w%d" % i for i in range(60)] + ["Größe", "the", "The,", "of"]
+    rows = [(i, " ".join(rng.choices(vocabulary, k=rng.choice([0, 1, 3, 12, 13, 40, 90])))) for i in range(60)]
+    passage = " ".join(rng.choices(vocabulary, k=30))
+    rows += [(100 + i, rows[i][1] + "\n" + passage + "\t" + rows[i + 1][1]) for i in range(12)]
+    rows += [(200 + i, rows[40][1]) for i in range(5)] + [(300, None), (301, ""), (302, " \n\t ")]
+    rows += [rows[3], rows[3], rows[65]]
+    near = rows[50][1].split() or ["a"]
+    rows += [(400 + i, " ".join([*near[:i], "x", *near[i + 1 :]])) for i in range(0, len(near), 7)]
+    return [(i, t, rng.choice(["a", "b", "é", None])) for i, t in rows] + [(None, passage, "a")]
+
+
+@pytest.fixture(scope="module")
+def docs(spark, texts):
+    return make(spark, texts).cache()
+
+
+def ordered(rows):
+    return sorted(map(tuple, rows), key=str)
+
+
+def test_mixing(spark, docs, texts):
+    out = mixing.digest(docs).collect()
+    sizes = [len((t or "").encode().split()) for _, t, _ in texts]
+    assert sorted(r["size"] for r in out) == sorted(sizes)
+    own = {}
+    for (_, _, s), n in zip(texts, sizes, strict=True):
+        own[s] = own.get(s, 0) + n
+    names = sorted((s for s in own if s is not None), key=lambda s: [ord(c) for c in s]) + [None]
+    weight = {s: (3, 1, 2)[i % 3] for i, s in enumerate(names)}
+    pool, full = 1.5 * sum(sizes), set()
+    while True:
+        rate = (pool - sum(2 * own[s] for s in full)) / sum(weight[s] for s in names if s not in full)
+        more = {s for s in names if s not in full and rate * weight[s] > 2 * own[s]}
+        if not more:
+            break
+        full |= more
+    target = {s: 2.0 * own[s] if s in full else rate * weight[s] for s in names}
+    got = {}
+    for r in mixing.mix(docs).collect():
+        assert 0 <= r["copies"] <= 2 and r["source_size"] == own[r["source"]]
+        assert r["target"] == pytest.approx(target[r["source"]])
+        got[r["source"]] = got.get(r["source"], 0) + r["copies"] * r["size"]
+    assert all(abs(got[s] - target[s]) <= 1 for s in names)
+    assert ordered(out) == ordered(mixing.digest(docs.repartition(7)).collect())
+    assert mixing.mixed_documents(docs).columns == docs.columns
+
+
+@pytest.mark.parametrize("window", [1, 40, 1 << 16])
+def test_fit_counts_is_best(window):
+    rng = random.Random(window)
+    for _ in range(60):
+        lengths = rng.sample(range(1, 30), rng.randint(1, 5))
+        counts = [rng.randint(1, 6) for _ in lengths]
+        budget = rng.randint(0, sum(n * c for n, c in zip(lengths, counts, strict=True)))
+        taken = mixing.fit_counts(lengths, counts, budget, window)
+        assert all(0 <= t <= c for t, c in zip(taken, counts, strict=True))
+        got = sum(t * n for t, n in zip(taken, lengths, strict=True))
+        if window >= 1 << 16:  # the whole budget is left to dynamic programming
+            sums = {0}
+            for n, c in zip(lengths, counts, strict=True):
+                sums = {s + k * n for s in sums for k in range(c + 1)}
+            assert got == max(s for s in sums if s <= budget)
+        assert got <= budget
+
+
+def removed_by_hand(rows, span):
+    first, out = {}, []
+    split = [(i, (t or "").encode().split()) for i, t, _ in rows]
+    for i, w in split:
+        for s in range(len(w) - span + 1 if i is not None else 0):
+            key = tuple(w[s : s + span])
+            first[key] = min(first.get(key, i), i)
+    for i, w in split:
+        gone = set()
+        for s in range(len(w) - span + 1 if i is not None else 0):
+            if first[tuple(w[s : s + span])] < i:
+                gone.update(range(s, s + span))
+        kept = b" ".join(x for j, x in enumerate(w) if j not in gone)
+        out.append((i, len(w), len(gone), hashlib.sha256(kept).hexdigest()))
+    return ordered(out)
+
+
+@pytest.mark.parametrize("hot", [2, 10_000])
+def test_substring_dedup(docs, texts, hot, monkeypatch):
+    monkeypatch.setattr(substring, "HOT", hot)
+    assert ordered(substring.digest(docs).collect()) == removed_by_hand(texts, 13)
+    kept = substring.dedup(docs)
+    assert kept.schema.names == docs.columns and kept.count() == docs.count()
+
+
+def test_automaton_covers_what_is_repeated():
+    rng = random.Random(1)
+    for _ in range(200):
+        known = [rng.choices("ab", k=rng.randint(0, 12)) for _ in range(3)]
+        text = rng.choices("abc", k=20)
+        automaton = substring.Automaton()
+        for k in known:
+            automaton.add(k)
+        hit = set()
+        for s in range(len(text) - 3):
+            if any(k[i : i + 4] == text[s : s + 4] for k in known for i in range(len(k) - 3)):
+                hit.update(range(s, s + 4))
+        assert {i for a, b in automaton.covered(text, 4) for i in range(a, b)} == hit
+
+
+def test_line_dedup(spark):
+    rng = random.Random(3)
+    words = [f"w{i}" for i in range(40)]
+    base = [rng.choices(words, k=rng.randint(1, 20)) for _ in range(15)]
+    rows = []
+    for i in range(40):
+        cut = [[w if rng.random() > 0.06 else rng.choice(words) for w in rng.choice(base)] for _ in range(5)]
+        rows.append((i, "\n".join(" ".join(c).upper() if rng.random() < 0.3 else " ".join(c) for c in cut) + "\n", "a"))
+    rows += [(50, None, "a"), (51, "", None), (52, "\n \n", "a"), (None, rows[0][1], "a")]
+    found = [(i, k, frozenset(x.lower().split())) for i, t, _ in rows for k, x in enumerate((t or "").split("\n"))]
+    found = [f for f in found if f[2]]
+    place = lambda f: (f[0] is not None, f[0] or 0, f[1])  # noqa: E731  nulls first
+    near = lambda a, b: 10 * len(a & b) >= 8 * len(a | b)
+    want = {i: [0, 0, [], 0] for i, _, _ in rows}
+    sets = {f[2] for f in found}
+    for f in found:
+        w = want[f[0]]
+        w[0] += 1
+        w[3] += sum(near(f[2], s) for s in sets if s != f[2])
+        if any(near(f[2], g[2]) and place(g) < place(f) for g in found):
+            w[1] += 1
+            w[2].append(f[1])
+    want = [(i, a, b, ",".join(map(str, sorted(c))), d) for i, (a, b, c, d) in want.items()]
+    got = lines.digest(make(spark, rows)).select("doc_id", "n_lines", "n_removed", "removed_lines", "n_links")
+    assert ordered(got.collect()) == ordered(want)
+    assert lines.dedup(make(spark, rows)).count() == len(rows)
+
+
+def test_toxicity_learns_and_reads_clauses(spark):
+    rng = random.Random(2)
+    plain = [f"word{i}" for i in range(80)]
+    rows, labels = [], []
+    for i in range(400):
+        toxic = i % 4 == 0
+        tokens = rng.choices(plain, k=30)
+        if toxic:
+            tokens[rng.randrange(30)] = "zorkling" + rng.choice(["s", "", "ed"])
+            tokens[rng.randrange(30)] = "idiot"
+        rows.append((i, " ".join(tokens), "a"))
+        labels.append((i, int(toxic)))
+    label_rows = spark.createDataFrame([*labels, (None, 1), (3, None)], "doc_id long, toxic int")
+    docs = make(spark, [*rows, (900, None, "a"), (901, "", "a")])
+    out = {r["doc_id"]: r for r in toxicity.digest(docs, label_rows).collect()}
+    held = [i for i, _ in labels if out[i]["held_out"]]
+    assert held and all(out[i]["predicted"] == (i % 4 == 0) for i in held)
+    assert out[900]["score"] == out[901]["score"] < 0.5
+    kept = toxicity.reject_toxic(docs, label_rows)
+    assert kept.columns == docs.columns and {r["doc_id"] for r in kept.collect()} >= {900, 901}
+    empty = label_rows.limit(0)
+    assert toxicity.digest(docs, empty).count() == docs.count()
+
+
+def test_grammar_scores_clauses():
+    grammar = toxicity.Grammar({}, {"blorp": 2.0})
+    weight = lambda t: sum(grammar.clause_weights(t))
+    assert weight("you are an idiot") > weight("idiot") > weight("not an idiot") > 0
+    assert weight("they said idiot") < weight("you idiot") and weight('"idiot"') < weight("idiot")
+    assert weight("I will kill you") > 0 and weight("kill. you") == 0
+    assert weight("blorping") == weight("blorp") > 0 == weight("fine words")
+
+
+WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
+def test_decontamination(spark, docs, texts):
+    items = [(1, texts[60][1]), (2, texts[61][1][:80]), (3, "W1 The"), (3, "the"), (None, "of"), (4, None), (5, "...")]
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    windows = {}
+    for item, text in items:
+        w = WORD.findall((text or "").translate(LOWER))
+        n = min(10, len(w))
+        for i in range(len(w) - n + 1 if w else 0):
+            windows.setdefault(tuple(w[i : i + n]), set()).add(item)
+    want = []
+    for doc, text, _ in texts:
+        w = WORD.findall((text or "").translate(LOWER))
+        hit, found = set(), set()
+        for n in range(1, 11):
+            for i in range(len(w) - n + 1):
+                if (held := windows.get(tuple(w[i : i + n]))) is not None:
+                    hit.update(range(i, i + n))
+                    found |= held - {None}
+        digest = hashlib.sha256(",".join(sorted(map(str, found))).encode()).hexdigest()
+        want.append((doc, len(w), len(hit), len(found), digest, bool(hit)))
+    out = decontaminate.digest(docs, benchmark)
+    assert ordered(out.collect()) == ordered(want)
+    clean = decontaminate.clean_documents(docs, benchmark)
+    assert clean.columns == docs.columns and clean.count() == sum(not w[5] for w in want)
+    assert decontaminate.clean_documents(docs, benchmark.limit(0)).count() == docs.count()
+
+
+def test_language(spark):
+    rng = random.Random(4)
+    sounds = {"aa": ["bra", "dil", "tom"], "bb": ["xqu", "zve", "kjo"]}
+    text = lambda g: " ".join("".join(rng.choices(sounds[g], k=3)) for _ in range(30))
+    training = spark.createDataFrame([(i, text(g), g) for i, g in enumerate(["aa", "bb"] * 40)], "doc_id long, text string, lang string")
+    rows = [(i, f"http://h{i % 3}.{g}.org/x", f"<html lang='{g}'><p>{text(g)}</p><script>{text('aa')}</script>") for i, g in enumerate(["aa", "bb"] * 30)]
+    rows += [(100, "http://h0.aa.org/", None), (101, None, None), (102, "junk", ""), (103, "http://q.bb.org", "<html lang='bb'>")]
+    out = {r["page_id"]: r for r in language.identify(spark.createDataFrame(rows, "page_id long, url string, html string"), training).collect()}
+    assert all(out[i]["lang"] == ["aa", "bb"][i % 2] for i in range(60))
+    assert out[100]["lang"] == "aa" and out[103]["lang"] == "bb" and out[100]["text_lang"] is None
+    assert len(out) == len(rows) and all(0 <= r["score"] <= 1 for r in out.values())
+    none = language.identify(spark.createDataFrame(rows, "page_id long, url string, html string"), training.limit(0))
+    assert {r["lang"] for r in none.collect()} == {None}
+
+
+def test_chat_round_trip(spark):
+    odd = [HOSTILE, "a\\<|b\\\\<\\|\n", "<", "|x<\\n>\n<|im_end|>\n", "", None, "é😀\\"]
+    rng = random.Random(6)
+    rows = [(c, t, rng.choice(["user", "assistant", "r\n<|\\", None]), rng.choice(odd)) for c in range(40) for t in range(c % 6)]
+    rows += [(90, 0, "system", "s"), (90, 1, "user", "u"), (90, 2, "assistant", "a"), (91, 0, "assistant", "a"), (None, None, "user", "u")]
+    conversations = {}
+    for c, t, r, x in rows:
+        conversations.setdefault(c, []).append(((t is not None, t), r or "", x or ""))
+    frame = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    out = {r["conv_id"]: r for r in chat.digest(frame).collect()}
+    sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
+    assert out.keys() == conversations.keys()
+    for c, turns in conversations.items():
+        turns.sort()
+        loss = "".join(x for _, r, x in turns if r == "assistant")
+        assert out[c]["turns_sha256"] == sha("".join(f"{r}\n{x}\n" for _, r, x in turns))
+        assert (out[c]["loss_chars"], out[c]["loss_sha256"], out[c]["n_turns"]) == (len(loss), sha(loss), len(turns))
+    assert out[90]["valid"] and not out[91]["valid"]
+    assert chat.digest(frame.limit(0)).count() == 0
+
+
+def test_nearest(spark):
+    rng = np.random.default_rng(8)
+    vectors = rng.normal(size=(900, 12))
+    rows = [(i, v.tolist()) for i, v in enumerate(vectors)] + [(5, vectors[5].tolist())]
+    rows += [(2000, None), (2020, [0.0] * 12), (2040, [math.nan] * 12), (2060, [None] * 12), (None, [1.0] * 12), (2080, [1.0, 2.0])]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    usable = ann.stage(ann.usable(frame), "v")
+    index = ann.stage(ann.build_index(usable, shard_rows=400), "i")
+    out = ann.search(index, usable.filter("vec_id % 20 = 0"), 20, ef=64).toPandas()
+    hits = 0
+    for q, part in out.groupby("query_id"):
+        scores = vectors @ vectors[q]
+        scores[q] = -np.inf
+        best = set(np.argsort(-scores)[:20])
+        part = part.sort_values("rank")
+        assert list(part["rank"]) == list(range(1, 21))
+        assert np.allclose(part["score"], vectors[part["vec_id"]] @ vectors[q], rtol=1e-12)
+        assert (np.diff(part["score"]) <= 0).all()
+        hits += len(best & set(part["vec_id"]))
+    assert out["query_id"].nunique() == 45 and hits >= 0.9 * 45 * 20
+    assert ann.digest(frame.filter("vec_id < 10")).filter("query_id = 0").count() == 9
+    assert ann.digest(frame.limit(0)).count() == 0
+
+
+def print_of(text):
+    w = (text or "").encode().lower().split()
+    grams = [b" ".join(w[i : i + 4]) for i in range(max(1, len(w) - 3))] if w else []
+    hashes = [xxhash.xxh64_intdigest(g, 42) for g in grams]
+    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+
+
+def test_simhash(docs, texts):
+    prints = {}
+    for i, t, _ in texts:
+        prints.setdefault(i, set()).add(print_of(t))
+    every = sorted({p for ps in prints.values() for p in ps})
+    group = {p: p for p in every}
+    for a in every:
+        for b in every:
+            if (a ^ b).bit_count() <= 4 and group[a] != group[b]:
+                old, new = group[b], group[a]
+                group = {p: new if g == old else g for p, g in group.items()}
+    least = {}
+    for i, ps in prints.items():
+        for p in ps:
+            if i is not None:
+                least[group[p]] = min(least.get(group[p], i), i)
+    want = [(i, f"{print_of(t):016x}", least.get(group[print_of(t)])) for i, t, _ in texts]
+    assert ordered(simhash.digest(docs).collect()) == ordered(want)
+    kept = [r["doc_id"] for r in simhash.dedup(docs).collect()]
+    assert sorted(i for i in kept if i is not None) == sorted({w[2] for w in want if w[2] is not None and w[0] == w[2]})
+
+
+def test_simhash_links_all_distances(spark):
+    rng = random.Random(9)
+    base = [rng.getrandbits(64) for _ in range(20)]
+    prints = set(base)
+    for b in base:
+        for k in range(1, 7):
+            prints.add(b ^ sum(1 << x for x in rng.sample(range(64), k)))
+    rows = [(i, p - (1 << 64) if p >> 63 else p, i) for i, p in enumerate(sorted(prints))]
+    classes = spark.createDataFrame(rows, "id long, fp long, component long")
+    got = {(r["a"], r["b"]) for r in simhash.segment_links(classes, 4).collect()}
+    ids = sorted(prints)
+    assert got == {(i, j) for i in range(len(ids)) for j in range(i + 1, len(ids)) if (ids[i] ^ ids[j]).bit_count() <= 4}
+
+
+@pytest.mark.parametrize("limit", [50, 400, 5000, 1 << 30])
+def test_sharding(docs, texts, limit):
+    out = sharding.digest(docs, max_bytes=limit).collect()
+    assert sorted(r["bytes"] for r in out) == sorted(len((t or "").encode()) for _, t, _ in texts)
+    shards = {}
+    for r in out:
+        shards.setdefault(r["shard"], []).append(r)
+    names = [s.split(".")[0] for s in shards]
+    for name, rows in shards.items():
+        total = sum(r["bytes"] for r in rows)
+        assert {r["shard_bytes"] for r in rows} == {total} and (total <= limit or len(rows) == 1)
+    assert not any(a != b and b.startswith(a) for a in names for b in names)
+    whole = {}
+    for r in out:
+        whole[r["shard"].split(".")[0][:-1]] = whole.get(r["shard"].split(".")[0][:-1], 0) + r["bytes"]
+    assert sharding.with_shard(docs, max_bytes=limit).count() == len(out)
+
+
+def test_empty_tables(spark, docs):
+    none = docs.limit(0)
+    labels = spark.createDataFrame([], "doc_id long, toxic int")
+    items = spark.createDataFrame([], "item_id long, text string")
+    for out in (
+        mixing.digest(none),
+        substring.digest(none),
+        lines.digest(none),
+        toxicity.digest(none, labels),
+        decontaminate.digest(none, items),
+        simhash.digest(none),
+        simhash.dedup(none),
+        sharding.digest(none),
+    ):
+        assert out.count() == 0
+
+
+def test_pipeline(spark, sf):
+    assert [name for name, _ in corpus_pipeline.STAGES][0] == "toxicity"
+    out = corpus_pipeline.run(spark, sf)
+    assert out.columns == ["doc_id", "text", "lang", "source", "n_chars", "shard", "shard_bytes"]
+    assert out.count() > 0
