@@ -117,8 +117,8 @@ def component_labels(nodes: DataFrame, pairs: DataFrame, keys: Sequence[str] = (
 
 def graph_metrics(nodes: DataFrame, edges: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """density, avg_clustering (four decimals) and components; all 0 without edges."""
-    nodes = nodes.select(*keys, "id").distinct()
-    pairs = simple_edges(edges, keys)
+    nodes = stage(nodes.select(*keys, "id").distinct(), "nodes")  # every metric reads both
+    pairs = stage(simple_edges(edges, keys), "pairs")
     n = nodes.groupBy(*keys).agg(F.count("*").alias("_n"))
     m = pairs.groupBy(*keys).agg(F.count("*").alias("_m"))
     parts = component_labels(nodes, pairs, keys).groupBy(*keys).agg(

@@ -8,6 +8,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from nabd.plans.staging import stage
+
 # Above this k Spark no longer cuts each task's rows to k before the shuffle of a ranked window.
 _SINGLE_WINDOW_K = 1000
 _SPREAD = 64
@@ -86,3 +88,21 @@ def as_list(df: DataFrame, keys: Sequence[str], item: Column, order: str, name:
     """One array per group, in the order of column `order`. For bounded lists (a top-k) only."""
     pairs = F.sort_array(F.collect_list(F.struct(F.col(order).alias("o"), item.alias("v"))))
     return df.groupBy(*keys).agg(F.transform(pairs, lambda p: p["v"]).alias(name))
+
+
+def global_rank(df: DataFrame, order: Sequence[Column], rank: str) -> DataFrame:
+    """Add the rank from 1 over all rows without one task for all of them.
+
+    Rows are cut into sorted ranges, ranked within their range, and shifted by the rows ahead of it;
+    the shifts are one row per range. The ranges are written first, so a retry cannot move them.
+    """
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = df.repartitionByRange(parts, *order).withColumn("_part", F.spark_partition_id())
+    ranged = stage(ranged, "ranges")
+    ahead = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    shifts = ranged.groupBy("_part").agg(F.count("*").alias("_n")).select(
+        "_part", F.coalesce(F.sum("_n").over(ahead), F.lit(0)).alias("_shift")
+    )
+    own = F.row_number().over(Window.partitionBy("_part").orderBy(*order))
+    placed = ranged.withColumn(rank, own).join(F.broadcast(shifts), "_part")
+    return placed.withColumn(rank, F.col(rank) + F.col("_shift")).drop("_part", "_shift")

@@ -1,19 +1,21 @@
 """Near-duplicate removal: greedy first-wins over TF-IDF cosine similarity.
 
-A post is removed when an earlier kept post is at least `threshold` similar. The answer is exact
-and no set of similar posts is ever paired with itself:
+A post is removed when an earlier kept post is at least `threshold` similar. The answer is exact:
 
 * posts with equal vectors are one row from the start (the first one stands for all);
 * two vectors can only be similar when they share a term of their prefix, the few rarest terms
   that carry more than 1 - threshold^2 of the squared length (published prefix filtering);
-* each round compares open posts only with the first `width` undecided posts of each shared
-  term. A post that is among those first ones for all its terms has met every earlier candidate
-  and is decided; a post similar to an undecided earlier one waits for it and sends nothing.
-
-`width` grows each round, so the number of rounds is logarithmic in the longest term list.
+* a fixed number of rounds thins dense groups without pairing them with themselves: open posts are
+  compared with the first `width` undecided posts of each shared term. A post that is among those
+  first ones for all its terms has met every earlier candidate and is decided; a post similar to an
+  undecided earlier one waits for it and sends nothing;
+* what is undecided then is similar to no kept post, as chains of drifting texts are. Its similar
+  pairs are found once, and one pass over each connected part, in post order, decides it. The
+  number of rounds does not depend on the length of a chain.
 """
 
-import numpy as np
+from collections.abc import Iterator
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -23,35 +25,40 @@ from nabd.functions import text as tx
 from nabd.functions.unicode import with_search_text
 from nabd.functions.values import let, with_computed
 from nabd.operators.dedup import text_hash
-from nabd.operators.grouping import MAX_BROADCAST_ROWS, attach, bounded, top_k
+from nabd.operators.graph import component_labels
+from nabd.operators.grouping import MAX_BROADCAST_ROWS, attach, bounded, global_rank, top_k
 from nabd.plans.staging import stage
 
 _FIRST_WIDTH = 16
 _GROWTH = 4
+_ROUNDS = 3
 _GRID = 64
 _MARGIN = 1e-9
+_DIGITS = 12
 
 
 def _terms() -> Column:
     return tx.one_and_two_grams(tx.words(F.col("_norm")))
 
 
-def _near_vocabulary(texts: DataFrame, size: int) -> DataFrame:
+def _near_vocabulary(texts: DataFrame, size: int | None) -> DataFrame:
     """term, t (position, rarest first), idf. `copies` weighs each text by how often it occurs."""
     entries = texts.select("copies", F.inline(tx.term_occurrences(_terms())))
     stats = entries.groupBy("term").agg(
         F.sum(F.when(F.col("last"), F.col("copies"))).alias("df"), F.sum("copies").alias("cf")
     )
-    best = top_k(stats, (), [F.desc("cf"), F.asc("term")], size)
-    best = attach(best, texts.agg(F.sum("copies").alias("n")), ())
+    if size is not None:
+        stats = top_k(stats, (), [F.desc("cf"), F.asc("term")], size).drop("rank")
+    best = attach(stats, texts.agg(F.sum("copies").alias("n")), ())
     idf = F.ln((F.lit(1) + F.col("n")) / (F.lit(1) + F.col("df"))) + F.lit(1.0)
-    ordered = top_k(best.drop("rank"), (), [F.asc("df"), F.asc("term")], size, rank="t")
+    ordered = global_rank(best, [F.asc("df"), F.asc("term")], "t")
     return ordered.select("term", "t", idf.alias("idf"))
 
 
-def near_vectors(texts: DataFrame, size: int) -> DataFrame:
+def near_vectors(texts: DataFrame, size: int | None = None) -> DataFrame:
     """Unit vectors: post_id, ts (term positions ascending), ws. Posts without terms are absent."""
-    vocab = bounded(_near_vocabulary(texts, size), (), size)
+    vocab = _near_vocabulary(texts, size)
+    vocab = vocab if size is None else bounded(vocab, (), size)
     counts = (
         texts.select("post_id", F.explode(_terms()).alias("term"))
         .join(vocab, "term")
@@ -86,11 +93,18 @@ def _profiles(vectors: DataFrame, threshold: float, positions: int) -> DataFrame
     step = max(1, -(-positions // _GRID))
     squares = F.zip_with("ts", "ws", lambda t, w: F.struct(t.alias("t"), (w * w).alias("q")))
 
-    def up_to(limit: Column) -> Column:
-        inside = F.filter(F.col("_sq"), lambda x: x["t"] <= limit)
-        return F.aggregate(inside, F.lit(0.0), lambda s, x: s + x["q"])
+    # One pass over the terms: the running sum is closed once for every cell that a term passes.
+    empty = F.struct(F.lit(0.0).alias("sum"), F.array().cast("array<double>").alias("mass"))
+
+    def add(s: Column, x: Column) -> Column:
+        passed = F.ceil(x["t"] / step).cast("int") - F.size(s["mass"])
+        closed = F.concat(s["mass"], F.array_repeat(s["sum"], F.greatest(passed, F.lit(0))))
+        return F.struct((s["sum"] + x["q"]).alias("sum"), closed.alias("mass"))
 
-    grid = F.transform(F.sequence(F.lit(0), F.lit(_GRID)), lambda j: up_to(j * step))
+    def filled(s: Column) -> Column:
+        return F.concat(s["mass"], F.array_repeat(s["sum"], F.lit(_GRID + 1) - F.size(s["mass"])))
+
+    grid = F.aggregate("_sq", empty, add, filled)
     return (
         with_computed(vectors, "_sq", squares)
         .withColumn("k", _prefix_length(F.col("ws"), threshold))
@@ -134,23 +148,46 @@ def _candidates(
 def _similar(pairs: DataFrame, vectors: DataFrame, threshold: float) -> DataFrame:
     """Pairs (head, post_id) whose vectors reach the threshold."""
 
-    def dot(ta: pd.Series, wa: pd.Series, tb: pd.Series, wb: pd.Series) -> pd.Series:
-        out = np.empty(len(ta))
-        for i, (x, u, y, v) in enumerate(zip(ta, wa, tb, wb)):
-            _, a, b = np.intersect1d(x, y, assume_unique=True, return_indices=True)
-            out[i] = float(np.dot(np.asarray(u)[a], np.asarray(v)[b]))
-        return pd.Series(out)
-
-    cosine = F.pandas_udf(dot, "double")
-    heads = vectors.withColumnsRenamed({"post_id": "head", "ts": "head_ts", "ws": "head_ws"})
+    own = vectors.select("post_id", F.inline(F.arrays_zip(F.col("ts").alias("t"), F.col("ws").alias("w"))))
+    theirs = own.select(F.col("post_id").alias("head"), "t", F.col("w").alias("head_w"))
+    cosine = F.sum(F.col("w") * F.col("head_w"))  # sums in any order, so compare all but the last digits
     return (
-        pairs.join(vectors, "post_id")
-        .join(heads, "head")
-        .filter(cosine("head_ts", "head_ws", "ts", "ws") >= threshold)
+        pairs.join(own, "post_id")
+        .join(theirs, ["head", "t"])
+        .groupBy("head", "post_id")
+        .agg(F.round(cosine, _DIGITS).alias("cosine"))
+        .filter(F.col("cosine") >= threshold)
         .select("head", "post_id")
     )
 
 
+def _resolve(similar: DataFrame) -> DataFrame:
+    """post_id of all posts of `similar` (head, post_id) that first-wins removes.
+
+    Pairs arrive by connected part and post. A task holds the ids removed in one part, and no pairs.
+    """
+    ends = similar.select(F.explode(F.array("head", "post_id")).alias("id")).distinct()
+    pairs = similar.select(F.col("head").alias("a"), F.col("post_id").alias("b"))
+    labels = component_labels(ends, pairs).select(F.col("id").alias("post_id"), "component")
+    parts = int(similar.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = similar.join(labels, "post_id").repartition(parts, "component")
+
+    def walk(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        part, removed = None, set()
+        for frame in frames:
+            out = []
+            for component, post, head in zip(frame["component"], frame["post_id"], frame["head"]):
+                if component != part:
+                    part, removed = component, set()
+                if head not in removed and post not in removed:
+                    removed.add(post)
+                    out.append(post)
+            yield pd.DataFrame({"post_id": pd.Series(out, dtype="int64")})
+
+    ordered = dealt.sortWithinPartitions("component", "post_id", "head")
+    return ordered.select("component", "post_id", "head").mapInPandas(walk, "post_id long")
+
+
 def first_wins(vectors: DataFrame, threshold: float) -> DataFrame:
     """post_id of the vectors kept by the greedy rule. `vectors` holds distinct vectors."""
     vectors = stage(vectors, "vectors")
@@ -168,7 +205,7 @@ def first_wins(vectors: DataFrame, threshold: float) -> DataFrame:
     state = profiles.select("post_id", F.lit(None).cast("bigint").alias("waits_for"))
     kept_rounds = []
     width = _FIRST_WIDTH
-    while True:
+    for _ in range(_ROUNDS):
         undecided = postings.join(state, "post_id")
         heads = top_k(
             undecided, ["t"], [F.asc("post_id")], width, spread_by="post_id"
@@ -221,6 +258,10 @@ def first_wins(vectors: DataFrame, threshold: float) -> DataFrame:
         if state.isEmpty():
             break
         width *= _GROWTH
+    else:  # no post left is similar to a kept one; decide the rest among themselves
+        rest = postings.join(state.select("post_id"), "post_id").select("post_id", "t", "w")
+        left = stage(_similar(_candidates(rest, rest, profiles, threshold), vectors, threshold), "left")
+        kept_rounds.append(state.select("post_id").join(_resolve(left), "post_id", "left_anti"))
     result = kept_rounds[0]
     for more in kept_rounds[1:]:
         result = result.unionByName(more)
@@ -230,15 +271,14 @@ def first_wins(vectors: DataFrame, threshold: float) -> DataFrame:
 def dedup_near(
     posts: DataFrame,
     threshold: float = fv.NEAR_THRESHOLD,
-    max_features: int = fv.NEAR_VOCABULARY,
+    max_features: int | None = None,
     text: Column | None = None,
 ) -> DataFrame:
     """Keep each post unless an earlier kept one is near-identical; empty texts are dropped.
 
-    Posts without any vocabulary term are similar to nothing and are all kept.
+    All terms count unless `max_features` keeps only the most frequent ones. Posts without any
+    vocabulary term are similar to nothing and are all kept.
     """
-    if posts.limit(2).count() <= 1:
-        return posts
     if text is None:
         text = tx.analysis_text() if "cleaned_text" in posts.columns else F.col("text")
     keyed = with_search_text(posts.select("*", text.alias("_text")), F.col("_text"), "_norm")

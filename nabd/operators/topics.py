@@ -147,6 +147,8 @@ def extract_topics(
     """Topics per group by `method`: "tfidf" phrases or "cluster" (needs an embedding column)."""
     text = F.col("cleaned_text") if text is None else text
     if method == "cluster":
+        if keys:
+            raise ValueError("clusters are found over all posts; filter the posts of a group instead")
         return cluster_topics(posts, n_topics, text, embedding, normalize_stopwords)
     if method != "tfidf":
         raise ValueError(f"unknown topic method: {method}")
@@ -178,12 +180,10 @@ def cluster_topics(
     normalize_stopwords=False,
     seed: int = 1,
 ) -> DataFrame:
-    """Topics from clusters of an embedding column; fewer than 100 texts fall back to phrases.
+    """Topics from clusters of an embedding column, whatever the number of posts.
 
     Each cluster is labelled by its two most typical words, and weighted by its size.
     """
-    if posts.limit(100).count() < 100:
-        return extract_topics(posts, (), n_topics, "tfidf", text, normalize_stopwords)
     vectors = posts.withColumn("_v", array_to_vector(F.col(embedding).cast("array<double>")))
     model = KMeans(k=n_topics, seed=seed, featuresCol="_v", predictionCol="cluster").fit(vectors)
     assigned = model.transform(vectors).drop("_v")

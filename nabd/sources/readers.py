@@ -19,10 +19,12 @@ def read_csv(spark: SparkSession, path: str, multiline=True) -> DataFrame:
     """CSV with a header, plain or .gz, quotes doubled inside quotes; every column is text.
 
     `multiline` keeps line breaks inside quotes, which makes a file one task. Turn it off for
-    corpora without such breaks to let Spark split their files.
+    corpora without such breaks to let Spark split their files. A folder is read under the header
+    of its first file, and reading fails if another file has other columns or another order.
     """
     return (
         spark.read.option("header", True)
+        .option("enforceSchema", False)
         .option("multiLine", multiline)
         .option("quote", '"')
         .option("escape", '"')
@@ -141,17 +143,18 @@ def union_datasets(
 ) -> DataFrame:
     """Posts of several datasets in list order, with post ids in that order.
 
-    A dataset that cannot be opened is skipped; its id and the error go to `skipped`. Caps are
-    off unless given, and zero means not given.
+    A dataset that cannot be opened stops the union, unless a list `skipped` is given: then it is
+    left out, and its id and the error go there. Caps are off unless given, and zero means not given.
     """
     chosen = resolve(catalog, dataset_ids)
     frames = []
     for meta in chosen:
         try:
             frames.append(read_dataset(spark, meta))
-        except Exception as error:  # an unreadable dataset must not stop the others
-            if skipped is not None:
-                skipped.append((meta.id, str(error)))
+        except Exception as error:
+            if skipped is None:
+                raise
+            skipped.append((meta.id, str(error)))
     if not frames:
         return spark.createDataFrame([], T.StructType([T.StructField("post_id", T.LongType()), *CANONICAL_POST.fields]))
     posts = with_post_id(reduce(DataFrame.unionByName, frames))

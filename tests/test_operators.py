@@ -125,8 +125,17 @@ def test_near_dedup_equals_brute_force(make_posts, monkeypatch, seed, threshold,
     assert set(got) == set(want) and wordless <= set(got)
 
 
+@pytest.mark.parametrize("n", [64, 500])
+def test_near_dedup_of_drifting_texts(make_posts, n):
+    """Each text is a window moved on by one word, so each is similar to its neighbours alone."""
+    texts = [" ".join(f"word{i + k}" for k in range(20)) for i in range(n)]
+    got = ids(near.dedup_near(make_posts(*[{"text": t} for t in texts])))
+    assert got == greedy_near(texts, fv.NEAR_THRESHOLD, None)
+
+
 def test_near_dedup_of_few(make_posts):
-    assert ids(near.dedup_near(make_posts({"text": ""}))) == [0]
+    assert ids(near.dedup_near(make_posts({"text": ""}))) == []
+    assert ids(near.dedup_near(make_posts({"text": "ab cd"}))) == [0]
     assert ids(near.dedup_near(make_posts({"text": ""}, {"text": "ab cd"}))) == [1]
 
 

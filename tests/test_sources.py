@@ -156,3 +156,19 @@ def test_status_log(spark):
     ).select("*", F.timestamp_seconds("t").alias("updated_at"), F.lit(None).cast("timestamp").alias("completed_at"))
     now = control.current_status(log).first()
     assert (now.status, now.progress, now.error_message) == ("analyzing", 35, "slow")
+
+
+def test_csv_folder_with_other_column_order_fails(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("review,author\nhello,u1\n")
+    (tmp_path / "b.csv").write_text("author,review\nu2,world\n")
+    with pytest.raises(Exception, match="(?i)header"):
+        readers.read_csv(spark, str(tmp_path)).collect()
+
+
+def test_unreadable_dataset_raises_unless_skipping_is_asked_for(spark, tmp_path):
+    gone = [d.at(str(tmp_path / "none"), "parquet") for d in CATALOG[:1]]
+    with pytest.raises(Exception, match="(?i)path"):
+        readers.union_datasets(spark, gone, [gone[0].id])
+    skipped = []
+    assert readers.union_datasets(spark, gone, [gone[0].id], skipped=skipped).count() == 0
+    assert [name for name, _ in skipped] == [gone[0].id]
