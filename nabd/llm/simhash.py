@@ -82,6 +82,10 @@ def segment_masks(max_distance: int) -> list[int]:
     return masks
 
 
+def _longs(values: list[int]) -> Column:
+    return F.array(*[F.lit(_signed(v)).cast("long") for v in values])
+
+
 def _variants(fp: Column, masks: list[int]) -> Column:
     return F.posexplode(F.array(*[fp.bitwiseAND(F.lit(_signed(m))) for m in masks])).alias("bit", "part")
 
@@ -102,7 +106,10 @@ def one_bit_links(classes: DataFrame) -> DataFrame:
 
 def segment_links(classes: DataFrame, max_distance: int) -> DataFrame:
     """(a, b): links between different components of `classes` (id, fp, component)."""
-    keyed = classes.select("id", "fp", "component", _variants(F.col("fp"), segment_masks(max_distance)))
+    masks = segment_masks(max_distance)
+    segments = [m | 1 << bit for bit, m in enumerate(masks)]
+    starts = [(m & -m).bit_length() - 1 for m in segments]
+    keyed = classes.select("id", "fp", "component", _variants(F.col("fp"), masks))
     keys = ["bit", "part"]
     # One component of each bucket needs no comparison with itself; buckets within one component go.
     first = keyed.groupBy(*keys).agg(
@@ -113,10 +120,14 @@ def segment_links(classes: DataFrame, max_distance: int) -> DataFrame:
     right = mixed.filter("component <> first").select(
         *keys, F.col("fp").alias("fp2"), F.col("component").alias("component2")
     )
-    near = F.bit_count(F.col("fp").bitwiseXOR(F.col("fp2"))) <= max_distance
+    differ = F.col("fp").bitwiseXOR(F.col("fp2"))
+    near = F.bit_count(differ) <= max_distance
+    # Equal segments share all their variants; the pair is taken at the segment's first bit alone.
+    within = differ.bitwiseAND(F.element_at(_longs(segments), F.col("bit") + 1))
+    once = (within != 0) | (F.element_at(_longs(starts), F.col("bit") + 1) == F.col("bit"))
     return (
         left.join(right, keys)
-        .filter(near & (F.col("component") != F.col("component2")))
+        .filter(near & once & (F.col("component") != F.col("component2")))
         .select(
             F.least("component", "component2").alias("a"),
             F.greatest("component", "component2").alias("b"),
