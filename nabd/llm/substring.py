@@ -9,7 +9,7 @@ document has are dropped, and the stretches of text around the others are gather
 route is a reference shard. Its rows arrive in doc_id order: a document's stretches are streamed
 through the suffix automaton of all earlier documents for matching statistics, and enter it
 afterwards. Where the match is `span` words or longer its words are covered. Memory holds the
-distinct stretches of one route. A route of more than `HOT` documents is split into its windows, and
+distinct stretches of one route. Exact copies of an earlier text are folded first. A route of more than `HOT` documents is split into its windows, and
 each task sends on a stretch it has met before without its words, as repeated.
 
 Null and empty texts have no words; rows without a doc_id are neither earlier nor later and stay as
@@ -160,8 +160,8 @@ def routes(docs: DataFrame, span: int) -> DataFrame:
 def stretches(marked: DataFrame, span: int) -> DataFrame:
     """(route, doc_id, text_id, start, end, words): the text around each shared route.
 
-    `marked` has doc_id, text and the document's shared routes as (route, hot), or null. Windows that
-    follow each other on one route are one stretch; windows of a hot route are cut apart and routed by
+    `marked` has doc_id, text, the document's shared routes as (route, hot), or null, and whether it is a
+    copy of an earlier one, hence repeated as a whole. Windows that follow each other on one route are one stretch; windows of a hot route are cut apart and routed by
     their words. A stretch that this task has met in a smaller doc_id is known to be repeated: its
     words are left out, so a common passage leaves a task about once.
     """
@@ -173,12 +173,17 @@ def stretches(marked: DataFrame, span: int) -> DataFrame:
         for batch in slices(rows, 64):
             out: list[tuple] = []
             texts = batch.column("text").cast(pa.binary())
-            docs, marks_of = (batch.column(c).to_pylist() for c in ("doc_id", "shared"))
-            for doc, text, shared in zip(docs, texts, marks_of, strict=True):
-                if shared is None:
+            names_of = ("doc_id", "shared", "copy")
+            docs, marks_of, copies = (batch.column(c).to_pylist() for c in names_of)
+            for doc, text, shared, copy in zip(docs, texts, marks_of, copies, strict=True):
+                if shared is None and not copy:
                     continue
                 text = text.as_py()
                 words = _words(text)
+                if copy:
+                    if len(words) >= span:
+                        out.append((doc, doc, _text_id(text), 0, len(words), None))
+                    continue
                 own = window_routes(words, known, span)
                 marks = {s["route"]: s["hot"] for s in shared}
                 starts = np.flatnonzero(np.isin(own, np.fromiter(marks, np.int64, len(marks))))
@@ -253,22 +258,35 @@ def _match(span: int):
     return batches
 
 
+def _copies(docs: DataFrame) -> DataFrame:
+    """doc_ids all of whose texts are those of documents with smaller ids (by a 128-bit hash)."""
+    texts = docs.select("doc_id", F.xxhash64("text").alias("a"), F.xxhash64(F.lit(1), "text").alias("b"))
+    first = texts.groupBy("a", "b").agg(F.min("doc_id").alias("first"))
+    return (
+        texts.join(first, ["a", "b"])
+        .groupBy("doc_id")
+        .agg(F.max("first").alias("last"))
+        .filter("last < doc_id")
+        .select("doc_id")
+    )
+
+
 def repeated_spans(docs: DataFrame, span: int = SPAN) -> DataFrame:
     """(doc_id, text_id, start, end): word ranges that also occur in an earlier document.
 
     `docs` has doc_id and text alone. Its join by doc_id is the one that `_kept` does, so that one
     shuffle of the texts serves both.
     """
-    every = stage(routes(docs.filter("doc_id is not null"), span), "routes")
-    shared = (
-        every.groupBy("route")
-        .agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b"), F.count("*").alias("n"))
-        .filter("a < b")
-        .select("route", (F.col("n") > HOT).alias("hot"))
-    )
-    marks = every.join(shared, "route").groupBy(F.col("doc_id").alias("_id")).agg(
+    named = docs.filter("doc_id is not null")
+    every = stage(routes(named, span), "routes")
+    # A document has a route once, so a count of one is a route that nobody shares.
+    shared = every.groupBy("route").agg(F.count("*").alias("n")).filter("n > 1")
+    marks = every.join(shared.select("route", (F.col("n") > HOT).alias("hot")), "route")
+    marks = marks.groupBy(F.col("doc_id").alias("_id")).agg(
         F.collect_set(F.struct("route", "hot")).alias("shared")  # no more than the document has windows
     )
+    copies = _copies(named).select(F.col("doc_id").alias("_id"), F.lit(True).alias("copy"))
+    marks = marks.join(copies, "_id", "full").withColumn("shared", F.when(F.col("copy").isNull(), F.col("shared")))
     marked = docs.join(marks, F.col("doc_id") == F.col("_id"), "left").drop("_id")
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = stretches(marked, span).repartition(parts, "route").sortWithinPartitions("route", "doc_id")
