@@ -20,7 +20,7 @@ its line numbers, so of equal lines of one number none is earlier. Extra columns
 import json
 import math
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from nabd.llm.common import words
@@ -60,10 +60,12 @@ def line_sets(docs: DataFrame, ranks: list[int], threshold: float = THRESHOLD) -
             F.shiftrightunsigned(h, 8)
         ),
     )
-    rows = _lines(docs).select("doc_id", "line_no", F.explode(F.array(F.sort_array(F.array_distinct(keys)))).alias("set"))
+    ordered = F.sort_array(F.array_distinct(keys))
+    rows = _lines(docs).select("doc_id", "line_no", F.explode(F.array(ordered)).alias("set"))
     n = F.size("set")
-    # A partner of another set has at least one word more or less, so both need 1 / (1 - t) - 1 words.
-    least = F.when(n >= math.ceil(round(threshold / (1 - threshold), 9)), n - F.ceil(n * threshold - 1e-9) + 1).otherwise(0)
+    # A partner of another set has at least one word more or less, so both need t / (1 - t) words.
+    enough = n >= math.ceil(round(threshold / (1 - threshold), 9))
+    least = F.when(enough, n - F.ceil(n * threshold - 1e-9) + 1).otherwise(0)
     return rows.filter(n > 0).select(
         "doc_id",
         "line_no",
@@ -95,16 +97,25 @@ def links(docs: DataFrame, classes: DataFrame, threshold: float = THRESHOLD) ->
     )
     cut = F.split("text", "\n", -1)
     texts = docs.filter("text <> ''").join(by_doc, F.col("doc_id").eqNullSafe(F.col("_id")))
-    lines = texts.select("doc_id", F.explode(F.arrays_zip(F.col("_lines").alias("no"), F.transform("_lines", lambda i: F.get(cut, i)).alias("line"))).alias("l"))
+    numbered = F.arrays_zip(
+        F.col("_lines").alias("no"), F.transform("_lines", lambda i: F.get(cut, i)).alias("line")
+    )
+    lines = texts.select("doc_id", F.explode(numbered).alias("l"))
+    # Lines travel as text, which packs better than their words, and are cut where they are compared.
     sets = lines.groupBy(F.struct("doc_id", F.col("l.no").alias("line_no")).alias("first")).agg(
-        F.min(F.array_distinct(_line_words(F.col("l.line")))).alias("set")
+        F.min("l.line").alias("line")
     )
     sets = stage(sets, "line-sets")
-    both = pairs.join(sets.select(F.col("first").alias("x"), F.col("set").alias("sx")), "x").join(
-        sets.select(F.col("first").alias("y"), F.col("set").alias("sy")), "y"
+    both = pairs.join(sets.select(F.col("first").alias("x"), F.col("line").alias("lx")), "x").join(
+        sets.select(F.col("first").alias("y"), F.col("line").alias("ly")), "y"
     )
-    shared = F.size(F.array_intersect("sx", "sy"))
-    near = shared >= (F.size("sx") + F.size("sy") - shared) * threshold - 1e-9
+
+    def similar(pair: Column) -> Column:
+        shared = F.size(F.array_intersect(pair["x"], pair["y"]))
+        return shared >= (F.size(pair["x"]) + F.size(pair["y"]) - shared) * threshold - 1e-9
+
+    cut_x, cut_y = (F.array_distinct(_line_words(F.col(c))) for c in ("lx", "ly"))
+    near = F.exists(F.array(F.struct(cut_x.alias("x"), cut_y.alias("y"))), similar)
     found = both.filter(near).select("x", "y")
     return found.unionByName(found.select(F.col("y").alias("x"), F.col("x").alias("y")))
 
@@ -125,7 +136,10 @@ def judged_lines(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
         F.count("*").alias("n_links"), F.min("y").alias("other")
     )
     judged = classes.join(near, "first", "left").select(
-        "a", "b", F.least("first", F.coalesce("other", "first")).alias("earliest"), F.coalesce("n_links", F.lit(0)).alias("n_links")
+        "a",
+        "b",
+        F.least("first", F.coalesce("other", "first")).alias("earliest"),
+        F.coalesce("n_links", F.lit(0)).alias("n_links"),
     )
     rows = every.select("doc_id", "line_no", "a", "b").join(judged, ["a", "b"])
     return rows.select(
@@ -147,10 +161,11 @@ def dedup(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
 
 def digest(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, n_lines with words, n_removed, removed line numbers, and n_links of every document."""
+    numbers = F.sort_array(F.collect_set(F.when(F.col("removed"), F.col("line_no"))))
     judged = judged_lines(docs, threshold).groupBy(F.col("doc_id").alias("_id")).agg(
         F.count("*").alias("n_lines"),
         F.count_if("removed").alias("n_removed"),
-        F.array_join(F.sort_array(F.collect_set(F.when(F.col("removed"), F.col("line_no")))).cast("array<string>"), ",").alias("removed_lines"),
+        F.array_join(numbers.cast("array<string>"), ",").alias("removed_lines"),
         F.sum("n_links").alias("n_links"),
     )
     zero = F.lit(0).cast("long")
