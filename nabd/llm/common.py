@@ -20,7 +20,7 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def words(text: Column) -> Column:
     """Words of a text; none for null."""
-    return F.filter(F.split(F.coalesce(text, F.lit("")), BREAK, -1), lambda w: w != "")
+    return F.array_remove(F.split(F.coalesce(text, F.lit("")), BREAK, -1), "")
 
 
 def with_columns(df: DataFrame, columns: dict[str, Column]) -> DataFrame:

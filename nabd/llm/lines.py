@@ -8,8 +8,9 @@ Words are ordered by rarity: a word's rarity is the count of its hash slot over
 in logarithmic steps, then its hash; one order for all lines, from a table of fixed size. Lines
 with equal sets are folded into the first of them. Each set's rarest words, as many as any matching
 set must share one of, are its prefix; prefixes are joined by word under the length filter (the sizes
-allow the threshold) and the positional filter (so do the words that can still be shared). What
-remains is verified on the words themselves.
+allow the threshold), the positional filter (so do the words that can still be shared) and a parity
+filter: each word flips one of 128 bits, so two sets differ in at least as many words as their bits.
+What remains is verified on the words themselves.
 
 Null and empty texts have no lines; a line without words is kept and matches nothing. Rows without a
 doc_id come first and are told apart by nothing but their lines. Rows that repeat a doc_id repeat
@@ -50,8 +51,22 @@ def slot_ranks(docs: DataFrame) -> list[int]:
     return ranks
 
 
+def _parity(words_of: Column, half: int) -> Column:
+    """One half of the 128 bits of a set; a word flips the bit its lowest 7 bits name."""
+
+    def flip(bits: Column, w: Column) -> Column:
+        own = F.shiftright(w.bitwiseAND(64), 6).bitwiseXOR(F.lit(half))
+        return bits.bitwiseXOR(F.call_function("shiftleft", own, w.bitwiseAND(63).cast("int")))
+
+    return F.aggregate(words_of, F.lit(0).cast("long"), flip)
+
+
 def line_sets(docs: DataFrame, ranks: list[int], threshold: float = THRESHOLD) -> DataFrame:
-    """(doc_id, line_no, a, b, n, prefix): a digest of each line's set, its size and rarest words."""
+    """(doc_id, line_no, a, b, n, low, high, prefix) of each line's set.
+
+    a and b are its digest, n its size, low and high its parity bits, and prefix its rarest words as
+    32-bit numbers: two words of one number cost a candidate and lose none.
+    """
     table = F.from_json(F.lit(json.dumps(ranks)), "array<bigint>")
     hashes = F.transform(_line_words(F.col("line")), lambda w: F.xxhash64(w))
     keys = F.transform(
@@ -66,26 +81,40 @@ def line_sets(docs: DataFrame, ranks: list[int], threshold: float = THRESHOLD) -
     # A partner of another set has at least one word more or less, so both need t / (1 - t) words.
     enough = n >= math.ceil(round(threshold / (1 - threshold), 9))
     least = F.when(enough, n - F.ceil(n * threshold - 1e-9) + 1).otherwise(0)
+    prefix = F.slice("set", 1, least.cast("int"))
     return rows.filter(n > 0).select(
         "doc_id",
         "line_no",
         F.xxhash64("set").alias("a"),
         F.xxhash64(F.lit(1), "set").alias("b"),
         n.alias("n"),
-        F.slice("set", 1, least.cast("int")).alias("prefix"),
+        _parity(F.col("set"), 1).alias("low"),
+        _parity(F.col("set"), 0).alias("high"),
+        F.transform(prefix, lambda w: (w.bitwiseAND(0xFFFFFFFF) - (1 << 31)).cast("int")).alias("prefix"),
     )
 
 
 def candidates(classes: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """(x, y): pairs of first lines whose sets may be similar."""
-    words_of = classes.select("first", "n", F.posexplode("prefix").alias("pos", "word"))
-    x = words_of.select("word", F.col("first").alias("x"), F.col("n").alias("nx"), F.col("pos").alias("px"))
-    y = words_of.select("word", F.col("first").alias("y"), F.col("n").alias("ny"), F.col("pos").alias("py"))
-    shorter = (F.col("nx") < F.col("ny")) | ((F.col("nx") == F.col("ny")) & (F.col("x") < F.col("y")))
-    length = F.col("nx") >= F.col("ny") * threshold - 1e-9
-    most = F.least(F.col("nx") - F.col("px"), F.col("ny") - F.col("py"))
-    need = (F.col("nx") + F.col("ny")) * (threshold / (1 + threshold)) - 1e-9
-    return x.join(y, "word").filter(shorter & length & (most >= need)).select("x", "y").distinct()
+    words_of = classes.select(
+        "first.doc_id", "first.line_no", "n", "low", "high", F.posexplode("prefix").alias("pos", "word")
+    )
+
+    def side(letter: str) -> DataFrame:
+        return words_of.withColumnsRenamed({c: f"{letter}_{c}" for c in words_of.columns if c != "word"})
+
+    x, y = (F.struct(F.col(f"{s}_doc_id").alias("doc_id"), F.col(f"{s}_line_no").alias("line_no")) for s in "xy")
+    nx, ny = F.col("x_n"), F.col("y_n")
+    shorter = (nx < ny) | ((nx == ny) & (x < y))
+    length = nx >= ny * threshold - 1e-9
+    most = F.least(nx - F.col("x_pos"), ny - F.col("y_pos"))
+    need = (nx + ny) * (threshold / (1 + threshold)) - 1e-9
+    differing = sum(
+        (F.bit_count(F.col(f"x_{half}").bitwiseXOR(F.col(f"y_{half}"))) for half in ("low", "high")), F.lit(0)
+    )
+    parity = differing <= nx + ny - 2 * need
+    met = side("x").join(side("y"), "word").filter(length & (most >= need) & parity & shorter)
+    return met.select(x.alias("x"), y.alias("y")).distinct()
 
 
 def links(docs: DataFrame, classes: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -101,21 +130,20 @@ def links(docs: DataFrame, classes: DataFrame, threshold: float = THRESHOLD) ->
         F.col("_lines").alias("no"), F.transform("_lines", lambda i: F.get(cut, i)).alias("line")
     )
     lines = texts.select("doc_id", F.explode(numbered).alias("l"))
-    # Lines travel as text, which packs better than their words, and are cut where they are compared.
+    # Words are cut once a line and travel as one text, which packs better than an array.
+    words_of = F.array_distinct(_line_words(F.min("l.line")))
     sets = lines.groupBy(F.struct("doc_id", F.col("l.no").alias("line_no")).alias("first")).agg(
-        F.min("l.line").alias("line")
-    )
-    sets = stage(sets, "line-sets")
-    both = pairs.join(sets.select(F.col("first").alias("x"), F.col("line").alias("lx")), "x").join(
-        sets.select(F.col("first").alias("y"), F.col("line").alias("ly")), "y"
+        words_of.alias("words")
     )
+    sets = stage(sets.select("first", F.array_join("words", " ").alias("words")), "line-sets")
 
-    def similar(pair: Column) -> Column:
-        shared = F.size(F.array_intersect(pair["x"], pair["y"]))
-        return shared >= (F.size(pair["x"]) + F.size(pair["y"]) - shared) * threshold - 1e-9
+    def side(name: str) -> DataFrame:
+        return sets.select(F.col("first").alias(name), F.col("words").alias(f"{name}_words"))
 
-    cut_x, cut_y = (F.array_distinct(_line_words(F.col(c))) for c in ("lx", "ly"))
-    near = F.exists(F.array(F.struct(cut_x.alias("x"), cut_y.alias("y"))), similar)
+    both = pairs.join(side("x"), "x").join(side("y"), "y")
+    cut_x, cut_y = (F.split(f"{name}_words", " ") for name in "xy")
+    shared = F.size(F.array_intersect(cut_x, cut_y))
+    near = shared >= (F.size(cut_x) + F.size(cut_y)) * (threshold / (1 + threshold)) - 1e-9
     found = both.filter(near).select("x", "y")
     return found.unionByName(found.select(F.col("y").alias("x"), F.col("x").alias("y")))
 
@@ -127,8 +155,7 @@ def judged_lines(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     classes = stage(
         every.groupBy("a", "b").agg(
             F.min(F.struct("doc_id", "line_no")).alias("first"),
-            F.first("n").alias("n"),
-            F.first("prefix").alias("prefix"),
+            *[F.first(c).alias(c) for c in ("n", "low", "high", "prefix")],
         ),
         "line-classes",
     )
