@@ -393,7 +393,7 @@ def extract_topics_by_language(spark, d):
 def cluster_topics(spark, d):
     """Topics from clusters; a document takes the embedding of equal number as a convention."""
     vectors = table(spark, d, "embeddings").select(F.col("vec_id").alias("post_id"), "embedding")
-    posts = _cleaned(spark, d).join(vectors, "post_id")
+    posts = _cleaned(spark, d).join(vectors, "post_id", "left")
     return topics.extract_topics(posts, method="cluster")
 
 
@@ -599,26 +599,26 @@ def audit_rows(spark, d):
 # --- streaming ----------------------------------------------------------------------------------
 
 
-def _streamed(spark, d, build, name) -> DataFrame:
+def _arriving(spark, d, name):
+    """The posts as a stream of several micro-batches, with paths for its sink and checkpoint."""
     source, sink, marks = (staging.staging_path(spark, f"{name}_{p}") for p in ("in", "out", "marks"))
-    sample_posts(spark, d).write.parquet(source)
-    result = build(jobs.read_posts(spark, source))
-    query = (
-        result.writeStream.format("parquet")
-        .option("checkpointLocation", marks)
-        .trigger(availableNow=True)
-        .start(sink)
-    )
-    query.awaitTermination()
-    return spark.read.schema(result.schema).parquet(sink)
+    sample_posts(spark, d).repartition(3).write.parquet(source)
+    return jobs.read_posts(spark, source, maxFilesPerTrigger="1"), sink, marks
 
 
 def timeline_stream(spark, d):
-    return _streamed(spark, d, jobs.timeline_stream, "timeline")
+    posts, sink, marks = _arriving(spark, d, "timeline")
+    result = jobs.timeline_stream(posts)
+    jobs.write_timeline(result, sink, marks, {"availableNow": True}).awaitTermination()
+    return spark.read.schema(result.schema).parquet(sink)
 
 
 def dedup_stream(spark, d):
-    unique = _streamed(spark, d, jobs.dedup_stream, "dedup")
+    posts, sink, marks = _arriving(spark, d, "dedup")
+    result = jobs.dedup_stream(posts)
+    writer = result.writeStream.format("parquet").option("checkpointLocation", marks)
+    writer.trigger(availableNow=True).start(sink).awaitTermination()
+    unique = spark.read.schema(result.schema).parquet(sink)
     return unique.select(F.sha2("text", 256).alias("text_hash"))
 
 

@@ -103,7 +103,6 @@ MIN_CLEAN_CHARS = 8
 MIN_ARABIC_CHARS = 3
 MIN_POSTS = 20
 POST_PREVIEW_CHARS = 200
-TOPIC_VOCABULARY = 2000
 NEAR_VOCABULARY = 10000
 NEAR_THRESHOLD = 0.92
 DEFAULT_DATASETS = ("ajgt", "arabic_sentiment_corpus", "metooma")

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from nabd.functions.values import round_exact
 from nabd.operators.grouping import attach
-from nabd.plans.staging import stage
+from nabd.plans.staging import release, stage
 
 
 def simple_edges(edges: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
@@ -104,7 +104,8 @@ def component_labels(nodes: DataFrame, pairs: DataFrame, keys: Sequence[str] = (
     current = stage(pairs, "components")
     before = fingerprint(current)
     while True:
-        current = stage(small_star(large_star(current)), "components")
+        previous, current = current, stage(small_star(large_star(current)), "components")
+        release(previous)
         after = fingerprint(current)
         if after == before:
             break

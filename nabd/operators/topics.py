@@ -7,7 +7,6 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from nabd import fixed_values as fv
 from nabd.functions import text as tx
 from nabd.functions.unicode import with_search_text
 from nabd.functions.values import round_exact, with_computed
@@ -40,8 +39,10 @@ def term_statistics(documents: DataFrame, keys: Sequence[str] = ()) -> DataFrame
     )
 
 
-def vocabulary(documents: DataFrame, keys: Sequence[str] = (), size=fv.TOPIC_VOCABULARY) -> DataFrame:
-    """The `size` terms with the largest corpus frequency among those in enough documents.
+def vocabulary(
+    documents: DataFrame, keys: Sequence[str] = (), size: int | None = None
+) -> DataFrame:
+    """The terms in enough documents; with `size` only so many, by corpus frequency.
 
     A term needs max(2, n div 100) documents. When no term has that many, one is enough.
     """
@@ -55,9 +56,12 @@ def vocabulary(documents: DataFrame, keys: Sequence[str] = (), size=fv.TOPIC_VOC
         F.when(F.col("_widest") >= wanted, wanted).otherwise(F.lit(1)).alias("_min_df"),
     )
     enough = attach(terms, limits, keys).filter(F.col("df") >= F.col("_min_df")).drop("_min_df")
-    best = top_k(
-        enough, keys, [F.desc("cf"), F.asc("term")], size, rank="term_id", spread_by="term"
-    )
+    if size is None:
+        best = enough.withColumn("term_id", F.col("term"))
+    else:
+        best = top_k(
+            enough, keys, [F.desc("cf"), F.asc("term")], size, rank="term_id", spread_by="term"
+        )
     idf = F.ln((F.lit(1) + F.col("n")) / (F.lit(1) + F.col("df"))) + F.lit(1.0)
     return best.select(*keys, "term", "term_id", "df", "cf", "n", idf.alias("idf"))
 
@@ -66,15 +70,17 @@ def term_weights(
     documents: DataFrame,
     vocab: DataFrame,
     keys: Sequence[str] = (),
-    size=fv.TOPIC_VOCABULARY,
+    size: int | None = None,
 ) -> DataFrame:
     """Unit-length TF-IDF weights per (post_id, term_id).
 
-    The vocabulary is at most a few thousand rows per group. Only occurrences of its terms, as
-    numbers and already counted per task, are shuffled by document.
+    Only occurrences of the vocabulary's terms, already counted per task, are shuffled by
+    document. A vocabulary cut to `size` may be broadcast, and its terms travel as numbers.
     """
     entries = documents.select(*keys, "post_id", F.explode(document_terms()).alias("term"))
-    ids = bounded(vocab.select(*keys, "term", "term_id", "idf"), keys, size)
+    ids = vocab.select(*keys, "term", "term_id", "idf")
+    if size is not None:
+        ids = bounded(ids, keys, size)
     document = [*keys, "post_id"]
     counts = (
         entries.join(ids, [*keys, "term"])
@@ -87,7 +93,7 @@ def term_weights(
 
 
 def phrase_scores(
-    documents: DataFrame, keys: Sequence[str] = (), size=fv.TOPIC_VOCABULARY
+    documents: DataFrame, keys: Sequence[str] = (), size: int | None = None
 ) -> DataFrame:
     """Score of every vocabulary term: its summed weight over all documents."""
     vocab = stage(vocabulary(documents, keys, size), "vocabulary")
@@ -143,6 +149,7 @@ def extract_topics(
     text: Column | None = None,
     normalize_stopwords=False,
     embedding: str = "embedding",
+    vocabulary_size: int | None = None,
 ) -> DataFrame:
     """Topics per group by `method`: "tfidf" phrases or "cluster" (needs an embedding column)."""
     text = F.col("cleaned_text") if text is None else text
@@ -154,7 +161,7 @@ def extract_topics(
         raise ValueError(f"unknown topic method: {method}")
     documents = topic_documents(posts, text, [*keys, "post_id"], normalize_stopwords)
     documents = stage(documents, "documents")  # tokens are read three times
-    return top_phrases(phrase_scores(documents, keys), keys, n_topics)
+    return top_phrases(phrase_scores(documents, keys, vocabulary_size), keys, n_topics)
 
 
 def class_terms(clustered: DataFrame) -> DataFrame:
@@ -182,14 +189,33 @@ def cluster_topics(
 ) -> DataFrame:
     """Topics from clusters of an embedding column, whatever the number of posts.
 
-    Each cluster is labelled by its two most typical words, and weighted by its size.
+    A post without a vector joins the cluster whose typical words its words weigh most for; with no
+    such word it belongs to no topic. Each cluster is labelled by its two most typical words, and
+    weighted by its size.
     """
-    vectors = posts.withColumn("_v", array_to_vector(F.col(embedding).cast("array<double>")))
+    vector = F.col(embedding).cast("array<double>")
+    rows = stage(posts.select("post_id", text.alias("_text"), vector.alias("_e")), "vectors")
+    vectors = rows.filter("_e IS NOT NULL").withColumn("_v", array_to_vector("_e"))
     model = KMeans(k=n_topics, seed=seed, featuresCol="_v", predictionCol="cluster").fit(vectors)
-    assigned = model.transform(vectors).drop("_v")
-    sizes = assigned.groupBy("cluster").agg(F.count("*").alias("posts"))
-    documents = topic_documents(assigned, text, ["cluster"], normalize_stopwords)
-    typical = top_k(class_terms(documents), ["cluster"], [F.desc("weight"), F.asc("term")], 2)
+    assigned = stage(model.transform(vectors).select("cluster", "_text"), "clusters")
+    documents = topic_documents(assigned, F.col("_text"), ["cluster"], normalize_stopwords)
+    weights = stage(class_terms(documents), "class-terms")
+    others = topic_documents(
+        rows.filter("_e IS NULL"), F.col("_text"), ["post_id"], normalize_stopwords
+    )
+    words = F.explode(F.array_distinct(tx.words(F.col("document")))).alias("term")
+    votes = (
+        others.select("post_id", words)
+        .join(weights, "term")
+        .groupBy("post_id", "cluster")
+        .agg(F.round(F.sum("weight"), 9).alias("vote"))
+    )
+    joined = votes.groupBy("post_id").agg(
+        F.max_by("cluster", F.struct("vote", -F.col("cluster"))).alias("cluster")
+    )
+    members = assigned.select("cluster").unionByName(joined.select("cluster"))
+    sizes = members.groupBy("cluster").agg(F.count("*").alias("posts"))
+    typical = top_k(weights, ["cluster"], [F.desc("weight"), F.asc("term")], 2)
     labels = as_list(typical, ["cluster"], F.col("term"), "rank", "_words")
     named = sizes.join(labels, "cluster").select(
         F.array_join("_words", " ").alias("label"), "posts"

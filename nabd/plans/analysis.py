@@ -134,6 +134,7 @@ def analyze(
     top_n: int = 10,
     max_nodes: int = 50,
     max_edges: int = 200,
+    vocabulary_size: int | None = None,
     score=with_lexicon_sentiment,
 ) -> DataFrame:
     """One result row per request: counts, shares, lists, summary, advice, status.
@@ -148,7 +149,7 @@ def analyze(
 
     stats = overall_stats(matched, keys)
     documents = matched.filter("document <> ''").select(*keys, "post_id", "document")
-    topics = top_phrases(phrase_scores(documents, keys), keys, n_topics)
+    topics = top_phrases(phrase_scores(documents, keys, vocabulary_size), keys, n_topics)
     influencers = detect_influencers(matched, keys, top_n)
     nodes, edges = interaction_network(matched, keys, max_nodes, max_edges)
     timeline = sentiment_timeline(matched, keys)

@@ -5,12 +5,16 @@ pruning, so each later branch reads only the columns it needs.
 """
 
 import tempfile
+import threading
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
 
 _DIR = "spark.checkpoint.dir"
+_scopes = threading.local()
 
 
 @cache
@@ -36,15 +40,34 @@ def stage(df: DataFrame, name: str = "stage") -> DataFrame:
     """Write `df` once and continue from the written table."""
     spark = df.sparkSession
     path = staging_path(spark, name)
+    for paths in getattr(_scopes, "open", []):
+        paths.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if folder.getName().startswith("nabd-"):
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def release(df: DataFrame) -> None:
     """Delete the files a staged table reads, once nothing needs it any more."""
-    jvm = df.sparkSession._jvm
-    configuration = df.sparkSession._jsc.hadoopConfiguration()
     for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        path = jvm.org.apache.hadoop.fs.Path(folder)
-        if path.getName().startswith("nabd-"):
-            path.getFileSystem(configuration).delete(path, True)
+        _delete(df.sparkSession, folder)
+
+
+@contextmanager
+def scope(spark: SparkSession) -> Iterator[None]:
+    """Delete at the end whatever this thread stages inside; write the results before that."""
+    if not hasattr(_scopes, "open"):
+        _scopes.open = []
+    paths: list[str] = []
+    _scopes.open.append(paths)
+    try:
+        yield
+    finally:
+        _scopes.open.remove(paths)
+        for path in paths:
+            _delete(spark, path)

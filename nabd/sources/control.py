@@ -128,5 +128,6 @@ def audit_rows(results: DataFrame, duration_seconds: float) -> DataFrame:
     )
 
 
-def append(rows: DataFrame, path: str) -> None:
-    rows.write.mode("append").parquet(path)
+def append(rows: DataFrame, path: str, batch_id: int) -> None:
+    """Add the rows of one micro-batch; a batch that is repeated replaces its own rows."""
+    rows.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")

@@ -5,39 +5,56 @@ import time
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from nabd.functions.dates import iso_day
+from nabd.operators.clean import clean_posts, valid_posts
 from nabd.operators.dedup import text_hash
-from nabd.operators.sentiment import CLASSES, with_lexicon_sentiment
+from nabd.operators.sentiment import sentiment_timeline, with_lexicon_sentiment
 from nabd.plans.analysis import analyze, completed_results
+from nabd.plans.staging import scope
 from nabd.schema import POST, REQUEST
 from nabd.sources.control import append, audit_rows, notifications, save_results, status_event
 
 
 def read_posts(spark: SparkSession, path: str, **options) -> DataFrame:
-    """Canonical post files as they arrive, with an event time `ts`."""
+    """Canonical post files as they arrive, with the time `arrived` of their batch."""
     posts = spark.readStream.schema(POST).options(**options).parquet(path)
-    return posts.withColumn("ts", F.try_to_timestamp("created_at"))
+    return posts.withColumn("arrived", F.current_timestamp())
 
 
-def timeline_stream(posts: DataFrame, delay: str = "2 days") -> DataFrame:
-    """Posts per day and class. A day is final once the watermark has passed it."""
-    text = F.col("cleaned_text") if "cleaned_text" in posts.columns else F.col("text")
-    scored = with_lexicon_sentiment(posts.filter(F.col("ts").isNotNull()), text)
-    daily = scored.withWatermark("ts", delay).groupBy(F.window("ts", "1 day")).agg(
-        *[F.count_if(F.col("sentiment") == c).alias(c) for c in CLASSES]
+def timeline_stream(posts: DataFrame) -> DataFrame:
+    """Posts per day and class, by the rules of the batch timeline.
+
+    State is one row per day, so no day is ever closed and late posts count: see `write_timeline`.
+    """
+    return sentiment_timeline(with_lexicon_sentiment(valid_posts(clean_posts(posts))))
+
+
+def write_timeline(daily: DataFrame, path: str, checkpoint_path: str, trigger: dict | None = None):
+    """Replace the small table of days after every micro-batch; returns the started query."""
+
+    def replace(rows: DataFrame, batch_id: int) -> None:
+        rows.write.mode("overwrite").parquet(path)
+
+    return (
+        daily.writeStream.outputMode("complete")
+        .foreachBatch(replace)
+        .option("checkpointLocation", checkpoint_path)
+        .trigger(**(trigger or {"processingTime": "30 seconds"}))
+        .start()
     )
-    return daily.select(iso_day(F.col("window.start")).alias("day"), *CLASSES)
 
 
-def dedup_stream(posts: DataFrame, delay: str = "2 days") -> DataFrame:
-    """The first copy of each text that arrives within the watermark.
+def dedup_stream(posts: DataFrame, delay: str | None = None) -> DataFrame:
+    """The first copy of each text, dated or not.
 
-    State holds one hash per text of the last days, not the whole history. Posts without a
-    readable time have no place in the watermark and are left to the batch job.
+    State holds one hash per text seen; with `delay` only those of texts that arrived within it.
+    Arrival never runs backwards, so no post is dropped as late.
     """
     hashed = posts.withColumn("text_hash", text_hash(F.coalesce("text", F.lit(""))))
-    dated = hashed.filter(F.col("ts").isNotNull()).withWatermark("ts", delay)
-    return dated.dropDuplicatesWithinWatermark(["text_hash"]).drop("text_hash")
+    if delay is None:
+        unique = hashed.dropDuplicates(["text_hash"])
+    else:
+        unique = hashed.withWatermark("arrived", delay).dropDuplicatesWithinWatermark(["text_hash"])
+    return unique.drop("text_hash", "arrived")
 
 
 def process_requests(
@@ -51,9 +68,10 @@ def process_requests(
 ):
     """Analyze request files as they arrive; returns the started query.
 
-    The checkpoint remembers the files seen, and results are replaced by request id, so a batch
-    that is repeated after a failure gives the same result table. A request counts when it is
-    pending; several in one batch share one scan of the posts.
+    The checkpoint remembers the files seen. Results are replaced by request id and the other rows
+    by batch, so a batch that is repeated after a failure leaves the same tables. A request counts
+    when it is pending; several in one batch share one scan of the posts. What a batch stages is
+    deleted at its end.
     """
 
     def handle(batch: DataFrame, batch_id: int) -> None:
@@ -62,21 +80,29 @@ def process_requests(
         if pending.isEmpty():
             return
         started = time.monotonic()
-        results = analyze(posts, pending, **analysis_options).persist()
-        try:
-            save_results(completed_results(results), f"{output_path}/results")
-            append(
-                status_event(
-                    results.select(
-                        "request_id", "status", F.lit(0).alias("progress"), "error_message"
-                    )
-                ),
-                f"{output_path}/status",
-            )
-            append(notifications(pending, results), f"{output_path}/notifications")
-            append(audit_rows(results, time.monotonic() - started), f"{output_path}/audit")
-        finally:
-            results.unpersist()
+
+        def note(changes: DataFrame, part: str) -> None:
+            append(status_event(changes), f"{output_path}/status/part={part}", batch_id)
+
+        def progress(state: str, percent: int) -> DataFrame:
+            error = F.lit(None).cast("string").alias("error_message")
+            return pending.select("request_id", F.lit(state).alias("status"), F.lit(percent).alias("progress"), error)
+
+        with scope(spark):
+            note(progress("collecting", 10), "1")
+            results = analyze(posts, pending, **analysis_options).persist()
+            try:
+                note(progress("analyzing", 50), "2")
+                save_results(completed_results(results), f"{output_path}/results")
+                final = results.select(
+                    "request_id", "status", F.lit(0).alias("progress"), "error_message"
+                )
+                note(final, "3")
+                append(notifications(pending, results), f"{output_path}/notifications", batch_id)
+                audit = audit_rows(results, time.monotonic() - started)
+                append(audit, f"{output_path}/audit", batch_id)
+            finally:
+                results.unpersist()
 
     requests = spark.readStream.schema(REQUEST).json(requests_path)
     return (

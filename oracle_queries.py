@@ -303,20 +303,18 @@ def document_ctes(source: str, text: str, keys=()) -> tuple:
     )
 
 
-def phrase_ctes(source: str, text: str, keys=(), size=fv.TOPIC_VOCABULARY) -> tuple:
+def phrase_ctes(source: str, text: str, keys=()) -> tuple:
     k = _lead(keys)
     s_keys = "".join(f"s.{x}, " for x in keys)
     t_keys = "".join(f"t.{x}, " for x in keys)
     over = f"OVER ({'PARTITION BY ' + _by(keys) if keys else ''})"
-    s_part = "PARTITION BY " + ", ".join("s." + x for x in keys) + " " if keys else ""
     return (
         *document_ctes(source, text, keys),
         f"""lim AS (SELECT {k}n, CASE WHEN widest >= greatest(2, n // 100) THEN greatest(2, n // 100) ELSE 1 END AS min_df
   FROM (SELECT {k}count(*) AS n FROM docs{_group(keys)}) a
   JOIN (SELECT {k}max(df) AS widest FROM stat{_group(keys)}) b {'USING (' + _by(keys) + ')' if keys else 'ON TRUE'})""",
-        f"""voc AS (SELECT * FROM (SELECT {s_keys}s.term, s.df, l.n,
-  row_number() OVER ({s_part}ORDER BY cf DESC, term) AS place
-  FROM stat s JOIN lim l ON {_match('s', 'l', keys)} WHERE s.df >= l.min_df) WHERE place <= {size})""",
+        f"""voc AS (SELECT {s_keys}s.term, s.df, l.n
+  FROM stat s JOIN lim l ON {_match('s', 'l', keys)} WHERE s.df >= l.min_df)""",
         f"""weighted AS (SELECT {t_keys}t.post_id, t.term, t.tf * (ln((1 + v.n) / (1 + v.df)) + 1.0) AS w
   FROM tf t JOIN voc v ON {_match('t', 'v', keys)} AND v.term = t.term)""",
         f"""unit AS (SELECT {k}term, w / sqrt(sum(w * w) OVER (PARTITION BY {_lead(keys)}post_id)) AS u FROM weighted)""",
@@ -790,20 +788,6 @@ FROM oreq WHERE user_id IS NOT NULL AND status = 'completed'""",
     THEN '{"total_posts":' || coalesce(progress, 0) || ',"duration_seconds":1.5,"datasets_used":{"src":1}}'
     WHEN error_message IS NULL THEN '{}' ELSE '{"error":"' || error_message || '"}' END AS metadata FROM oreq""",
         ),
-        "timeline_stream": with_(
-            (
-                POSTS,
-                "valid AS (SELECT *, text AS body FROM posts)",
-                SCORED,
-                "stamped AS (SELECT *, TRY_CAST(created_at AS TIMESTAMP) AS ts FROM scored)",
-            ),
-            timeline("stamped", (), "CAST(ts AS DATE)").replace(
-                "WHERE CAST(ts AS DATE) IS NOT NULL",
-                "WHERE CAST(ts AS DATE) + INTERVAL 1 DAY <= (SELECT max(ts) - INTERVAL 2 DAY FROM stamped)",
-            ),
-        ),
-        "dedup_stream": with_(
-            (POSTS,),
-            "SELECT DISTINCT sha256(text) AS text_hash FROM posts WHERE TRY_CAST(created_at AS TIMESTAMP) IS NOT NULL",
-        ),
+        "timeline_stream": with_(SCORED_BASE, timeline("scored")),
+        "dedup_stream": with_((POSTS,), "SELECT DISTINCT sha256(text) AS text_hash FROM posts"),
     }

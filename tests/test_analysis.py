@@ -1,6 +1,7 @@
 """The whole analysis, its plans, and the streaming jobs."""
 
 import json
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -9,6 +10,7 @@ from nabd import fixed_values as fv
 from nabd.functions import text as tx
 from nabd.operators import dedup, match, network, stats, topics
 from nabd.operators.report import join_topics, recommendations, summary
+from nabd.plans import staging
 from nabd.plans.analysis import analyze, completed_results
 from nabd.schema import EDGES, INFLUENCERS, NODES, POST, REQUEST, TIMELINE, TOPICS
 from nabd.sources import control
@@ -185,6 +187,8 @@ def test_request_stream(spark, sf, tmp_path):
     assert {(r.request_id, r.status, r.progress) for r in status} == {
         ("q1", "completed", 100), ("q2", "failed", 0), ("q3", "completed", 100),
     }
+    seen = {(r.request_id, r.status) for r in spark.read.parquet(f"{out}/status").collect()}
+    assert {("q1", "collecting"), ("q1", "analyzing"), ("q1", "completed")} <= seen
     assert spark.read.parquet(f"{out}/notifications").count() == 2
     audit = spark.read.parquet(f"{out}/audit").collect()
     assert sorted(r.action for r in audit) == ["ANALYSIS_COMPLETED"] * 2 + ["ANALYSIS_FAILED"]
@@ -202,3 +206,18 @@ def test_result_columns(spark, sf):
     kinds = {f.name: f.dataType.simpleString() for f in shown.schema.fields}
     assert (kinds["top_topics"], kinds["network_nodes"], kinds["network_edges"]) == (TOPICS, NODES, EDGES)
     assert {f.name for f in POST.fields} >= {"post_id", "text"} and "dataset_ids" in REQUEST.names
+
+
+def test_appended_batch_replaces_itself(spark, tmp_path):
+    rows = spark.createDataFrame([("a",), ("b",)], "request_id string")
+    for batch_id in (0, 1, 1):
+        control.append(rows, f"{tmp_path}/log", batch_id)
+    assert spark.read.parquet(f"{tmp_path}/log").count() == 4
+
+
+def test_scope_deletes_what_it_staged(spark):
+    with staging.scope(spark):
+        table = staging.stage(spark.range(3).toDF("id"), "scoped")
+        (folder,) = {f.rsplit("/", 1)[0].removeprefix("file:").replace("//", "/") for f in table.inputFiles()}
+        assert table.count() == 3 and Path(folder).exists()
+    assert not Path(folder).exists()

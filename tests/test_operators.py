@@ -382,6 +382,9 @@ def test_cluster_topics(spark, make_posts):
     rows = found.collect()
     assert [r.weight for r in rows] == [100, 50]
     assert "snow" in rows[1].label or "ski" in rows[1].label
+    partly = posts.withColumn("embedding", F.when(F.col("post_id") < 60, F.col("embedding")))
+    again = topics.extract_topics(partly, n_topics=2, method="cluster", text=F.col("text"))
+    assert [r.weight for r in again.orderBy("rank").collect()] == [100, 50]
     few = topics.extract_topics(posts.limit(5), n_topics=2, method="cluster", text=F.col("text"))
     assert few.count() > 0
 
