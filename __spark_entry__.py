@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 import oracle_queries
 from nabd.functions import text as tx
 from nabd.functions.dates import iso_day, post_day
-from nabd.functions.unicode import with_display_text, with_nfc, with_search_text
+from nabd.functions.unicode import with_display_text, with_nfc, with_search_text, with_unescaped
 from nabd.functions.values import safe_int_text
 from nabd.operators import (
     clean,
@@ -32,6 +32,7 @@ from nabd.plans import staging
 from nabd.plans.analysis import analyze, matched_posts
 from nabd.sources import catalog, control, readers
 from nabd.sources.sample import (
+    event_posts,
     nation_requests,
     order_requests,
     sample_posts,
@@ -42,6 +43,7 @@ from nabd.streaming import jobs
 
 KEYWORDS = ["مكتبة", "أَحْمَد", "THE"]
 BY_LANG = ("lang",)
+DECOMPOSED = {"é": "e\u0301", "è": "e\u0300", "ê": "e\u0302", "ü": "u\u0308", "ö": "o\u0308"}
 
 
 def _joined(names) -> Column:
@@ -83,6 +85,21 @@ def normalize_steps(spark, d):
     )
 
 
+def unescaped_pages(spark, d):
+    """Raw pages with their entities decoded."""
+    pages = with_unescaped(table(spark, d, "pages").select("page_id", "html"), "html")
+    return pages.select("page_id", F.sha2("html", 256).alias("html_hash"))
+
+
+def composed_documents(spark, d):
+    """Whole texts with their accents taken apart, and put together again by NFC."""
+    apart = F.col("text")
+    for letter, parts in DECOMPOSED.items():
+        apart = F.replace(apart, F.lit(letter), F.lit(parts))
+    texts = with_nfc(table(spark, d, "documents").select("doc_id", apart.alias("text")), "text")
+    return texts.select("doc_id", F.sha2("text", 256).alias("text_hash"))
+
+
 def normalize_for_search(spark, d):
     posts = with_search_text(sample_posts(spark, d), F.col("text"), "normalized")
     return posts.select("post_id", "normalized")
@@ -220,6 +237,11 @@ def overall_stats(spark, d):
     return stats.overall_stats(sample_posts(spark, d))
 
 
+def event_stats(spark, d):
+    """Totals over all events, taken as posts."""
+    return stats.overall_stats(event_posts(spark, d), ("event_type",))
+
+
 def overall_stats_by_language(spark, d):
     return stats.overall_stats(sample_posts(spark, d), BY_LANG)
 
@@ -626,6 +648,8 @@ _QUERIES = (
     search_key,
     normalize_steps,
     normalize_for_search,
+    unescaped_pages,
+    composed_documents,
     normalize_for_display,
     extract_names,
     clean_text,
@@ -647,6 +671,7 @@ _QUERIES = (
     nation_request_stats,
     request_matches_by_join,
     overall_stats,
+    event_stats,
     overall_stats_by_language,
     overall_stats_fallbacks,
     dataset_breakdown,

@@ -29,6 +29,16 @@ LEFT JOIN {customer} c ON c.c_custkey = e.user_id
 LEFT JOIN {labels} l ON l.doc_id = d.doc_id
 """
 
+# Every event as a post of its user.
+EVENT_POSTS_SQL = """
+SELECT e.event_id AS post_id, e.event_type AS event_type, CAST(e.ts AS STRING) AS created_at,
+  CAST(e.user_id AS STRING) AS user_id,
+  CAST(floor(greatest(coalesce(c.c_acctbal, 0.0), 0.0)) AS BIGINT) AS user_followers,
+  CAST(floor(coalesce(e.value, 0.0)) AS BIGINT) AS likes,
+  CAST(length(e.props) AS BIGINT) AS retweets, CAST(e.event_id % 7 AS BIGINT) AS replies
+FROM {events} e LEFT JOIN {customer} c ON c.c_custkey = e.user_id
+"""
+
 # request_id, keywords, datasets (by name), first day, last day
 REQUESTS = (
     ("r1", ["مكتبة", "أَحْمَد"], None, "2024-01-03", "2024-01-10"),
@@ -52,6 +62,11 @@ def sample_posts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return with_computed(posts, "text", F.col("text")).select(*posts.columns)
 
 
+def event_posts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    frames = {name: table(spark, sf_dir, name) for name in ("events", "customer")}
+    return spark.sql(EVENT_POSTS_SQL, **frames)
+
+
 def sample_requests(spark: SparkSession) -> DataFrame:
     schema = (
         "request_id string, keywords array<string>, dataset_ids array<string>, "

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from nabd import fixed_values as fv
-from nabd.sources.sample import POSTS_SQL, REQUESTS, TABLES
+from nabd.sources.sample import EVENT_POSTS_SQL, POSTS_SQL, REQUESTS, TABLES
 
 WS = fv.WHITESPACE
 NAME = fv.HANDLE_CHARS
@@ -85,6 +85,7 @@ def rounded(value: str, places: int) -> str:
     return f"CAST(printf('%.{places}f', CAST({value} AS DOUBLE)) AS DOUBLE)"
 
 
+EVENT_POSTS = f"event_posts AS ({EVENT_POSTS_SQL.format(events='events', customer='customer')})"
 POSTS = f"posts AS ({POSTS_SQL.format(**{t: t for t in TABLES})})"
 MENTIONED = f"posts_m AS (SELECT *, {names('text', '@', 30)} AS mentions FROM posts)"
 NOBODY = "nobody AS (SELECT * REPLACE (CAST(NULL AS VARCHAR) AS user_id, CAST(NULL AS VARCHAR) AS user_handle) FROM posts_m)"
@@ -551,11 +552,17 @@ def all_queries() -> dict[str, str]:
     in_class = f"""CASE WHEN coalesce(l, '') = '' THEN 'neutral'
   WHEN contains(lower(trim(l)), 'pos') OR lower(trim(l)) IN ('label_2', '2') THEN 'positive'
   WHEN contains(lower(trim(l)), 'neg') OR lower(trim(l)) IN ('label_0', '0') THEN 'negative' ELSE 'neutral' END"""
+    apart = "text"
+    for letter, plain, mark in (("é", "e", 769), ("è", "e", 768), ("ê", "e", 770), ("ü", "u", 776), ("ö", "o", 776)):
+        apart = f"replace({apart}, '{letter}', '{plain}' || chr({mark}))"
     unfollowed = "unfollowed AS (SELECT * REPLACE (CAST(0 AS BIGINT) AS user_followers) FROM posts_m)"
     unknown = (
         "unknown AS (SELECT * REPLACE (CAST(0 AS BIGINT) AS user_followers) FROM nobody)"
     )
     return {
+        "unescaped_pages": """SELECT page_id, sha256(regexp_replace(replace(replace(replace(html,
+  '&copy;', '©'), '&middot;', '·'), '&quot;', '"'), '&amp;?', '&', 'g')) AS html_hash FROM pages""",
+        "composed_documents": f"SELECT doc_id, sha256(nfc_normalize({apart})) AS text_hash FROM documents",
         "search_key": with_((POSTS,), f"SELECT post_id, {search_key('text')} AS search_key FROM posts"),
         "normalize_steps": with_(
             (POSTS,),
@@ -631,6 +638,7 @@ WHERE {keyword_test('text', keywords)} AND {in_days('2024-01-03', None)}""",
         "request_matches_by_join": with_(
             (POSTS, NATION_REQUESTS, NATION_PAIRS), "SELECT post_id, request_id FROM npairs"
         ),
+        "event_stats": with_((EVENT_POSTS,), totals("event_posts", ("event_type",))),
         "overall_stats": with_((POSTS,), totals("posts")),
         "overall_stats_by_language": with_((POSTS,), totals("posts", lang)),
         "overall_stats_fallbacks": with_((*BASE, NOBODY, unknown), totals("unknown", source)),
