@@ -1,10 +1,12 @@
 """SimHash near-duplicates by deletion-variant signatures.
 
-A fingerprint has 64 bits. Two fingerprints that differ in at most d bits are cut into
-d // 2 + 1 segments; by the pigeonhole principle one segment then differs in at most one bit.
-Every segment is indexed once per bit with that bit left out (a one-wildcard variant): segments
-that differ in at most one bit share a variant, so an equality join of the variants finds every
-pair, and the whole distance is verified inside the join.
+A fingerprint has 64 bits. Two fingerprints that differ in at most d bits are cut into d segments,
+one fewer than equality of one segment needs: a segment is equal, or every segment differs in one
+bit. An equal segment leaves d bits at most in the rest, of whose d + 1 parts one is equal: each
+segment is indexed with each part. If every segment differs in one bit, the first is equal with that
+bit left out (a one-wildcard variant), and so is one half of the second and one of the third: each
+variant is indexed with each choice of halves. Long keys keep unrelated fingerprints apart. An
+equality join of the keys finds every pair, and the whole distance is verified inside the join.
 
 Copies are folded first: all work is on distinct fingerprints. Fingerprints that differ in one bit
 share a 63-bit variant, where a link to the variant's smallest member stands for all pairs; the
@@ -17,6 +19,8 @@ share a fingerprint, hence a component. Extra columns are kept; columns named `f
 `component_id` are replaced. Empty tables give empty results.
 """
 
+import itertools
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -71,15 +75,37 @@ def _signed(value: int) -> int:
     return value - (1 << BITS) if value >= 1 << (BITS - 1) else value
 
 
-def segment_masks(max_distance: int) -> list[int]:
-    """For each bit, the mask of its segment without the bit itself."""
-    parts = max_distance // 2 + 1
-    edges = [BITS * i // parts for i in range(parts + 1)]
-    masks = []
-    for low, high in zip(edges, edges[1:], strict=False):
-        segment = (1 << high) - (1 << low)
-        masks += [segment & ~(1 << bit) for bit in range(low, high)]
-    return masks
+def _cut(bits: list[int], parts: int) -> list[int]:
+    """Masks of `parts` equal runs of the given bit positions."""
+    edges = [len(bits) * i // parts for i in range(parts + 1)]
+    return [sum(1 << b for b in bits[low:high]) for low, high in zip(edges, edges[1:], strict=False)]
+
+
+def _positions(mask: int) -> list[int]:
+    return [b for b in range(BITS) if mask >> b & 1]
+
+
+def index_masks(max_distance: int) -> tuple[list[int], list[list[int]]]:
+    """The masks of the index and, for each, masks that must differ for a pair to be taken there.
+
+    A pair meets under every mask its difference avoids. It is taken at its first equal segment and
+    the first equal part of the rest; pairs without an equal segment meet under one mask alone.
+    """
+    whole = (1 << BITS) - 1
+    segments = _cut(list(range(BITS)), max_distance)
+    masks, before = [], []
+    for i, segment in enumerate(segments):
+        rest = _positions(whole & ~segment)
+        parts = _cut(rest, max_distance + 1) if rest else []
+        for j, part in enumerate(parts):
+            masks.append(segment | part)
+            before.append(segments[:i] + parts[:j])
+    halves = [_cut(_positions(s), 2) for s in segments[1:3]]
+    for bit in _positions(segments[0]):
+        for chosen in itertools.product(*halves):
+            masks.append(segments[0] & ~(1 << bit) | sum(chosen))
+            before.append(segments)
+    return masks, before
 
 
 def _longs(values: list[int]) -> Column:
@@ -105,11 +131,9 @@ def one_bit_links(classes: DataFrame) -> DataFrame:
 
 
 def segment_links(classes: DataFrame, max_distance: int) -> DataFrame:
-    """(a, b): links between different components of `classes` (id, fp, component)."""
-    masks = segment_masks(max_distance)
-    segments = [m | 1 << bit for bit, m in enumerate(masks)]
-    starts = [(m & -m).bit_length() - 1 for m in segments]
-    keyed = classes.select("id", "fp", "component", _variants(F.col("fp"), masks))
+    """(a, b): links between different components of `classes` (fp, component)."""
+    masks, before = index_masks(max_distance)
+    keyed = classes.select("fp", "component", _variants(F.col("fp"), masks))
     keys = ["bit", "part"]
     # One component of each bucket needs no comparison with itself; buckets within one component go.
     first = keyed.groupBy(*keys).agg(
@@ -122,9 +146,10 @@ def segment_links(classes: DataFrame, max_distance: int) -> DataFrame:
     )
     differ = F.col("fp").bitwiseXOR(F.col("fp2"))
     near = F.bit_count(differ) <= max_distance
-    # Equal segments share all their variants; the pair is taken at the segment's first bit alone.
-    within = differ.bitwiseAND(F.element_at(_longs(segments), F.col("bit") + 1))
-    once = (within != 0) | (F.element_at(_longs(starts), F.col("bit") + 1) == F.col("bit"))
+    once = F.lit(True)
+    for i in range(max(map(len, before))):
+        earlier = _longs([b[i] if i < len(b) else -1 for b in before])  # -1: every pair differs there
+        once &= differ.bitwiseAND(F.get(earlier, F.col("bit"))) != 0
     return (
         left.join(right, keys)
         .filter(near & once & (F.col("component") != F.col("component2")))
@@ -138,6 +163,8 @@ def segment_links(classes: DataFrame, max_distance: int) -> DataFrame:
 
 def with_components(docs: DataFrame, shingle: int = 4, max_distance: int = 4) -> DataFrame:
     """(doc_id, fp, component_id): the smallest doc_id reachable over links of near fingerprints."""
+    if not 1 <= max_distance <= 16:
+        raise ValueError(f"max_distance must be 1 to 16: {max_distance}")
     fps = stage(with_fingerprint(docs, shingle), "fingerprints")
     classes = stage(fps.groupBy("fp").agg(F.min("doc_id").alias("id")), "classes")
     near = component_labels(classes, one_bit_links(classes))

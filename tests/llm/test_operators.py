@@ -322,18 +322,29 @@ def test_simhash(docs, texts):
     assert sorted(i for i in kept if i is not None) == sorted({w[2] for w in want if w[2] is not None and w[0] == w[2]})
 
 
-def test_simhash_links_all_distances(spark):
+@pytest.mark.parametrize("distance", [1, 2, 3, 4, 5])
+def test_simhash_links_all_distances(spark, distance):
     rng = random.Random(9)
     base = [rng.getrandbits(64) for _ in range(20)]
     prints = set(base)
     for b in base:
-        for k in range(1, 7):
+        for k in [*range(1, 7)] * 4:
             prints.add(b ^ sum(1 << x for x in rng.sample(range(64), k)))
     rows = [(i, p - (1 << 64) if p >> 63 else p, i) for i, p in enumerate(sorted(prints))]
     classes = spark.createDataFrame(rows, "id long, fp long, component long")
-    got = {(r["a"], r["b"]) for r in simhash.segment_links(classes, 4).collect()}
+    got = {(r["a"], r["b"]) for r in simhash.segment_links(classes, distance).collect()}
     ids = sorted(prints)
-    assert got == {(i, j) for i in range(len(ids)) for j in range(i + 1, len(ids)) if (ids[i] ^ ids[j]).bit_count() <= 4}
+    near = {(i, j) for i in range(len(ids)) for j in range(i + 1, len(ids)) if (ids[i] ^ ids[j]).bit_count() <= distance}
+    assert got == near
+
+
+@pytest.mark.parametrize("distance", [1, 2, 3, 4, 7])
+def test_simhash_pairs_are_taken_once(distance):
+    masks, before = simhash.index_masks(distance)
+    rng = random.Random(3)
+    for _ in range(3000):
+        d = sum(1 << b for b in rng.sample(range(64), rng.randint(1, distance)))
+        assert sum(not d & m and all(d & e for e in bs) for m, bs in zip(masks, before)) == 1
 
 
 @pytest.mark.parametrize("limit", [50, 400, 5000, 1 << 30])
