@@ -9,8 +9,8 @@ document has are dropped, and the stretches of text around the others are gather
 route is a reference shard. Its rows arrive in doc_id order: a document's stretches are streamed
 through the suffix automaton of all earlier documents for matching statistics, and enter it
 afterwards. Where the match is `span` words or longer its words are covered. Memory holds the
-distinct stretches of one route. Exact copies of an earlier text are folded first. A route of more than `HOT` documents is split into its windows, and
-each task sends on a stretch it has met before without its words, as repeated.
+distinct stretches of one route. Exact copies of an earlier text are folded first. A route of more
+than `HOT` documents is split into its windows, and each task sends on a stretch it has met before without its words, as repeated.
 
 Null and empty texts have no words; rows without a doc_id are neither earlier nor later and stay as
 they are. Rows that repeat a doc_id are one document: they lose nothing to each other. Extra columns
@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from nabd.llm.common import slices
-from nabd.plans.staging import stage
+from nabd.plans.staging import release, stage
 
 SPAN = 13
 GRAM = 4
@@ -161,8 +161,8 @@ def stretches(marked: DataFrame, span: int) -> DataFrame:
     """(route, doc_id, text_id, start, end, words): the text around each shared route.
 
     `marked` has doc_id, text, the document's shared routes as (route, hot), or null, and whether it is a
-    copy of an earlier one, hence repeated as a whole. Windows that follow each other on one route are one stretch; windows of a hot route are cut apart and routed by
-    their words. A stretch that this task has met in a smaller doc_id is known to be repeated: its
+    copy of an earlier one, hence repeated as a whole. Windows that follow each other on one route are
+    one stretch; windows of a hot route are cut apart and routed by their words. A stretch that this task has met in a smaller doc_id is known to be repeated: its
     words are left out, so a common passage leaves a task about once.
     """
     kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()]
@@ -281,7 +281,9 @@ def repeated_spans(docs: DataFrame, span: int = SPAN) -> DataFrame:
     every = stage(routes(named, span), "routes")
     # A document has a route once, so a count of one is a route that nobody shares.
     shared = every.groupBy("route").agg(F.count("*").alias("n")).filter("n > 1")
-    marks = every.join(shared.select("route", (F.col("n") > HOT).alias("hot")), "route")
+    # Staged without the routes that nobody shares; the whole table can then go before texts are moved.
+    marks = stage(every.join(shared.select("route", (F.col("n") > HOT).alias("hot")), "route"), "marks")
+    release(every)
     marks = marks.groupBy(F.col("doc_id").alias("_id")).agg(
         F.collect_set(F.struct("route", "hot")).alias("shared")  # no more than the document has windows
     )
