@@ -14,12 +14,15 @@ What remains is verified on the words themselves.
 
 Null and empty texts have no lines; a line without words is kept and matches nothing. Rows without a
 doc_id come first and are told apart by nothing but their lines. Rows that repeat a doc_id repeat
-its line numbers, so of equal lines of one number none is earlier. Extra columns are ignored or, by
-`dedup`, kept. Empty tables give empty results. Native: only column expressions.
+its line numbers, so of equal lines of one number none is earlier. As such rows may hold different
+texts, sets are known by their digest and never by a place, and `dedup` knows a row by doc_id and
+text. Extra columns are ignored or, by `dedup`, kept. Empty tables give empty results. Native: only
+column expressions.
 """
 
 import json
 import math
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -31,10 +34,10 @@ THRESHOLD = 0.8
 SLOTS = 1 << 16
 
 
-def _lines(docs: DataFrame) -> DataFrame:
-    """(doc_id, line_no from 0, line) of every line."""
+def _lines(docs: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """(keys, line_no from 0, line) of every line."""
     cut = F.split(F.coalesce("text", F.lit("")), "\n", -1)
-    return docs.filter("text <> ''").select("doc_id", F.posexplode(cut).alias("line_no", "line"))
+    return docs.filter("text <> ''").select(*keys, F.posexplode(cut).alias("line_no", "line"))
 
 
 def _line_words(line: Column) -> Column:
@@ -61,32 +64,42 @@ def _parity(words_of: Column, half: int) -> Column:
     return F.aggregate(words_of, F.lit(0).cast("long"), flip)
 
 
-def line_sets(docs: DataFrame, ranks: list[int], threshold: float = THRESHOLD) -> DataFrame:
-    """(doc_id, line_no, a, b, n, low, high, prefix) of each line's set.
-
-    a and b are its digest, n its size, low and high its parity bits, and prefix its rarest words as
-    32-bit numbers: two words of one number cost a candidate and lose none.
-    """
+def _ordered_set(line: Column, ranks: list[int]) -> Column:
+    """The hashes of a line's words, each once, the rarest first."""
     table = F.from_json(F.lit(json.dumps(ranks)), "array<bigint>")
-    hashes = F.transform(_line_words(F.col("line")), lambda w: F.xxhash64(w))
+    hashes = F.transform(_line_words(line), lambda w: F.xxhash64(w))
     keys = F.transform(
         hashes,
         lambda h: F.shiftleft(F.get(table, F.pmod(h, F.lit(SLOTS)).cast("int")), 56).bitwiseOR(
             F.shiftrightunsigned(h, 8)
         ),
     )
-    ordered = F.sort_array(F.array_distinct(keys))
-    rows = _lines(docs).select("doc_id", "line_no", F.explode(F.array(ordered)).alias("set"))
+    return F.sort_array(F.array_distinct(keys))
+
+
+def _digest_of(ordered: str) -> tuple[Column, Column]:
+    return F.xxhash64(ordered).alias("a"), F.xxhash64(F.lit(1), ordered).alias("b")
+
+
+def line_sets(
+    docs: DataFrame, ranks: list[int], threshold: float = THRESHOLD, keys: Sequence[str] = ("doc_id",)
+) -> DataFrame:
+    """(keys, line_no, a, b, n, low, high, prefix) of each line's set.
+
+    a and b are its digest, n its size, low and high its parity bits, and prefix its rarest words as
+    32-bit numbers: two words of one number cost a candidate and lose none.
+    """
+    ordered = F.explode(F.array(_ordered_set(F.col("line"), ranks))).alias("set")
+    rows = _lines(docs, keys).select(*keys, "line_no", ordered)
     n = F.size("set")
     # A partner of another set has at least one word more or less, so both need t / (1 - t) words.
     enough = n >= math.ceil(round(threshold / (1 - threshold), 9))
     least = F.when(enough, n - F.ceil(n * threshold - 1e-9) + 1).otherwise(0)
     prefix = F.slice("set", 1, least.cast("int"))
     return rows.filter(n > 0).select(
-        "doc_id",
+        *keys,
         "line_no",
-        F.xxhash64("set").alias("a"),
-        F.xxhash64(F.lit(1), "set").alias("b"),
+        *_digest_of("set"),
         n.alias("n"),
         _parity(F.col("set"), 1).alias("low"),
         _parity(F.col("set"), 0).alias("high"),
@@ -95,15 +108,13 @@ def line_sets(docs: DataFrame, ranks: list[int], threshold: float = THRESHOLD) -
 
 
 def candidates(classes: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """(x, y): pairs of first lines whose sets may be similar."""
-    words_of = classes.select(
-        "first.doc_id", "first.line_no", "n", "low", "high", F.posexplode("prefix").alias("pos", "word")
-    )
+    """(x, y): ids of sets that may be similar."""
+    words_of = classes.select("id", "n", "low", "high", F.posexplode("prefix").alias("pos", "word"))
 
     def side(letter: str) -> DataFrame:
         return words_of.withColumnsRenamed({c: f"{letter}_{c}" for c in words_of.columns if c != "word"})
 
-    x, y = (F.struct(F.col(f"{s}_doc_id").alias("doc_id"), F.col(f"{s}_line_no").alias("line_no")) for s in "xy")
+    x, y = F.col("x_id"), F.col("y_id")
     nx, ny = F.col("x_n"), F.col("y_n")
     shorter = (nx < ny) | ((nx == ny) & (x < y))
     length = nx >= ny * threshold - 1e-9
@@ -117,73 +128,83 @@ def candidates(classes: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     return met.select(x.alias("x"), y.alias("y")).distinct()
 
 
-def links(docs: DataFrame, classes: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """(x, y): verified pairs, both ways round, of the first lines of similar sets."""
+def links(docs: DataFrame, classes: DataFrame, ranks: list[int], threshold: float = THRESHOLD) -> DataFrame:
+    """(x, y, y_first): ids of similar sets, verified, both ways round, and where y is first."""
     pairs = stage(candidates(classes, threshold), "line-pairs")
-    wanted = pairs.select(F.explode(F.array("x", "y")).alias("first")).distinct()
+    ends = pairs.select(F.explode(F.array("x", "y")).alias("id")).distinct()
+    wanted = stage(classes.join(ends, "id", "left_semi").select("id", "a", "b", "first"), "line-firsts")
     by_doc = wanted.groupBy(F.col("first.doc_id").alias("_id")).agg(
         F.collect_set("first.line_no").alias("_lines")  # no more than the document has lines
     )
     cut = F.split("text", "\n", -1)
     texts = docs.filter("text <> ''").join(by_doc, F.col("doc_id").eqNullSafe(F.col("_id")))
-    numbered = F.arrays_zip(
-        F.col("_lines").alias("no"), F.transform("_lines", lambda i: F.get(cut, i)).alias("line")
-    )
-    lines = texts.select("doc_id", F.explode(numbered).alias("l"))
+    found_at = F.transform("_lines", lambda i: F.get(cut, i))
+    lines = texts.select(F.explode(found_at).alias("line")).filter("line is not null")
+    # A place may hold several lines: rows without a doc_id share theirs, and so do repeated ones.
+    ordered = F.explode(F.array(_ordered_set(F.col("line"), ranks))).alias("set")
+    found_sets = lines.select("line", ordered).groupBy(*_digest_of("set")).agg(F.min("line").alias("line"))
     # Words are cut once a line and travel as one text, which packs better than an array.
-    words_of = F.array_distinct(_line_words(F.min("l.line")))
-    sets = lines.groupBy(F.struct("doc_id", F.col("l.no").alias("line_no")).alias("first")).agg(
-        words_of.alias("words")
-    )
-    sets = stage(sets.select("first", F.array_join("words", " ").alias("words")), "line-sets")
+    words_of = F.array_join(F.array_distinct(_line_words(F.col("line"))), " ").alias("words")
+    sets = wanted.join(found_sets, ["a", "b"])
+    sets = stage(sets.select("id", "first", words_of), "line-sets")
 
     def side(name: str) -> DataFrame:
-        return sets.select(F.col("first").alias(name), F.col("words").alias(f"{name}_words"))
+        return sets.withColumnsRenamed({"id": name, "first": f"{name}_first", "words": f"{name}_words"})
 
     both = pairs.join(side("x"), "x").join(side("y"), "y")
     cut_x, cut_y = (F.split(f"{name}_words", " ") for name in "xy")
     shared = F.size(F.array_intersect(cut_x, cut_y))
     near = shared >= (F.size(cut_x) + F.size(cut_y)) * (threshold / (1 + threshold)) - 1e-9
-    found = both.filter(near).select("x", "y")
-    return found.unionByName(found.select(F.col("y").alias("x"), F.col("x").alias("y")))
-
-
-def judged_lines(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """(doc_id, line_no, n_links, removed) of every line with words."""
-    texts = docs.select("doc_id", "text")
-    every = stage(line_sets(texts, slot_ranks(texts), threshold), "lines")
-    classes = stage(
-        every.groupBy("a", "b").agg(
-            F.min(F.struct("doc_id", "line_no")).alias("first"),
-            *[F.first(c).alias(c) for c in ("n", "low", "high", "prefix")],
-        ),
-        "line-classes",
+    found = both.filter(near)
+    return found.select("x", "y", "y_first").unionByName(
+        found.select(F.col("y").alias("x"), F.col("x").alias("y"), F.col("x_first").alias("y_first"))
+    )
+
+
+def judged_lines(
+    docs: DataFrame, threshold: float = THRESHOLD, keys: Sequence[str] = ("doc_id",)
+) -> DataFrame:
+    """(keys, line_no, n_links, removed) of every line with words."""
+    texts = docs.select(*keys, "text")
+    ranks = slot_ranks(texts)
+    every = stage(line_sets(texts, ranks, threshold, keys), "lines")
+    folded = every.groupBy("a", "b").agg(
+        F.min(F.struct("doc_id", "line_no")).alias("first"),
+        *[F.first(c).alias(c) for c in ("n", "low", "high", "prefix")],
     )
-    near = links(texts, classes, threshold).groupBy(F.col("x").alias("first")).agg(
-        F.count("*").alias("n_links"), F.min("y").alias("other")
+    # The id stands for the digest, in half its bytes; staged, it is the same for every reader.
+    classes = stage(folded.withColumn("id", F.monotonically_increasing_id()), "line-classes")
+    near = links(texts, classes, ranks, threshold).groupBy(F.col("x").alias("id")).agg(
+        F.count("*").alias("n_links"), F.min("y_first").alias("other")
     )
-    judged = classes.join(near, "first", "left").select(
+    judged = classes.join(near, "id", "left").select(
         "a",
         "b",
         F.least("first", F.coalesce("other", "first")).alias("earliest"),
         F.coalesce("n_links", F.lit(0)).alias("n_links"),
     )
-    rows = every.select("doc_id", "line_no", "a", "b").join(judged, ["a", "b"])
+    rows = every.select(*keys, "line_no", "a", "b").join(judged, ["a", "b"])
     return rows.select(
-        "doc_id", "line_no", "n_links", (F.col("earliest") < F.struct("doc_id", "line_no")).alias("removed")
+        *keys, "line_no", "n_links", (F.col("earliest") < F.struct("doc_id", "line_no")).alias("removed")
     )
 
 
 def dedup(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """`docs` with later matches removed from the texts."""
-    gone = judged_lines(docs, threshold).filter("removed").groupBy(F.col("doc_id").alias("_id")).agg(
+    row = {"_nabd_a": F.xxhash64("text"), "_nabd_b": F.xxhash64(F.lit(1), "text")}
+    named = docs.withColumns(row)
+    judged = judged_lines(named, threshold, ("doc_id", *row))
+    gone = judged.filter("removed").groupBy(F.col("doc_id").alias("_id"), *row).agg(
         F.collect_set("line_no").alias("_gone")
     )
     cut = F.split("text", "\n", -1)
     kept = F.filter(cut, lambda line, i: ~F.array_contains("_gone", i))
     text = F.when(F.col("_gone").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
-    joined = docs.join(gone, F.col("doc_id").eqNullSafe(F.col("_id")), "left")
-    return joined.withColumn("text", text).select(*docs.columns)
+    gone = gone.withColumnsRenamed({name: f"{name}2" for name in row})
+    same = F.col("doc_id").eqNullSafe(F.col("_id"))
+    for name in row:
+        same &= F.col(name) == F.col(f"{name}2")
+    return named.join(gone, same, "left").withColumn("text", text).select(*docs.columns)
 
 
 def digest(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:

@@ -169,6 +169,25 @@ def test_line_dedup(spark):
     assert lines.dedup(make(spark, rows)).count() == len(rows)
 
 
+def test_line_dedup_of_rows_that_share_an_id(spark):
+    rows = [(None, "a b c d e", "a"), (None, "p q r s t", "a"), (9, "p q r s t u", "a")]
+    rows += [(20, "f g h i j", "a"), (20, "k l m n o", "a"), (21, "k l m n o v", "a"), (22, "f g h i j w", "a")]
+    rows += [(None, "keep this one\nq r s t p", "a"), (None, "x1 x2 x3\ny1 y2 y3 y4", "a")]
+    for data in (rows, rows[::-1]):
+        out = {r["doc_id"]: tuple(r)[1:] for r in lines.digest(make(spark, data)).collect()}
+        assert out == {
+            9: (1, 1, "0", 1),
+            20: (2, 0, "", 2),
+            21: (1, 1, "0", 1),
+            22: (1, 1, "0", 1),
+            None: (6, 1, "1", 2),
+        }
+        kept = ordered((r["doc_id"], r["text"]) for r in lines.dedup(make(spark, data)).collect())
+        gone = {"p q r s t u", "k l m n o v", "f g h i j w"}
+        cut = {"keep this one\nq r s t p": "keep this one"}
+        assert kept == ordered((i, "" if t in gone else cut.get(t, t)) for i, t, _ in data)
+
+
 def test_toxicity_learns_and_reads_clauses(spark):
     rng = random.Random(2)
     plain = [f"word{i}" for i in range(80)]
