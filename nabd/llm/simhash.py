@@ -15,7 +15,8 @@ outside its first class are compared with the rest, so a group of near copies is
 itself.
 
 Null and empty texts have fingerprint zero and are linked like any other. Repeated rows and ties
-share a fingerprint, hence a component. Extra columns are kept; columns named `fingerprint` or
+share a fingerprint, hence a component. Rows without a doc_id link others and have the component_id
+of theirs, null if no row of the component has a doc_id. Extra columns are kept; columns named `fingerprint` or
 `component_id` are replaced. Empty tables give empty results.
 """
 
@@ -117,13 +118,13 @@ def _variants(fp: Column, masks: list[int]) -> Column:
 
 
 def one_bit_links(classes: DataFrame) -> DataFrame:
-    """(a, b): each member of a 63-bit variant linked to the variant's smallest class id."""
+    """(a, b): each member of a 63-bit variant linked to the variant's smallest fingerprint."""
     whole = (1 << BITS) - 1
     masks = [whole & ~(1 << bit) for bit in range(BITS)]
     return (
-        classes.select("id", _variants(F.col("fp"), masks))
+        classes.select("fp", _variants(F.col("fp"), masks))
         .groupBy("bit", "part")
-        .agg(F.min("id").alias("a"), F.max("id").alias("b"))  # a 63-bit variant has two members at most
+        .agg(F.min("fp").alias("a"), F.max("fp").alias("b"))  # a 63-bit variant has two members at most
         .filter("a < b")
         .select("a", "b")
         .distinct()
@@ -166,15 +167,18 @@ def with_components(docs: DataFrame, shingle: int = 4, max_distance: int = 4) ->
     if not 1 <= max_distance <= 16:
         raise ValueError(f"max_distance must be 1 to 16: {max_distance}")
     fps = stage(with_fingerprint(docs, shingle), "fingerprints")
-    classes = stage(fps.groupBy("fp").agg(F.min("doc_id").alias("id")), "classes")
-    near = component_labels(classes, one_bit_links(classes))
+    # Classes are linked by fingerprint, which is never null; a doc_id may be.
+    classes = stage(fps.groupBy("fp").agg(F.min("doc_id").alias("least")), "classes")
+    near = component_labels(classes.withColumn("id", F.col("fp")), one_bit_links(classes)).drop("id")
     near = stage(near, "one-bit")
     links = stage(segment_links(near, max_distance), "links")
-    parts = near.select(F.col("component").alias("id")).distinct()
-    top = component_labels(parts, links).select(
-        F.col("id").alias("component"), F.col("component").alias("component_id")
-    )
-    labels = near.join(top, "component", "left").select("fp", "component_id")
+    parts = near.groupBy("component").agg(F.min("least").alias("least"))
+    nodes = parts.select(F.col("component").alias("id"), "least")
+    top = component_labels(nodes, links).select("id", "least", F.col("component").alias("whole"))
+    top = stage(top, "parts")
+    named = top.groupBy("whole").agg(F.min("least").alias("component_id"))
+    names = top.join(named, "whole").select(F.col("id").alias("component"), "component_id")
+    labels = near.join(names, "component").select("fp", "component_id")
     return fps.join(labels, "fp", "left")
 
 

@@ -341,6 +341,17 @@ def test_simhash(docs, texts):
     assert sorted(i for i in kept if i is not None) == sorted({w[2] for w in want if w[2] is not None and w[0] == w[2]})
 
 
+def test_simhash_links_rows_without_an_id(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "with_fingerprint", lambda docs, shingle: docs.select("doc_id", "fp"))
+    one_bit, four_bits, far = 1 << 20, 0x1 | 1 << 17 | 1 << 33 | 1 << 50, 0x0F0F0F0F0F0F0F0F
+    # null - 7 by four bits; 3 - null - 5 by four and one bit, 3 and 5 farther apart; a null pair alone.
+    rows = [(7, 0), (None, four_bits), (3, far), (None, far ^ four_bits), (5, far ^ four_bits ^ one_bit)]
+    rows += [(None, -1), (None, ~one_bit), (8, 0x00FF00FF00FF00FF), (None, 0x00FF00FF00FF00FF)]
+    docs = spark.createDataFrame(rows, "doc_id long, fp long")
+    out = {r["fp"]: r["component_id"] for r in simhash.with_components(docs).collect()}
+    assert out == dict(zip([fp for _, fp in rows], [7, 7, 3, 3, 3, None, None, 8, 8], strict=True))
+
+
 @pytest.mark.parametrize("distance", [1, 2, 3, 4, 5])
 def test_simhash_links_all_distances(spark, distance):
     rng = random.Random(9)
