@@ -212,6 +212,16 @@ def test_toxicity_learns_and_reads_clauses(spark):
     assert toxicity.digest(docs, empty).count() == docs.count()
 
 
+@pytest.mark.parametrize("insult", ["zo\u0301rkle\u0301d", "\u0926\u0941\u0937\u094d\u091f", "z" + "qxv" * 15])
+def test_toxicity_learns_the_words_it_matches(spark, insult):
+    rng = random.Random(2)
+    plain = [f"w{a}{b}" for a in "abcdefgh" for b in "abcdefgh"]
+    rows = [(i, " ".join(rng.choices(plain, k=20) + [insult] * (i % 4 == 0)), "a") for i in range(200)]
+    labels = spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(200)], "doc_id long, toxic int")
+    out = toxicity.digest(make(spark, rows), labels).collect()
+    assert all(r["predicted"] == (r["doc_id"] % 4 == 0) for r in out)
+
+
 def test_grammar_scores_clauses():
     grammar = toxicity.Grammar({}, {"blorp": 2.0})
     weight = lambda t: sum(grammar.clause_weights(t))
