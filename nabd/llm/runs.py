@@ -92,13 +92,14 @@ def mismatch_free(blocks: np.ndarray, windows: np.ndarray, shifts: int) -> np.nd
     for p, root in PRIMES:
         prime = np.uint64(p)
         turned = np.zeros_like(windows)
-        turned[0] = blocks[0]
-        turned[width - size + 1 :] = blocks[:0:-1]
-        both = _forward(turned, p, root) * _forward(windows, p, root) % prime
+        b, v = blocks % prime, windows % prime
+        turned[0] = b[0]
+        turned[width - size + 1 :] = b[:0:-1]
+        both = _forward(turned, p, root) * _forward(v, p, root) % prime
         cross = _inverse(both, p, root)[:shifts]
-        own = (blocks * blocks % prime).sum(0) % prime
+        own = (b * b % prime).sum(0) % prime
         summed = np.zeros((shifts + size, blocks.shape[1]), np.uint64)
-        np.cumsum((windows * windows % prime)[: shifts + size - 1], axis=0, out=summed[1:])
+        np.cumsum((v * v % prime)[: shifts + size - 1], axis=0, out=summed[1:])
         squares = (summed[size:] - summed[:shifts]) % prime
         zero &= (own + squares + np.uint64(2) * (prime - cross)) % prime == 0
         product *= p
