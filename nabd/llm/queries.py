@@ -10,6 +10,7 @@ from nabd.llm import (
     chat,
     decontaminate,
     language,
+    licences,
     lines,
     mixing,
     runs,
@@ -75,6 +76,10 @@ def op11_periodic_runs(spark, d):
     return runs.digest(read(spark, d, "documents"))
 
 
+def op12_license_notices(spark, d):
+    return licences.digest(read(spark, d, "documents"))
+
+
 QUERIES = {
     query.__name__: query
     for query in (
@@ -89,5 +94,6 @@ QUERIES = {
         op9_simhash,
         op10_sharding,
         op11_periodic_runs,
+        op12_license_notices,
     )
 }
