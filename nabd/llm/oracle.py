@@ -56,4 +56,48 @@ SELECT doc_id, coalesce(n_runs, 0) AS n_runs, best.start AS start, best.length A
 FROM drawn LEFT JOIN listed USING (r) LEFT JOIN kept USING (r)
 """
 
-ORACLE_SQL = {"op11_periodic_runs": OP11_PERIODIC_RUNS}
+OP13_CONVERSATION_TRIE = rf"""
+WITH turns AS (
+  SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text, turn,
+    left(sha256(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')), 32) AS key
+  FROM conversations WHERE conv_id IS NOT NULL
+), placed AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, key) AS pos FROM turns
+), convs AS (
+  SELECT DISTINCT conv_id, {crc32("conv_id::VARCHAR")} % 6 AS h FROM turns
+), rebuilt AS (
+  SELECT c.conv_id, 0 AS own, p.pos, p.key, length(p.text) AS chars
+  FROM convs c JOIN placed p ON p.conv_id = c.conv_id - c.conv_id % 100 AND p.pos <= c.h
+  UNION ALL
+  SELECT c.conv_id, 1, p.pos, p.key, length(p.text)
+  FROM convs c JOIN placed p ON p.conv_id = c.conv_id AND p.pos > c.h
+), numbered AS (
+  SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY own, pos) AS depth, key, chars FROM rebuilt
+), prefixes AS (
+  SELECT conv_id, depth, chars, string_agg(key, '') OVER (PARTITION BY conv_id ORDER BY depth) AS path
+  FROM numbered
+  UNION ALL
+  SELECT conv_id, 0, 0, '' FROM convs
+), sized AS (SELECT *, max(depth) OVER (PARTITION BY conv_id) AS n FROM prefixes),
+nodes AS (
+  SELECT path, depth, min(conv_id) AS conv_id, count(*) AS n_convs, max(chars) AS chars,
+    sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (depth = n), '')) AS ends_sha256
+  FROM sized GROUP BY path, depth
+), children AS (
+  SELECT left(path, 32 * (depth - 1)) AS path, count(*) AS n_children FROM nodes WHERE depth > 0 GROUP BY 1
+), counted AS (SELECT nodes.*, coalesce(n_children, 0) AS n_children FROM nodes LEFT JOIN children USING (path)),
+above AS (SELECT path AS low, unnest(range(depth + 1)) AS d, (n_convs - 1) * chars AS own, n_children FROM counted),
+summed AS (
+  SELECT left(low, 32 * d) AS path, sum(own)::BIGINT AS saved_tokens, count(*) FILTER (n_children = 0) AS n_leaves
+  FROM above GROUP BY 1
+)
+SELECT c.conv_id, c.depth, p.conv_id AS parent_conv_id, c.n_convs, c.n_children, s.n_leaves, s.saved_tokens,
+  c.ends_sha256
+FROM counted c JOIN summed s USING (path)
+LEFT JOIN nodes p ON c.depth > 0 AND p.path = left(c.path, 32 * (c.depth - 1))
+"""
+
+ORACLE_SQL = {
+    "op11_periodic_runs": OP11_PERIODIC_RUNS,
+    "op13_conversation_trie": OP13_CONVERSATION_TRIE,
+}

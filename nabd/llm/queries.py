@@ -18,6 +18,7 @@ from nabd.llm import (
     simhash,
     substring,
     toxicity,
+    trie,
 )
 from nabd.llm.common import read
 from nabd.llm.oracle import ORACLE_SQL
@@ -80,6 +81,10 @@ def op12_license_notices(spark, d):
     return licences.digest(read(spark, d, "documents"))
 
 
+def op13_conversation_trie(spark, d):
+    return trie.digest(read(spark, d, "conversations"))
+
+
 QUERIES = {
     query.__name__: query
     for query in (
@@ -95,5 +100,6 @@ QUERIES = {
         op10_sharding,
         op11_periodic_runs,
         op12_license_notices,
+        op13_conversation_trie,
     )
 }
