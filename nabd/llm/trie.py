@@ -292,9 +292,11 @@ def nodes(members: DataFrame, prefixes: DataFrame, shard_turns: int = SHARD_TURN
     their turns as `with_prefixes` returns them.
     """
     least = members.agg(F.min("conv_id")).first()[0]
-    shared = prefixes.groupBy(*NODE).agg(F.count("*").alias("n"), F.min("conv_id").alias("least")).filter("n > 1")
+    # Staged, so that adaptive execution can split a first turn that many conversations share.
+    shared = prefixes.groupBy(*NODE).agg(F.count("*").alias("n"), F.min("conv_id").alias("least"))
+    shared = stage(shared.filter("n > 1").drop("n"), "shared")
     last = F.when(F.col("least").isNotNull(), F.struct(*NODE, "least"))
-    known = prefixes.select("conv_id", *NODE).join(shared.drop("n"), NODE, "left")
+    known = prefixes.select("conv_id", *NODE).join(shared, NODE, "left")
     left = known.groupBy("conv_id").agg(F.max("depth").alias("n"), F.max(last).alias("last"))
     nothing = F.lit(0).cast("long")
     convs = members.join(left, "conv_id", "left").select(
@@ -310,6 +312,7 @@ def nodes(members: DataFrame, prefixes: DataFrame, shard_turns: int = SHARD_TURN
         F.count(F.when(F.col("n") > F.col("depth"), 1)).alias("tails"),
         F.min("conv_id").alias("first"),
     )
+    ends = stage(ends, "weights")
     turn = F.struct(*NODE, "key", "chars")
     along = ends.select(F.col("first").alias("conv_id"), F.col("depth").alias("end")).join(prefixes, "conv_id")
     path = along.filter("depth <= end").groupBy(F.col("conv_id").alias("first"))
@@ -375,6 +378,7 @@ def rebuilt(members: DataFrame, turns: DataFrame) -> DataFrame:
     sizes = head.groupBy("base").agg(F.count("*").alias("size"))
     plan = members.select("conv_id", (F.col("conv_id") - F.col("conv_id") % 100).alias("base"), h.alias("h"))
     plan = plan.join(sizes, "base", "left").withColumn("taken", F.least("h", F.coalesce("size", F.lit(0).cast("long"))))
+    plan = stage(plan, "plan")
     borrowed = (
         plan.join(head, "base")
         .filter("pos <= taken")
