@@ -29,11 +29,12 @@ from nabd.operators import (
     topics,
 )
 from nabd.plans import staging
-from nabd.plans.analysis import analyze, matched_posts
+from nabd.plans.analysis import analyze
 from nabd.sources import catalog, control, readers
 from nabd.sources.sample import (
     event_posts,
     nation_requests,
+    order_keyword_requests,
     order_requests,
     sample_posts,
     sample_requests,
@@ -209,8 +210,8 @@ def dedup_near(spark, d):
 
 
 def _selected(spark, d, requests) -> DataFrame:
-    selected = match.select_posts(sample_posts(spark, d), match.prepare_requests(requests))
-    return matched_posts(selected)
+    prepared = match.prepare_requests(requests)
+    return match.select_posts(sample_posts(spark, d), prepared, staged=staging.stage).pairs()
 
 
 def request_stats(spark, d):
@@ -222,12 +223,28 @@ def nation_request_stats(spark, d):
     return stats.overall_stats(_selected(spark, d, nation_requests(spark, d)), ("request_id",))
 
 
+def _matches(spark, d, requests) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Posts with their class, the requests of each class, and for whom these stand."""
+    prepared = match.prepare_requests(requests)
+    twins = match.same_requests(prepared)
+    asked = match.standing(prepared, twins)
+    matched = staging.stage(match.match_requests(sample_posts(spark, d), asked), "matched")
+    wanting = match.class_requests(matched, asked).select("_class", F.col("request_id").alias("twin"))
+    return matched, wanting, twins
+
+
 def request_matches_by_join(spark, d):
-    """The matching path for keyword sets too large to list."""
-    usable = match.prepare_requests(nation_requests(spark, d))
-    matched = match.hits_by_join(sample_posts(spark, d), usable)
-    pairs = matched.select("post_id", F.explode("hits").alias("h"))
-    return pairs.select("post_id", F.col("h.request_id").alias("request_id"))
+    """Keywords meet posts by their first characters; no dedup, no dates."""
+    matched, wanting, twins = _matches(spark, d, nation_requests(spark, d))
+    return matched.join(wanting, "_class").join(twins, "twin").select("post_id", "request_id")
+
+
+def order_request_matches(spark, d):
+    """Posts per request, with a request for every order and keywords of one letter and more."""
+    matched, wanting, twins = _matches(spark, d, order_keyword_requests(spark, d))
+    counts = matched.groupBy("_class").agg(F.count("*").alias("n"), F.min("post_id").alias("first"))
+    totals = F.sum("n").alias("posts"), F.min("first").alias("first_post")
+    return counts.join(wanting, "_class").groupBy("twin").agg(*totals).join(twins, "twin").drop("twin")
 
 
 # --- statistics and sentiment -------------------------------------------------------------------
@@ -670,6 +687,7 @@ _QUERIES = (
     request_stats,
     nation_request_stats,
     request_matches_by_join,
+    order_request_matches,
     overall_stats,
     event_stats,
     overall_stats_by_language,

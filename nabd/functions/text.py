@@ -154,3 +154,26 @@ def term_occurrences(terms) -> Column:
         )
 
     return let(F.sort_array(terms), marked)
+
+
+def term_counts(terms) -> Column:
+    """array<struct<term, tf>>: the distinct terms, sorted, and how often each occurs."""
+
+    def ends(s: Column) -> Column:
+        places = F.sequence(F.lit(1), F.size(s))
+        last = F.filter(places, lambda i: F.coalesce(F.get(s, i) != F.get(s, i - 1), F.lit(True)))
+        return F.when(F.size(s) > 0, last).otherwise(F.array().cast("array<int>"))
+
+    def counted(s: Column) -> Column:
+        def each(e: Column) -> Column:
+            before = lambda j: F.coalesce(F.get(e, j - 1), F.lit(0))
+            return F.transform(
+                e,
+                lambda i, j: F.struct(
+                    F.get(s, i - 1).alias("term"), (i - before(j)).cast("bigint").alias("tf")
+                ),
+            )
+
+        return let(ends(s), each)
+
+    return let(F.sort_array(terms), counted)
\ No newline at end of file

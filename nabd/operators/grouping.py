@@ -3,7 +3,7 @@
 `keys` is empty for one answer over all rows, or for example ("request_id",).
 """
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -25,6 +25,41 @@ class FewGroups(tuple):
         return keys
 
 
+class SharedRows(FewGroups):
+    """Keys of groups that share rows.
+
+    A row stands for all groups of its `set_id`; `sets` (set_id and the keys) names them. Rows are
+    aggregated per set first, and only these aggregates are handed out to the groups.
+    """
+
+    def __new__(cls, columns: Sequence[str], groups: int, sets: DataFrame):
+        keys = super().__new__(cls, columns, groups)
+        keys.sets = sets
+        return keys
+
+
+def row_keys(keys: Sequence[str]) -> list[str]:
+    """The columns by which rows are told apart."""
+    return ["set_id"] if isinstance(keys, SharedRows) else list(keys)
+
+
+def handed_out(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Rows of sets as rows of the groups that share them."""
+    return df.join(keys.sets, "set_id").drop("set_id") if isinstance(keys, SharedRows) else df
+
+
+def combined(
+    df: DataFrame, keys: Sequence[str], by: Sequence[str], aggregates: dict[str, tuple[Column, Callable]]
+) -> DataFrame:
+    """Aggregate rows per group and `by`; each aggregate comes with the function that merges it."""
+    first = [column.alias(name) for name, (column, _) in aggregates.items()]
+    per_rows = df.groupBy(*row_keys(keys), *by).agg(*first)
+    if not isinstance(keys, SharedRows):
+        return per_rows
+    merged = [merge(name).alias(name) for name, (_, merge) in aggregates.items()]
+    return handed_out(per_rows, keys).groupBy(*keys, *by).agg(*merged)
+
+
 def bounded(values: DataFrame, keys: Sequence[str], rows_per_group: int = 1) -> DataFrame:
     """Mark `values` for broadcast when its size is known to be small; else leave it to Spark.
 

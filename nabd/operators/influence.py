@@ -7,13 +7,13 @@ from pyspark.sql import functions as F
 
 from nabd.functions.text import handle_display, handle_key
 from nabd.functions.values import first_present, present, round_exact
-from nabd.operators.grouping import attach, top_k
+from nabd.operators.grouping import SharedRows, attach, combined, row_keys, top_k
 
 
 def mention_counts(posts: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """How many posts mention each handle (`posts.mentions` holds each handle once per post)."""
-    named = posts.select(*keys, F.explode("mentions").alias("handle"))
-    return named.groupBy(*keys, "handle").agg(F.count("*").alias("mentions"))
+    named = posts.select(*row_keys(keys), F.explode("mentions").alias("handle"))
+    return combined(named, keys, ["handle"], {"mentions": (F.count("*"), F.sum)})
 
 
 def user_stats(posts: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
@@ -24,25 +24,26 @@ def user_stats(posts: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """
     uid = first_present(F.col("user_id"), F.col("user_handle"))
     zero = F.lit(0).cast("bigint")
-    by_handle = (
-        posts.select(
-            *keys,
-            uid.alias("uid"),
-            F.coalesce(present(F.col("user_handle")), uid).alias("handle"),
-            "post_id",
-            "user_followers",
-            "likes",
-            "retweets",
-            "replies",
-        )
-        .filter(F.col("uid").isNotNull())
-        .groupBy(*keys, "uid", "handle")
-        .agg(
-            F.count("*").alias("posts"),
-            *[F.sum(c).alias(c) for c in ("likes", "retweets", "replies")],
-            F.max("user_followers").alias("followers"),
-            F.max("post_id").alias("_last"),
-        )
+    authored = posts.select(
+        *row_keys(keys),
+        uid.alias("uid"),
+        F.coalesce(present(F.col("user_handle")), uid).alias("handle"),
+        "post_id",
+        "user_followers",
+        "likes",
+        "retweets",
+        "replies",
+    ).filter(F.col("uid").isNotNull())
+    by_handle = combined(
+        authored,
+        keys,
+        ["uid", "handle"],
+        {
+            "posts": (F.count("*"), F.sum),
+            **{c: (F.sum(c), F.sum) for c in ("likes", "retweets", "replies")},
+            "followers": (F.max("user_followers"), F.max),
+            "_last": (F.max("post_id"), F.max),
+        },
     )
     return by_handle.groupBy(*keys, "uid").agg(
         F.max_by("handle", "_last").alias("handle"),
@@ -55,10 +56,11 @@ def user_stats(posts: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
 def group_flags(posts: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """has_users and has_followers per group."""
     known = first_present(F.col("user_id"), F.col("user_handle")).isNotNull()
-    return posts.groupBy(*keys).agg(
-        F.coalesce(F.bool_or(known), F.lit(False)).alias("has_users"),
-        F.coalesce(F.bool_or(F.col("user_followers") > 0), F.lit(False)).alias("has_followers"),
-    )
+    flags = {
+        "has_users": (F.coalesce(F.bool_or(known), F.lit(False)), F.bool_or),
+        "has_followers": (F.coalesce(F.bool_or(F.col("user_followers") > 0), F.lit(False)), F.bool_or),
+    }
+    return combined(posts, keys, (), flags)
 
 
 def _at_least_one(column) -> Column:
@@ -110,12 +112,15 @@ def scored_users(posts: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
 def mentioned_authors(posts: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """Stand-in ranking for groups without any author: the handles their posts mention."""
     flags = group_flags(posts, keys).select(*keys, "has_users")
-    if keys:
+    if isinstance(keys, SharedRows):
+        nobody = flags.filter(~F.col("has_users"))
+        counts = mention_counts(posts, keys).join(nobody.select(*keys), list(keys), "left_semi")
+    elif keys:
         # Usually no group qualifies: adaptive execution then drops this whole branch.
         anonymous = posts.join(flags.filter(~F.col("has_users")), list(keys), "left_semi")
+        counts = mention_counts(anonymous, keys)
     else:
-        anonymous = attach(posts, flags, keys).filter(~F.col("has_users"))
-    counts = mention_counts(anonymous, keys)
+        counts = mention_counts(attach(posts, flags, keys).filter(~F.col("has_users")), keys)
     largest = counts.groupBy(*keys).agg(_at_least_one("mentions").alias("_max"))
     return attach(counts, largest, keys).select(
         *keys,

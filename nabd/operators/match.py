@@ -1,6 +1,7 @@
 """Keyword and date selection: one request, or many requests over one scan."""
 
 from collections.abc import Callable, Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -8,13 +9,12 @@ from pyspark.sql import functions as F
 from nabd import fixed_values as fv
 from nabd.functions import text as tx
 from nabd.functions.dates import in_range, post_day, request_day_text
-from nabd.functions.values import let, with_computed
 from nabd.operators.dedup import dedup_by_hash, text_hash
 
-# Up to these sizes the requests travel as one array literal with every task.
-MAX_LISTED_REQUESTS = 1000
-MAX_LISTED_KEYWORDS = 256
-_GRAM = 3
+# Keywords meet texts by their first characters: as many of these as the keyword has.
+_GRAM_SIZES = (6, 3, 2, 1)
+# The filter of wanted grams: so many 64-bit words, whatever the number of keywords.
+_FILTER_WORDS = 1 << 13
 
 
 def keyword_filter(posts: DataFrame, keywords: Sequence[str]) -> DataFrame:
@@ -99,126 +99,136 @@ def prepare_requests(
     )
 
 
-def _hit(r: Column) -> Column:
-    return F.struct(r["request_id"], r["scope"], r["from_day"], r["to_day"])
+@dataclass(frozen=True)
+class Selection:
+    """The posts that some request selects, and who selects them.
 
+    Posts that the same requests select share a `set_id`; `sets` has a row (set_id, request_id) for
+    each request of a set, so a post that a thousand requests share is one row of `posts`. Requests
+    that ask for the same are one in `sets`; `twins` (request_id, twin) tells which stands for which.
+    """
 
-def hits_by_list(posts: DataFrame, usable: DataFrame) -> DataFrame:
-    """Requests small enough to list: one pass over the posts, no join and no shuffle."""
-    keyword_list = usable.select(F.explode("kws").alias("k")).agg(
-        F.sort_array(F.collect_set("k")).alias("v")
-    )
-    fields = ["request_id", "scope", "from_day", "to_day", "kws", "any_text", "datasets"]
-    request_list = usable.agg(F.sort_array(F.collect_list(F.struct(*fields))).alias("v"))
-    listed = posts.withColumns(
-        {"_keywords": keyword_list.scalar(), "_requests": request_list.scalar()}
-    )
+    posts: DataFrame
+    sets: DataFrame
+    twins: DataFrame
+
+    def pairs(self) -> DataFrame:
+        """One row per (request, post)."""
+        by_twin = self.sets.withColumnRenamed("request_id", "twin")
+        return self.posts.join(by_twin.join(self.twins, "twin").drop("twin"), "set_id").drop("set_id")
+
+
+def _gram(keyword: Column) -> Column:
+    size = F.lit(None).cast("int")
+    for n in reversed(_GRAM_SIZES):
+        size = F.when(F.length(keyword) >= n, n).otherwise(size)
+    return F.substring(keyword, F.lit(1), size)
 
-    def matching(found: Column) -> Column:
-        return F.filter(
-            F.col("_requests"),
-            lambda r: (
-                (r["datasets"].isNull() | F.array_contains(r["datasets"], F.col("source_dataset")))
-                & (r["any_text"] | F.arrays_overlap(r["kws"], found))
-            ),
-        )
-
-    found = let(
-        tx.search_key(F.col("text")),
-        lambda text: F.filter(F.col("_keywords"), lambda k: F.contains(text, k)),
-    )
-    hits = F.transform(let(found, matching), _hit)
-    matched = with_computed(listed, "hits", hits)
-    return matched.select(*posts.columns, "hits").filter(F.size("hits") > 0)
 
+def _bit(gram: Column) -> tuple[Column, Column]:
+    h = F.xxhash64(gram)
+    return F.pmod(h, F.lit(_FILTER_WORDS)).cast("int"), F.pmod(F.shiftrightunsigned(h, 32), F.lit(64)).cast("int")
 
-def hits_by_join(posts: DataFrame, usable: DataFrame) -> DataFrame:
-    """Any number of requests: keywords meet posts through their first characters.
 
-    A keyword can only occur in a text that holds its first three characters (or all of a shorter
-    keyword), so an equi-join on that gram finds all candidates and `contains` decides. Only
-    numbers, grams and requests are joined on grams; the texts move once, by post_id.
+def _filter_words(grams: DataFrame) -> DataFrame:
+    """A Bloom filter of the grams in one row; its size is fixed."""
+    word, bit = _bit(F.col("gram"))
+    own = grams.select(word.alias("word"), bit.alias("bit"))
+    own = own.select("word", F.expr("shiftleft(1L, bit)").alias("bits"))
+    none = grams.sparkSession.range(_FILTER_WORDS)
+    none = none.select(F.col("id").cast("int").alias("word"), F.lit(0).cast("long").alias("bits"))
+    words = own.unionByName(none).groupBy("word").agg(F.bit_or("bits").alias("bits"))
+    listed = F.sort_array(F.collect_list(F.struct("word", "bits")))
+    return words.agg(F.transform(listed, lambda w: w["bits"]).alias("v"))
+
+
+def keyword_hits(posts: DataFrame, keywords: DataFrame) -> DataFrame:
+    """(post_id, k): the keywords `k` (search keys, not empty) that each post's text contains.
+
+    The distinct grams of a text are cut inside its row to those that some keyword begins with; what
+    is left meets the keywords by equi-join, and the text, moved once by post_id, decides.
     """
-    request = F.struct("request_id", "scope", "from_day", "to_day").alias("r")
-    wanted = usable.filter(~F.col("any_text")).select(F.explode("kws").alias("k"), "datasets", request)
-    grams = wanted.select("k").distinct().withColumn("gram", F.substring("k", 1, _GRAM))
-
-    def runs_of(chars: Column, size: int) -> Column:
-        n = F.size(chars)
-        runs = F.transform(
-            F.sequence(F.lit(0), n - size),
-            lambda i: F.concat(*[F.get(chars, i + j) for j in range(size)]),
-        )
-        return F.when(n >= size, runs).otherwise(F.array().cast("array<string>"))
-
-    def pieces(chars: Column) -> Column:
-        longer = [runs_of(chars, size) for size in range(2, _GRAM + 1)]
-        return F.array_distinct(F.concat(chars, *longer))
-
-    chars = F.split(tx.search_key(F.col("text")), "")
-    post_grams = posts.select("post_id", F.explode(let(chars, pieces)).alias("gram"))
-    offered = (
-        post_grams.join(grams, "gram")
-        .join(wanted, "k")
-        .groupBy("post_id")
-        .agg(F.collect_list(F.struct("k", "datasets", "r")).alias("_offered"))
-    )
-    # Requests without keywords: per dataset they name, or part of every post's answer. Neither
-    # list is longer than the answer of a single post.
-    whole = usable.filter("any_text")
-    by_dataset = (
-        whole.filter(F.col("datasets").isNotNull())
-        .select(request, F.explode("datasets").alias("source_dataset"))
-        .groupBy("source_dataset")
-        .agg(F.collect_list("r").alias("_named"))
-    )
-    everywhere = whole.filter(F.col("datasets").isNull()).select(request)
-    joined = (
-        posts.join(offered, "post_id", "left")
-        .join(by_dataset, "source_dataset", "left")
-        .withColumn("_every", everywhere.agg(F.collect_list("r")).scalar())
+    wanted = keywords.select("k", _gram(F.col("k")).alias("gram"))
+    texts = posts.select("post_id", tx.search_key(F.col("text")).alias("_key"))
+    grams = [F.regexp_extract_all("_key", F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1)) for n in _GRAM_SIZES]
+
+    def known(gram: Column) -> Column:
+        word, bit = _bit(gram)
+        return F.getbit(F.get(F.col("_wanted"), word), bit) == 1
+
+    cut = texts.withColumn("_wanted", _filter_words(wanted.select("gram").distinct()).scalar()).select(
+        "post_id", F.explode(F.filter(F.array_distinct(F.concat(*grams)), known)).alias("gram")
     )
+    offered = cut.join(wanted, "gram").select("post_id", "k")
+    return offered.join(texts, "post_id").filter(F.contains("_key", F.col("k"))).select("post_id", "k")
 
-    def confirmed(text: Column) -> Column:
-        return F.filter(
-            F.col("_offered"),
-            lambda o: F.contains(text, o["k"])
-            & (o["datasets"].isNull() | F.array_contains(o["datasets"], F.col("source_dataset"))),
-        )
 
-    by_keyword = F.transform(let(tx.search_key(F.col("text")), confirmed), lambda o: o["r"])
-    hits = F.concat(F.coalesce(by_keyword, F.array()), F.coalesce("_named", F.array()), "_every")
-    matched = with_computed(joined, "hits", F.sort_array(F.array_distinct(hits)))
-    return matched.select(*posts.columns, "hits").filter(F.size("hits") > 0)
+def wanted_keywords(usable: DataFrame) -> DataFrame:
+    """One row per request and keyword; a request that matches any text has the empty keyword."""
+    words = F.when(F.col("any_text"), F.array(F.lit(""))).otherwise(F.col("kws"))
+    return usable.select("request_id", "scope", "from_day", "to_day", "datasets", F.explode(words).alias("k"))
 
 
-def match_requests(posts: DataFrame, prepared: DataFrame) -> DataFrame:
-    """Posts with `hits`: the requests whose datasets and keywords they match."""
-    usable = prepared.filter(~F.col("bad_dates"))
-    size = usable.agg(
-        F.count("*").alias("n"), F.coalesce(F.sum(F.size("kws")), F.lit(0)).alias("keywords")
-    ).first()
-    if size["n"] <= MAX_LISTED_REQUESTS and size["keywords"] <= MAX_LISTED_KEYWORDS:
-        return hits_by_list(posts, usable)
-    return hits_by_join(posts, usable)
+def _digest(*parts) -> Column:
+    """128 bits that tell values apart."""
+    return F.unhex(F.substring(F.sha2(F.to_json(F.struct(*parts)), 256), 1, 32))
+
+
+def same_requests(prepared: DataFrame) -> DataFrame:
+    """(request_id, twin): of requests that ask for the same, the smallest stands for all."""
+    asked = _digest(F.sort_array("kws").alias("k"), "any_text", "from_day", "to_day", "bad_dates", "datasets")
+    known = prepared.select("request_id", asked.alias("asked"))
+    first = known.groupBy("asked").agg(F.min("request_id").alias("twin"))
+    return known.join(first, "asked").select("request_id", "twin")
+
+
+def standing(prepared: DataFrame, twins: DataFrame) -> DataFrame:
+    """The requests that stand for others, or for themselves alone."""
+    return prepared.join(twins.filter("request_id = twin").select("request_id"), "request_id")
+
 
+def match_requests(posts: DataFrame, prepared: DataFrame) -> DataFrame:
+    """Posts with `_words`, the requested keywords they contain (sorted), and `_class`.
 
-def survivors_per_scope(matched: DataFrame) -> DataFrame:
-    """Keep a post's hits only in the scopes where it is the first copy of its text (hash `_h`).
+    Posts with the same words and dataset are of one class, which every request matches or not.
+    """
+    wanted = wanted_keywords(prepared.filter(~F.col("bad_dates")))
+    hits = keyword_hits(posts, wanted.filter("k <> ''").select("k").distinct())
+    # No more than a text has places for: every keyword listed occurs in it.
+    per_post = hits.groupBy("post_id").agg(F.sort_array(F.collect_list("k")).alias("_found"))
+    every = wanted.agg(F.coalesce(F.bool_or(F.col("k") == ""), F.lit(False))).scalar()
+    none = F.array().cast("array<string>")
+    words = F.concat(F.when(every, F.array(F.lit(""))).otherwise(none), F.coalesce("_found", none))
+    matched = posts.join(per_post, "post_id", "left").withColumn("_words", words).drop("_found")
+    matched = matched.filter(F.size("_words") > 0)
+    return matched.withColumn("_class", _digest(F.col("_words"), F.col("source_dataset")))
+
+
+def class_requests(matched: DataFrame, prepared: DataFrame) -> DataFrame:
+    """(_class, request_id, scope, from_day, to_day): the requests whose keywords and datasets a
+    class matches."""
+    wanted = wanted_keywords(prepared.filter(~F.col("bad_dates")))
+    classes = matched.select("_class", "_words", "source_dataset").distinct()
+    held = classes.select("_class", "source_dataset", F.explode("_words").alias("k")).join(wanted, "k")
+    named = F.col("datasets").isNull() | F.array_contains("datasets", F.col("source_dataset"))
+    return held.filter(named).select("_class", "request_id", "scope", "from_day", "to_day").distinct()
+
+
+def survivors_per_scope(matched: DataFrame, wanting: DataFrame) -> DataFrame:
+    """(post_id, _scopes): the scopes in which a post is the first copy of its text (hash `_h`).
 
     Scopes are the distinct sets of datasets that requests name (usually one), so the pairs that
     are grouped are far fewer than (request, post) pairs.
     """
-    scopes = F.array_distinct(F.col("hits.scope"))
-    first = (
-        matched.select("_h", "post_id", F.explode(scopes).alias("scope"))
+    scopes = wanting.select("_class", "scope").distinct()
+    return (
+        matched.select("_h", "post_id", "_class")
+        .join(scopes, "_class")
         .groupBy("scope", "_h")
         .agg(F.min("post_id").alias("post_id"))
         .groupBy("post_id")
-        .agg(F.collect_set("scope").alias("_scopes"))
+        .agg(F.sort_array(F.collect_set("scope")).alias("_scopes"))
     )
-    kept = F.filter(F.col("hits"), lambda h: F.array_contains(F.col("_scopes"), h["scope"]))
-    return matched.join(first, "post_id").withColumn("hits", kept).drop("_scopes")
 
 
 def select_posts(
@@ -227,25 +237,36 @@ def select_posts(
     deduplicate=True,
     strict_days=False,
     staged: Callable[[DataFrame], DataFrame] | None = None,
-) -> DataFrame:
-    """Posts that any request selects, with the array `requests` of request ids.
+) -> Selection:
+    """The posts that any request selects, folded by the set of requests that do.
 
-    Order of steps: keywords in the scan, then dedup, then dates (the surviving copy decides).
-    Dedup reads the matched posts twice, once for hashes and once for the rows; `staged` writes
-    them in between, so that texts are scanned and matched only once.
+    Order of steps: keywords, then dedup, then dates (the surviving copy decides). What requests
+    select is decided per class of posts (words, dataset, scopes and day), not per post. `staged`
+    writes what is read several times: matched posts, requests per class, sets per class.
     """
-    matched = match_requests(posts, prepared)
+    keep = staged or (lambda df: df)
+    twins = keep(same_requests(prepared))
+    prepared = standing(prepared, twins)
+    text = F.coalesce(F.col("text"), F.lit(""))
+    found = match_requests(posts, prepared)
+    found = found.withColumns({"_h": text_hash(text), "_day": post_day(F.col("created_at"), strict_days)})
+    found = keep(found)
+    wanting = keep(class_requests(found, prepared))
+    in_scope = F.lit(True)
     if deduplicate:
-        text = F.coalesce(F.col("text"), F.lit(""))
-        matched = matched.withColumn("_h", text_hash(text))
-        matched = survivors_per_scope(staged(matched) if staged else matched).drop("_h")
-    day = post_day(F.col("created_at"), strict_days)
-    dated = let(
-        day,
-        lambda d: F.filter(F.col("hits"), lambda h: in_range(d, h["from_day"], h["to_day"])),
-    )
-    return (
-        matched.withColumn("requests", F.transform(dated, lambda h: h["request_id"]))
-        .drop("hits")
-        .filter(F.size("requests") > 0)
-    )
+        found = found.join(survivors_per_scope(found, wanting), "post_id")
+        in_scope = F.array_contains("_scopes", F.col("scope"))
+    else:
+        found = found.withColumn("_scopes", F.array().cast("array<string>"))
+    kind = _digest("_class", "_scopes", F.col("_day").cast("string"))
+    found = found.withColumn("_kind", kind)
+    kinds = found.select("_kind", "_class", "_scopes", "_day").distinct()
+    chosen = kinds.join(wanting, "_class").filter(in_scope & in_range(F.col("_day"), F.col("from_day"), F.col("to_day")))
+    chosen = keep(chosen.select("_kind", "request_id").distinct())
+    # A set is known by its size and 128 bits of its members' hashes.
+    marks = (F.xxhash64("request_id"), F.xxhash64(F.lit(1), "request_id"))
+    mark = F.concat_ws("-", F.count("*"), *[F.bit_xor(m) for m in marks])
+    ids = chosen.groupBy("_kind").agg(mark.alias("set_id"))
+    sets = chosen.join(ids, "_kind").select("set_id", "request_id").distinct()
+    kept = found.join(ids, "_kind").drop("_kind", "_class", "_scopes", "_day", "_h", "_words")
+    return Selection(kept, keep(sets), twins)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from nabd.functions.text import handle_key
 from nabd.functions.values import first_present, let, present, round_exact
-from nabd.operators.grouping import attach, top_k
+from nabd.operators.grouping import SharedRows, attach, combined, handed_out, row_keys, top_k
 
 
 def author_key() -> Column:
@@ -18,12 +18,9 @@ def author_key() -> Column:
 def node_activity(posts: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """Authored posts plus mentions received, per handle. One pass over the posts."""
     names = F.concat(F.array(author_key()), F.coalesce("mentions", F.array().cast("array<string>")))
-    seen = posts.select(*keys, F.explode(names).alias("handle"))
-    return (
-        seen.filter(present(F.col("handle")).isNotNull())
-        .groupBy(*keys, "handle")
-        .agg(F.count("*").alias("activity"))
-    )
+    seen = posts.select(*row_keys(keys), F.explode(names).alias("handle"))
+    seen = seen.filter(present(F.col("handle")).isNotNull())
+    return combined(seen, keys, ["handle"], {"activity": (F.count("*"), F.sum)})
 
 
 def top_nodes(posts: DataFrame, keys: Sequence[str] = (), max_nodes: int = 50) -> DataFrame:
@@ -34,9 +31,9 @@ def top_nodes(posts: DataFrame, keys: Sequence[str] = (), max_nodes: int = 50) -
 def mention_edges(posts: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """All author -> mentioned edges with the number of posts; no self-mentions."""
     pairs = posts.select(
-        *keys, author_key().alias("src"), F.explode("mentions").alias("dst")
+        *row_keys(keys), author_key().alias("src"), F.explode("mentions").alias("dst")
     ).filter(F.col("src").isNotNull() & (F.col("dst") != "") & (F.col("src") != F.col("dst")))
-    return pairs.groupBy(*keys, "src", "dst").agg(F.count("*").alias("weight"))
+    return combined(pairs, keys, ["src", "dst"], {"weight": (F.count("*"), F.sum)})
 
 
 def edges_among(
@@ -49,9 +46,16 @@ def edges_among(
     the aggregation sees at most |nodes|^2 keys per group however many posts there are.
     """
     kept = nodes.groupBy(*keys).agg(F.sort_array(F.collect_list("handle")).alias("_top"))
-    authored = posts.select(*keys, author_key().alias("_author"), "mentions")
+    authored = posts.select(*row_keys(keys), author_key().alias("_author"), "mentions")
+    if isinstance(keys, SharedRows):  # posts of a set that name the same handles are one row
+        named = authored.filter(F.size("mentions") > 0)
+        alike = named.groupBy("set_id", "_author", "mentions").agg(F.count("*").alias("_n"))
+        authored = handed_out(alike, keys)
+    else:
+        authored = authored.withColumn("_n", F.lit(1).cast("bigint"))
     rows = attach(authored, kept, keys, row_weight=50).select(
         *keys,
+        "_n",
         "_author",
         F.array_contains("_top", F.col("_author")).alias("_author_kept"),
         F.sort_array(F.array_intersect("mentions", "_top")).alias("_named"),
@@ -80,10 +84,9 @@ def edges_among(
         F.when(F.col("_author").isNull(), let(F.col("_named"), together))
         .when(F.col("_author_kept"), let(F.col("_named"), from_author))
     )
-    edges = rows.filter(F.size("_named") > 0).select(*keys, F.explode(found).alias("e"))
-    return (
-        edges.select(*keys, "e.*").groupBy(*keys, "src", "dst").agg(F.sum("weight").alias("weight"))
-    )
+    edges = rows.filter(F.size("_named") > 0).select(*keys, "_n", F.explode(found).alias("e"))
+    weight = F.sum(F.col("e.weight") * F.col("_n")).alias("weight")
+    return edges.groupBy(*keys, F.col("e.src").alias("src"), F.col("e.dst").alias("dst")).agg(weight)
 
 
 def top_edges(edges: DataFrame, keys: Sequence[str] = (), max_edges: int = 200) -> DataFrame:

@@ -12,6 +12,7 @@ from nabd import fixed_values as fv
 from nabd.functions.dates import iso_day, post_day
 from nabd.functions.text import analysis_text, strip
 from nabd.functions.values import round_exact
+from nabd.operators.grouping import combined
 
 CLASSES = ("positive", "neutral", "negative")
 
@@ -106,13 +107,13 @@ def with_model_sentiment(
     )
 
 
-def _class_counts() -> list[Column]:
-    return [F.count_if(F.col("sentiment") == c).alias(c) for c in CLASSES]
+def _class_counts() -> dict:
+    return {c: (F.count_if(F.col("sentiment") == c), F.sum) for c in CLASSES}
 
 
 def sentiment_shares(scored: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """Percent of posts per class, two decimals."""
-    counts = scored.groupBy(*keys).agg(*_class_counts(), F.count("*").alias("_n"))
+    counts = combined(scored, keys, (), {**_class_counts(), "_n": (F.count("*"), F.sum)})
     total = F.greatest(F.col("_n"), F.lit(1))
     return counts.select(
         *keys,
@@ -127,7 +128,7 @@ def sentiment_timeline(scored: DataFrame, keys: Sequence[str] = (), strict=False
     """Posts per day and class; posts without a readable day are left out."""
     dated = scored.withColumn("_day", post_day(F.col("created_at"), strict))
     dated = dated.filter(F.col("_day").isNotNull())
-    daily = dated.groupBy(*keys, "_day").agg(*_class_counts())
+    daily = combined(dated, keys, ["_day"], _class_counts())
     return daily.select(*keys, iso_day(F.col("_day")).alias("day"), *CLASSES)
 
 

@@ -10,7 +10,15 @@ from pyspark.sql import functions as F
 from nabd.functions import text as tx
 from nabd.functions.unicode import with_search_text
 from nabd.functions.values import round_exact, with_computed
-from nabd.operators.grouping import as_list, attach, bounded, top_k
+from nabd.operators.grouping import (
+    SharedRows,
+    as_list,
+    attach,
+    bounded,
+    combined,
+    row_keys,
+    top_k,
+)
 from nabd.plans.staging import stage
 
 
@@ -24,19 +32,23 @@ def topic_documents(
     return df.select(*keep, "document").filter("document <> ''")
 
 
-def document_terms() -> Column:
-    return tx.one_and_two_grams(tx.words(F.col("document")))
+def with_terms(documents: DataFrame) -> DataFrame:
+    """`terms` in place of `document`: each distinct term of the document and its count."""
+    if "terms" in documents.columns:
+        return documents
+    terms = tx.term_counts(tx.one_and_two_grams(tx.words(F.col("document"))))
+    return with_computed(documents, "terms", terms).drop("document")
 
 
 def term_statistics(documents: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """Document frequency and corpus frequency per term.
 
-    Tasks combine terms before the shuffle, so a frequent term costs one row per task.
+    Terms are counted within their document, and tasks combine them before the shuffle, so a
+    frequent term costs one row per task.
     """
-    entries = documents.select(*keys, F.inline(tx.term_occurrences(document_terms())))
-    return entries.groupBy(*keys, "term").agg(
-        F.count_if("last").alias("df"), F.count("*").alias("cf")
-    )
+    entries = with_terms(documents).select(*row_keys(keys), F.inline("terms"))
+    counts = {"df": (F.count("*"), F.sum), "cf": (F.sum("tf"), F.sum)}
+    return combined(entries, keys, ["term"], counts)
 
 
 def vocabulary(
@@ -46,7 +58,7 @@ def vocabulary(
 
     A term needs max(2, n div 100) documents. When no term has that many, one is enough.
     """
-    totals = documents.groupBy(*keys).agg(F.count("*").alias("n"))
+    totals = combined(documents, keys, (), {"n": (F.count("*"), F.sum)})
     terms = term_statistics(documents, keys)
     widest = attach(terms.groupBy(*keys).agg(F.max("df").alias("_widest")), totals, keys)
     wanted = F.greatest(F.lit(2), F.floor(F.col("n") / 100))
@@ -74,22 +86,22 @@ def term_weights(
 ) -> DataFrame:
     """Unit-length TF-IDF weights per (post_id, term_id).
 
-    Only occurrences of the vocabulary's terms, already counted per task, are shuffled by
-    document. A vocabulary cut to `size` may be broadcast, and its terms travel as numbers.
+    Only the vocabulary's terms, counted per document, are shuffled, once and by document; a document
+    is then one row and is scaled there. A vocabulary cut to `size` may be broadcast, and its terms
+    travel as numbers. Documents that groups share are handed out here, after their terms are counted.
     """
-    entries = documents.select(*keys, "post_id", F.explode(document_terms()).alias("term"))
+    entries = with_terms(documents).select(*row_keys(keys), "post_id", F.inline("terms"))
     ids = vocab.select(*keys, "term", "term_id", "idf")
-    if size is not None:
+    if isinstance(keys, SharedRows):
+        ids = keys.sets.join(ids, list(keys))
+    elif size is not None:
         ids = bounded(ids, keys, size)
-    document = [*keys, "post_id"]
-    counts = (
-        entries.join(ids, [*keys, "term"])
-        .groupBy(*document, "term_id", "idf")
-        .agg(F.count("*").alias("tf"))
-        .select(*document, "term_id", (F.col("tf") * F.col("idf")).alias("_w"))
-    )
-    norm = F.sqrt(F.sum(F.col("_w") * F.col("_w")).over(Window.partitionBy(*document)))
-    return counts.select(*document, "term_id", (F.col("_w") / norm).alias("weight"))
+    weight = (F.col("tf") * F.col("idf")).alias("w")
+    found = entries.join(ids, [*row_keys(keys), "term"]).select(*keys, "post_id", F.struct("term_id", weight).alias("t"))
+    whole = found.groupBy(*keys, "post_id").agg(F.collect_list("t").alias("_t"))
+    squares = F.aggregate("_t", F.lit(0.0), lambda sum_, t: sum_ + t["w"] * t["w"])
+    scaled = whole.withColumn("_norm", F.sqrt(squares)).select(*keys, "post_id", "_norm", F.explode("_t").alias("t"))
+    return scaled.select(*keys, "post_id", "t.term_id", (F.col("t.w") / F.col("_norm")).alias("weight"))
 
 
 def phrase_scores(
@@ -160,7 +172,7 @@ def extract_topics(
     if method != "tfidf":
         raise ValueError(f"unknown topic method: {method}")
     documents = topic_documents(posts, text, [*keys, "post_id"], normalize_stopwords)
-    documents = stage(documents, "documents")  # tokens are read three times
+    documents = stage(with_terms(documents), "documents")  # terms are read twice
     return top_phrases(phrase_scores(documents, keys, vocabulary_size), keys, n_topics)
 
 

@@ -12,9 +12,9 @@ from nabd.functions import text as tx
 from nabd.functions.unicode import with_search_text
 from nabd.operators import report
 from nabd.operators.clean import clean_posts, valid_posts
-from nabd.operators.grouping import FewGroups, as_list
+from nabd.operators.grouping import SharedRows, as_list
 from nabd.operators.influence import detect_influencers
-from nabd.operators.match import prepare_requests, select_posts
+from nabd.operators.match import Selection, prepare_requests, select_posts
 from nabd.operators.network import interaction_network
 from nabd.operators.sentiment import (
     CLASSES,
@@ -23,7 +23,7 @@ from nabd.operators.sentiment import (
     with_lexicon_sentiment,
 )
 from nabd.operators.stats import breakdown_map, overall_stats
-from nabd.operators.topics import phrase_scores, top_phrases
+from nabd.operators.topics import phrase_scores, top_phrases, with_terms
 from nabd.plans.staging import stage
 
 KEY = "request_id"
@@ -31,18 +31,18 @@ KEY = "request_id"
 
 def enriched_posts(
     posts: DataFrame, prepared: DataFrame, deduplicate=True, score=with_lexicon_sentiment
-) -> DataFrame:
-    """Selected, cleaned, valid and scored posts, each with the requests it belongs to.
+) -> Selection:
+    """Selected, cleaned, valid and scored posts, each once, with the set of requests that share it.
 
-    Work that depends on the post alone (cleaning, sentiment, tokens) happens here once, however
-    many requests share the post.
+    Work that depends on the post alone (cleaning, sentiment, tokens, term counts) happens here,
+    however many requests share the post.
     """
     selected = select_posts(posts, prepared, deduplicate, staged=stage)
-    scored = score(valid_posts(clean_posts(selected)))
+    scored = score(valid_posts(clean_posts(selected.posts)))
     tokens = with_search_text(scored, F.col("cleaned_text"), "_norm")
-    return tokens.select(
+    enriched = tokens.select(
         "post_id",
-        "requests",
+        "set_id",
         "created_at",
         "user_id",
         "user_handle",
@@ -56,21 +56,25 @@ def enriched_posts(
         "score",
         tx.topic_document(F.col("_norm")).alias("document"),
     )
+    return Selection(stage(with_terms(enriched), "posts"), selected.sets, selected.twins)
 
 
-def matched_posts(enriched: DataFrame) -> DataFrame:
-    """One row per (request, post)."""
-    return enriched.withColumn("request_id", F.explode("requests")).drop("requests")
+def request_twins(sets: DataFrame) -> DataFrame:
+    """(request_id, twin): of requests that share the same sets, the smallest stands for all."""
+    marks = (F.xxhash64("set_id"), F.xxhash64(F.lit(1), "set_id"))
+    same = sets.groupBy(KEY).agg(F.count("*").alias("n"), *[F.bit_xor(m).alias(f"m{i}") for i, m in enumerate(marks)])
+    twins = same.groupBy("n", "m0", "m1").agg(F.min(KEY).alias("twin"))
+    return same.join(twins, ["n", "m0", "m1"]).select(KEY, "twin")
 
 
-def collection_state(posts: DataFrame, prepared: DataFrame, matched: DataFrame) -> DataFrame:
-    """For requests that selected nothing: did their datasets have rows, and valid ones?
+def collection_state(posts: DataFrame, prepared: DataFrame, selected: DataFrame) -> DataFrame:
+    """For requests that are not among `selected`: did their datasets have rows, and valid ones?
 
     The posts are read again only when there are such requests: per named dataset, and for
     requests over everything just until one row, and one valid row, is found in each task.
     """
     usable = prepared.filter(~F.col("bad_dates"))
-    empty = usable.join(matched.select(KEY).distinct(), KEY, "left_anti")
+    empty = usable.join(selected, KEY, "left_anti")
     kinds = empty.agg(
         F.count_if(F.col("datasets").isNull()).alias("whole"),
         F.count_if(F.col("datasets").isNotNull()).alias("listed"),
@@ -143,12 +147,17 @@ def analyze(
     `completed_results` gives the rows to publish.
     """
     prepared = stage(prepare_requests(requests, default_dataset_ids), "requests")
-    keys = FewGroups((KEY,), prepared.count())
-    enriched = stage(enriched_posts(posts, prepared, deduplicate, score), "posts")
-    matched = matched_posts(enriched)
+    enriched = enriched_posts(posts, prepared, deduplicate, score)
+    matched = enriched.posts
+    known = enriched.sets.join(matched.select("set_id").distinct(), "set_id", "left_semi")
+    shared = stage(request_twins(known), "twins")
+    alone = shared.filter(F.col(KEY) == F.col("twin")).select(KEY)
+    asked = enriched.twins.withColumnRenamed("twin", "_asked")
+    twins = asked.join(shared.withColumnRenamed(KEY, "_asked"), "_asked").drop("_asked")
+    keys = SharedRows((KEY,), prepared.count(), stage(known.join(alone, KEY).select("set_id", KEY), "sets"))
 
     stats = overall_stats(matched, keys)
-    documents = matched.filter("document <> ''").select(*keys, "post_id", "document")
+    documents = matched.filter(F.size("terms") > 0).select("set_id", "post_id", "terms")
     topics = top_phrases(phrase_scores(documents, keys, vocabulary_size), keys, n_topics)
     influencers = detect_influencers(matched, keys, top_n)
     nodes, edges = interaction_network(matched, keys, max_nodes, max_edges)
@@ -177,15 +186,17 @@ def analyze(
         result = result.join(given, "request_id")
     else:
         result = result.withColumn("keywords", F.array().cast("array<string>"))
-    result = result.join(stats, "request_id", "left").join(
-        sentiment_shares(matched, keys), "request_id", "left"
-    )
+    result = result.join(twins, KEY, "left")
+
+    def with_part(result: DataFrame, part: DataFrame) -> DataFrame:
+        return result.join(part.withColumnRenamed(KEY, "twin"), "twin", "left")
+
+    result = with_part(with_part(result, stats), sentiment_shares(matched, keys))
     for name, (frame, kind) in lists.items():
-        result = result.join(frame.withColumnRenamed("v", name), "request_id", "left").withColumn(
-            name, F.coalesce(F.col(name).cast(kind), F.array().cast(kind))
-        )
-    result = result.join(breakdown_map(matched, keys), "request_id", "left")
-    result = result.join(collection_state(posts, prepared, matched), "request_id", "left")
+        listed = F.coalesce(F.col(name).cast(kind), F.array().cast(kind))
+        result = with_part(result, frame.withColumnRenamed("v", name)).withColumn(name, listed)
+    result = with_part(result, breakdown_map(matched, keys))
+    result = result.join(collection_state(posts, prepared, twins.select(KEY)), KEY, "left")
     zero = F.lit(0).cast("bigint")
     result = result.withColumns(
         {

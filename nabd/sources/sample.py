@@ -100,3 +100,17 @@ def order_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
         "o_orderdate AS created_at",
         "o_orderdate AS updated_at",
     )
+
+
+def order_keyword_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One request per order: a keyword of one to three letters, a handle, or digits, by its key."""
+    return table(spark, sf_dir, "orders").selectExpr(
+        "concat('o', o_orderkey) AS request_id",
+        "array(CASE o_orderkey % 5 WHEN 0 THEN substring('etaoinshrdlu', 1 + o_orderkey % 12, 1) "
+        "WHEN 1 THEN substring('theandingionere', 1 + o_orderkey % 13, 3) "
+        "WHEN 2 THEN substring('heanrestndou', 1 + o_orderkey % 11, 2) "
+        "WHEN 3 THEN concat('User_', o_orderkey % 40) ELSE CAST(o_orderkey AS string) END) AS keywords",
+        "CASE WHEN o_orderkey % 4 = 0 THEN array(concat('src', o_orderkey % 8)) END AS dataset_ids",
+        "CAST(NULL AS string) AS date_from",
+        "CAST(NULL AS string) AS date_to",
+    )

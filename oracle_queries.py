@@ -386,6 +386,15 @@ NATION_REQUESTS = """nreq AS (SELECT concat('n', n_nationkey) AS request_id, [co
 NATION_PAIRS = f"""npairs AS (SELECT DISTINCT request_id, d1, d2, p.* FROM
   (SELECT *, {search_key('text')} AS sk FROM posts) p
   JOIN (SELECT request_id, d1, d2, unnest(kws) AS kw FROM nreq) r ON contains(p.sk, r.kw))"""
+ORDER_KEYWORDS = """okw AS (SELECT concat('o', o_orderkey) AS request_id,
+  CASE o_orderkey % 5 WHEN 0 THEN substring('etaoinshrdlu', CAST(1 + o_orderkey % 12 AS INT), 1)
+    WHEN 1 THEN substring('theandingionere', CAST(1 + o_orderkey % 13 AS INT), 3)
+    WHEN 2 THEN substring('heanrestndou', CAST(1 + o_orderkey % 11 AS INT), 2)
+    WHEN 3 THEN concat('user_', o_orderkey % 40) ELSE CAST(o_orderkey AS VARCHAR) END AS kw,
+  CASE WHEN o_orderkey % 4 = 0 THEN concat('src', o_orderkey % 8) END AS src FROM orders)"""
+ORDER_PAIRS = f"""opairs AS (SELECT k.kw, p.post_id, p.source_dataset FROM
+  (SELECT post_id, source_dataset, {search_key('text')} AS sk FROM posts) p
+  JOIN (SELECT DISTINCT kw FROM okw) k ON contains(p.sk, k.kw))"""
 ORDER_REQUESTS = """oreq AS (SELECT CAST(o_orderkey AS VARCHAR) AS request_id,
   CASE WHEN o_orderkey % 9 = 0 THEN NULL ELSE CAST(o_custkey AS VARCHAR) END AS user_id,
   o_orderpriority AS title,
@@ -638,6 +647,11 @@ WHERE {keyword_test('text', keywords)} AND {in_days('2024-01-03', None)}""",
         "request_matches_by_join": with_(
             (POSTS, NATION_REQUESTS, NATION_PAIRS), "SELECT post_id, request_id FROM npairs"
         ),
+        "order_request_matches": with_(
+            (POSTS, ORDER_KEYWORDS, ORDER_PAIRS),
+            """SELECT request_id, count(*) AS posts, min(post_id) AS first_post FROM okw JOIN opairs USING (kw)
+WHERE src IS NULL OR src = source_dataset GROUP BY request_id""",
+        ),
         "event_stats": with_((EVENT_POSTS,), totals("event_posts", ("event_type",))),
         "overall_stats": with_((POSTS,), totals("posts")),
         "overall_stats_by_language": with_((POSTS,), totals("posts", lang)),

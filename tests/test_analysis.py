@@ -130,8 +130,7 @@ def test_selection_runs_in_the_jvm_and_filters_below_dedup(spark, sf):
     for df in (
         network.node_activity(posts.withColumn("mentions", tx.mentions(F.col("text")))),
         dedup.dedup_by_hash(posts),
-        match.hits_by_list(posts, match.prepare_requests(sample_requests(spark))),
-        match.hits_by_join(posts, match.prepare_requests(sample_requests(spark))),
+        match.match_requests(posts, match.prepare_requests(sample_requests(spark))),
     ):
         assert "Python" not in plan(df)
         assert "CartesianProduct" not in plan(df) and "NestedLoop" not in plan(df)

@@ -162,7 +162,7 @@ REQUEST = (
 )
 
 
-def test_both_match_paths_agree(spark, make_posts):
+def test_matches_are_those_of_every_pair(spark, make_posts):
     rows = [
         {"text": t, "source_dataset": s}
         for t, s in [
@@ -185,11 +185,6 @@ def test_both_match_paths_agree(spark, make_posts):
     )
     posts = make_posts(*rows)
     prepared = match.prepare_requests(requests)
-    usable = prepared.filter(~F.col("bad_dates"))
-
-    def pairs(df):
-        flat = df.select("post_id", F.explode("hits").alias("h")).select("post_id", "h.request_id")
-        return sorted((r.request_id, r.post_id) for r in flat.collect())
 
     def key(s):
         return tx_key(s or "")
@@ -206,8 +201,9 @@ def test_both_match_paths_agree(spark, make_posts):
             inside = not r.dataset_ids or row["source_dataset"] in r.dataset_ids
             if inside and (not kws or any(k in key(row["text"]) for k in kws)):
                 want.append((r.request_id, i))
-    assert pairs(match.hits_by_list(posts, usable)) == sorted(want)
-    assert pairs(match.hits_by_join(posts, usable)) == sorted(want)
+    matched = match.match_requests(posts, prepared)
+    pairs = matched.join(match.class_requests(matched, prepared), "_class")
+    assert sorted((r.request_id, r.post_id) for r in pairs.collect()) == sorted(want)
     bad = prepared.filter("bad_dates").collect()
     assert [r.request_id for r in bad] == ["bad"]
 
@@ -223,8 +219,8 @@ def test_dedup_is_per_set_of_datasets(spark, make_posts):
         [("both", ["same"], None, None, None), ("y", ["same"], ["y"], None, None)], REQUEST
     )
     selected = match.select_posts(posts, match.prepare_requests(requests))
-    got = {(r.post_id, tuple(r.requests)) for r in selected.select("post_id", "requests").collect()}
-    assert got == {(0, ("both",)), (1, ("y",))}
+    got = {(r.post_id, r.request_id) for r in selected.pairs().collect()}
+    assert got == {(0, "both"), (1, "y")}
 
 
 def test_keywords_are_monotone(spark, sf):
