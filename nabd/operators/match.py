@@ -11,8 +11,8 @@ from nabd.functions import text as tx
 from nabd.functions.dates import in_range, post_day, request_day_text
 from nabd.operators.dedup import dedup_by_hash, text_hash
 
-# Keywords meet texts by their first characters: as many of these as the keyword has.
-_GRAM_SIZES = (6, 3, 2, 1)
+# Keywords meet texts by their first three characters, shorter ones by their first.
+_GRAM = 3
 # The filter of wanted grams: so many 64-bit words, whatever the number of keywords.
 _FILTER_WORDS = 1 << 13
 
@@ -119,9 +119,7 @@ class Selection:
 
 
 def _gram(keyword: Column) -> Column:
-    size = F.lit(None).cast("int")
-    for n in reversed(_GRAM_SIZES):
-        size = F.when(F.length(keyword) >= n, n).otherwise(size)
+    size = F.when(F.length(keyword) >= _GRAM, _GRAM).otherwise(1)
     return F.substring(keyword, F.lit(1), size)
 
 
@@ -131,7 +129,7 @@ def _bit(gram: Column) -> tuple[Column, Column]:
 
 
 def _filter_words(grams: DataFrame) -> DataFrame:
-    """A Bloom filter of the grams in one row; its size is fixed."""
+    """A Bloom filter of the grams, of fixed size, and whether single letters are among them."""
     word, bit = _bit(F.col("gram"))
     own = grams.select(word.alias("word"), bit.alias("bit"))
     own = own.select("word", F.expr("shiftleft(1L, bit)").alias("bits"))
@@ -139,28 +137,40 @@ def _filter_words(grams: DataFrame) -> DataFrame:
     none = none.select(F.col("id").cast("int").alias("word"), F.lit(0).cast("long").alias("bits"))
     words = own.unionByName(none).groupBy("word").agg(F.bit_or("bits").alias("bits"))
     listed = F.sort_array(F.collect_list(F.struct("word", "bits")))
-    return words.agg(F.transform(listed, lambda w: w["bits"]).alias("v"))
+    bits = words.agg(F.transform(listed, lambda w: w["bits"]).alias("bits"))
+    letters = grams.agg(F.coalesce(F.bool_or(F.length("gram") == 1), F.lit(False))).scalar()
+    return bits.select(F.struct("bits", letters.alias("letters")).alias("v"))
 
 
-def keyword_hits(posts: DataFrame, keywords: DataFrame) -> DataFrame:
-    """(post_id, k): the keywords `k` (search keys, not empty) that each post's text contains.
+def post_words(posts: DataFrame, keywords: DataFrame, strict_days=False) -> DataFrame:
+    """One row per post: source_dataset, `_h` (hash of its text), `_day`, and `_words`, those of the
+    keywords `k` (search keys, not empty) that its text contains.
 
-    The distinct grams of a text are cut inside its row to those that some keyword begins with; what
-    is left meets the keywords by equi-join, and the text, moved once by post_id, decides.
+    The grams of a text are cut in its task to those that some keyword begins with; what is left meets
+    the keywords by equi-join, and the text, moved once by post_id, decides.
     """
     wanted = keywords.select("k", _gram(F.col("k")).alias("gram"))
-    texts = posts.select("post_id", tx.search_key(F.col("text")).alias("_key"))
-    grams = [F.regexp_extract_all("_key", F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1)) for n in _GRAM_SIZES]
-
-    def known(gram: Column) -> Column:
-        word, bit = _bit(gram)
-        return F.getbit(F.get(F.col("_wanted"), word), bit) == 1
-
-    cut = texts.withColumn("_wanted", _filter_words(wanted.select("gram").distinct()).scalar()).select(
-        "post_id", F.explode(F.filter(F.array_distinct(F.concat(*grams)), known)).alias("gram")
+    texts = posts.select(
+        "post_id",
+        "source_dataset",
+        tx.search_key(F.col("text")).alias("_key"),
+        text_hash(F.coalesce(F.col("text"), F.lit(""))).alias("_h"),
+        post_day(F.col("created_at"), strict_days).alias("_day"),
+    )
+    letters = F.when(F.col("_wanted.letters"), F.split("_key", "")).otherwise(F.array().cast("array<string>"))
+    grams = F.concat(F.regexp_extract_all("_key", F.lit(f"(?s)(?=(.{{{_GRAM}}}))"), F.lit(1)), letters)
+    # Taken apart into rows first: rows are hashed in generated code, elements of an array are not.
+    filtered = texts.withColumn("_wanted", _filter_words(wanted.select("gram").distinct()).scalar())
+    rows = filtered.select("post_id", "_wanted", F.explode(grams).alias("gram"))
+    word, bit = _bit(F.col("gram"))
+    cut = rows.filter(F.getbit(F.get(F.col("_wanted.bits"), word), bit) == 1).select("post_id", "gram").distinct()
+    offered = cut.join(wanted, "gram").select(F.col("post_id").alias("_id"), "k")
+    inside = (F.col("post_id") == F.col("_id")) & F.contains("_key", F.col("k"))
+    # As many words as the text has places for: every one listed occurs in it.
+    return texts.join(offered, inside, "left").groupBy("post_id").agg(
+        *[F.first(c).alias(c) for c in ("source_dataset", "_h", "_day")],
+        F.sort_array(F.collect_list("k")).alias("_words"),
     )
-    offered = cut.join(wanted, "gram").select("post_id", "k")
-    return offered.join(texts, "post_id").filter(F.contains("_key", F.col("k"))).select("post_id", "k")
 
 
 def wanted_keywords(usable: DataFrame) -> DataFrame:
@@ -187,21 +197,19 @@ def standing(prepared: DataFrame, twins: DataFrame) -> DataFrame:
     return prepared.join(twins.filter("request_id = twin").select("request_id"), "request_id")
 
 
-def match_requests(posts: DataFrame, prepared: DataFrame) -> DataFrame:
-    """Posts with `_words`, the requested keywords they contain (sorted), and `_class`.
+def match_requests(posts: DataFrame, prepared: DataFrame, strict_days=False) -> DataFrame:
+    """What decides on the posts: post_id, `_h`, `_day`, `_words`, source_dataset and `_class`.
 
-    Posts with the same words and dataset are of one class, which every request matches or not.
+    Posts with the same words and dataset are of one class, which every request matches or not. Posts
+    without any requested word are left out, unless some request matches any text.
     """
     wanted = wanted_keywords(prepared.filter(~F.col("bad_dates")))
-    hits = keyword_hits(posts, wanted.filter("k <> ''").select("k").distinct())
-    # No more than a text has places for: every keyword listed occurs in it.
-    per_post = hits.groupBy("post_id").agg(F.sort_array(F.collect_list("k")).alias("_found"))
+    keywords = wanted.filter("k <> ''").select("k").distinct()
     every = wanted.agg(F.coalesce(F.bool_or(F.col("k") == ""), F.lit(False))).scalar()
-    none = F.array().cast("array<string>")
-    words = F.concat(F.when(every, F.array(F.lit(""))).otherwise(none), F.coalesce("_found", none))
-    matched = posts.join(per_post, "post_id", "left").withColumn("_words", words).drop("_found")
-    matched = matched.filter(F.size("_words") > 0)
-    return matched.withColumn("_class", _digest(F.col("_words"), F.col("source_dataset")))
+    any_text = F.when(every, F.array(F.lit(""))).otherwise(F.array().cast("array<string>"))
+    found = post_words(posts, keywords, strict_days).withColumn("_words", F.concat(any_text, "_words"))
+    found = found.filter(F.size("_words") > 0)
+    return found.withColumn("_class", _digest(F.col("_words"), F.col("source_dataset")))
 
 
 def class_requests(matched: DataFrame, prepared: DataFrame) -> DataFrame:
@@ -241,16 +249,14 @@ def select_posts(
     """The posts that any request selects, folded by the set of requests that do.
 
     Order of steps: keywords, then dedup, then dates (the surviving copy decides). What requests
-    select is decided per class of posts (words, dataset, scopes and day), not per post. `staged`
-    writes what is read several times: matched posts, requests per class, sets per class.
+    select is decided per class of posts (words, dataset, scopes and day), not per post, and without
+    the posts themselves: these are read once more at the end. `staged` writes what is read several
+    times: posts with their words, requests per class, sets per class, the set of each post.
     """
     keep = staged or (lambda df: df)
     twins = keep(same_requests(prepared))
     prepared = standing(prepared, twins)
-    text = F.coalesce(F.col("text"), F.lit(""))
-    found = match_requests(posts, prepared)
-    found = found.withColumns({"_h": text_hash(text), "_day": post_day(F.col("created_at"), strict_days)})
-    found = keep(found)
+    found = keep(match_requests(posts, prepared, strict_days))
     wanting = keep(class_requests(found, prepared))
     in_scope = F.lit(True)
     if deduplicate:
@@ -268,5 +274,5 @@ def select_posts(
     mark = F.concat_ws("-", F.count("*"), *[F.bit_xor(m) for m in marks])
     ids = chosen.groupBy("_kind").agg(mark.alias("set_id"))
     sets = chosen.join(ids, "_kind").select("set_id", "request_id").distinct()
-    kept = found.join(ids, "_kind").drop("_kind", "_class", "_scopes", "_day", "_h", "_words")
-    return Selection(kept, keep(sets), twins)
+    kept = keep(found.join(ids, "_kind").select("post_id", "set_id"))
+    return Selection(posts.join(kept, "post_id"), keep(sets), twins)

@@ -8,10 +8,12 @@ from pyspark.sql import functions as F
 
 from nabd import fixed_values as fv
 from nabd.functions import text as tx
+from nabd.functions.dates import post_day
 from nabd.operators import dedup, match, network, stats, topics
 from nabd.operators.report import join_topics, recommendations, summary
 from nabd.plans import staging
-from nabd.plans.analysis import analyze, completed_results
+from nabd.plans.analysis import analyze, completed_results, enriched_posts
+from nabd.plans.staging import stage
 from nabd.schema import EDGES, INFLUENCERS, NODES, POST, REQUEST, TIMELINE, TOPICS
 from nabd.sources import control
 from nabd.sources.sample import sample_posts, sample_requests
@@ -220,3 +222,41 @@ def test_scope_deletes_what_it_staged(spark):
         (folder,) = {f.rsplit("/", 1)[0].removeprefix("file:").replace("//", "/") for f in table.inputFiles()}
         assert table.count() == 3 and Path(folder).exists()
     assert not Path(folder).exists()
+
+
+def test_posts_shared_by_many_requests_are_worked_on_once(spark, sf):
+    """Three hundred requests for two keywords: posts, term counts and sets stay as few as for two."""
+    posts = sample_posts(spark, sf)
+    rows = [(f"q{i:03}", ["the"] if i % 2 else ["user_3", "User_3"], None) for i in range(300)]
+    rows.append(("none", ["zzzz-none"], None))
+    requests = spark.createDataFrame(rows, "request_id string, keywords array<string>, date_from string")
+    enriched = enriched_posts(posts, stage(match.prepare_requests(requests), "requests"))
+    assert enriched.posts.count() == enriched.posts.select("post_id").distinct().count()
+    assert "terms" in enriched.posts.columns and enriched.sets.count() <= 4
+    assert enriched.twins.select("twin").distinct().count() == 3
+    got = {r.request_id: r.asDict() for r in analyze(posts, requests).collect()}
+    assert len(got) == 301
+    for i in range(300):
+        alike = got[f"q{i:03}"]
+        assert {**alike, "request_id": ""} == {**got[f"q00{i % 2}"], "request_id": ""}
+    alone = {r.request_id: r.asDict() for r in analyze(posts, requests.filter("request_id in ('q000', 'q001')")).collect()}
+    assert alone == {k: got[k] for k in ("q000", "q001")}
+
+
+def test_user_sketches_merge_to_those_of_the_whole(spark, sf):
+    posts = sample_posts(spark, sf)
+    daily = stage(stats.daily_user_sketches(posts, ("lang",)), "sketches")
+    assert daily.count() == posts.select("lang", post_day(F.col("created_at"))).dropna().distinct().count()
+    dated = posts.filter(post_day(F.col("created_at")).isNotNull())
+    exact = {r.lang: r.n for r in dated.groupBy("lang").agg(F.countDistinct("user_id").alias("n")).collect()}
+    merged = {r.lang: r.users for r in stats.users_between(daily, ("lang",)).collect()}
+    whole = dated.groupBy("lang").agg(F.hll_sketch_estimate(stats.user_sketch()[0]).alias("n"))
+    assert merged == {r.lang: r.n for r in whole.collect()}
+    error = 3 * 1.04 / 2 ** (stats.LOG_BUCKETS / 2)
+    assert all(abs(merged[k] - n) <= error * n + 1 for k, n in exact.items())
+    early = stats.users_between(daily, ("lang",), last="2024-01-10").collect()
+    assert all(r.users <= merged[r.lang] for r in early)
+    approximate = stats.overall_stats(posts, ("lang",), approximate=True)
+    counted = stats.overall_stats(posts, ("lang",))
+    pairs = approximate.select("lang", F.col("total_users").alias("a")).join(counted, "lang").collect()
+    assert all(abs(r.a - r.total_users) <= error * r.total_users + 1 for r in pairs)
