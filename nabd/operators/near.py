@@ -10,11 +10,12 @@ A post is removed when an earlier kept post is at least `threshold` similar. The
   first ones for all its terms has met every earlier candidate and is decided; a post similar to an
   undecided earlier one waits for it and sends nothing;
 * what is undecided then is similar to no kept post, as chains of drifting texts are. Its similar
-  pairs are found once, and one pass over each connected part, in post order, decides it. The
-  number of rounds does not depend on the length of a chain.
+  pairs are found once; a connected part with few of them is decided by one pass in post order, a
+  larger one by rounds that keep every post without an undecided earlier neighbour.
 """
 
 from collections.abc import Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -29,6 +30,9 @@ from nabd.operators.graph import component_labels
 from nabd.operators.grouping import MAX_BROADCAST_ROWS, attach, bounded, global_rank, top_k
 from nabd.plans.staging import stage
 
+#: Similar pairs of one connected part that one task may walk; larger parts are decided by joins.
+WALKED_PAIRS = 1 << 20
+_ROUNDS_A_PART = 8
 _FIRST_WIDTH = 16
 _GROWTH = 4
 _ROUNDS = 3
@@ -161,16 +165,13 @@ def _similar(pairs: DataFrame, vectors: DataFrame, threshold: float) -> DataFram
     )
 
 
-def _resolve(similar: DataFrame) -> DataFrame:
-    """post_id of all posts of `similar` (head, post_id) that first-wins removes.
+def _walked(dealt: DataFrame) -> DataFrame:
+    """post_id of what first-wins removes among `dealt` (component, post_id, head), part by part.
 
     Pairs arrive by connected part and post. A task holds the ids removed in one part, and no pairs.
     """
-    ends = similar.select(F.explode(F.array("head", "post_id")).alias("id")).distinct()
-    pairs = similar.select(F.col("head").alias("a"), F.col("post_id").alias("b"))
-    labels = component_labels(ends, pairs).select(F.col("id").alias("post_id"), "component")
-    parts = int(similar.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = similar.join(labels, "post_id").repartition(parts, "component")
+    parts = int(dealt.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = dealt.repartition(parts, "component")
 
     def walk(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         part, removed = None, set()
@@ -188,7 +189,51 @@ def _resolve(similar: DataFrame) -> DataFrame:
     return ordered.select("component", "post_id", "head").mapInPandas(walk, "post_id long")
 
 
-def first_wins(vectors: DataFrame, threshold: float) -> DataFrame:
+def _round(open_pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """One round over all parts at once: what it removes, and the pairs that are still open.
+
+    A post without an undecided earlier neighbour is kept, and its neighbours go. A pair is open as
+    long as neither of its posts has gone.
+    """
+    heads = open_pairs.select("head").distinct()
+    later = open_pairs.select(F.col("post_id").alias("head")).distinct()
+    kept = heads.join(later, "head", "left_anti")
+    gone = stage(open_pairs.join(kept, "head", "left_semi").select("post_id").distinct(), "gone")
+    left = open_pairs.join(gone, "post_id", "left_anti")
+    left = left.join(gone.withColumnRenamed("post_id", "head"), "head", "left_anti")
+    return gone, left.select("head", "post_id")
+
+
+def _resolve(similar: DataFrame, walked_pairs: int) -> DataFrame:
+    """post_id of all posts of `similar` (head, post_id) that first-wins removes.
+
+    Connected parts of up to `walked_pairs` pairs are walked, each within a task. Larger ones are
+    decided in rounds of joins, which also break them into smaller parts; a part of which nothing but
+    one long chain is left takes a round for every two of its posts until it is short enough.
+    """
+    removed = []
+    open_pairs = similar
+    while True:
+        ends = open_pairs.select(F.explode(F.array("head", "post_id")).alias("id")).distinct()
+        pairs = open_pairs.select(F.col("head").alias("a"), F.col("post_id").alias("b"))
+        labels = component_labels(ends, pairs).select(F.col("id").alias("post_id"), "component")
+        dealt = stage(open_pairs.join(labels, "post_id"), "parts")
+        large = dealt.groupBy("component").agg(F.count("*").alias("n")).filter(F.col("n") > walked_pairs)
+        large = stage(large.select("component"), "large")
+        small = dealt.join(large, "component", "left_anti")
+        removed.append(stage(_walked(small), "walked"))
+        if large.isEmpty():
+            return reduce(DataFrame.unionByName, removed)
+        open_pairs = dealt.join(large, "component", "left_semi").select("head", "post_id")
+        for _ in range(_ROUNDS_A_PART):
+            gone, open_pairs = _round(open_pairs)
+            open_pairs = stage(open_pairs, "open")
+            removed.append(gone)
+
+
+def first_wins(
+    vectors: DataFrame, threshold: float, walked_pairs: int = WALKED_PAIRS
+) -> DataFrame:
     """post_id of the vectors kept by the greedy rule. `vectors` holds distinct vectors."""
     vectors = stage(vectors, "vectors")
     positions = vectors.agg(F.coalesce(F.max(F.array_max("ts")), F.lit(0))).first()[0]
@@ -261,7 +306,7 @@ def first_wins(vectors: DataFrame, threshold: float) -> DataFrame:
     else:  # no post left is similar to a kept one; decide the rest among themselves
         rest = postings.join(state.select("post_id"), "post_id").select("post_id", "t", "w")
         left = stage(_similar(_candidates(rest, rest, profiles, threshold), vectors, threshold), "left")
-        kept_rounds.append(state.select("post_id").join(_resolve(left), "post_id", "left_anti"))
+        kept_rounds.append(state.select("post_id").join(_resolve(left, walked_pairs), "post_id", "left_anti"))
     result = kept_rounds[0]
     for more in kept_rounds[1:]:
         result = result.unionByName(more)
@@ -273,6 +318,7 @@ def dedup_near(
     threshold: float = fv.NEAR_THRESHOLD,
     max_features: int | None = None,
     text: Column | None = None,
+    walked_pairs: int = WALKED_PAIRS,
 ) -> DataFrame:
     """Keep each post unless an earlier kept one is near-identical; empty texts are dropped.
 
@@ -291,7 +337,7 @@ def dedup_near(
     vectors = stage(near_vectors(texts, max_features), "near_vectors")
     same = [F.xxhash64("ts", "ws").alias("_s1"), F.xxhash64(F.lit(1), "ws", "ts").alias("_s2")]
     first = vectors.select("post_id", *same).groupBy("_s1", "_s2").agg(F.min("post_id").alias("post_id"))
-    kept = first_wins(vectors.join(first, "post_id", "left_semi"), threshold)
+    kept = first_wins(vectors.join(first, "post_id", "left_semi"), threshold, walked_pairs)
     without_terms = texts.join(vectors, "post_id", "left_anti").select("_h")
     unlike_any = keyed.join(without_terms, "_h", "left_semi").select("post_id")
     return posts.join(kept.unionByName(unlike_any), "post_id", "left_semi")

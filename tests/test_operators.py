@@ -133,6 +133,20 @@ def test_near_dedup_of_drifting_texts(make_posts, n):
     assert got == greedy_near(texts, fv.NEAR_THRESHOLD, None)
 
 
+@pytest.mark.parametrize("walked", [0, 12, 1 << 20])
+def test_parts_are_decided_alike_by_walks_and_rounds(spark, walked):
+    """A chain, a dense group and a random part: what greedy first-wins removes, however it is found."""
+    rng = random.Random(6)
+    pairs = {(i, i + 1) for i in range(24)} | {(a, b) for b in range(30, 42) for a in range(30, b)}
+    pairs |= {tuple(sorted(rng.sample(range(50, 90), 2))) for _ in range(60)}
+    removed = set()
+    for post in range(90):
+        if any(head not in removed for head, other in pairs if other == post):
+            removed.add(post)
+    df = spark.createDataFrame(sorted(pairs), "head long, post_id long")
+    assert set(ids(near._resolve(df, walked))) == removed
+
+
 def test_near_dedup_of_few(make_posts):
     assert ids(near.dedup_near(make_posts({"text": ""}))) == []
     assert ids(near.dedup_near(make_posts({"text": "ab cd"}))) == [0]
