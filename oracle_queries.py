@@ -347,6 +347,36 @@ def topic_ctes(source: str, text: str, keys=(), n_topics=8) -> tuple:
     )
 
 
+#: Greedy first-wins over all pairs of posts that share a term, one step per post that has a similar one.
+NEAR = (
+    f"docs AS (SELECT * FROM (SELECT post_id, {full_key('text')} AS document FROM posts) WHERE document <> '')",
+    f"ws AS (SELECT post_id, regexp_extract_all(document, {lit(fv.WORD)}) AS w FROM docs)",
+    """grams AS (SELECT post_id, unnest(list_concat(w,
+  list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) AS term FROM ws)""",
+    "tf AS (SELECT post_id, term, count(*) AS tf FROM grams GROUP BY post_id, term)",
+    "stat AS (SELECT term, count(*) AS df FROM tf GROUP BY term)",
+    """weighted AS (SELECT post_id, term, tf * (ln((1 + n) / (1 + df)) + 1.0) AS w
+  FROM tf JOIN stat USING (term), (SELECT count(*) AS n FROM docs))""",
+    "unit AS (SELECT post_id, term, w / sqrt(sum(w * w) OVER (PARTITION BY post_id)) AS u FROM weighted)",
+    # A pair at 0.92 or more shares one of the terms that hold over 1 - 0.92^2 of the first post's length.
+    """heavy AS (SELECT post_id, term FROM (SELECT *, sum(u * u) OVER (PARTITION BY post_id ORDER BY u DESC, term
+  ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM unit) WHERE coalesce(before, 0) <= 0.16)""",
+    """candidate AS (SELECT DISTINCT a.post_id AS head, b.post_id FROM heavy a JOIN unit b
+  ON a.term = b.term AND a.post_id < b.post_id)""",
+    f"""alike AS (SELECT c.head, c.post_id FROM candidate c JOIN unit a ON a.post_id = c.head
+  JOIN unit b ON b.post_id = c.post_id AND b.term = a.term
+  GROUP BY c.head, c.post_id HAVING round(sum(a.u * b.u), 12) >= {fv.NEAR_THRESHOLD})""",
+    """later AS MATERIALIZED (SELECT post_id, list(head) AS heads, row_number() OVER (ORDER BY post_id) AS place
+  FROM alike GROUP BY post_id)""",
+    """walk AS (SELECT 0::BIGINT AS place, []::BIGINT[] AS gone
+  UNION ALL
+  SELECT l.place, CASE WHEN len(list_filter(l.heads, lambda h: NOT list_contains(w.gone, h))) > 0
+    THEN list_append(w.gone, l.post_id) ELSE w.gone END
+  FROM walk w JOIN later l ON l.place = w.place + 1)""",
+    "removed AS (SELECT unnest(gone) AS post_id FROM walk WHERE place = (SELECT max(place) FROM walk))",
+)
+
+
 def first_copies(source: str, key: str, where: str = "TRUE") -> str:
     return f"SELECT min(post_id) AS post_id FROM {source} WHERE {where} GROUP BY {key}"
 
@@ -644,6 +674,11 @@ WHERE {keyword_test('text', keywords)} AND {in_days('2024-01-03', None)}""",
             ),
             totals("chosen", ("request_id",)),
         ),
+        "dedup_near": with_(
+            (POSTS, *NEAR),
+            """SELECT p.post_id, p.source_dataset FROM posts p JOIN docs USING (post_id)
+ANTI JOIN removed USING (post_id)""",
+        ).replace("WITH ", "WITH RECURSIVE ", 1),
         "request_matches_by_join": with_(
             (POSTS, NATION_REQUESTS, NATION_PAIRS), "SELECT post_id, request_id FROM npairs"
         ),
