@@ -19,6 +19,7 @@ from nabd.functions.values import safe_int_text
 from nabd.operators import (
     clean,
     dedup,
+    density,
     graph,
     influence,
     match,
@@ -33,6 +34,7 @@ from nabd.plans.analysis import analyze
 from nabd.sources import catalog, control, readers
 from nabd.sources.sample import (
     event_posts,
+    nation_request_batches,
     nation_requests,
     order_keyword_requests,
     order_requests,
@@ -44,6 +46,7 @@ from nabd.streaming import jobs
 
 KEYWORDS = ["مكتبة", "أَحْمَد", "THE"]
 BY_LANG = ("lang",)
+DENSITY = (0.82, 5)  # cosine distance and neighbours; the sample's vectors lie wide apart
 DECOMPOSED = {"é": "e\u0301", "è": "e\u0300", "ê": "e\u0302", "ü": "u\u0308", "ö": "o\u0308"}
 
 
@@ -436,6 +439,20 @@ def cluster_topics(spark, d):
     return topics.extract_topics(posts, method="cluster")
 
 
+def density_clusters(spark, d):
+    """Clusters of all embeddings within their label; outliers are left out."""
+    vectors = table(spark, d, "embeddings").select("label", F.col("vec_id").alias("post_id"), "embedding")
+    return density.density_clusters(vectors, ("label",), *DENSITY)
+
+
+def density_topics(spark, d):
+    """Topics per language; a document takes the embedding of equal number as a convention."""
+    vectors = table(spark, d, "embeddings").select(F.col("vec_id").alias("post_id"), "embedding")
+    posts = _cleaned(spark, d).join(vectors, "post_id")
+    radius, least = DENSITY
+    return topics.extract_topics(posts, BY_LANG, 3, "density", radius=radius, min_neighbours=least)
+
+
 # --- whole analysis -----------------------------------------------------------------------------
 
 
@@ -661,6 +678,54 @@ def dedup_stream(spark, d):
     return unique.select(F.sha2("text", 256).alias("text_hash"))
 
 
+def request_stream(spark, d):
+    """Requests in two batches, with repeats: how often each was analysed, answered and announced."""
+    inbox, out, marks = (staging.staging_path(spark, f"requests_{p}") for p in ("in", "out", "marks"))
+    for batch in nation_request_batches(spark, d):
+        batch.coalesce(1).write.mode("append").json(inbox)
+    jobs.process_requests(
+        spark,
+        sample_posts(spark, d),
+        inbox,
+        out,
+        marks,
+        {"availableNow": True},
+        {"maxFilesPerTrigger": "1"},
+        min_posts=0,
+    ).awaitTermination()
+    answers = spark.read.parquet(f"{out}/admissions").groupBy("request_id").agg(
+        F.count_if(F.col("admission") == "queued").alias("queued"),
+        F.count_if(F.col("admission") == "already_completed").alias("already_completed"),
+    )
+    events = spark.read.parquet(f"{out}/status")
+    runs = events.filter("status in ('completed', 'failed')").groupBy("request_id")
+    states = control.current_status(events).select("request_id", "status")
+    notices = spark.read.parquet(f"{out}/notifications")
+    notices = notices.groupBy(F.regexp_replace("link", "^#analysis-", "").alias("request_id"))
+    return (
+        answers.join(runs.agg(F.count("*").alias("analysed")), "request_id", "left")
+        .join(states, "request_id", "left")
+        .join(notices.agg(F.count("*").alias("notices")), "request_id", "left")
+        .withColumn("notices", F.coalesce("notices", F.lit(0).cast("bigint")))
+    )
+
+
+def daily_users(spark, d):
+    """Users per language over daily sketches: the merged estimate against sketch and count of the whole."""
+    posts = sample_posts(spark, d).filter(post_day(F.col("created_at")).isNotNull())
+    merged = stats.users_between(stats.daily_user_sketches(posts, BY_LANG), BY_LANG)
+    whole = posts.groupBy("lang").agg(
+        F.countDistinct("user_id").alias("users"), F.hll_sketch_estimate(stats.user_sketch()[0]).alias("sketched")
+    )
+    estimate, error = F.col("estimate"), 3 * 1.04 / 2 ** (stats.LOG_BUCKETS / 2)
+    return whole.join(merged.withColumnRenamed("users", "estimate"), "lang").select(
+        "lang",
+        "users",
+        (estimate == F.col("sketched")).alias("as_whole"),
+        (F.abs(estimate - F.col("users")) <= error * F.col("users") + 1).alias("near"),
+    )
+
+
 _QUERIES = (
     search_key,
     normalize_steps,
@@ -723,6 +788,8 @@ _QUERIES = (
     extract_topics,
     extract_topics_by_language,
     cluster_topics,
+    density_clusters,
+    density_topics,
     analysis_results,
     read_csv,
     read_csv_gz,
@@ -741,6 +808,8 @@ _QUERIES = (
     audit_rows,
     timeline_stream,
     dedup_stream,
+    request_stream,
+    daily_users,
 )
 
 

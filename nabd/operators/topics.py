@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from nabd.functions import text as tx
 from nabd.functions.unicode import with_search_text
 from nabd.functions.values import round_exact, with_computed
+from nabd.operators.density import density_clusters
 from nabd.operators.grouping import (
     SharedRows,
     as_list,
@@ -162,13 +163,17 @@ def extract_topics(
     normalize_stopwords=False,
     embedding: str = "embedding",
     vocabulary_size: int | None = None,
+    **density,
 ) -> DataFrame:
-    """Topics per group by `method`: "tfidf" phrases or "cluster" (needs an embedding column)."""
+    """Topics per group by `method`: "tfidf" phrases, or clusters of an embedding column: "cluster"
+    (k-means, over all posts) or "density" (outliers belong to no topic, any `keys`)."""
     text = F.col("cleaned_text") if text is None else text
     if method == "cluster":
         if keys:
             raise ValueError("clusters are found over all posts; filter the posts of a group instead")
         return cluster_topics(posts, n_topics, text, embedding, normalize_stopwords)
+    if method == "density":
+        return density_topics(posts, keys, n_topics, text, embedding, normalize_stopwords, **density)
     if method != "tfidf":
         raise ValueError(f"unknown topic method: {method}")
     documents = topic_documents(posts, text, [*keys, "post_id"], normalize_stopwords)
@@ -176,19 +181,50 @@ def extract_topics(
     return top_phrases(phrase_scores(documents, keys, vocabulary_size), keys, n_topics)
 
 
-def class_terms(clustered: DataFrame) -> DataFrame:
-    """Class-based TF-IDF: how typical each term is of its cluster."""
+def class_terms(clustered: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """Class-based TF-IDF: how typical each term is of its cluster, within its group."""
     counts = (
-        clustered.select("cluster", F.explode(tx.words(F.col("document"))).alias("term"))
-        .groupBy("cluster", "term")
+        clustered.select(*keys, "cluster", F.explode(tx.words(F.col("document"))).alias("term"))
+        .groupBy(*keys, "cluster", "term")
         .agg(F.count("*").alias("tf"))
     )
-    per_term = counts.groupBy("term").agg(F.sum("tf").alias("_f"))
-    sizes = counts.groupBy("cluster").agg(F.sum("tf").alias("_words"))
-    average = sizes.agg(F.avg("_words").alias("_average"))
-    weighted = attach(counts.join(per_term, "term").join(sizes, "cluster"), average, ())
+    per_term = counts.groupBy(*keys, "term").agg(F.sum("tf").alias("_f"))
+    sizes = counts.groupBy(*keys, "cluster").agg(F.sum("tf").alias("_words"))
+    average = sizes.groupBy(*keys).agg(F.avg("_words").alias("_average"))
+    known = counts.join(per_term, [*keys, "term"]).join(sizes, [*keys, "cluster"])
+    weighted = attach(known, average, keys)
     weight = F.col("tf") / F.col("_words") * F.ln(1 + F.col("_average") / F.col("_f"))
-    return weighted.select("cluster", "term", weight.alias("weight"))
+    return weighted.select(*keys, "cluster", "term", weight.alias("weight"))
+
+
+def density_topics(
+    posts: DataFrame,
+    keys: Sequence[str],
+    n_topics: int,
+    text: Column,
+    embedding: str = "embedding",
+    normalize_stopwords=False,
+    **density,
+) -> DataFrame:
+    """The largest density clusters per group, labelled by their two most typical words.
+
+    Outliers, and posts without a vector, belong to no topic. A cluster without words is labelled "".
+    """
+    rows = posts.select(*keys, "post_id", text.alias("_text"), F.col(embedding).alias("_e"))
+    found = density_clusters(rows, keys, vector="_e", **density)
+    clustered = stage(found.join(rows.drop("_e"), [*keys, "post_id"]), "clusters")
+    documents = topic_documents(clustered, F.col("_text"), [*keys, "cluster"], normalize_stopwords)
+    weights = class_terms(documents, keys).withColumn("weight", F.round("weight", 9))
+    group = [*keys, "cluster"]
+    typical = top_k(weights, group, [F.desc("weight"), F.asc("term")], 2)
+    labels = as_list(typical, group, F.col("term"), "rank", "_words")
+    sizes = clustered.groupBy(*group).agg(F.count("*").alias("posts"))
+    label = F.coalesce(F.array_join("_words", " "), F.lit(""))
+    named = sizes.join(labels, group, "left").select(*group, label.alias("label"), "posts")
+    best = top_k(named, keys, [F.desc("posts"), F.asc("label"), F.asc("cluster")], n_topics)
+    largest = best.groupBy(*keys).agg(F.max("posts").alias("_largest"))
+    weight = round_exact(F.lit(100.0) * F.col("posts") / F.col("_largest"), 0).cast("int")
+    return attach(best, largest, keys).select(*keys, "rank", "label", weight.alias("weight"))
 
 
 def cluster_topics(

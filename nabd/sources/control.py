@@ -1,9 +1,10 @@
 """Requests, results, notifications and the audit log as tables."""
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from nabd import fixed_values as fv
+from nabd.plans.staging import exists
 
 
 def pending_requests(requests: DataFrame, limit: int = 20) -> DataFrame:
@@ -34,6 +35,33 @@ def admission(requests: DataFrame) -> DataFrame:
     )
 
 
+def first_arrivals(requests: DataFrame) -> DataFrame:
+    """One row per request: the one created first, ties by content."""
+    order = [F.asc_nulls_last("created_at"), F.to_json(F.struct(*requests.columns))]
+    placed = F.row_number().over(Window.partitionBy("request_id").orderBy(*order))
+    return requests.withColumn("_place", placed).filter("_place = 1").drop("_place")
+
+
+def admitted(requests: DataFrame, events: DataFrame | None) -> DataFrame:
+    """(request_id, admission) of arriving requests, given the status log so far.
+
+    The log decides where it knows a request; the arriving row does for others.
+    """
+    if events is None:
+        return admission(requests)
+    known = current_status(events.join(requests.select("request_id"), "request_id", "left_semi"))
+    known = known.select("request_id", F.col("status").alias("_known"))
+    joined = requests.join(known, "request_id", "left")
+    return admission(joined.withColumn("status", F.coalesce("_known", "status")))
+
+
+def status_log(spark: SparkSession, path: str, before_batch: int) -> DataFrame | None:
+    """The status log of earlier batches; what a batch wrote before it failed does not count."""
+    if not exists(spark, path):
+        return None
+    return spark.read.parquet(path).filter(F.col("batch_id") < before_batch)
+
+
 def status_event(changes: DataFrame) -> DataFrame:
     """Rows for the status log from request_id, status, progress, error_message.
 

@@ -114,3 +114,27 @@ def order_keyword_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
         "CAST(NULL AS string) AS date_from",
         "CAST(NULL AS string) AS date_to",
     )
+
+
+def nation_request_batches(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Requests of nations as they arrive: all of them, each twice; then every other one again, some
+    new ones, and some that are not pending. Every sixth has a day that cannot be read."""
+    first = table(spark, sf_dir, "nation").selectExpr(
+        "concat('n', n_nationkey) AS request_id",
+        "CASE WHEN n_nationkey % 5 > 0 THEN CAST(n_regionkey AS string) END AS user_id",
+        "n_name AS title",
+        "array(concat('user_', n_nationkey)) AS keywords",
+        "CASE WHEN n_nationkey % 6 = 0 THEN 'soon' END AS date_from",
+        "'pending' AS status",
+        "timestamp '2024-02-01' AS created_at",
+        "n_nationkey",
+    )
+    later = first.withColumns({"title": F.lit("later"), "created_at": F.col("created_at") + F.expr("interval 1 day")})
+    new = first.filter("n_nationkey % 3 = 0").withColumns(
+        {
+            "request_id": F.concat(F.lit("m"), "n_nationkey"),
+            "status": F.when(F.col("n_nationkey") % 2 == 0, "pending").otherwise("completed"),
+        }
+    )
+    second = first.filter("n_nationkey % 2 = 0").unionByName(new)
+    return first.unionByName(later).drop("n_nationkey"), second.drop("n_nationkey")

@@ -9,9 +9,18 @@ from nabd.operators.clean import clean_posts, valid_posts
 from nabd.operators.dedup import text_hash
 from nabd.operators.sentiment import sentiment_timeline, with_lexicon_sentiment
 from nabd.plans.analysis import analyze, completed_results
-from nabd.plans.staging import scope
+from nabd.plans.staging import scope, stage
 from nabd.schema import POST, REQUEST
-from nabd.sources.control import append, audit_rows, notifications, save_results, status_event
+from nabd.sources.control import (
+    admitted,
+    append,
+    audit_rows,
+    first_arrivals,
+    notifications,
+    save_results,
+    status_event,
+    status_log,
+)
 
 
 def read_posts(spark: SparkSession, path: str, **options) -> DataFrame:
@@ -64,21 +73,31 @@ def process_requests(
     output_path: str,
     checkpoint_path: str,
     trigger: dict | None = None,
+    source_options: dict | None = None,
     **analysis_options,
 ):
     """Analyze request files as they arrive; returns the started query.
 
-    The checkpoint remembers the files seen. Results are replaced by request id and the other rows
-    by batch, so a batch that is repeated after a failure leaves the same tables. A request counts
-    when it is pending; several in one batch share one scan of the posts. What a batch stages is
-    deleted at its end.
+    The checkpoint remembers the files seen. Admission is decided by the status log that earlier
+    batches left under `output_path`: a request that is completed or under way is answered so and not
+    analysed again, one that failed may be sent again. Of several rows of a request in a batch the
+    one created first counts. Results are replaced by request id and the other rows by batch, so a
+    batch that is repeated after a failure leaves the same tables. The requests of a batch share one
+    scan of the posts. What a batch stages is deleted at its end.
     """
 
     def handle(batch: DataFrame, batch_id: int) -> None:
-        # Pending is decided by the arriving row; repeated rows of a request count once.
-        pending = batch.filter("status = 'pending'").dropDuplicates(["request_id"])
-        if pending.isEmpty():
-            return
+        with scope(spark):
+            log = status_log(spark, f"{output_path}/status", batch_id)
+            arrived = stage(first_arrivals(batch.filter("status = 'pending'")), "arrived")
+            answers = stage(admitted(arrived, log), "admitted")
+            append(answers, f"{output_path}/admissions", batch_id)
+            queued = answers.filter("admission = 'queued'").select("request_id")
+            pending = stage(arrived.join(queued, "request_id", "left_semi"), "pending")
+            if not pending.isEmpty():
+                run(pending, batch_id)
+
+    def run(pending: DataFrame, batch_id: int) -> None:
         started = time.monotonic()
 
         def note(changes: DataFrame, part: str) -> None:
@@ -88,23 +107,16 @@ def process_requests(
             error = F.lit(None).cast("string").alias("error_message")
             return pending.select("request_id", F.lit(state).alias("status"), F.lit(percent).alias("progress"), error)
 
-        with scope(spark):
-            note(progress("collecting", 10), "1")
-            results = analyze(posts, pending, **analysis_options).persist()
-            try:
-                note(progress("analyzing", 50), "2")
-                save_results(completed_results(results), f"{output_path}/results")
-                final = results.select(
-                    "request_id", "status", F.lit(0).alias("progress"), "error_message"
-                )
-                note(final, "3")
-                append(notifications(pending, results), f"{output_path}/notifications", batch_id)
-                audit = audit_rows(results, time.monotonic() - started)
-                append(audit, f"{output_path}/audit", batch_id)
-            finally:
-                results.unpersist()
-
-    requests = spark.readStream.schema(REQUEST).json(requests_path)
+        note(progress("collecting", 10), "1")
+        results = stage(analyze(posts, pending, **analysis_options), "results")
+        note(progress("analyzing", 50), "2")
+        save_results(completed_results(results), f"{output_path}/results")
+        final = results.select("request_id", "status", F.lit(0).alias("progress"), "error_message")
+        note(final, "3")
+        append(notifications(pending, results), f"{output_path}/notifications", batch_id)
+        append(audit_rows(results, time.monotonic() - started), f"{output_path}/audit", batch_id)
+
+    requests = spark.readStream.schema(REQUEST).options(**(source_options or {})).json(requests_path)
     return (
         requests.writeStream.foreachBatch(handle)
         .option("checkpointLocation", checkpoint_path)

@@ -347,6 +347,27 @@ def topic_ctes(source: str, text: str, keys=(), n_topics=8) -> tuple:
     )
 
 
+def density_ctes(source: str, key: str, radius: float, least: int) -> tuple:
+    """Core points, those they reach, and the nearest core point of the others; `source` has post_id, e."""
+    return (
+        f"""unit AS (SELECT {key}, post_id, list_transform(d, lambda x: x / sqrt(list_dot_product(d, d))) AS u
+  FROM (SELECT {key}, post_id, list_transform(e, lambda x: x::DOUBLE) AS d FROM {source}))""",
+        f"""close AS (SELECT a.{key}, a.post_id AS a, b.post_id AS b, list_dot_product(a.u, b.u) AS dot
+  FROM unit a JOIN unit b ON a.{key} = b.{key} AND list_dot_product(a.u, b.u) >= 1 - {radius} - 1e-9)""",
+        f"core AS MATERIALIZED (SELECT {key}, a FROM close GROUP BY {key}, a HAVING count(*) >= {least})",
+        f"""edge AS MATERIALIZED (SELECT c.{key}, c.a, c.b FROM close c JOIN core x ON x.{key} = c.{key} AND x.a = c.a
+  JOIN core y ON y.{key} = c.{key} AND y.a = c.b)""",
+        f"""reach AS (SELECT {key}, a, a AS b FROM core UNION
+  SELECT r.{key}, r.a, e.b FROM reach r JOIN edge e ON e.{key} = r.{key} AND e.a = r.b)""",
+        f"part AS (SELECT {key}, a, min(b) AS cluster FROM reach GROUP BY {key}, a)",
+        f"""border AS (SELECT c.{key}, c.a, c.b FROM close c JOIN core y ON y.{key} = c.{key} AND y.a = c.b
+  WHERE NOT EXISTS (SELECT 1 FROM core x WHERE x.{key} = c.{key} AND x.a = c.a)
+  QUALIFY row_number() OVER (PARTITION BY c.{key}, c.a ORDER BY round(c.dot, 12) DESC, c.b) = 1)""",
+        f"""clustered AS (SELECT {key}, a AS post_id, cluster FROM part UNION ALL
+  SELECT b.{key}, b.a, p.cluster FROM border b JOIN part p ON p.{key} = b.{key} AND p.a = b.b)""",
+    )
+
+
 #: Greedy first-wins over all pairs of posts that share a term, one step per post that has a similar one.
 NEAR = (
     f"docs AS (SELECT * FROM (SELECT post_id, {full_key('text')} AS document FROM posts) WHERE document <> '')",
@@ -682,6 +703,52 @@ ANTI JOIN removed USING (post_id)""",
         "request_matches_by_join": with_(
             (POSTS, NATION_REQUESTS, NATION_PAIRS), "SELECT post_id, request_id FROM npairs"
         ),
+        "density_clusters": with_(
+            (
+                "vectors AS (SELECT label, vec_id AS post_id, embedding AS e FROM embeddings)",
+                *density_ctes("vectors", "label", 0.82, 5),
+            ),
+            "SELECT label, post_id, cluster FROM clustered",
+        ).replace("WITH ", "WITH RECURSIVE ", 1),
+        "density_topics": with_(
+            (
+                *CLEAN_BASE,
+                "vectors AS (SELECT c.lang, c.post_id, v.embedding AS e FROM cleaned c JOIN embeddings v ON v.vec_id = c.post_id)",
+                *density_ctes("vectors", "lang", 0.82, 5),
+                f"""words AS (SELECT k.lang, k.cluster, unnest(regexp_extract_all({document('c.cleaned_text')}, {lit(fv.WORD)})) AS term
+  FROM clustered k JOIN cleaned c ON c.post_id = k.post_id)""",
+                "tf AS (SELECT lang, cluster, term, count(*) AS tf FROM words GROUP BY lang, cluster, term)",
+                """weighed AS (SELECT lang, cluster, term, round(tf / n * ln(1 + average / f), 9) AS w
+  FROM tf JOIN (SELECT lang, term, sum(tf) AS f FROM tf GROUP BY lang, term) USING (lang, term)
+  JOIN (SELECT lang, cluster, sum(tf) AS n FROM tf GROUP BY lang, cluster) USING (lang, cluster)
+  JOIN (SELECT lang, avg(n) AS average FROM (SELECT lang, cluster, sum(tf) AS n FROM tf GROUP BY lang, cluster)
+    GROUP BY lang) USING (lang))""",
+                """typical AS (SELECT lang, cluster, string_agg(term, ' ' ORDER BY w DESC, term) AS label FROM (
+  SELECT * FROM weighed QUALIFY row_number() OVER (PARTITION BY lang, cluster ORDER BY w DESC, term) <= 2)
+  GROUP BY lang, cluster)""",
+                """sized AS (SELECT lang, cluster, posts, coalesce(label, '') AS label FROM
+  (SELECT lang, cluster, count(*) AS posts FROM clustered GROUP BY lang, cluster) LEFT JOIN typical USING (lang, cluster))""",
+                """best AS (SELECT *, CAST(row_number() OVER (PARTITION BY lang ORDER BY posts DESC, label, cluster) AS INT) AS rank
+  FROM sized)""",
+            ),
+            f"""SELECT lang, rank, label, CAST({rounded("100.0 * posts / max(posts) OVER (PARTITION BY lang)", 0)} AS INT) AS weight
+FROM best WHERE rank <= 3""",
+        ).replace("WITH ", "WITH RECURSIVE ", 1),
+        "request_stream": """WITH sent AS (
+  SELECT 'n' || n_nationkey AS request_id, n_nationkey AS k, 1 AS batch FROM nation
+  UNION ALL SELECT 'n' || n_nationkey, n_nationkey, 2 FROM nation WHERE n_nationkey % 2 = 0
+  UNION ALL SELECT 'm' || n_nationkey, n_nationkey, 2 FROM nation WHERE n_nationkey % 6 = 0),
+answered AS (SELECT *, k % 6 = 0 AS bad, k % 6 <> 0 AND lag(batch) OVER (PARTITION BY request_id ORDER BY batch) IS NOT NULL
+  AS done FROM sent)
+SELECT request_id, count(*) FILTER (NOT done) AS queued, count(*) FILTER (done) AS already_completed,
+  count(*) FILTER (NOT done) AS analysed, CASE WHEN any_value(bad) THEN 'failed' ELSE 'completed' END AS status,
+  count(*) FILTER (NOT done AND NOT bad AND k % 5 > 0) AS notices
+FROM answered GROUP BY request_id""",
+        "daily_users": with_(
+            (POSTS,),
+            f"""SELECT lang, count(DISTINCT user_id) AS users, true AS as_whole, true AS near
+FROM posts WHERE {DAY} IS NOT NULL GROUP BY lang""",
+        ),
         "order_request_matches": with_(
             (POSTS, ORDER_KEYWORDS, ORDER_PAIRS),
             """SELECT request_id, count(*) AS posts, min(post_id) AS first_post FROM okw JOIN opairs USING (kw)

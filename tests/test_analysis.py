@@ -196,6 +196,29 @@ def test_request_stream(spark, sf, tmp_path):
     done = json.loads(next(r.metadata for r in audit if r.entity_id == "q1"))
     assert done["total_posts"] > 0 and done["datasets_used"]
 
+    # Sent again: the completed one is answered from the log, the failed one is tried once more.
+    drop(
+        "3.json",
+        {"request_id": "q1", "keywords": ["the"], "created_at": "2024-01-02T00:00:00Z"},
+        {"request_id": "q2", "keywords": ["the"], "created_at": "2024-01-01T00:00:00Z"},
+        {"request_id": "q2", "keywords": ["zzzz"], "created_at": "2024-01-02T00:00:00Z"},
+    )
+
+    def answers():
+        rows = spark.read.parquet(f"{out}/admissions").collect()
+        return sorted((r.batch_id, r.request_id, r.admission) for r in rows)
+
+    for _ in range(2):
+        assert run() == {"q1", "q2", "q3"}
+        assert answers() == [
+            (0, "q1", "queued"), (0, "q2", "queued"), (1, "q3", "queued"),
+            (2, "q1", "already_completed"), (2, "q2", "queued"),
+        ]
+        assert spark.read.parquet(f"{out}/audit").count() == 4
+        assert spark.read.parquet(f"{out}/notifications").count() == 3
+        (Path(marks) / "commits" / "2").unlink()  # as if the job had died: the batch is repeated
+        (Path(marks) / "commits" / ".2.crc").unlink(missing_ok=True)
+
 
 def test_result_columns(spark, sf):
     shown = completed_results(analyze(sample_posts(spark, sf), sample_requests(spark)))

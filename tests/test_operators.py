@@ -6,6 +6,7 @@ import re
 import tempfile
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -14,6 +15,7 @@ from nabd.functions import text as tx
 from nabd.operators import (
     clean,
     dedup,
+    density,
     graph,
     influence,
     match,
@@ -381,6 +383,62 @@ def test_topics_of_one_document(make_posts):
         topics.extract_topics(posts, method="other")
 
 
+def dbscan(vectors, radius, least):
+    """Clusters by definition, all pairs: vector id -> smallest core id; outliers are absent."""
+    units = {i: np.array(v, float) / np.linalg.norm(v) for i, v in vectors.items()}
+    near = {i: [j for j in units if units[i] @ units[j] >= 1 - radius - 1e-9] for i in units}
+    core = {i for i in units if len(near[i]) >= least}
+    found = {}
+    for start in sorted(core):
+        waiting = [start] if start not in found else []
+        while waiting:
+            i = waiting.pop()
+            if i not in found:
+                found[i] = start
+                waiting += [j for j in near[i] if j in core]
+    for i in set(units) - core:
+        if reached := [j for j in near[i] if j in core]:
+            found[i] = found[min(reached, key=lambda j: (-round(float(units[i] @ units[j]), 12), j))]
+    return found
+
+
+@pytest.mark.parametrize("radius, least, block", [(0.05, 4, 16), (0.3, 3, 512)])
+def test_density_clusters_equal_brute_force(spark, monkeypatch, radius, least, block):
+    """500 vectors: dense groups, a chain between two of them, copies, and stragglers."""
+    monkeypatch.setattr(density, "_BLOCK", block)
+    rng = np.random.default_rng(5)
+    centres = rng.normal(size=(6, 8))
+    vectors = [centres[i % 6] + rng.normal(scale=0.12, size=8) for i in range(330)]
+    vectors += [centres[0] * (1 - t) + centres[1] * t for t in np.linspace(0, 1, 40)]
+    vectors += [vectors[7]] * 60 + list(rng.normal(size=(70, 8)))
+    rows = [(i, "ab"[i % 2], [float(x) for x in v]) for i, v in enumerate(vectors)]
+    rows += [(900, "a", None), (901, "a", [0.0] * 8), (902, None, rows[0][2])]
+    df = spark.createDataFrame(rows, "post_id long, g string, embedding array<double>")
+    want = {}
+    for g in "ab":
+        own = {i: v for i, key, v in rows if key == g and i < 900}
+        want |= dbscan(own, radius, least)
+    got = density.density_clusters(df, ("g",), radius, least).collect()
+    assert {r.post_id: r.cluster for r in got} == want and 0 < len(want) < 500
+    whole = density.density_clusters(df.filter("post_id < 900"), (), radius, least).collect()
+    assert {r.post_id: r.cluster for r in whole} == dbscan({i: v for i, _, v in rows if i < 900}, radius, least)
+    assert density.density_clusters(df.limit(0), ("g",)).count() == 0
+
+
+def test_density_topics_leave_outliers_out(make_posts, spark):
+    texts = ["apple fruit"] * 6 + ["engine motor"] * 4 + ["lonely words"]
+    vectors = [[1.0, 0.01 * i, 0.0] for i in range(6)] + [[0.0, 1.0, 0.01 * i] for i in range(4)] + [[0.0, -1.0, -1.0]]
+    data = [(i, v) for i, v in enumerate(vectors)]
+    posts = make_posts(*[{"text": t, "lang": "en"} for t in texts]).join(
+        spark.createDataFrame(data, "post_id long, embedding array<double>"), "post_id"
+    )
+    found = topics.extract_topics(
+        posts, ("lang",), 5, "density", text=F.col("text"), radius=0.1, min_neighbours=3
+    )
+    got = [(r.lang, r["rank"], r.label, r.weight) for r in found.orderBy("rank").collect()]
+    assert got == [("en", 1, "apple fruit", 100), ("en", 2, "engine motor", 67)]
+
+
 def test_cluster_topics(spark, make_posts):
     rows = [{"text": f"{'sun beach' if i % 3 else 'snow ski'} trip {i}"} for i in range(120)]
     posts = make_posts(*rows).withColumn(
