@@ -666,7 +666,7 @@ def timeline_stream(spark, d):
     posts, sink, marks = _arriving(spark, d, "timeline")
     result = jobs.timeline_stream(posts)
     jobs.write_timeline(result, sink, marks, {"availableNow": True}).awaitTermination()
-    return spark.read.schema(result.schema).parquet(sink)
+    return jobs.read_timeline(spark, sink, result.schema)
 
 
 def dedup_stream(spark, d):

@@ -13,6 +13,7 @@ from nabd.functions.dates import iso_day, post_day
 from nabd.functions.text import analysis_text, strip
 from nabd.functions.values import round_exact
 from nabd.operators.grouping import combined
+from nabd.plans.staging import stage
 
 CLASSES = ("positive", "neutral", "negative")
 
@@ -53,57 +54,67 @@ def with_model_sentiment(
     make_predict: Callable,
     text: Column | None = None,
     batch_size: int = 32,
-    staged: Callable[[DataFrame], DataFrame] | None = None,
+    staged: Callable[[DataFrame], DataFrame] = stage,
 ) -> DataFrame:
     """Add `sentiment` and `score` from a model, with the word lists as a stand-in.
 
     `make_predict()` runs once per Python worker and returns a function from an array of texts to
     a list of (label, score). If any batch fails, every row gets the word-list result, as a mix
-    of two scorers would not be comparable. `staged` materializes the predictions so that the
-    model runs once for both the answer and the check; pass `nabd.plans.staging.stage`.
+    of two scorers would not be comparable, and `model_error` says why; it is null otherwise. Scores
+    and reasons are written once by `staged`, so the model runs once per row.
     """
     text = analysis_text() if text is None else text
 
     def guarded():
+        broken = ""
         try:
             predict = make_predict()
-        except Exception:
-            predict = None
+        except Exception as error:
+            broken = f"{type(error).__name__}: {error}"
 
         def run(texts):
-            try:
-                answers = list(predict([t or "" for t in texts]))
-                labels, scores = zip(*answers, strict=True)
-            except Exception:
-                labels, scores = [""] * len(texts), [float("nan")] * len(texts)
+            labels, scores, reason = [""] * len(texts), [float("nan")] * len(texts), broken
+            if not reason:
+                try:
+                    answers = list(predict([t or "" for t in texts]))
+                    if len(answers) != len(texts):
+                        raise ValueError(f"{len(answers)} answers to {len(texts)} texts")
+                    labels, scores = zip(*answers, strict=True)
+                    scores = [float(s) for s in scores]
+                except Exception as error:
+                    labels, scores = [""] * len(texts), [float("nan")] * len(texts)
+                    reason = f"{type(error).__name__}: {error}"
             return {
                 "label": np.array([str(v) for v in labels], dtype=object),
                 "score": np.array(scores, dtype="float64"),
+                "error": np.array([reason] * len(texts), dtype=object),
             }
 
         return run
 
     answer = T.StructType(
-        [T.StructField("label", T.StringType()), T.StructField("score", T.DoubleType())]
+        [
+            T.StructField("label", T.StringType()),
+            T.StructField("score", T.DoubleType()),
+            T.StructField("error", T.StringType()),
+        ]
     )
     scored = predict_batch_udf(guarded, return_type=answer, batch_size=batch_size)
-    df = with_lexicon_sentiment(df, text).withColumn("_model", scored(text))
-    if staged:
-        df = staged(df)
+    df = staged(with_lexicon_sentiment(df, text).withColumn("_model", scored(text)))
     # Arrow may turn a NaN into a null.
-    unanswered = F.isnan(F.coalesce("_model.score", F.lit(float("nan"))))
-    failed = df.agg(F.coalesce(F.bool_or(unanswered), F.lit(False)).alias("failed"))
+    no_score = F.isnan(F.coalesce("_model.score", F.lit(float("nan"))))
+    reason = F.when(F.col("_model.error") != "", F.col("_model.error")).when(no_score, "no score")
+    failed = df.agg(F.max(reason).alias("reason"))
+    by_model = F.col("model_error").isNull()
     return (
-        df.withColumn("_failed", failed.scalar())
+        df.withColumn("model_error", failed.scalar())
         .withColumns(
             {
-                "sentiment": F.when(F.col("_failed"), F.col("sentiment")).otherwise(
-                    sentiment_class(F.col("_model.label"))
-                ),
-                "score": F.when(F.col("_failed"), F.col("score")).otherwise(F.col("_model.score")),
+                "sentiment": F.when(by_model, sentiment_class(F.col("_model.label"))).otherwise(F.col("sentiment")),
+                "score": F.when(by_model, F.col("_model.score")).otherwise(F.col("score")),
             }
         )
-        .drop("_model", "_failed")
+        .drop("_model")
     )
 
 

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from nabd import fixed_values as fv
 from nabd.plans.staging import exists
+from nabd.sources import versioned
 
 
 def pending_requests(requests: DataFrame, limit: int = 20) -> DataFrame:
@@ -95,19 +96,14 @@ def current_status(events: DataFrame) -> DataFrame:
 def save_results(results: DataFrame, path: str) -> None:
     """Replace the rows of exactly the requests in `results`; other requests stay.
 
-    Dynamic partition overwrite swaps the folder of each request, so a repeated save gives the
-    same table.
+    The change is committed at once and may be repeated: see `nabd.sources.versioned`.
     """
-    (
-        results.write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
-        .partitionBy("request_id")
-        .parquet(path)
-    )
+    versioned.upsert(results, path, "request_id")
 
 
 def read_results(spark: SparkSession, path: str, schema) -> DataFrame:
-    return spark.read.schema(schema).parquet(path)
+    """The results as last committed."""
+    return versioned.read(spark, path, schema)
 
 
 def fetch_results(requests: DataFrame, results: DataFrame) -> DataFrame:

@@ -11,6 +11,7 @@ from nabd.operators.sentiment import sentiment_timeline, with_lexicon_sentiment
 from nabd.plans.analysis import analyze, completed_results
 from nabd.plans.staging import scope, stage
 from nabd.schema import POST, REQUEST
+from nabd.sources import versioned
 from nabd.sources.control import (
     admitted,
     append,
@@ -32,19 +33,23 @@ def read_posts(spark: SparkSession, path: str, **options) -> DataFrame:
 def timeline_stream(posts: DataFrame) -> DataFrame:
     """Posts per day and class, by the rules of the batch timeline.
 
-    State is one row per day, so no day is ever closed and late posts count: see `write_timeline`.
+    State is one row per day, so no day is ever closed and late posts count; a batch sends the days it
+    changed: see `write_timeline`.
     """
     return sentiment_timeline(with_lexicon_sentiment(valid_posts(clean_posts(posts))))
 
 
 def write_timeline(daily: DataFrame, path: str, checkpoint_path: str, trigger: dict | None = None):
-    """Replace the small table of days after every micro-batch; returns the started query."""
+    """Replace the days that a micro-batch changed, all at once; returns the started query.
+
+    Readers use `read_timeline` and see the days as of the last batch that ended, also during a write.
+    """
 
     def replace(rows: DataFrame, batch_id: int) -> None:
-        rows.write.mode("overwrite").parquet(path)
+        versioned.upsert(rows, path, "day")
 
     return (
-        daily.writeStream.outputMode("complete")
+        daily.writeStream.outputMode("update")
         .foreachBatch(replace)
         .option("checkpointLocation", checkpoint_path)
         .trigger(**(trigger or {"processingTime": "30 seconds"}))
@@ -52,6 +57,10 @@ def write_timeline(daily: DataFrame, path: str, checkpoint_path: str, trigger: d
     )
 
 
+def read_timeline(spark: SparkSession, path: str, schema) -> DataFrame:
+    return versioned.read(spark, path, schema)
+
+
 def dedup_stream(posts: DataFrame, delay: str | None = None) -> DataFrame:
     """The first copy of each text, dated or not.
 

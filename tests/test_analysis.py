@@ -10,12 +10,14 @@ from nabd import fixed_values as fv
 from nabd.functions import text as tx
 from nabd.functions.dates import post_day
 from nabd.operators import dedup, match, network, stats, topics
+from nabd.operators.clean import clean_posts, valid_posts
 from nabd.operators.report import join_topics, recommendations, summary
+from nabd.operators.sentiment import sentiment_timeline, with_lexicon_sentiment
 from nabd.plans import staging
 from nabd.plans.analysis import analyze, completed_results, enriched_posts
 from nabd.plans.staging import stage
 from nabd.schema import EDGES, INFLUENCERS, NODES, POST, REQUEST, TIMELINE, TOPICS
-from nabd.sources import control
+from nabd.sources import control, versioned
 from nabd.sources.sample import sample_posts, sample_requests
 from nabd.streaming import jobs
 
@@ -164,6 +166,59 @@ def test_results_table_replaces_by_request(spark, tmp_path):
     assert got == {("a", 2), ("b", 1)}
 
 
+def test_versioned_tables(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "table")
+    schema = "k string, n int"
+    assert versioned.read(spark, path, schema).count() == 0
+    many = spark.range(100_000).select(F.concat(F.lit("r"), "id").alias("k"), F.lit(1).alias("n"))
+    versioned.upsert(many, path, "k")
+    files = list(Path(path).glob("v-*/*/*.parquet"))
+    assert len(files) == versioned.BUCKETS and versioned.read(spark, path, schema).count() == 100_000
+
+    before = versioned.read(spark, path, schema)  # a reader that began before the next change
+    change = spark.createDataFrame([("r5", 2), ("new", 2), (None, 2)], schema)
+    versioned.upsert(change, path, "k")
+    versioned.upsert(change, path, "k")
+    assert before.filter("n = 2").count() == 0 and before.count() == 100_000
+    after = versioned.read(spark, path, schema)
+    assert after.count() == 100_001 and {r.k for r in after.filter("n = 2").collect()} == {"r5", "new"}
+
+    def fails(*_):
+        raise OSError("lost")
+
+    with monkeypatch.context() as m:  # the files are written, the commit is not
+        m.setattr(versioned, "_commit", fails)
+        with pytest.raises(OSError):
+            versioned.upsert(spark.createDataFrame([("r6", 3)], schema), path, "k")
+    assert versioned.read(spark, path, schema).filter("n = 3").count() == 0
+    with pytest.raises(RuntimeError):  # a second writer that began with the same version
+        versioned._commit(spark, path, 2, {})
+    monkeypatch.setattr(versioned, "KEPT_VERSIONS", 2)
+    versioned.upsert(spark.createDataFrame([("r7", 4)], schema), path, "k")
+    assert versioned._versions(spark, path) == [2, 3]
+    assert versioned.read(spark, path, schema).count() == 100_001
+
+
+def test_timeline_is_replaced_day_by_day(spark, sf, tmp_path):
+    posts = sample_posts(spark, sf)
+    paths = [str(tmp_path / n) for n in ("in", "out", "marks")]
+    posts.repartition(3).write.parquet(paths[0])
+    daily = jobs.timeline_stream(jobs.read_posts(spark, paths[0], maxFilesPerTrigger="1"))
+
+    def run():
+        jobs.write_timeline(daily, paths[1], paths[2], {"availableNow": True}).awaitTermination()
+        return jobs.read_timeline(spark, paths[1], daily.schema)
+
+    def batch(rows):
+        return sorted(map(tuple, sentiment_timeline(with_lexicon_sentiment(valid_posts(clean_posts(rows)))).collect()))
+
+    first = run()
+    assert sorted(map(tuple, first.collect())) == batch(posts)
+    posts.filter("post_id < 20").write.mode("append").parquet(paths[0])
+    assert sorted(map(tuple, run().collect())) == batch(posts.unionByName(posts.filter("post_id < 20")))
+    assert sorted(map(tuple, first.collect())) == batch(posts)  # still readable as it was
+
+
 def test_request_stream(spark, sf, tmp_path):
     """Requests arrive in two files; results, status, notices and audit rows follow."""
     inbox, out, marks = (str(tmp_path / n) for n in ("inbox", "out", "marks"))
@@ -178,7 +233,7 @@ def test_request_stream(spark, sf, tmp_path):
             spark, sample_posts(spark, sf), inbox, out, marks, {"availableNow": True}
         )
         query.awaitTermination()
-        return {r.request_id for r in spark.read.parquet(f"{out}/results").collect()}
+        return {r.request_id for r in control.read_results(spark, f"{out}/results", "request_id string").collect()}
 
     drop("1.json", {"request_id": "q1", "keywords": ["the"]}, {"request_id": "q2", "keywords": ["zzzz"]})
     assert run() == {"q1"}

@@ -488,6 +488,32 @@ def test_model_sentiment(make_posts):
     assert run(broken) == run(fails_once) == ["positive", "negative", "neutral"]
 
 
+def test_model_runs_once_a_row_and_failures_are_named(make_posts, tmp_path):
+    posts = make_posts(*[{"text": f"text number {i}"} for i in range(40)])
+    calls = str(tmp_path)
+
+    def make(bad):
+        def predict(texts):
+            for _ in texts:
+                tempfile.NamedTemporaryFile(dir=calls, delete=False).close()
+            if bad and any(t.endswith(" 7") for t in texts):
+                raise ValueError("number seven")
+            return [("positive", 0.5)] * (len(texts) - (bad is None))
+
+        return lambda: predict
+
+    def scored(bad):
+        rows = sentiment.with_model_sentiment(posts, make(bad), F.col("text"), batch_size=4).collect()
+        return {r.sentiment for r in rows}, {r.model_error for r in rows}
+
+    assert scored(False) == ({"positive"}, {None})
+    assert len(list(tmp_path.iterdir())) == 40
+    assert scored(True) == ({"neutral"}, {"ValueError: number seven"})
+    assert len(list(tmp_path.iterdir())) == 80
+    (reason,) = scored(None)[1]
+    assert "answers to" in reason
+
+
 def test_shares_and_timeline_add_up(spark, sf):
     scored = sentiment.with_lexicon_sentiment(clean.valid_posts(clean.clean_posts(sample_posts(spark, sf))))
     shares = sentiment.sentiment_shares(scored).first()
