@@ -9,6 +9,7 @@ from pyspark.sql import types as T
 
 from nabd.functions.text import strip
 from nabd.functions.values import safe_int_number, safe_int_text
+from nabd.plans.staging import release, stage
 from nabd.schema import CANONICAL_POST, COUNTERS
 from nabd.sources.catalog import Dataset, resolve
 
@@ -164,6 +165,38 @@ def union_datasets(
     return posts
 
 
+def _cutoffs(ids: DataFrame, wanted: dict[str, tuple[int, int, int]]) -> dict[str, int]:
+    """The n-th smallest post_id of each dataset, where `wanted` gives (n, smallest, largest).
+
+    Ids are counted in ranges, then in ranges of the one range that holds the n-th, and so on, so that
+    no id is ever sorted. Ids are numbered within input splits, which leaves most ranges of the first
+    pass empty; later passes see full ones.
+    """
+    found: dict[str, int] = {}
+    state = "source_dataset string, need long, lo long, hi long"
+    while wanted:
+        rows = [(name, *values) for name, values in wanted.items()]
+        open_ = F.broadcast(ids.sparkSession.createDataFrame(rows, state))  # one row per dataset of the list
+        width = F.ceil((F.col("hi") - F.col("lo") + 1) / F.lit(_RANGES))
+        inside = ids.join(open_, "source_dataset").filter("post_id between lo and hi")
+        ranges = inside.groupBy(
+            "source_dataset", "need", F.floor((F.col("post_id") - F.col("lo")) / width).alias("_range")
+        ).agg(F.count("*").alias("n"), F.min("post_id").alias("first"), F.max("post_id").alias("last"))
+        earlier = Window.partitionBy("source_dataset").orderBy("_range")
+        upto = F.sum("n").over(earlier)
+        placed = ranges.withColumn("before", upto - F.col("n")).filter("before < need and need <= before + n")
+        wanted = {}
+        for r in placed.collect():
+            left = r["need"] - r["before"]
+            if left == r["n"]:
+                found[r["source_dataset"]] = r["last"]
+            elif left == 1:
+                found[r["source_dataset"]] = r["first"]
+            else:
+                wanted[r["source_dataset"]] = (left, r["first"], r["last"])
+    return found
+
+
 def capped(
     posts: DataFrame,
     dataset_order: Sequence[str],
@@ -172,41 +205,28 @@ def capped(
 ) -> DataFrame:
     """The first rows of each dataset by post_id, and of all datasets in list order.
 
-    Post ids are counted in ranges; whole ranges below the cap are kept as they are, and only
-    the one range per dataset where the cap falls is sorted. No task holds a whole dataset.
+    Only ids are counted, to find the last one of each dataset; the posts themselves are filtered by
+    it, in the scan and without a shuffle. Post ids are unique.
     """
-    bounds = posts.agg(F.min("post_id").alias("lo"), F.max("post_id").alias("hi"))
-    width = F.greatest(F.ceil((F.col("_b.hi") - F.col("_b.lo") + 1) / F.lit(_RANGES)), F.lit(1))
-    ranged = (
-        posts.withColumn("_b", bounds.select(F.struct("*")).scalar())
-        .withColumn("_range", F.floor((F.col("post_id") - F.col("_b.lo")) / width))
-        .drop("_b")
-    )
-    counts = ranged.groupBy("source_dataset", "_range").agg(F.count("*").alias("n"))
-    earlier = Window.partitionBy("source_dataset").orderBy("_range")
-    before = counts.withColumn("_before", F.sum("n").over(earlier) - F.col("n"))
-
-    # One row per dataset: how many rows it may give.
-    unlimited = (1 << 62)
-    position = F.array_position(F.array(*map(F.lit, dataset_order)), F.col("source_dataset"))
-    sizes = counts.groupBy("source_dataset").agg(F.sum("n").alias("_size"))
-    own = F.least("_size", F.lit(max_rows_per_dataset or unlimited))
-    in_order = Window.orderBy(position).rowsBetween(Window.unboundedPreceding, -1)
-    used = F.coalesce(F.sum("_own").over(in_order), F.lit(0))
-    left = F.greatest(F.lit(max_total_rows or unlimited) - used, F.lit(0))
-    shares = sizes.withColumn("_own", own).withColumn("_cap", F.least("_own", left))
-
-    plan = before.join(shares.select("source_dataset", "_cap"), "source_dataset").filter(
-        "_before < _cap"
-    )
-    marked = ranged.join(plan, ["source_dataset", "_range"])
-    whole = marked.filter("_before + n <= _cap")
-    edge = marked.filter("_before + n > _cap").withColumn(
-        "_place",
-        F.row_number().over(Window.partitionBy("source_dataset", "_range").orderBy("post_id")),
+    ids = stage(posts.select("source_dataset", "post_id"), "ids")
+    sizes = ids.filter("source_dataset is not null").groupBy("source_dataset").agg(
+        F.count("*").alias("n"), F.min("post_id").alias("lo"), F.max("post_id").alias("hi")
     )
-    edge = edge.filter("_before + _place <= _cap")
-    return whole.select(*posts.columns).unionByName(edge.select(*posts.columns))
+    place = {name: i for i, name in enumerate(dataset_order)}
+    total = max_total_rows or float("inf")
+    last, wanted = {}, {}
+    for r in sorted(sizes.collect(), key=lambda r: (place.get(r["source_dataset"], -1), r["source_dataset"])):
+        take = min(r["n"], max_rows_per_dataset or r["n"], total)
+        total -= take
+        if take == r["n"]:
+            last[r["source_dataset"]] = r["hi"]
+        elif take > 0:
+            wanted[r["source_dataset"]] = (int(take), r["lo"], r["hi"])
+    last |= _cutoffs(ids, wanted)
+    release(ids)
+    bounds = posts.sparkSession.createDataFrame(list(last.items()), "source_dataset string, _last long")
+    kept = posts.join(F.broadcast(bounds), "source_dataset").filter("post_id <= _last")
+    return kept.select(*posts.columns)
 
 
 def spread(df: DataFrame) -> DataFrame:

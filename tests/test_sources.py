@@ -2,6 +2,7 @@
 
 import gzip
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -172,3 +173,21 @@ def test_unreadable_dataset_raises_unless_skipping_is_asked_for(spark, tmp_path)
     skipped = []
     assert readers.union_datasets(spark, gone, [gone[0].id], skipped=skipped).count() == 0
     assert [name for name, _ in skipped] == [gone[0].id]
+
+
+@pytest.mark.parametrize("total, each", [(None, 37), (150, None), (100, 45), (1, None), (10_000, 10_000)])
+def test_caps_take_the_smallest_ids(spark, monkeypatch, total, each):
+    """Ids as input splits number them: dense within a split, far apart between splits."""
+    monkeypatch.setattr(readers, "_RANGES", 8)
+    rng = random.Random(3)
+    rows = [(split << 33 | i, rng.choice("abc")) for split in (0, 1, 5, 900) for i in range(60)]
+    posts = spark.createDataFrame([(i, s, "x") for i, s in rows] + [(-1, None, "y")], "post_id long, source_dataset string, text string")
+    left, want = total or 10**9, []
+    for name in "bca":
+        own = sorted(i for i, s in rows if s == name)[: min(left, each or 10**9)]
+        left -= len(own)
+        want += own
+    got = readers.capped(posts, ["b", "c", "a"], total, each)
+    assert sorted(r.post_id for r in got.collect()) == sorted(want)
+    executed = got._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in executed and "Exchange hashpartitioning" not in executed
