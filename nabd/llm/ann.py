@@ -10,6 +10,8 @@ products. Nodes enter a layer in a seeded order, each linked to the best diverse
 before it, so early nodes keep long links; a node's links are then cut to the best diverse ones. In
 place of a beam search for each insertion the candidates come from exact blocks within the shard.
 
+Equal vectors are one node; their ids are spread out after the search.
+
 Vectors that are null, empty, zero, or hold null or non-finite components take no part, nor do rows
 without a vec_id. Of rows that repeat a vec_id the smallest vector counts. Only vectors of one
 dimension are compared. Ties go to the smaller vec_id. Extra columns are ignored, empty tables give
@@ -215,7 +217,10 @@ def build_index(vectors: DataFrame, shard_rows: int = SHARD_ROWS) -> DataFrame:
         return pd.DataFrame([row])
 
     schema = "dim int, shard int, ids binary, vectors binary, nodes array<binary>, neighbours array<binary>"
-    return _dealt(vectors, shard_rows, "shard").groupBy("dim", "shard").applyInPandas(build, schema)
+    # A number of partitions that is given is not merged again, so shards are built side by side.
+    parts = int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = _dealt(vectors, shard_rows, "shard").repartition(parts, "dim", "shard")
+    return dealt.groupBy("dim", "shard").applyInPandas(build, schema)
 
 
 def _blocks(queries: DataFrame) -> DataFrame:
@@ -233,8 +238,10 @@ def _blocks(queries: DataFrame) -> DataFrame:
     )
 
 
-def search(index: DataFrame, queries: DataFrame, k: int = 20, ef: int = EF) -> DataFrame:
-    """(query_id, rank, vec_id, score): the k nearest found, without the query's own id."""
+def search(
+    index: DataFrame, queries: DataFrame, k: int = 20, ef: int = EF, itself: bool = False
+) -> DataFrame:
+    """(query_id, rank, vec_id, score): the k nearest found; the query's own id only if `itself`."""
 
     def run(part: pd.DataFrame) -> pd.DataFrame:
         out = []
@@ -251,8 +258,9 @@ def search(index: DataFrame, queries: DataFrame, k: int = 20, ef: int = EF) -> D
             r, c = np.nonzero(found >= 0)
             node = found[r, c]
             score = np.einsum("ij,ij->i", q[r], v[node])
-            other = ids[node] != asked[r]
-            frame = pd.DataFrame({"query_id": asked[r], "vec_id": ids[node], "score": score})[other]
+            frame = pd.DataFrame({"query_id": asked[r], "vec_id": ids[node], "score": score})
+            if not itself:
+                frame = frame[ids[node] != asked[r]]
             frame = frame.sort_values(["query_id", "score", "vec_id"], ascending=[True, False, True])
             out.append(frame.groupby("query_id").head(k))
         return pd.concat(out)
@@ -268,8 +276,37 @@ def search(index: DataFrame, queries: DataFrame, k: int = 20, ef: int = EF) -> D
     return ranked.select("query_id", "rank", "vec_id", "score")
 
 
+def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame:
+    """(query_id, rank, vec_id, score): the k nearest found of each query among the other vectors.
+
+    Equal vectors are one point of the graph, named by their smallest id; a group of copies would
+    otherwise link to itself alone. Points are searched for points, and what is found is spread out
+    to ids at the end: of a point no more than the k + 1 smallest ids can be among the first k.
+    `queries` are some of `vectors`; both are as `usable` returns them.
+    """
+    same = ["dim", "embedding"]
+    points = stage(vectors.groupBy(*same).agg(F.min("vec_id").alias("vec_id")), "points")
+    index = stage(build_index(points), "hnsw")
+    named = points.withColumnRenamed("vec_id", "point")
+    asked = stage(queries.join(named, same).select("vec_id", "point"), "asked")
+    once = asked.select(F.col("point").alias("vec_id")).distinct()
+    found = search(index, points.join(once, "vec_id", "left_semi"), k + 1, itself=True)
+    found = found.select(F.col("query_id").alias("asked"), F.col("vec_id").alias("point"), "score")
+
+    by_id = F.row_number().over(Window.partitionBy(*same).orderBy("vec_id"))
+    members = vectors.withColumn("n", by_id).filter(F.col("n") <= k + 1)
+    members = members.join(named, same).select("point", "vec_id")
+    by_score = Window.partitionBy("asked").orderBy(F.desc("score"), "vec_id")
+    spread = found.join(members, "point").withColumn("n", F.row_number().over(by_score))
+    spread = stage(spread.filter(F.col("n") <= k + 1).select("asked", "vec_id", "score"), "spread")
+
+    pairs = asked.select(F.col("vec_id").alias("query_id"), F.col("point").alias("asked")).join(spread, "asked")
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    ranked = pairs.filter("query_id <> vec_id").withColumn("rank", F.row_number().over(order))
+    return ranked.filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+
 def digest(embeddings: DataFrame, every: int = 20, k: int = 20) -> DataFrame:
     """The k nearest found of each vector whose id is divisible by `every`."""
     vectors = stage(usable(embeddings), "vectors")
-    index = stage(build_index(vectors), "hnsw")
-    return search(index, vectors.filter(F.col("vec_id") % every == 0), k)
+    return nearest(vectors, vectors.filter(F.col("vec_id") % every == 0), k)

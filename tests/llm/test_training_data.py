@@ -322,6 +322,24 @@ def test_nearest(spark):
     assert ann.digest(frame.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("groups", [[100] * 40, [1300] + [1] * 2600])
+def test_nearest_among_copies(spark, groups):
+    """Recall where vectors have many copies, and where one has a third of the rows; ties by id."""
+    rng = np.random.default_rng(9)
+    vectors = np.repeat(rng.normal(size=(len(groups), 12)), groups, axis=0)
+    vectors = vectors[rng.permutation(len(vectors))]
+    frame = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)], "vec_id long, embedding array<double>")
+    out = ann.digest(frame).toPandas()
+    hits = 0
+    for q, part in out.groupby("query_id"):
+        scores = np.round(vectors @ vectors[q], 9)
+        scores[q] = -np.inf
+        best = np.lexsort((np.arange(len(scores)), -scores))[:20]
+        assert q not in set(part["vec_id"]) and len(part) == 20
+        hits += len(set(best) & set(part["vec_id"]))
+    assert out["query_id"].nunique() == -(-len(vectors) // 20) and hits >= 0.98 * 20 * out["query_id"].nunique()
+
+
 def print_of(text):
     w = (text or "").encode().lower().split()
     grams = [b" ".join(w[i : i + 4]) for i in range(max(1, len(w) - 3))] if w else []
