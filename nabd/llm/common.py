@@ -29,6 +29,17 @@ def with_columns(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
     return df.drop(*[c for c in df.columns if c.lower() in taken]).withColumns(columns)
 
 
+def packed(docs: DataFrame, *own: str) -> DataFrame:
+    """The columns `own`, and the others as one struct `rest`, so that no name can clash with theirs."""
+    others = [F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns) if c not in own]
+    return docs.select(*own, F.struct(F.lit(True).alias("c"), *others).alias("rest"))
+
+
+def unpacked(columns: list[str], *own: str) -> list[Column]:
+    """The columns that `packed` put away, in their order."""
+    return [F.col(c) if c in own else F.col(f"rest.c{i}").alias(c) for i, c in enumerate(columns)]
+
+
 def slices(batches: Iterator[pa.RecordBatch], rows: int = ROWS_AT_ONCE) -> Iterator[pa.RecordBatch]:
     """The same rows in short batches, so that a batch of very long texts is not held twice."""
     for batch in batches:

@@ -7,17 +7,19 @@ passes grows with the logarithm of the data, and no bucket is ever gathered in o
 
 Rows whose ids have the same hash cannot be told apart by bits. If they exceed the limit together,
 they are cut into pieces by their running size: small ones into half limits, so that a piece with
-its last row still fits, larger ones each on their own. A document larger than the limit is a shard
-of its own, and only such a shard exceeds the limit. A null text has 0 bytes; a null id is hashed
-like any other. Extra columns are kept; columns named `shard` or `shard_bytes` are replaced.
-Empty tables give empty results.
+its last row still fits, larger ones each on their own. Equal rows are folded to one with a count
+before that, and running sums are taken over buckets of the texts' hash, then inside each bucket,
+on numbers alone. A document larger than the limit is a shard of its own, and only such a shard
+exceeds the limit. A null text has 0 bytes; a null id is hashed like any other. Rows of one id and
+text that differ in other columns may change places between runs. Extra columns of any name are
+kept; columns named `shard` or `shard_bytes` are replaced. Empty tables give empty results.
 """
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from nabd.llm.common import with_columns
+from nabd.llm.common import packed, unpacked, with_columns
 from nabd.plans.staging import stage
 
 MAX_BYTES = 4 << 20
@@ -26,6 +28,10 @@ STEP = 8
 BITS = 64
 #: Directory entries that any data can have up to a depth of 16 bits: a broadcast of proven size.
 _FEW = 2 * STEP
+#: Buckets of one hash's texts, over which running sizes are taken first.
+PIECE_BITS = 12
+#: Copies of one row that are written out again by one task.
+COPIES = 1 << 14
 
 
 def _prefix(depth: int) -> Column:
@@ -97,7 +103,7 @@ def with_shard(docs: DataFrame, max_bytes: int = MAX_BYTES, seed: int = SEED) ->
         "_hash": F.xxhash64(F.lit(seed), "doc_id"),
     }
     columns = docs.columns
-    rows = docs.withColumns(keys)
+    rows = packed(docs, "doc_id", "text").withColumns(keys)
     total = rows.agg(F.sum("_size")).first()[0] or 0
     if total <= max_bytes:  # the directory is one bucket of depth 0
         return docs.withColumns({"shard": F.lit(""), "shard_bytes": F.lit(total).cast("long")})
@@ -110,22 +116,44 @@ def with_shard(docs: DataFrame, max_bytes: int = MAX_BYTES, seed: int = SEED) ->
         rows = rows.join(entries, _prefix(depth) == F.col("_path"), "left").drop("_path")
         found = F.col(f"_at{depth}")
         placed = found if placed is None else F.coalesce(placed, found)
-    rows = rows.withColumn("_at", placed).select(*columns, "_size", "_hash", "_at.*")
-    fit = rows.filter("not over").drop("over", "_size", "_hash")
-    return fit.unionByName(_pieces(rows.filter("over"), max_bytes)).select(*columns, "shard", "shard_bytes")
+    rows = rows.withColumn("_at", placed).select("doc_id", "text", "rest", "_size", "_hash", "_at.*")
+    out = rows.filter("not over").drop("over", "_size", "_hash")
+    out = out.unionByName(_pieces(rows.filter("over"), max_bytes))
+    return out.select(*unpacked(columns, "doc_id", "text"), "shard", "shard_bytes")
 
 
 def _pieces(rows: DataFrame, max_bytes: int) -> DataFrame:
     """Rows of one hash that exceed the limit together, in pieces that fit."""
     half = max(1, max_bytes // 2)
+    folded = rows.groupBy("doc_id", "text", "rest", "shard", "_hash", "_size").agg(F.count("*").alias("n"))
+    # Staged, so that the numbers are the same for every reader.
+    folded = stage(folded.withColumn("_id", F.monotonically_increasing_id()), "oversized")
     large = F.col("_size") > half
-    window = Window.partitionBy("_hash", large).orderBy(F.xxhash64("text"), "text")
-    before = F.sum("_size").over(window.rowsBetween(Window.unboundedPreceding, 0)) - F.col("_size")
-    own = F.concat(F.lit("l"), F.row_number().over(window).cast("string"))
-    shared = F.concat(F.lit("s"), F.floor(before / half).cast("string"))
-    named = rows.withColumn("shard", F.concat_ws(".", "shard", F.when(large, own).otherwise(shared)))
-    size = F.sum("_size").over(Window.partitionBy("shard"))
-    return named.withColumn("shard_bytes", size).drop("over", "_size", "_hash")
+    amount = F.when(large, F.col("n")).otherwise(F.col("n") * F.col("_size"))
+    order = F.xxhash64("text")
+    narrow = folded.select(
+        "_id", "_hash", large.alias("large"), amount.alias("amount"), order.alias("order"),
+        F.shiftrightunsigned(order, 64 - PIECE_BITS).alias("bucket"),
+    )
+    narrow = stage(narrow, "oversized-sizes")
+    group = ["_hash", "large"]
+    # At most 2 ** PIECE_BITS rows for each hash.
+    ahead = Window.partitionBy(*group).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    buckets = narrow.groupBy(*group, "bucket").agg(F.sum("amount").alias("all"))
+    buckets = buckets.withColumn("ahead", F.coalesce(F.sum("all").over(ahead), F.lit(0)))
+    inside = Window.partitionBy(*group, "bucket").orderBy("order", "_id").rowsBetween(Window.unboundedPreceding, -1)
+    before = F.col("ahead") + F.coalesce(F.sum("amount").over(inside), F.lit(0))
+    starts = narrow.join(buckets, [*group, "bucket"]).select("_id", "large", before.alias("before"))
+    last = F.col("n") - 1
+    first = F.explode(F.sequence(F.lit(0).cast("long"), last, F.lit(COPIES).cast("long")))
+    copies = folded.join(starts, "_id").withColumn("first", first).repartition("_id", "first")
+    one = F.explode(F.sequence(F.col("first"), F.least(F.col("first") + COPIES - 1, last)))
+    copies = copies.withColumn("k", one)
+    own = F.concat(F.lit("l"), (F.col("before") + F.col("k") + 1).cast("string"))
+    shared = F.concat(F.lit("s"), F.floor((F.col("before") + F.col("k") * F.col("_size")) / half).cast("string"))
+    named = copies.withColumn("shard", F.concat_ws(".", "shard", F.when(F.col("large"), own).otherwise(shared)))
+    sizes = named.groupBy("shard").agg(F.sum("_size").alias("shard_bytes"))
+    return named.select("doc_id", "text", "rest", "shard").join(sizes, "shard")
 
 
 def write_shards(docs: DataFrame, path: str, **options) -> None:
