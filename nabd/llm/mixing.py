@@ -5,7 +5,8 @@ is shared again among the rest. A source takes all its documents as often as its
 rest of its budget is fitted on counts of documents by exact length: long lengths first, each gets
 its proportional number, down to a reserve of `WINDOW` words, and bounded-knapsack dynamic
 programming over the lengths left fills the reserve as closely as any choice can. Documents of a
-length are then taken in the order of a seeded hash, so a rerun takes the same ones.
+length are then taken in the order of a seeded hash of id and text, rows of one id and text in
+that of their other columns, so a rerun takes the same ones in whatever order the rows come.
 
 Counts by length are made by grouped aggregation; a hot source or length is spread over hash
 buckets, and only the one bucket in which a length's number ends is ranked.
@@ -21,7 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from nabd.llm.common import WORD, with_columns
+from nabd.llm.common import WORD, packed, unpacked, with_columns
 from nabd.plans.staging import stage
 
 WEIGHTS = (3.0, 1.0, 2.0)
@@ -122,10 +123,11 @@ def mix(
     window: int = WINDOW,
 ) -> DataFrame:
     """`docs` with size, source_size, target, and copies: how often the mix takes the document."""
+    docs = docs.drop(*[c for c in docs.columns if c.lower() in ("source_size", "target", "copies")])
     sized = with_size(docs)
     targets = stage(source_targets(sized.select("source", "size"), weights, share, most), "targets")
     key = F.when(F.col("source").isNotNull(), F.concat(F.lit("="), "source")).otherwise("")
-    draw = F.xxhash64(F.lit(seed), "doc_id")
+    draw = F.xxhash64(F.lit(seed), "doc_id", "text")
     rows = sized.withColumns({"_nabd_key": key, "_nabd_draw": draw})
     rows = rows.withColumn("_nabd_bucket", F.shiftrightunsigned("_nabd_draw", 64 - _BUCKET_BITS).cast("int"))
     group = ["_nabd_key", "size"]
@@ -165,7 +167,11 @@ def mix(
     planned = rows.join(plan, [*group, "_nabd_bucket"])
     split = ~F.col("_nabd_all") & (F.col("_nabd_left") > 0)
     whole = planned.filter(~split).withColumn("_nabd_more", F.col("_nabd_all").cast("long"))
-    order = Window.partitionBy(*group, "_nabd_bucket").orderBy("_nabd_draw", "doc_id")
+    # Written only for the rows of the bucket that is split; rows of equal digests are equal rows.
+    whole_row = F.to_json(F.struct(*docs.columns))
+    order = Window.partitionBy(*group, "_nabd_bucket").orderBy(
+        "_nabd_draw", "doc_id", F.xxhash64("text"), F.xxhash64(whole_row), F.xxhash64(F.lit(1), whole_row)
+    )
     ranked = planned.filter(split).withColumn("_nabd_more", F.row_number().over(order))
     ranked = ranked.withColumn("_nabd_more", (F.col("_nabd_more") <= F.col("_nabd_left")).cast("long"))
     copies = F.col("_nabd_every") + F.col("_nabd_more")
@@ -176,10 +182,10 @@ def mix(
 
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     """The mix itself: each document as often as it is taken, with the columns of `docs`."""
-    row = docs.select("doc_id", "text", "source", F.struct(*docs.columns).alias("_row"))
+    own = ("doc_id", "text", "source")
     again = F.sequence(F.lit(1), F.col("copies").cast("int"))
-    taken = mix(row, **options).filter("copies > 0").select("_row", F.explode(again))
-    return taken.select("_row.*")
+    taken = mix(packed(docs, *own), **options).filter("copies > 0")
+    return taken.select(*own, "rest", F.explode(again)).select(*unpacked(docs.columns, *own))
 
 
 def digest(docs: DataFrame, **options) -> DataFrame:
