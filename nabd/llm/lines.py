@@ -16,7 +16,7 @@ Null and empty texts have no lines; a line without words is kept and matches not
 doc_id come first and are told apart by nothing but their lines. Rows that repeat a doc_id repeat
 its line numbers, so of equal lines of one number none is earlier. As such rows may hold different
 texts, sets are known by their digest and never by a place, and `dedup` knows a row by doc_id and
-text. Extra columns are ignored or, by `dedup`, kept. Empty tables give empty results. Native: only
+text. Extra columns are ignored or, by `dedup`, kept, whatever their names. Empty tables give empty results. Native: only
 column expressions.
 """
 
@@ -27,7 +27,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from nabd.llm.common import words
+from nabd.llm.common import packed, unpacked, words
 from nabd.plans.staging import stage
 
 THRESHOLD = 0.8
@@ -192,7 +192,7 @@ def judged_lines(
 def dedup(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """`docs` with later matches removed from the texts."""
     row = {"_nabd_a": F.xxhash64("text"), "_nabd_b": F.xxhash64(F.lit(1), "text")}
-    named = docs.withColumns(row)
+    named = packed(docs, "doc_id", "text").withColumns(row)
     judged = judged_lines(named, threshold, ("doc_id", *row))
     gone = judged.filter("removed").groupBy(F.col("doc_id").alias("_id"), *row).agg(
         F.collect_set("line_no").alias("_gone")
@@ -204,7 +204,8 @@ def dedup(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     same = F.col("doc_id").eqNullSafe(F.col("_id"))
     for name in row:
         same &= F.col(name) == F.col(f"{name}2")
-    return named.join(gone, same, "left").withColumn("text", text).select(*docs.columns)
+    kept = named.join(gone, same, "left").withColumn("text", text)
+    return kept.select(*unpacked(docs.columns, "doc_id", "text"))
 
 
 def digest(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:

@@ -25,9 +25,8 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from nabd.llm.common import slices
+from nabd.llm.common import packed, slices, unpacked
 from nabd.plans.staging import release, stage
 
 SPAN = 13
@@ -317,7 +316,8 @@ def _removed(text: bytes | None, spans: list | None) -> tuple[list[bytes], np.nd
 
 def dedup(docs: DataFrame, span: int = SPAN) -> DataFrame:
     """`docs` with repeated spans removed; a text that loses words keeps the rest joined by spaces."""
-    columns = docs.columns
+    rows_of = packed(docs, "doc_id", "text")
+    columns = rows_of.columns
 
     def batches(rows: Iterator[pa.RecordBatch]):
         for batch in slices(rows):
@@ -332,7 +332,8 @@ def dedup(docs: DataFrame, span: int = SPAN) -> DataFrame:
             arrays = [new if c == "text" else batch.column(c) for c in columns]
             yield pa.RecordBatch.from_arrays(arrays, columns)
 
-    return _kept(docs, span).mapInArrow(batches, T.StructType(docs.schema.fields))
+    kept = _kept(rows_of, span).mapInArrow(batches, rows_of.schema)
+    return kept.select(*unpacked(docs.columns, "doc_id", "text"))
 
 
 def digest(docs: DataFrame, span: int = SPAN) -> DataFrame:
