@@ -18,6 +18,7 @@ labels are left out. Without labels of both kinds the built-in words and a fixed
 Extra columns are kept; columns named `score` or `predicted` are replaced.
 """
 
+import heapq
 import itertools
 import math
 import re
@@ -36,7 +37,6 @@ from nabd.llm.common import slices, with_columns
 from nabd.plans.staging import stage
 
 MAX_TRAINING_ROWS = 20_000
-MAX_GRAMS = 5_000
 STEM_LENGTHS = (4, 5, 6)
 COVER = 5
 
@@ -57,7 +57,6 @@ _TOKEN = re.compile(rf"[^\W\d_]+(?:[{_MARKS}]+[^\W\d_]*)*|[.!?;:\n,\"“”«»]
 #: The same for texts without marks, several times as fast.
 _PLAIN, _MARK = re.compile(r"[^\W\d_]+|[.!?;:\n,\"“”«»]"), frozenset(_MARKS)
 _QUOTES, _ENDS = set('"“”«»'), set(".!?;\n")
-LEAST_LETTERS = 3
 
 
 def tokens_of(text: str) -> list[str]:
@@ -197,7 +196,7 @@ def _grams(rows: DataFrame) -> DataFrame:
 
     def cut(batches):
         for batch in slices(batches):
-            words = [[t for t in set(tokens_of(t.as_py())) if len(t) >= LEAST_LETTERS] for t in batch.column("text")]
+            words = [[w for w in set(tokens_of(t.as_py())) if w[0].isalpha()] for t in batch.column("text")]
             arrays = [batch.column("id"), batch.column("toxic"), pa.array(words, pa.list_(pa.string()))]
             yield pa.RecordBatch.from_arrays(arrays, ["id", "toxic", "token"])
 
@@ -225,9 +224,10 @@ def fit(docs: DataFrame, labels: DataFrame, max_training_rows: int = MAX_TRAININ
     marks = (
         grams.groupBy("gram").agg(bad.alias("bad"), good.alias("good"))
         .filter((F.col("bad") >= support) & (F.col("good") * 19 <= F.col("bad")))
-        .orderBy(F.desc("bad"), "gram")
-        .limit(MAX_GRAMS)
     )
+    # A gram marks a hundredth of the toxic rows, so there are at most 100 times as many as an
+    # average one of them has; with the bound on rows, that is what the driver and a broadcast hold.
+    marks = stage(marks, "toxic-grams")
     found = {r["gram"]: (r["bad"], r["good"]) for r in marks.collect()}
     pairs = grams.filter("toxic = 1").join(F.broadcast(marks.select("gram")), "gram")
     places: dict[str, set[int]] = {}
@@ -256,18 +256,23 @@ def _cover(places: dict[str, set[int]], support: int) -> list[str]:
     """Grams by the toxic documents they newly explain; each document wants COVER of them."""
     need = dict.fromkeys(set().union(*places.values()) if places else (), COVER)
     chosen: list[str] = []
-    left = dict(places)
-    while left:
-        gain = {g: sum(need[i] > 0 for i in ids) for g, ids in left.items()}
-        best = min(left, key=lambda g: (-gain[g], -len(g.rstrip("*")), g))
-        if gain[best] < support:
-            break
-        chosen.append(best)
-        for i in left[best]:
+    # Gains only fall, so a gram whose gain still holds when it comes first is the best of all.
+    queue = [(-len(ids), -len(g.rstrip("*")), g) for g, ids in places.items()]
+    heapq.heapify(queue)
+    while queue:
+        before, length, gram = heapq.heappop(queue)
+        stem = gram.rstrip("*")
+        if any(stem.startswith(kin) or kin.startswith(stem) for kin in (c.rstrip("*") for c in chosen)):
+            continue
+        gain = sum(need[i] > 0 for i in places[gram])
+        if gain < support:
+            continue
+        if gain < -before:
+            heapq.heappush(queue, (-gain, length, gram))
+            continue
+        chosen.append(gram)
+        for i in places[gram]:
             need[i] -= 1
-        stem = best.rstrip("*")
-        kin = {g for g in left if g.rstrip("*").startswith(stem) or stem.startswith(g.rstrip("*"))}
-        left = {g: ids for g, ids in left.items() if g not in kin and gain[g] >= support}
     return chosen
 
 
