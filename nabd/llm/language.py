@@ -6,8 +6,11 @@ The likelihoods of declarations and suffixes and the priors are counts of text p
 by grouped aggregation over all pages; the prior of a host is smoothed by its domain's, that by the
 global one, and a page's own share is taken out of the counts it is judged by.
 
-The letter models are fitted on `TRAINING_ROWS` documents with a language at most, chosen by a
-seeded hash, with the `GRAMS` most frequent n-grams; everything else covers all pages.
+The letter models are fitted on `training_rows` documents with a language at most, chosen by a
+seeded hash, with `grams` n-grams at most. Both numbers are shared evenly: languages take turns, so
+a language with few documents brings them all, and each has its own most frequent n-grams. Everything
+else covers all pages. As neighbouring n-grams are not independent, `temper` of them count as one, and
+the text of a long page counts as much as one of `most_grams`, whose mean it is: all are read.
 
 A null or empty page has no text evidence and adds nothing to the counts; a null or unreadable
 address has the global prior; an undeclared language is a value of its own. Ties go to the first
@@ -22,16 +25,16 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from nabd.llm.common import slices
 from nabd.plans.staging import stage
 
 TRAINING_ROWS = 4_000
-GRAMS = 20_000
+GRAMS = 60_000
+UNSEEN = 0.02
 SEED = 11
-#: Grams are not independent: so many of them count as one, and a page counts as so many at most.
 TEMPER, MOST_GRAMS = 5.0, 500
 HOST_WEIGHT, PLAIN_WEIGHT = 4.0, 1.0
 
@@ -49,7 +52,11 @@ def grams_of(word: str) -> list[str]:
 
 
 class LetterModel:
-    """Log likelihoods of n-grams in each language."""
+    """Log likelihoods of n-grams in each language.
+
+    A part `UNSEEN` of every language's weight lies evenly on all n-grams, so that one which no
+    language has speaks for none, however few documents a language was learned from.
+    """
 
     def __init__(self, counts: dict[tuple[str, str], int]):
         self.langs = sorted({lang for lang, _ in counts})
@@ -57,9 +64,10 @@ class LetterModel:
         table: dict[str, np.ndarray] = {}
         for (lang, gram), n in counts.items():
             table.setdefault(gram, np.zeros(len(place)))[place[lang]] = n
-        total = sum(table.values(), np.zeros(len(place))) + 0.5 * (len(table) + 1)
-        self.table = {g: np.log((c + 0.5) / total) for g, c in table.items()}
-        self.unseen = np.log(0.5 / total) if len(place) else np.zeros(0)
+        total = sum(table.values(), np.zeros(len(place)))
+        even = UNSEEN / (len(table) + 1)
+        self.table = {g: np.log((1 - UNSEEN) * c / total + even) for g, c in table.items()}
+        self.unseen = np.full(len(place), np.log(even))
         self.words: dict[str, tuple[int, np.ndarray]] = {}
 
     def likelihood(self, text: str) -> tuple[int, np.ndarray]:
@@ -77,15 +85,18 @@ class LetterModel:
         return n, total / n if n else total
 
 
+def _in_turn(rows: DataFrame, order: list[Column | str], most: int) -> DataFrame:
+    """`most` rows: the first of each language by `order`, then the second of each, and so on."""
+    turn = F.row_number().over(Window.partitionBy("lang").orderBy(*order))
+    # Every task keeps the first of each language before anything is shuffled.
+    return rows.withColumn("turn", turn).filter(F.col("turn") <= most).orderBy("turn", "lang").limit(most)
+
+
 def fit(documents: DataFrame, training_rows: int = TRAINING_ROWS, grams: int = GRAMS) -> LetterModel:
     """Letter models from a bounded sample of documents that name their language."""
-    chosen = (
-        documents.filter("lang is not null and doc_id is not null")
-        .select("doc_id")
-        .orderBy(F.xxhash64(F.lit(SEED), "doc_id"), "doc_id")
-        .limit(training_rows)
-        .distinct()
-    )
+    named = documents.filter("lang is not null and doc_id is not null").select("doc_id", "lang")
+    chosen = _in_turn(named, [F.xxhash64(F.lit(SEED), "doc_id"), "doc_id"], training_rows)
+    chosen = chosen.select("doc_id").distinct()
     # At most training_rows numbers: a broadcast of proven size.
     rows = documents.filter("lang is not null and text is not null").join(F.broadcast(chosen), "doc_id")
 
@@ -107,11 +118,13 @@ def fit(documents: DataFrame, training_rows: int = TRAINING_ROWS, grams: int = G
 
     counted = rows.select("lang", "text").mapInArrow(count, "lang string, gram string, n long")
     sums = counted.groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    top = sums.orderBy(F.desc("n"), "lang", "gram").limit(grams).collect()
+    top = _in_turn(sums, [F.desc("n"), "gram"], grams).collect()
     return LetterModel({(r["lang"], r["gram"]): r["n"] for r in top})
 
 
-def evidence(pages: DataFrame, model: LetterModel) -> DataFrame:
+def evidence(
+    pages: DataFrame, model: LetterModel, temper: float = TEMPER, most_grams: int = MOST_GRAMS
+) -> DataFrame:
     """page_id, host, domain, suffix, declared, and the text's tempered log likelihoods."""
     host = F.lower(F.regexp_extract("url", r"^[A-Za-z][A-Za-z0-9+.\-]*://(?:[^/@?#]*@)?([^/:?#]+)", 1))
     host = F.when(host != "", host)
@@ -133,7 +146,7 @@ def evidence(pages: DataFrame, model: LetterModel) -> DataFrame:
             for page in batch.column("html").to_pylist():
                 n, mean = own.likelihood(visible_text(page))
                 counts.append(n)
-                values.append((mean * min(n, MOST_GRAMS) / TEMPER).tolist())
+                values.append((mean * min(n, most_grams) / temper).tolist())
             arrays = [batch.column(c) for c in batch.schema.names if c != "html"]
             names = [c for c in batch.schema.names if c != "html"]
             yield pa.RecordBatch.from_arrays(
@@ -156,19 +169,25 @@ def _softmax(ll: list[Column]) -> list[Column]:
     return [p / total for p in parts]
 
 
-def identify(pages: DataFrame, documents: DataFrame, model: LetterModel | None = None) -> DataFrame:
+def identify(
+    pages: DataFrame,
+    documents: DataFrame,
+    model: LetterModel | None = None,
+    temper: float = TEMPER,
+    most_grams: int = MOST_GRAMS,
+) -> DataFrame:
     """page_id, lang, score (its posterior), text_lang, declared, suffix and host of every page."""
     model = model or fit(documents)
     langs = model.langs
     if not langs:
         null = F.lit(None).cast("string")
-        found = evidence(pages, model)
+        found = evidence(pages, model, temper, most_grams)
         return found.select(
             "page_id", null.alias("lang"), F.lit(None).cast("double").alias("score"),
             null.alias("text_lang"), "declared", "suffix", "host",
         )
     each = range(len(langs))
-    found = evidence(pages, model)
+    found = evidence(pages, model, temper, most_grams)
     text = _softmax([F.col("text_ll")[i] for i in each])
     told = F.col("n_grams") > 0
     found = stage(
