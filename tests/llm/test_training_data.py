@@ -8,6 +8,7 @@ import re
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from nabd.llm import (
@@ -277,6 +278,44 @@ def test_language(spark):
     assert {r["lang"] for r in none.collect()} == {None}
 
 
+def test_no_language_is_lost_among_large_ones(spark):
+    rng = random.Random(2)
+    letters = {"aa": "abcdefgh", "bb": "ijklmnop", "cc": "qrstuvwx", "dd": "yzäöüßéè"}
+    text = lambda g, n: " ".join("".join(rng.choices(letters[g], k=5)) for _ in range(n))
+    rows = [(i, text(g, 200), g) for i, g in enumerate(["aa", "bb", "cc"] * 100)] + [(900 + i, text("dd", 9), "dd") for i in range(3)]
+    training = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language.fit(training, training_rows=40, grams=400)
+    assert model.langs == ["aa", "bb", "cc", "dd"]
+    pages = [(k, None, f"<p>{text(g, 30)}</p>") for k, g in enumerate("aa bb cc dd dd".split())]
+    found = language.identify(spark.createDataFrame(pages, "page_id long, url string, html string"), training, model)
+    assert [r["text_lang"] for r in sorted(found.collect())] == "aa bb cc dd dd".split()
+    sure = language.identify(
+        spark.createDataFrame(pages, "page_id long, url string, html string"), training, model, most_grams=1
+    )
+    assert all(a["score"] <= b["score"] for a, b in zip(sorted(sure.collect()), sorted(found.collect()), strict=True))
+
+
+def test_language_fusion_by_hand(spark):
+    """One posterior, from its parts: text, prior of the host, declared language, suffix."""
+    training = spark.createDataFrame([(1, "aba bab", "aa"), (2, "xyx yxy", "bb")], "doc_id long, text string, lang string")
+    model = language.fit(training)
+    pages = [(1, "http://h.aa/1", "<html lang=aa>aba"), (2, "http://h.aa/2", "<html lang=aa>xyx"), (3, "http://k.bb/", "<html lang=bb>yxy")]
+    frame = spark.createDataFrame(pages, "page_id long, url string, html string")
+    ll = {i: np.array(model.likelihood(t)[1]) * model.likelihood(t)[0] / 5 for i, t in ((1, "aba"), (2, "xyx"), (3, "yxy"))}
+    p = {i: np.exp(v - v.max()) / np.exp(v - v.max()).sum() for i, v in ll.items()}
+    every = p[1] + p[2] + p[3]
+    prior = (every + 1) / (every.sum() + 2)
+    mates = p[2]  # page 1 is judged without its own share
+    domain = (mates + 4 * prior) / (mates.sum() + 4)
+    host = (mates + 4 * domain) / (mates.sum() + 4)
+    seen = every - p[1]
+    told = (mates + 1) / (seen + 1 * 3)  # two declared values, two suffixes, and one unseen
+    z = ll[1] + np.log(host) + 2 * np.log(told)
+    want = np.exp(z - z.max()).max() / np.exp(z - z.max()).sum()
+    got = {r["page_id"]: r for r in language.identify(frame, training, model).collect()}
+    assert got[1]["score"] == pytest.approx(want) and got[1]["lang"] == model.langs[int(np.argmax(z))]
+
+
 def test_chat_round_trip(spark):
     odd = [HOSTILE, "a\\<|b\\\\<\\|\n", "<", "|x<\\n>\n<|im_end|>\n", "", None, "é😀\\"]
     rng = random.Random(6)
@@ -417,10 +456,104 @@ def test_sharding(docs, texts, limit):
         total = sum(r["bytes"] for r in rows)
         assert {r["shard_bytes"] for r in rows} == {total} and (total <= limit or len(rows) == 1)
     assert not any(a != b and b.startswith(a) for a in names for b in names)
-    whole = {}
-    for r in out:
-        whole[r["shard"].split(".")[0][:-1]] = whole.get(r["shard"].split(".")[0][:-1], 0) + r["bytes"]
     assert sharding.with_shard(docs, max_bytes=limit).count() == len(out)
+    assert {tuple(r)[:1] + (r["shard"].split(".")[0],) for r in out} == split_whole(docs, limit)
+
+
+def split_whole(docs, limit):
+    """(doc_id, leading bits), splitting only what is over the limit and holds two hashes."""
+    hashed = docs.select("doc_id", F.xxhash64(F.lit(sharding.SEED), "doc_id"), F.octet_length("text"))
+    rows = [(i, format(h % (1 << 64), "064b"), n or 0) for i, h, n in hashed.collect()]
+    found, open_buckets = set(), [("", rows)]
+    while open_buckets:
+        bits, bucket = open_buckets.pop()
+        if sum(r[2] for r in bucket) > limit and len({r[1] for r in bucket}) > 1:
+            for bit in "01":
+                half = [r for r in bucket if r[1].startswith(bits + bit)]
+                if half:
+                    open_buckets.append((bits + bit, half))
+        else:
+            found |= {(r[0], bits) for r in bucket}
+    return found
+
+
+def test_sharding_of_one_hot_id(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "COPIES", 7)
+    rows = [(None, "same text", "a")] * 60 + [(None, f"t{i}" * (i % 9), "a") for i in range(80)]
+    rows += [(None, None, "a")] * 3 + [(None, "x" * 250, "a"), (None, "y" * 80, "b"), (5, "z", None)]
+    docs = make(spark, rows).withColumn("size", F.col("n_chars") + 1)
+    out = sharding.with_shard(docs, max_bytes=100).collect()
+    assert ordered((r["doc_id"], r["text"], r["size"]) for r in out) == ordered(
+        (i, t, len(t or "") + 1) for i, t, _ in rows
+    )
+    shards = {}
+    for r in out:
+        shards.setdefault((r["shard"], r["shard_bytes"]), []).append(len(r["text"] or ""))
+    assert len(shards) == len({s for s, _ in shards})
+    for (_, size), own in shards.items():
+        assert size == sum(own) and (size <= 100 or len(own) == 1)
+    small = sum(len(t or "") for i, t, _ in rows if i is None and len(t or "") <= 50)
+    assert len(shards) <= small / 50 + 5
+
+
+def test_extra_columns_of_any_name(spark, texts):
+    names = (
+        "_size _hash _id _gone _lines _spans _path _at _at8 _row rest c c0 _nabd_key _nabd_row _nabd_a size copies "
+        "target source_size id line n"
+    ).split()
+    rows = [(i, t, s) for i, t, s in texts]
+    data = [(i, t, s, *[f"{n}{k}" for n in names]) for k, (i, t, s) in enumerate(rows)]
+    docs = spark.createDataFrame(data, "doc_id long, text string, source string, " + ", ".join(f"{n} string" for n in names))
+    labels = spark.createDataFrame([(i, int(i % 6 == 0)) for i in range(60)], "doc_id long, toxic int")
+    items = spark.createDataFrame([(1, "no such words in any text of these")], "item_id long, text string")
+    own = {r["_size"]: tuple(r)[3:] for r in docs.collect()}
+    for out in (
+        lines.dedup(docs),
+        substring.dedup(docs),
+        decontaminate.clean_documents(docs, items),
+        toxicity.reject_toxic(docs, labels),
+        simhash.dedup(docs),
+        mixing.mixed_documents(docs),
+        sharding.with_shard(docs, max_bytes=300).drop("shard", "shard_bytes"),
+    ):
+        assert out.columns == docs.columns
+        kept = out.collect()
+        assert kept and all(own[r["_size"]] == tuple(r)[3:] for r in kept)
+    assert mixing.mix(docs).count() == len(rows)
+
+
+def test_mix_does_not_depend_on_the_order_of_rows(spark):
+    """Rows without an id or of one id, all of one length, told apart by their text or another column."""
+    rows = [(None, f"w{i} x y", "a", i) for i in range(40)] + [(7, "p q r", "a", i) for i in range(40)]
+    rows += [(i, "one two three", "b", i) for i in range(40)]
+    columns = "doc_id long, text string, source string, place int"
+    weights = (1.0, 2.0)
+    once = [
+        ordered(mixing.mixed_documents(spark.createDataFrame(data, columns).repartition(n), weights=weights).collect())
+        for data, n in ((rows, 1), (rows[::-1], 5))
+    ]
+    assert once[0] == once[1] and 0 < len(once[0]) < 2 * len(rows)
+
+
+def test_very_long_texts(spark):
+    rng = random.Random(8)
+    long = " ".join(f"w{rng.randrange(1 << 20)}" for _ in range(200_000))
+    cut = long.rsplit(" ", 20)[0]
+    rows = [(1, long, "a"), (2, "start " + long, "a"), (3, "short text", "b"), (4, cut, "a")]
+    docs = make(spark, rows)
+    counts = {r["doc_id"]: (r["n_words"], r["n_removed"]) for r in substring.digest(docs).collect()}
+    assert counts == {1: (200_000, 0), 2: (200_001, 200_000), 3: (2, 0), 4: (199_980, 199_980)}
+    item = spark.createDataFrame([(1, " ".join(long.split()[-10:]))], "item_id long, text string")
+    hits = {r["doc_id"]: r["n_hit"] for r in decontaminate.digest(docs, item).collect()}
+    assert hits == {1: 10, 2: 10, 3: 0, 4: 0}
+    found = {r["doc_id"]: (r["n_removed"], r["n_links"]) for r in lines.digest(docs).collect()}
+    assert found == {1: (0, 2), 2: (1, 2), 3: (0, 0), 4: (1, 2)}
+    groups = {r["doc_id"]: r["component_id"] for r in simhash.digest(docs).collect()}
+    assert groups[1] == groups[2] == groups[4] == 1 and groups[3] == 3
+    assert {r["size"] for r in mixing.digest(docs).collect()} == {200_000, 200_001, 2, 199_980}
+    assert {r["shard_bytes"] for r in sharding.digest(docs, max_bytes=1000).collect()} >= {len(long), len("short text")}
+    labels = spark.createDataFrame([(i, i % 2) for i in range(1, 5)], "doc_id long, toxic int")
+    assert all(0 <= r["score"] <= 1 for r in toxicity.digest(docs, labels).collect())
 
 
 def test_empty_tables(spark, docs):
@@ -441,7 +574,74 @@ def test_empty_tables(spark, docs):
 
 
 def test_pipeline(spark, sf):
-    assert [name for name, _ in corpus_pipeline.STAGES][0] == "toxicity"
-    out = corpus_pipeline.run(spark, sf)
-    assert out.columns == ["doc_id", "text", "lang", "source", "n_chars", "shard", "shard_bytes"]
-    assert out.count() > 0
+    """Each stage against a plain reading of its rule, on what the one before kept."""
+    names = [name for name, _ in corpus_pipeline.STAGES]
+    assert names == ["toxicity", "simhash_near_dedup", "benchmark_decontamination", "mixing", "sharding"]
+    docs = corpus_pipeline.read(spark, sf, "documents")
+    labels, items = (corpus_pipeline.read(spark, sf, name) for name in ("labels", "benchmark"))
+    columns, kept = docs.columns, {}
+    for name, function in corpus_pipeline.STAGES:
+        kept[name] = before = corpus_pipeline.stage(docs, "test")
+        docs = function(spark, before, sf)
+        assert docs.columns == (columns if name != "sharding" else [*columns, "shard", "shard_bytes"])
+    last = docs.collect()
+    rows = {name: [tuple(r) for r in df.collect()] for name, df in kept.items()}
+    scores = {r["doc_id"]: r["score"] for r in toxicity.digest(kept["toxicity"], labels).collect()}
+    assert ordered(rows["simhash_near_dedup"]) == ordered(r for r in rows["toxicity"] if scores[r[0]] < 0.5)
+
+    ids, prints = [], []
+    for r in rows["simhash_near_dedup"]:
+        ids.append(r[0])
+        prints.append(fingerprint_of(r[1]))
+    lead = {i: i for i in ids}
+
+    def top(i):
+        while lead[i] != i:
+            i = lead[i]
+        return i
+
+    for a in range(len(ids)):
+        for b in range(a):
+            if (prints[a] ^ prints[b]).bit_count() <= 4:
+                low, high = sorted((top(ids[a]), top(ids[b])))
+                lead[high] = low
+    heads = {top(i) for i in ids}
+    assert ordered(rows["benchmark_decontamination"]) == ordered(r for r in rows["simhash_near_dedup"] if r[0] in heads)
+
+    windows = set()
+    for r in items.collect():
+        w = WORD.findall((r["text"] or "").translate(LOWER))
+        n = min(10, len(w))
+        windows |= {tuple(w[i : i + n]) for i in range(len(w) - n + 1) if w}
+    spans = {len(w) for w in windows}
+
+    def clean(text):
+        w = WORD.findall((text or "").translate(LOWER))
+        return not any(tuple(w[i : i + n]) in windows for n in spans for i in range(len(w) - n + 1))
+
+    assert ordered(rows["mixing"]) == ordered(r for r in rows["benchmark_decontamination"] if clean(r[1]))
+
+    copies = {(r["doc_id"], r["text"]): r for r in mixing.mix(kept["mixing"]).collect()}
+    want = [r for r in rows["mixing"] for _ in range(copies[r[0], r[1]]["copies"])]
+    assert ordered(rows["sharding"]) == ordered(want)
+    # These budgets are within the window of the knapsack, so no other choice comes closer below them.
+    for source, target in {r["source"]: r["target"] for r in copies.values()}.items():
+        sizes = [len((r[1] or "").encode().split()) for r in rows["mixing"] if r[3] == source]
+        every = int(target // sum(sizes))
+        budget, sums = round(target - every * sum(sizes)), 1
+        for n in sizes:
+            sums |= sums << n
+        best = every * sum(sizes) + max(s for s in range(budget + 1) if sums >> s & 1)
+        taken = sum(len((r[1] or "").encode().split()) for r in rows["sharding"] if r[3] == source)
+        assert budget <= mixing.WINDOW and taken == best
+
+    assert ordered(tuple(r)[:5] for r in last) == ordered(rows["sharding"])
+    assert {(r["doc_id"], r["shard"].split(".")[0]) for r in last} == split_whole(kept["sharding"], sharding.MAX_BYTES)
+    assert corpus_pipeline.run(spark, sf).count() == len(last)
+
+
+def fingerprint_of(text):
+    w = (text or "").translate(LOWER).encode().split()
+    shingles = [b" ".join(w[i : i + 4]) for i in range(len(w) - 3)] or ([b" ".join(w)] if w else [])
+    hashes = [xxhash.xxh64_intdigest(s, 42) for s in shingles]
+    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
