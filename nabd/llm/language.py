@@ -34,6 +34,7 @@ from nabd.plans.staging import stage
 TRAINING_ROWS = 4_000
 GRAMS = 60_000
 UNSEEN = 0.02
+SALTS = 64
 SEED = 11
 TEMPER, MOST_GRAMS = 5.0, 500
 HOST_WEIGHT, PLAIN_WEIGHT = 4.0, 1.0
@@ -87,9 +88,15 @@ class LetterModel:
 
 def _in_turn(rows: DataFrame, order: list[Column | str], most: int) -> DataFrame:
     """`most` rows: the first of each language by `order`, then the second of each, and so on."""
-    turn = F.row_number().over(Window.partitionBy("lang").orderBy(*order))
-    # Every task keeps the first of each language before anything is shuffled.
-    return rows.withColumn("turn", turn).filter(F.col("turn") <= most).orderBy("turn", "lang").limit(most)
+
+    def first(rows: DataFrame, *keys: Column | str) -> DataFrame:
+        turn = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
+        return rows.withColumn("turn", turn).filter(F.col("turn") <= most)
+
+    # A frequent language is cut in parts first, so that one task ranks SALTS * most rows at most.
+    salt = F.pmod(F.xxhash64(*rows.columns), F.lit(SALTS))
+    parts = first(rows, "lang", salt)
+    return first(parts, "lang").orderBy("turn", "lang").limit(most)
 
 
 def fit(documents: DataFrame, training_rows: int = TRAINING_ROWS, grams: int = GRAMS) -> LetterModel:
