@@ -128,7 +128,10 @@ def mix(
     targets = stage(source_targets(sized.select("source", "size"), weights, share, most), "targets")
     key = F.when(F.col("source").isNotNull(), F.concat(F.lit("="), "source")).otherwise("")
     draw = F.xxhash64(F.lit(seed), "doc_id", "text")
-    rows = sized.withColumns({"_nabd_key": key, "_nabd_draw": draw})
+    # Texts are known by their digest from here on, so they move only if the caller wants them.
+    rows = sized.withColumns(
+        {"_nabd_key": key, "_nabd_draw": draw, "_nabd_a": F.xxhash64("text"), "_nabd_b": F.xxhash64(F.lit(1), "text")}
+    )
     rows = rows.withColumn("_nabd_bucket", F.shiftrightunsigned("_nabd_draw", 64 - _BUCKET_BITS).cast("int"))
     group = ["_nabd_key", "size"]
     counts = stage(rows.groupBy(*group, "_nabd_bucket").agg(F.count("*").alias("n")), "lengths")
@@ -168,9 +171,9 @@ def mix(
     split = ~F.col("_nabd_all") & (F.col("_nabd_left") > 0)
     whole = planned.filter(~split).withColumn("_nabd_more", F.col("_nabd_all").cast("long"))
     # Written only for the rows of the bucket that is split; rows of equal digests are equal rows.
-    whole_row = F.to_json(F.struct(*docs.columns))
+    others = F.to_json(F.struct(*[c for c in docs.columns if c.lower() != "text"]))
     order = Window.partitionBy(*group, "_nabd_bucket").orderBy(
-        "_nabd_draw", "doc_id", F.xxhash64("text"), F.xxhash64(whole_row), F.xxhash64(F.lit(1), whole_row)
+        "_nabd_draw", "doc_id", "_nabd_a", "_nabd_b", F.xxhash64(others), F.xxhash64(F.lit(1), others)
     )
     ranked = planned.filter(split).withColumn("_nabd_more", F.row_number().over(order))
     ranked = ranked.withColumn("_nabd_more", (F.col("_nabd_more") <= F.col("_nabd_left")).cast("long"))
