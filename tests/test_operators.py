@@ -425,6 +425,39 @@ def test_density_clusters_equal_brute_force(spark, monkeypatch, radius, least, b
     assert density.density_clusters(df.limit(0), ("g",)).count() == 0
 
 
+def test_density_sends_a_vector_to_no_more_blocks_than_its_group_has(spark, monkeypatch):
+    """A radius that rules out no cell: 400 vectors in two groups, blocks of 100, so two cells."""
+    rng = np.random.default_rng(3)
+    vectors = rng.normal(size=(400, 6))
+    rows = [(i, "ab"[i % 2], [float(x) for x in v]) for i, v in enumerate(vectors)]
+    df = spark.createDataFrame(rows, "post_id long, g string, embedding array<double>")
+    placed, seen = density._placed, []
+    monkeypatch.setattr(density, "_BLOCK", 100)
+    monkeypatch.setattr(density, "_CHUNK", 7)
+    monkeypatch.setattr(density, "_VISITING", 300)
+    monkeypatch.setattr(density, "_placed", lambda p, pivots, r: seen.append(len(pivots)) or placed(p, pivots, r))
+    got = density.density_clusters(df, ("g",), 0.9, 5).collect()
+    assert seen == [2]
+    want = {}
+    for g in "ab":
+        want |= dbscan({i: v for i, key, v in rows if key == g}, 0.9, 5)
+    assert {r.post_id: r.cluster for r in got} == want
+
+
+def test_class_terms_read_their_texts_once(spark):
+    read = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def noted(text):
+        read.add(1)
+        return text
+
+    rows = [(i % 3, f"sun{i % 2} beach trip") for i in range(30)]
+    found = spark.createDataFrame(rows, "cluster long, text string").select("cluster", noted("text").alias("document"))
+    assert topics.class_terms(found).count() == 12
+    assert read.value == 30
+
+
 def test_density_topics_leave_outliers_out(make_posts, spark):
     texts = ["apple fruit"] * 6 + ["engine motor"] * 4 + ["lonely words"]
     vectors = [[1.0, 0.01 * i, 0.0] for i in range(6)] + [[0.0, 1.0, 0.01 * i] for i in range(4)] + [[0.0, -1.0, -1.0]]
