@@ -188,6 +188,7 @@ def class_terms(clustered: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
         .groupBy(*keys, "cluster", "term")
         .agg(F.count("*").alias("tf"))
     )
+    counts = stage(counts, "class-counts")  # read four times, and the texts once
     per_term = counts.groupBy(*keys, "term").agg(F.sum("tf").alias("_f"))
     sizes = counts.groupBy(*keys, "cluster").agg(F.sum("tf").alias("_words"))
     average = sizes.groupBy(*keys).agg(F.avg("_words").alias("_average"))
@@ -211,7 +212,8 @@ def density_topics(
     Outliers, and posts without a vector, belong to no topic. A cluster without words is labelled "".
     """
     rows = posts.select(*keys, "post_id", text.alias("_text"), F.col(embedding).alias("_e"))
-    found = density_clusters(rows, keys, vector="_e", **density)
+    rows = stage(rows, "vectors")  # read twice
+    found = density_clusters(rows.drop("_text"), keys, vector="_e", **density)
     clustered = stage(found.join(rows.drop("_e"), [*keys, "post_id"]), "clusters")
     documents = topic_documents(clustered, F.col("_text"), [*keys, "cluster"], normalize_stopwords)
     weights = class_terms(documents, keys).withColumn("weight", F.round("weight", 9))
