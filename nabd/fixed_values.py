@@ -44,7 +44,7 @@ STRAY_MARK = "\ue001"
 HASHTAG_SIGN = rf"#(?=[{HANDLE_CHARS}]{{2}})"
 UNDERSCORE_IN_TAG = rf"_(?<=\x{{E000}}[{HANDLE_CHARS}]{{1,50}})"
 RETWEET_PREFIX = rf"^(?iu:RT)[{WHITESPACE}]+@[\p{{L}}\p{{N}}_]+:[{WHITESPACE}]*"
-URL = rf"(?iu)https?://[^{WHITESPACE}]+|www\.[^{WHITESPACE}]+"
+URL = rf"(?=[hHwW])(?iu:https?://[^{WHITESPACE}]+|www\.[^{WHITESPACE}]+)"
 EMOJI = (
     r"[\x{1F600}-\x{1F64F}\x{1F300}-\x{1F5FF}\x{1F680}-\x{1F6FF}\x{1F1E0}-\x{1F1FF}"
     r"\x{2700}-\x{27BF}\x{1F900}-\x{1F9FF}\x{1FA70}-\x{1FAFF}\x{2600}-\x{26FF}]+"
@@ -69,14 +69,15 @@ NFC_SAFE = (
     r"\x{2500}-\x{2ADB}\x{3001}-\x{3029}\x{3041}-\x{3098}\x{4E00}-\x{9FFF}"
     r"\x{FE00}-\x{FE0F}\x{1F000}-\x{1FAFF}"
 )
-NFC_MAYBE = rf"[^{NFC_SAFE}]"
+# The first range says again what the safe ones say, but lets Latin text go after one test.
+NFC_MAYBE = rf"[\x{{300}}-\x{{10FFFF}}&&[^{NFC_SAFE}]]"
 # Marks that the search normalization removes anyway only matter after three letters.
 NFC_MAYBE_FOR_SEARCH = (
-    rf"[^{NFC_SAFE}\x{{64B}}-\x{{65F}}\x{{670}}]|[\x{{6C1}}\x{{6D2}}\x{{6D5}}][\x{{64B}}-\x{{65F}}\x{{670}}]*\x{{654}}"
+    rf"[\x{{300}}-\x{{10FFFF}}&&[^{NFC_SAFE}\x{{64B}}-\x{{65F}}\x{{670}}]]|[\x{{6C1}}\x{{6D2}}\x{{6D5}}][\x{{64B}}-\x{{65F}}\x{{670}}]*\x{{654}}"
 )
 # After cleaning only Arabic and ASCII are left: runs of marks, or marks that compose.
 NFC_MAYBE_AFTER_CLEANING = (
-    r"[\x{610}-\x{61A}\x{64B}-\x{65F}\x{670}\x{6D6}-\x{6ED}]{2}|[\x{653}-\x{655}]"
+    r"(?=[\x{610}-\x{6ED}])(?:[\x{610}-\x{61A}\x{64B}-\x{65F}\x{670}\x{6D6}-\x{6ED}]{2}|[\x{653}-\x{655}])"
 )
 
 # --- Fixed values: sentiment lexicon ---

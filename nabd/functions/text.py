@@ -1,5 +1,8 @@
 """Text rules as column expressions. Everything here runs in the JVM."""
 
+import re
+from functools import cache
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -16,13 +19,26 @@ def _mapped(column, table: dict, dropped: str = "") -> Column:
     return F.translate(column, "".join(table) + dropped, "".join(table.values()))
 
 
+@cache
+def one_of(members: str) -> str:
+    """The class `[members]`, so that Java looks up Latin letters in a table.
+
+    It walks a list of ranges one by one; here only characters beyond U+00FF are sent through it.
+    """
+    known = re.compile("[" + re.sub(r"\\x\{(\w+)\}", lambda m: rf"\U{int(m[1], 16):08x}", members) + "]")
+    latin = "".join(rf"\x{{{i:x}}}" for i in range(256) if known.match(chr(i)))
+    return rf"[{latin}[\x{{100}}-\x{{10FFFF}}&&[{members}]]]"
+
+
 def strip(column) -> Column:
-    return F.regexp_replace(column, f"^[{fv.WHITESPACE}]+|[{fv.WHITESPACE}]+$", "")
+    space = one_of(fv.WHITESPACE)
+    return F.regexp_replace(column, f"^{space}+|{space}+$", "")
 
 
 def collapse_whitespace(column) -> Column:
     # Lone spaces, by far the most frequent case, are left as they are.
-    runs = f"[{fv.WHITESPACE_NOT_SPACE}][{fv.WHITESPACE}]*| [{fv.WHITESPACE}]+"
+    space = one_of(fv.WHITESPACE)
+    runs = f"{one_of(fv.WHITESPACE_NOT_SPACE)}{space}*| {space}+"
     return F.trim(F.regexp_replace(column, runs, " "))
 
 
@@ -86,15 +102,22 @@ def remove_markup(
     s = F.regexp_replace(_text(column), fv.RETWEET_PREFIX, "")
     s = F.regexp_replace(s, fv.URL, " ")
     s = F.regexp_replace(s, fv.MENTION, "$1" if keep_mention_text else " ")
-    s = _open_hashtags(s) if keep_hashtag_text else F.regexp_replace(s, fv.HASHTAG, " ")
+    if keep_hashtag_text:  # without a # only stray marks could change, and cleaning removes any
+        s = let(s, lambda v: F.when(F.contains(v, F.lit("#")), _open_hashtags(v)).otherwise(v))
+    else:
+        s = F.regexp_replace(s, fv.HASHTAG, " ")
     if remove_emojis:
-        s = F.regexp_replace(s, fv.EMOJI, " ")
+        s = F.regexp_replace(s, one_of(fv.EMOJI.removeprefix("[").removesuffix("]+")) + "+", " ")
     s = F.regexp_replace(s, fv.REPEATED_PUNCTUATION, "$1")
-    return F.regexp_replace(s, fv.OUTSIDE_KEPT_CHARS, " ")
+    return F.regexp_replace(s, one_of(fv.OUTSIDE_KEPT_CHARS[1:-1]), " ")
 
 
 def is_valid_text(column, min_chars=fv.MIN_CLEAN_CHARS, min_arabic=fv.MIN_ARABIC_CHARS) -> Column:
-    long_enough = F.length(strip(column)) >= min_chars
+    if min_chars < 2:
+        long_enough = F.length(strip(column)) >= min_chars
+    else:  # found near the start of most texts, where stripping walks over all of it
+        shown = f"[^{fv.WHITESPACE}]"
+        long_enough = column.rlike(f"(?s){shown}.{{{min_chars - 2},}}?{shown}")
     return long_enough & (F.regexp_count(column, F.lit(fv.ARABIC_BLOCK)) >= min_arabic)
 
 

@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 from nabd import fixed_values as fv
 from nabd.functions.dates import iso_day, post_day
 from nabd.functions.text import analysis_text, strip
-from nabd.functions.values import round_exact
+from nabd.functions.values import round_exact, with_computed
 from nabd.operators.grouping import combined
 from nabd.plans.staging import stage
 
@@ -35,18 +35,18 @@ def _hits(text: Column, words: Sequence[str]) -> Column:
 
 def with_lexicon_sentiment(df: DataFrame, text: Column | None = None) -> DataFrame:
     """Add `sentiment` and `score` from the word lists (substring matches, each word once)."""
-    lowered = F.lower(analysis_text() if text is None else text)
-    df = df.withColumns(
-        {"_pos": _hits(lowered, fv.POSITIVE_WORDS), "_neg": _hits(lowered, fv.NEGATIVE_WORDS)}
-    )
-    lead = F.col("_pos") - F.col("_neg")
+    # The text is lowered and searched once, however often the lead is asked for.
+    df = with_computed(df, "_lower", F.lower(analysis_text() if text is None else text))
+    hits = _hits(F.col("_lower"), fv.POSITIVE_WORDS) - _hits(F.col("_lower"), fv.NEGATIVE_WORDS)
+    df = with_computed(df, "_lead", hits).drop("_lower")
+    lead = F.col("_lead")
     strength = F.least(F.lit(0.5) + F.lit(0.1) * F.abs(lead), F.lit(0.95))
     return df.withColumns(
         {
             "sentiment": F.when(lead > 0, "positive").when(lead < 0, "negative").otherwise("neutral"),
             "score": F.when(lead == 0, F.lit(0.55)).otherwise(strength),
         }
-    ).drop("_pos", "_neg")
+    ).drop("_lead")
 
 
 def with_model_sentiment(

@@ -2,6 +2,7 @@
 
 import html
 import re
+import time
 import unicodedata
 
 import pytest
@@ -230,3 +231,39 @@ def test_dominant_sentiment_ties(spark):
     )
     tones = shares.select(dominant_sentiment(F.col("p"), F.col("u"), F.col("n"))).collect()
     assert [t[0] for t in tones] == ["positive", "neutral", "negative"]
+
+
+@pytest.mark.parametrize("least", [0, 1, 2, 8])
+def test_valid_text_counts_what_strip_leaves(spark, least):
+    values = ["", " ", "ابت", "  ابت  ", " ابت defg ", "\u3000ابتdefgh\n", "ابت\n\n\n\n\nd", "ابتdef\U0001f600", "ا" + " " * 9]
+    df = texts(spark, values)
+    got = {r.i for r in df.filter(tx.is_valid_text(F.col("v"), least, 0)).collect()}
+    assert got == {i for i, v in enumerate(values) if len(v.strip()) >= least}
+
+
+def test_classes_by_table_match_as_their_ranges_do_and_faster(spark):
+    """Every character but surrogates; then 4 MB of Latin text, which the ranges walked one by one."""
+    kinds = {
+        "space": fv.WHITESPACE,
+        "other_space": fv.WHITESPACE_NOT_SPACE,
+        "emoji": fv.EMOJI.removeprefix("[").removesuffix("]+"),
+        "outside": fv.OUTSIDE_KEPT_CHARS[1:-1],
+    }
+    codes = [i for i in range(0x110000) if not 0xD800 <= i < 0xE000]
+    text = spark.createDataFrame([("".join(map(chr, codes)),)], "v string")
+    for members in kinds.values():
+        plain, quick = (F.sha2(F.regexp_replace("v", c, "\x00"), 256) for c in (f"[{members}]", tx.one_of(members)))
+        assert text.select(plain == quick).first()[0]
+    wanted = {"NFC_MAYBE": rf"[^{fv.NFC_SAFE}]", "NFC_MAYBE_FOR_SEARCH": rf"[^{fv.NFC_SAFE}\x{{64B}}-\x{{65F}}\x{{670}}]"}
+    single = spark.createDataFrame([(chr(i),) for i in codes[:0x30000]], "v string")
+    for name, plain in wanted.items():
+        assert single.filter(F.col("v").rlike(plain) != F.col("v").rlike(getattr(fv, name))).isEmpty()
+
+    def took(pattern):
+        latin = spark.range(400).select(F.repeat(F.concat(F.lit("plain words "), "id"), 700).alias("v"))
+        start = time.perf_counter()
+        latin.select(F.sum(F.length(F.regexp_replace("v", pattern, " ")))).collect()
+        return time.perf_counter() - start
+
+    plain, quick = (min(took(c) for _ in range(3)) for c in (fv.OUTSIDE_KEPT_CHARS, tx.one_of(kinds["outside"])))
+    assert quick < plain
