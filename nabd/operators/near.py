@@ -28,7 +28,7 @@ from nabd.functions.values import let, with_computed
 from nabd.operators.dedup import text_hash
 from nabd.operators.graph import component_labels
 from nabd.operators.grouping import MAX_BROADCAST_ROWS, attach, bounded, global_rank, top_k
-from nabd.plans.staging import stage
+from nabd.plans.staging import release, stage
 
 #: Similar pairs of one connected part that one task may walk; larger parts are decided by joins.
 WALKED_PAIRS = 1 << 20
@@ -235,7 +235,11 @@ def first_wins(
     vectors: DataFrame, threshold: float, walked_pairs: int = WALKED_PAIRS
 ) -> DataFrame:
     """post_id of the vectors kept by the greedy rule. `vectors` holds distinct vectors."""
-    vectors = stage(vectors, "vectors")
+    return _decided(stage(vectors, "vectors"), threshold, walked_pairs)
+
+
+def _decided(vectors: DataFrame, threshold: float, walked_pairs: int) -> DataFrame:
+    """`first_wins` over a staged table."""
     positions = vectors.agg(F.coalesce(F.max(F.array_max("ts")), F.lit(0))).first()[0]
     profiles = stage(_profiles(vectors, threshold, positions), "profiles")
     weighted = F.arrays_zip(
@@ -300,6 +304,8 @@ def first_wins(
             )
         )
         state = stage(state, "state")
+        release(heads)
+        release(similar)
         if state.isEmpty():
             break
         width *= _GROWTH
@@ -337,7 +343,11 @@ def dedup_near(
     vectors = stage(near_vectors(texts, max_features), "near_vectors")
     same = [F.xxhash64("ts", "ws").alias("_s1"), F.xxhash64(F.lit(1), "ws", "ts").alias("_s2")]
     first = vectors.select("post_id", *same).groupBy("_s1", "_s2").agg(F.min("post_id").alias("post_id"))
-    kept = first_wins(vectors.join(first, "post_id", "left_semi"), threshold, walked_pairs)
+    distinct = stage(vectors.join(first, "post_id", "left_semi"), "vectors")
     without_terms = texts.join(vectors, "post_id", "left_anti").select("_h")
-    unlike_any = keyed.join(without_terms, "_h", "left_semi").select("post_id")
+    unlike_any = stage(keyed.join(without_terms, "_h", "left_semi").select("post_id"), "unlike_any")
+    # From here on only distinct vectors are read: texts and all vectors need no room beside the rounds.
+    for table in (vectors, texts, keyed):
+        release(table)
+    kept = _decided(distinct, threshold, walked_pairs)
     return posts.join(kept.unionByName(unlike_any), "post_id", "left_semi")

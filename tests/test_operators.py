@@ -596,3 +596,29 @@ def test_staging(spark):
     assert df.count() == 5
     release(df)
     assert stage(spark.range(0), "empty").count() == 0
+
+
+def test_near_duplicates_release_what_the_rounds_do_not_read(make_posts, spark, monkeypatch):
+    staged, open_tables, seen = near.stage, [], []
+    freed, decided = near.release, near._decided
+
+    def stage(df, name="stage"):
+        open_tables.append(name)
+        return staged(df, name)
+
+    def release(df):
+        for name in {f.split("/nabd-")[1].split("/")[0].rsplit("-", 1)[0] for f in df.inputFiles()}:
+            open_tables.remove(name)
+        freed(df)
+
+    def rounds(*args):
+        seen.extend(open_tables)
+        return decided(*args)
+
+    for name, f in (("stage", stage), ("release", release), ("_decided", rounds)):
+        monkeypatch.setattr(near, name, f)
+    rows = [{"text": t} for t in ("one two three", "one two three", "one, two three", "four five six", "!", "x y")]
+    got = {r.post_id for r in near.dedup_near(make_posts(*rows)).collect()}
+    assert got == {0, 3, 4, 5}
+    assert not {"near_texts", "near_distinct", "near_vectors"} & set(seen) and "vectors" in seen
+    assert "heads" not in open_tables
