@@ -7,7 +7,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from nabd.sources import catalog, control, readers
+from nabd.sources import catalog, control, readers, sample
 from nabd.sources.catalog import CATALOG, Dataset
 
 FIELDS = {"text": "tweet", "likes": "fav", "user_id": "uid", "lang": "lg", "label": "y"}
@@ -191,3 +191,38 @@ def test_caps_take_the_smallest_ids(spark, monkeypatch, total, each):
     assert sorted(r.post_id for r in got.collect()) == sorted(want)
     executed = got._jdf.queryExecution().executedPlan().toString()
     assert "Window" not in executed and "Exchange hashpartitioning" not in executed
+
+
+def test_sample_posts_move_a_text_once(spark, tmp_path):
+    tables = {
+        "documents": (
+            "doc_id long, text string, lang string, source string, n_chars long",
+            [(i, f"text {i}", "en", "src1", 10 + i) for i in (0, 1, 1, 2, 3, 4)] + [(None, "no id", "fr", None, None)],
+        ),
+        "events": (
+            "event_id long, ts timestamp, user_id long, value double",
+            [(0, None, 7, 1.5), (5, None, 7, 2.5), (5, None, 8, None), (6, None, 9, 1.0), (15, None, None, 3.5)]
+            + [(-5, None, 7, 1.0), (None, None, 7, 4.0)],
+        ),
+        "customer": ("c_custkey long, c_acctbal double", [(7, 20.7), (7, -1.0), (9, 5.0), (None, 6.0)]),
+        "labels": ("doc_id long, quality int", [(1, 1), (1, 0), (2, None), (4, 1), (9, 1), (None, 0)]),
+    }
+    for name, (schema, rows) in tables.items():
+        spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/{name}.parquet")
+    kept = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        posts = sample.sample_posts(spark, str(tmp_path))
+        nodes, joins = [posts._jdf.queryExecution().sparkPlan()], []
+        while nodes:
+            node = nodes.pop()
+            nodes += [node.children().apply(i) for i in range(node.children().size())]
+            if "Join" in node.nodeName():
+                joins.append("text#" in node.output().toString())
+        plain = spark.sql(
+            sample.POSTS_SQL, **{name: sample.table(spark, str(tmp_path), name) for name in sample.TABLES}
+        )
+        assert sorted(map(str, posts.collect())) == sorted(map(str, plain.collect()))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", kept)
+    assert len(joins) == 3 and sum(joins) == 1
