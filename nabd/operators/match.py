@@ -11,10 +11,14 @@ from nabd.functions import text as tx
 from nabd.functions.dates import in_range, post_day, request_day_text
 from nabd.operators.dedup import dedup_by_hash, text_hash
 
-# Keywords meet texts by their first three characters, shorter ones by their first.
-_GRAM = 3
+# Keywords meet texts by their first so many characters, which are the whole of most keywords.
+_LONGEST = 16
+# A place of a text is kept when its first characters, so many or fewer, are those of some keyword.
+_NEAR = 3
 # The filter of wanted grams: so many 64-bit words, whatever the number of keywords.
 _FILTER_WORDS = 1 << 13
+# A class of more characters than these is searched as any character.
+_MOST_CHARACTERS = 256
 
 
 def keyword_filter(posts: DataFrame, keywords: Sequence[str]) -> DataFrame:
@@ -118,18 +122,13 @@ class Selection:
         return self.posts.join(by_twin.join(self.twins, "twin").drop("twin"), "set_id").drop("set_id")
 
 
-def _gram(keyword: Column) -> Column:
-    size = F.when(F.length(keyword) >= _GRAM, _GRAM).otherwise(1)
-    return F.substring(keyword, F.lit(1), size)
-
-
 def _bit(gram: Column) -> tuple[Column, Column]:
     h = F.xxhash64(gram)
     return F.pmod(h, F.lit(_FILTER_WORDS)).cast("int"), F.pmod(F.shiftrightunsigned(h, 32), F.lit(64)).cast("int")
 
 
 def _filter_words(grams: DataFrame) -> DataFrame:
-    """A Bloom filter of the grams, of fixed size, and whether single letters are among them."""
+    """A Bloom filter of the grams, of fixed size."""
     word, bit = _bit(F.col("gram"))
     own = grams.select(word.alias("word"), bit.alias("bit"))
     own = own.select("word", F.expr("shiftleft(1L, bit)").alias("bits"))
@@ -137,39 +136,97 @@ def _filter_words(grams: DataFrame) -> DataFrame:
     none = none.select(F.col("id").cast("int").alias("word"), F.lit(0).cast("long").alias("bits"))
     words = own.unionByName(none).groupBy("word").agg(F.bit_or("bits").alias("bits"))
     listed = F.sort_array(F.collect_list(F.struct("word", "bits")))
-    bits = words.agg(F.transform(listed, lambda w: w["bits"]).alias("bits"))
-    letters = grams.agg(F.coalesce(F.bool_or(F.length("gram") == 1), F.lit(False))).scalar()
-    return bits.select(F.struct("bits", letters.alias("letters")).alias("v"))
+    return words.agg(F.transform(listed, lambda w: w["bits"]).alias("bits"))
+
+
+def _passes(gram: Column) -> Column:
+    word, bit = _bit(gram)
+    return F.getbit(F.get(F.col("_wanted"), word), bit) == 1
+
+
+def _one_of(characters: Sequence[str]) -> str:
+    """A class of the characters, or of all that can begin one when they are many."""
+    if len(characters) > _MOST_CHARACTERS:
+        return r"[^\x{DC00}-\x{DFFF}]"
+    return tx.one_of("".join(rf"\x{{{ord(c):x}}}" for c in sorted(characters)))
+
+
+def _shape(keywords: DataFrame) -> tuple[list[int], dict[int, list[Sequence[str]]], bool]:
+    """The lengths of the grams, which characters stand at the first places of keywords of two
+    characters and of longer ones, and whether some keyword is longer than its gram."""
+    size = F.length("k")
+    sets = {
+        (n, i): F.when(F.least(size, F.lit(_NEAR)) == n, F.substring("k", i, 1))
+        for n in (2, _NEAR)
+        for i in range(1, n + 1)
+    }
+    found = keywords.agg(
+        F.sort_array(F.collect_set(F.least(size, F.lit(_LONGEST)))),
+        F.coalesce(F.max(size) > _LONGEST, F.lit(False)),
+        *[F.slice(F.collect_set(c), 1, _MOST_CHARACTERS + 1) for c in sets.values()],
+    ).first()
+    characters = dict(zip(sets, found[2:], strict=True))
+    return found[0], {n: [characters[n, i] for i in range(1, n + 1)] for n in (2, _NEAR)}, found[1]
+
+
+def _grams(texts: DataFrame, keywords: DataFrame, sizes: Sequence[int], characters) -> DataFrame:
+    """(post_id, gram): what the texts `_key` have of the first characters of keywords, in every length of `sizes`."""
+
+    def places(n: int, most: int) -> Column:
+        """What stands at each place of a text where a keyword may begin."""
+        first = "".join(_one_of(c) for c in characters[n])
+        return F.regexp_extract_all("_key", F.lit(f"(?s)(?=({first}.{{0,{most - n}}}))"), F.lit(1))
+
+    parts = [F.array().cast("array<string>")]
+    if 1 in sizes:
+        parts.append(F.array_distinct(F.split("_key", "")))
+    if 2 in sizes:
+        parts.append(F.array_distinct(places(2, 2)))
+    if sizes and sizes[-1] >= _NEAR:
+        parts.append(places(_NEAR, sizes[-1]))
+    # Only places where more than the near characters is wanted differ by what follows them.
+    begun = keywords.select(F.explode(F.array(F.substring("k", 1, _NEAR), F.substring("k", 1, _NEAR + 1))).alias("gram"))
+    # Taken apart into rows first: rows are hashed in generated code, elements of an array are not.
+    filtered = texts.withColumn("_wanted", _filter_words(begun.distinct()).scalar())
+    rows = filtered.select("post_id", "_wanted", F.explode(F.concat(*parts)).alias("_place"))
+    near = F.substring("_place", 1, _NEAR)
+    rows = rows.filter(_passes(near))
+    place = F.when(_passes(F.substring("_place", 1, _NEAR + 1)), F.col("_place")).otherwise(near)
+    rows = rows.select("post_id", place.alias("_place")).distinct()
+    cuts = [F.when(F.length("_place") >= n, F.substring("_place", 1, n)) for n in sizes if n >= _NEAR]
+    short = F.length("_place") < _NEAR
+    grams = F.when(short, F.array("_place")).otherwise(F.array(*cuts)) if cuts else F.array("_place")
+    return rows.select("post_id", F.explode(grams).alias("gram")).filter("gram IS NOT NULL")
 
 
 def post_words(posts: DataFrame, keywords: DataFrame, strict_days=False) -> DataFrame:
     """One row per post: source_dataset, `_h` (hash of its text), `_day`, and `_words`, those of the
     keywords `k` (search keys, not empty) that its text contains.
 
-    The grams of a text are cut in its task to those that some keyword begins with; what is left meets
-    the keywords by equi-join, and the text, moved once by post_id, decides.
+    The places of a text are cut in its task to those where some keyword may begin; what stands there
+    meets the keywords by equi-join on their first `_LONGEST` characters. That decides on all but longer
+    keywords: for those alone the texts are moved. Which lengths and characters are in use is asked of
+    the keywords when this is called.
     """
-    wanted = keywords.select("k", _gram(F.col("k")).alias("gram"))
-    texts = posts.select(
+    sizes, characters, longer = _shape(keywords)
+    about = posts.select(
         "post_id",
         "source_dataset",
-        tx.search_key(F.col("text")).alias("_key"),
         text_hash(F.coalesce(F.col("text"), F.lit(""))).alias("_h"),
         post_day(F.col("created_at"), strict_days).alias("_day"),
     )
-    letters = F.when(F.col("_wanted.letters"), F.split("_key", "")).otherwise(F.array().cast("array<string>"))
-    grams = F.concat(F.regexp_extract_all("_key", F.lit(f"(?s)(?=(.{{{_GRAM}}}))"), F.lit(1)), letters)
-    # Taken apart into rows first: rows are hashed in generated code, elements of an array are not.
-    filtered = texts.withColumn("_wanted", _filter_words(wanted.select("gram").distinct()).scalar())
-    rows = filtered.select("post_id", "_wanted", F.explode(grams).alias("gram"))
-    word, bit = _bit(F.col("gram"))
-    cut = rows.filter(F.getbit(F.get(F.col("_wanted.bits"), word), bit) == 1).select("post_id", "gram").distinct()
-    offered = cut.join(wanted, "gram").select(F.col("post_id").alias("_id"), "k")
-    inside = (F.col("post_id") == F.col("_id")) & F.contains("_key", F.col("k"))
+    texts = posts.select("post_id", tx.search_key(F.col("text")).alias("_key"))
+    wanted = keywords.select("k", F.substring("k", 1, _LONGEST).alias("gram"))
+    held = _grams(texts, keywords, sizes, characters).join(wanted, "gram").select(F.col("post_id").alias("_id"), "k")
+    if longer:
+        inside = (F.col("post_id") == F.col("_id")) & F.contains("_key", F.col("k"))
+        unsure = held.filter(F.length("k") > _LONGEST).distinct()
+        sure = texts.join(unsure, inside).select("_id", "k")
+        held = held.filter(F.length("k") <= _LONGEST).unionByName(sure)
     # As many words as the text has places for: every one listed occurs in it.
-    return texts.join(offered, inside, "left").groupBy("post_id").agg(
+    return about.join(held.distinct(), F.col("post_id") == F.col("_id"), "left").groupBy("post_id").agg(
         *[F.first(c).alias(c) for c in ("source_dataset", "_h", "_day")],
-        F.sort_array(F.collect_list("k")).alias("_words"),
+        F.sort_array(F.collect_set("k")).alias("_words"),
     )
 
 
@@ -251,11 +308,12 @@ def select_posts(
     Order of steps: keywords, then dedup, then dates (the surviving copy decides). What requests
     select is decided per class of posts (words, dataset, scopes and day), not per post, and without
     the posts themselves: these are read once more at the end. `staged` writes what is read several
-    times: posts with their words, requests per class, sets per class, the set of each post.
+    times: requests that stand for others, posts with their words, requests per class, sets per class, the
+    set of each post.
     """
     keep = staged or (lambda df: df)
     twins = keep(same_requests(prepared))
-    prepared = standing(prepared, twins)
+    prepared = keep(standing(prepared, twins))
     found = keep(match_requests(posts, prepared, strict_days))
     wanting = keep(class_requests(found, prepared))
     in_scope = F.lit(True)

@@ -622,3 +622,21 @@ def test_near_duplicates_release_what_the_rounds_do_not_read(make_posts, spark,
     assert got == {0, 3, 4, 5}
     assert not {"near_texts", "near_distinct", "near_vectors"} & set(seen) and "vectors" in seen
     assert "heads" not in open_tables
+
+
+def test_words_of_any_length_are_found_without_moving_texts(spark, make_posts):
+    """Keywords that share their first characters are told apart by all of them, not by the texts."""
+    texts = ["", None, "1234567", "x 12345 12346y", "😀ab", "?ab", "ab😀", "the then theng\nthe", "a" * 40]
+    texts += ["0123456789abcdefghij", "0123456789abcdefghi", "b0123456789abcdef", "мир " + chr(0x4E10) + chr(0x4E11) * 3]
+    posts = make_posts(*[{"text": t} for t in texts]).unionByName(make_posts({"text": "the"}).withColumn("post_id", F.lit(None).cast("long")))
+    words = ["1", "12", "123", "1234", "12345", "12346", "12347", "?ab", "😀", "😀a", "ab😀", "b😀", "the", "then", "thenx"]
+    words += ["a" * n for n in (1, 2, 3, 4, 15, 16)] + ["0123456789abcdef", "\nthe", "n t", "ми", "мир"]
+    many = [chr(0x4E00 + i) + tail for i in range(300) for tail in ("", chr(0x4E11), chr(0x4E11) * 2)]
+    longer = ["0123456789abcdefghij", "0123456789abcdefgxxx", "a" * 17, "a" * 41]
+    for chosen in (words, words + many, words + longer, longer, ["1"], ["12"], []):
+        found = match.post_words(posts, spark.createDataFrame([(w,) for w in chosen], "k string"))
+        moved = "Contains(" in found._jdf.queryExecution().toString()
+        assert moved == any(len(w) > 16 for w in chosen)
+        got = {r.post_id: r["_words"] for r in found.collect()}
+        assert got.pop(None) == []
+        assert got == {i: sorted(w for w in chosen if w in (t or "")) for i, t in enumerate(texts)}
