@@ -1,7 +1,8 @@
 """Text rules as column expressions. Everything here runs in the JVM."""
 
 import re
-from functools import cache
+from functools import cache, reduce
+from operator import or_
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -37,8 +38,9 @@ def strip(column) -> Column:
 
 def collapse_whitespace(column) -> Column:
     # Lone spaces, by far the most frequent case, are left as they are.
+    # A character is tested once: a run starts with another one than a space, or is longer than one.
     space = one_of(fv.WHITESPACE)
-    runs = f"{one_of(fv.WHITESPACE_NOT_SPACE)}{space}*| {space}+"
+    runs = f"{space}(?:(?<! ){space}*|{space}+)"
     return F.trim(F.regexp_replace(column, runs, " "))
 
 
@@ -95,20 +97,27 @@ def _open_hashtags(column) -> Column:
     return F.replace(s, mark, F.lit(""))
 
 
+def _where(column, signs: tuple[str, ...], change) -> Column:
+    """`change` applied to texts that hold one of `signs`, as every text that it changes does."""
+    held = lambda v: reduce(or_, (F.contains(v, F.lit(s)) for s in signs))
+    return let(column, lambda v: F.when(held(v), change(v)).otherwise(v))
+
+
 def remove_markup(
     column, *, remove_emojis=True, keep_hashtag_text=True, keep_mention_text=False
 ) -> Column:
     """Cleaning steps between entity decoding and the final NFC pass."""
-    s = F.regexp_replace(_text(column), fv.RETWEET_PREFIX, "")
-    s = F.regexp_replace(s, fv.URL, " ")
-    s = F.regexp_replace(s, fv.MENTION, "$1" if keep_mention_text else " ")
+    s = _where(_text(column), ("RT", "Rt", "rT", "rt"), lambda v: F.regexp_replace(v, fv.RETWEET_PREFIX, ""))
+    s = _where(s, ("://", "WW.", "Ww.", "wW.", "ww."), lambda v: F.regexp_replace(v, fv.URL, " "))
+    name = "$1" if keep_mention_text else " "
+    s = _where(s, ("@",), lambda v: F.regexp_replace(v, fv.MENTION, name))
     if keep_hashtag_text:  # without a # only stray marks could change, and cleaning removes any
-        s = let(s, lambda v: F.when(F.contains(v, F.lit("#")), _open_hashtags(v)).otherwise(v))
+        s = _where(s, ("#",), _open_hashtags)
     else:
         s = F.regexp_replace(s, fv.HASHTAG, " ")
     if remove_emojis:
         s = F.regexp_replace(s, one_of(fv.EMOJI.removeprefix("[").removesuffix("]+")) + "+", " ")
-    s = F.regexp_replace(s, fv.REPEATED_PUNCTUATION, "$1")
+    s = _where(s, ("!!!", "???", "...", "\u061f" * 3), lambda v: F.regexp_replace(v, fv.REPEATED_PUNCTUATION, "$1"))
     return F.regexp_replace(s, one_of(fv.OUTSIDE_KEPT_CHARS[1:-1]), " ")
 
 

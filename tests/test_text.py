@@ -267,3 +267,14 @@ def test_classes_by_table_match_as_their_ranges_do_and_faster(spark):
 
     plain, quick = (min(took(c) for _ in range(3)) for c in (fv.OUTSIDE_KEPT_CHARS, tx.one_of(kinds["outside"])))
     assert quick < plain
+
+
+def test_texts_without_signs_skip_their_patterns(spark):
+    """The pattern of a sign is tried only where the sign is; the same texts come out."""
+    df = spark.createDataFrame([("plain text",)], "v string").select(tx.remove_markup(F.col("v")).alias("r"))
+    plan = df._jdf.queryExecution().analyzed().toString()
+    assert all(sign in plan for sign in ("://)", "!!!)", "RT)", ", @)"))
+    texts = ["rT @x: a", "a RT @xy: b", "hTTps://q w", "WwW.a b", "wWw.", "@ab c", "a!!!! b", "؟؟؟؟", "...", "..", "x http:/y"]
+    rows = spark.createDataFrame([(t,) for t in texts], "v string").coalesce(1)
+    got = [r.r for r in rows.select(tx.remove_markup(F.col("v")).alias("r")).collect()]
+    assert got == ["a", "a RT  : b", "  w", "  b", "wWw.", "  c", "a! b", "؟", ".", "..", "x http: y"]
