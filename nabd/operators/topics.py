@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from nabd.functions import text as tx
 from nabd.functions.unicode import with_search_text
-from nabd.functions.values import round_exact, with_computed
+from nabd.functions.values import let, round_exact, with_computed
 from nabd.operators.density import density_clusters
 from nabd.operators.grouping import (
     SharedRows,
@@ -22,6 +22,8 @@ from nabd.operators.grouping import (
 )
 from nabd.plans.staging import stage
 
+SLOTS = 1 << 20  # of one table of counts, whatever the number of groups
+
 
 def topic_documents(
     posts: DataFrame, text: Column, keep: Sequence[str], normalize_stopwords=False
@@ -33,12 +35,19 @@ def topic_documents(
     return df.select(*keep, "document").filter("document <> ''")
 
 
+def with_words(documents: DataFrame) -> DataFrame:
+    """`words` in place of `document`."""
+    if "words" in documents.columns:
+        return documents
+    return with_computed(documents, "words", tx.words(F.col("document"))).drop("document")
+
+
 def with_terms(documents: DataFrame) -> DataFrame:
-    """`terms` in place of `document`: each distinct term of the document and its count."""
+    """`terms` in place of `document` or `words`: each distinct term of the document and its count."""
     if "terms" in documents.columns:
         return documents
-    terms = tx.term_counts(tx.one_and_two_grams(tx.words(F.col("document"))))
-    return with_computed(documents, "terms", terms).drop("document")
+    words = F.col("words") if "words" in documents.columns else tx.words(F.col("document"))
+    return with_computed(documents, "terms", tx.term_counts(tx.one_and_two_grams(words))).drop("document", "words")
 
 
 def term_statistics(documents: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
@@ -52,23 +61,115 @@ def term_statistics(documents: DataFrame, keys: Sequence[str] = ()) -> DataFrame
     return combined(entries, keys, ["term"], counts)
 
 
-def vocabulary(
-    documents: DataFrame, keys: Sequence[str] = (), size: int | None = None
-) -> DataFrame:
-    """The terms in enough documents; with `size` only so many, by corpus frequency.
+def _group_limits(documents: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """(keys, n, _min_df): the documents of a group, and in how many a term has to be.
 
-    A term needs max(2, n div 100) documents. When no term has that many, one is enough.
+    That is max(2, n div 100); the terms of a single document need no second one.
     """
-    totals = combined(documents, keys, (), {"n": (F.count("*"), F.sum)})
-    terms = term_statistics(documents, keys)
-    widest = attach(terms.groupBy(*keys).agg(F.max("df").alias("_widest")), totals, keys)
-    wanted = F.greatest(F.lit(2), F.floor(F.col("n") / 100))
-    limits = widest.select(
-        *keys,
-        "n",
-        F.when(F.col("_widest") >= wanted, wanted).otherwise(F.lit(1)).alias("_min_df"),
-    )
-    enough = attach(terms, limits, keys).filter(F.col("df") >= F.col("_min_df")).drop("_min_df")
+    totals = combined(documents, keys, (), {"n": (F.count("*"), F.sum)}).filter("n > 0")
+    wanted = F.when(F.col("n") > 1, F.greatest(F.lit(2), F.floor(F.col("n") / 100))).otherwise(F.lit(1))
+    return totals.dropna(subset=list(keys) or None).select(*keys, "n", wanted.cast("bigint").alias("_min_df"))
+
+
+def _lacking(limits: DataFrame, reached: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The groups in which no term reached the limit; one document is enough there."""
+    if keys:
+        lacking = limits.join(reached.select(*keys).distinct(), list(keys), "left_anti")
+    else:
+        lacking = limits if reached.isEmpty() else limits.limit(0)
+    return lacking.filter("_min_df > 1").withColumn("_min_df", F.lit(1).cast("bigint"))
+
+
+def _enough(documents: DataFrame, limits: DataFrame, keys: Sequence[str]) -> DataFrame:
+    terms = attach(term_statistics(documents, keys), limits, keys)
+    return terms.filter(F.col("df") >= F.col("_min_df")).drop("_min_df")
+
+
+def _slot(keys: Sequence[str], *words: Column) -> Column:
+    return F.pmod(F.xxhash64(*keys, *words), F.lit(SLOTS)).cast("int")
+
+
+def _step(count: Column) -> Column:
+    """A count in 255 logarithmic steps, as two hex digits; a larger count never has a lower step."""
+    step = F.least(F.lit(255), F.floor(F.log2(F.greatest(count, F.lit(1))) * 8) + 1)
+    return F.lpad(F.hex(F.when(count > 0, step).otherwise(0)), 2, "0")
+
+
+def _slot_steps(documents: DataFrame, keys: Sequence[str]) -> bytes:
+    """For each hash slot of the terms, in steps, how often terms of the slot occur: SLOTS bytes."""
+    following = F.slice("words", F.lit(2), F.greatest(F.size("words"), F.lit(1)))
+    pairs = documents.select(*keys, F.inline(F.arrays_zip("words", following)).alias("w", "next"))
+    # The last word has none behind it and is counted twice, as a pair of it and a null.
+    slots = F.explode(F.array(_slot(keys, F.col("w")), _slot(keys, F.col("w"), F.col("next"))))
+    every = documents.sparkSession.range(SLOTS).select(F.col("id").cast("int").alias("slot"))
+    found = pairs.select(slots.alias("slot")).unionByName(every)
+    counts = found.groupBy("slot").agg(_step(F.count("*") - 1).alias("step"))
+    part = F.shiftright("slot", 10).alias("part")
+    items = F.sort_array(F.collect_list(F.struct("slot", "step")))
+    parts = counts.groupBy(part).agg(F.array_join(items["step"], "").alias("steps")).collect()
+    return bytes.fromhex("".join(p["steps"] for p in sorted(parts, key=lambda p: p["part"])))
+
+
+def _likely_terms(documents: DataFrame, limits: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """`terms` in place of `words`: those that may be in as many documents as their group asks for.
+
+    A term is in no more documents than its slot has occurrences, so none of a vocabulary is lost;
+    the others are neither put together nor counted. Rows that groups share serve the lowest limit.
+    """
+    if isinstance(keys, SharedRows):
+        least = keys.sets.join(limits, list(keys)).groupBy("set_id").agg(F.min("_min_df").alias("_least"))
+        slot_keys = ()
+    else:
+        least = limits.select(*keys, F.col("_min_df").alias("_least"))
+        slot_keys = tuple(keys)
+    least = stage(least.withColumn("_least", F.unhex(_step(F.col("_least")))), "limits")
+    limited = attach(documents, least, row_keys(keys))
+    words = F.col("words")
+
+    def frequent(steps: Column) -> Column:
+        def often(*term: Column) -> Column:
+            return F.substr(steps, _slot(slot_keys, *term) + 1, F.lit(1)) >= F.col("_least")
+
+        ones = F.filter(words, lambda w: often(w))
+        starts = F.filter(
+            F.sequence(F.lit(0), F.size(words) - 2),
+            lambda i: often(F.get(words, i), F.get(words, i + 1)),
+        )
+        pairs = F.transform(starts, lambda i: F.concat_ws(" ", F.get(words, i), F.get(words, i + 1)))
+        return F.when(F.size(words) > 1, F.concat(ones, pairs)).otherwise(ones)
+
+    found = let(F.lit(_slot_steps(documents, slot_keys)), frequent)
+    return with_computed(limited, "terms", tx.term_counts(found)).drop("words", "_least")
+
+
+def frequent_terms(documents: DataFrame, keys: Sequence[str] = ()) -> tuple[DataFrame, DataFrame]:
+    """The documents with those of their terms that may belong to a vocabulary, and the terms that do.
+
+    `documents` (document, words or all terms) are read three times. Those of groups without a term
+    in enough of them are read once more, for all their terms.
+    """
+    limits = stage(_group_limits(documents, keys), "limits")
+    counted = "terms" in documents.columns
+    documents = documents if counted else with_words(documents)
+    likely = documents if counted else stage(_likely_terms(documents, limits, keys), "likely-terms")
+    enough = stage(_enough(likely, limits, keys), "frequent-terms")
+    lacking = stage(_lacking(limits, enough, keys), "limits")
+    if lacking.isEmpty():
+        return likely, enough
+    if counted:
+        return likely, enough.unionByName(_enough(likely, lacking, keys))
+    if keys:
+        named = keys.sets.join(lacking, list(keys)) if isinstance(keys, SharedRows) else lacking
+        rows = stage(named.select(*row_keys(keys)).distinct(), "lacking")
+        others = likely.join(rows, row_keys(keys), "left_anti")
+        documents = documents.join(rows, row_keys(keys), "left_semi")
+    else:
+        others = likely.limit(0)
+    full = stage(with_terms(documents), "all-terms")
+    return others.unionByName(full), enough.unionByName(_enough(full, lacking, keys))
+
+
+def _weighted_terms(enough: DataFrame, keys: Sequence[str], size: int | None) -> DataFrame:
     if size is None:
         best = enough.withColumn("term_id", F.col("term"))
     else:
@@ -79,6 +180,16 @@ def vocabulary(
     return best.select(*keys, "term", "term_id", "df", "cf", "n", idf.alias("idf"))
 
 
+def vocabulary(
+    documents: DataFrame, keys: Sequence[str] = (), size: int | None = None
+) -> DataFrame:
+    """The terms in enough documents; with `size` only so many, by corpus frequency.
+
+    A term needs max(2, n div 100) documents. When no term has that many, one is enough.
+    """
+    return _weighted_terms(frequent_terms(documents, keys)[1], keys, size)
+
+
 def term_weights(
     documents: DataFrame,
     vocab: DataFrame,
@@ -109,8 +220,9 @@ def phrase_scores(
     documents: DataFrame, keys: Sequence[str] = (), size: int | None = None
 ) -> DataFrame:
     """Score of every vocabulary term: its summed weight over all documents."""
-    vocab = stage(vocabulary(documents, keys, size), "vocabulary")
-    weights = term_weights(documents, vocab, keys, size)
+    likely, terms = frequent_terms(documents, keys)
+    vocab = stage(_weighted_terms(terms, keys, size), "vocabulary")
+    weights = term_weights(likely, vocab, keys, size)
     scores = weights.groupBy(*keys, "term_id").agg(F.sum("weight").alias("score"))
     return scores.join(vocab.select(*keys, "term_id", "term"), [*keys, "term_id"])
 
@@ -177,7 +289,7 @@ def extract_topics(
     if method != "tfidf":
         raise ValueError(f"unknown topic method: {method}")
     documents = topic_documents(posts, text, [*keys, "post_id"], normalize_stopwords)
-    documents = stage(with_terms(documents), "documents")  # terms are read twice
+    documents = stage(with_words(documents), "documents")  # read three times
     return top_phrases(phrase_scores(documents, keys, vocabulary_size), keys, n_topics)
 
 

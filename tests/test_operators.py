@@ -25,7 +25,7 @@ from nabd.operators import (
     stats,
     topics,
 )
-from nabd.operators.grouping import FewGroups, top_k
+from nabd.operators.grouping import FewGroups, SharedRows, top_k
 from nabd.plans import staging
 from nabd.plans.staging import release, stage, staging_root
 from nabd.sources.sample import sample_posts
@@ -640,3 +640,57 @@ def test_words_of_any_length_are_found_without_moving_texts(spark, make_posts):
         got = {r.post_id: r["_words"] for r in found.collect()}
         assert got.pop(None) == []
         assert got == {i: sorted(w for w in chosen if w in (t or "")) for i, t in enumerate(texts)}
+
+
+@pytest.mark.parametrize("slots", [64, topics.SLOTS])
+def test_likely_terms_give_the_vocabulary_of_all_terms(spark, make_posts, monkeypatch, slots):
+    """However many terms share a slot; with small groups, groups that share no term, and nulls."""
+    monkeypatch.setattr(topics, "SLOTS", max(slots, 1024))
+    if slots < 1024:
+        plain = topics._slot
+        monkeypatch.setattr(topics, "_slot", lambda *a: F.pmod(plain(*a), F.lit(slots)))
+    texts = near_texts(3, 300)
+    rows = [{"text": t, "lang": "ab"[i % 2]} for i, t in enumerate(texts)]
+    rows += [{"text": f"lone{i} word{i}", "lang": "c"} for i in range(3)]
+    rows += [{"text": "alone here alone", "lang": "d"}, {"text": "no language here"}, {"text": "x"}]
+    posts = make_posts(*rows)
+    documents = topics.topic_documents(posts, F.col("text"), ["lang", "post_id"])
+    full = topics.with_terms(documents)
+    for keys in ((), ("lang",), FewGroups(("lang",), 4)):
+        likely, found = topics.frequent_terms(documents, keys)
+        order = [*keys, "term"]
+        expected = topics.vocabulary(full, keys).select(*order, "df", "cf", "n")
+        got = found.select(*expected.columns)
+        assert sorted(map(tuple, got.collect())) == sorted(map(tuple, expected.collect()))
+        scores = (topics.phrase_scores(d, keys).select(*order, "score").collect() for d in (documents, full))
+        new, old = ({tuple(r)[:-1]: r.score for r in s} for s in scores)
+        assert new == pytest.approx(old)
+    counted = [d.select(F.sum(F.size("terms"))).first()[0] for d in (topics.frequent_terms(documents)[0], full)]
+    assert counted[0] < counted[1] or slots == 64
+
+
+def test_terms_of_groups_that_share_rows(spark, make_posts):
+    """A set of rows serves a large request and a small one, whose terms have a lower limit."""
+    texts = near_texts(5, 260) + ["rare one", "rare two", "odd three"]
+    posts = make_posts(*[{"text": t} for t in texts])
+    set_id = F.when(F.col("post_id") < 260, "big").when(F.col("post_id") < 262, "pair").otherwise("last")
+    documents = topics.topic_documents(posts.withColumn("set_id", set_id), F.col("text"), ["set_id", "post_id"])
+    sets = [("big", "all"), ("pair", "all"), ("last", "all"), ("pair", "two"), ("last", "one"), ("pair", "few"), ("last", "few")]
+    members = spark.createDataFrame(sets, "set_id string, request_id string")
+    keys = SharedRows(("request_id",), 4, members)
+    rows = topics.phrase_scores(documents, keys).collect()
+    for request in ("all", "two", "one", "few"):
+        held = {s for s, r in sets if r == request}
+        alone = documents.filter(F.col("set_id").isin(*held)).drop("set_id")
+        expected = {r.term: r.score for r in topics.phrase_scores(topics.with_terms(alone)).collect()}
+        assert {r.term: r.score for r in rows if r.request_id == request} == pytest.approx(expected)
+
+
+def test_terms_are_counted_over_all_documents_once(make_posts, monkeypatch):
+    counts, counted = [], topics.term_statistics
+    monkeypatch.setattr(topics, "term_statistics", lambda *a: counts.append(1) or counted(*a))
+    staged, stage_ = [], topics.stage
+    monkeypatch.setattr(topics, "stage", lambda df, name="stage": staged.append((name, df.columns)) or stage_(df, name))
+    posts = make_posts(*[{"text": t} for t in near_texts(9, 60)])
+    assert topics.extract_topics(posts, text=F.col("text")).count() > 0
+    assert counts == [1] and ("documents", ["post_id", "words"]) in staged
