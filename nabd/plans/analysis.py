@@ -23,24 +23,25 @@ from nabd.operators.sentiment import (
     with_lexicon_sentiment,
 )
 from nabd.operators.stats import breakdown_map, overall_stats
-from nabd.operators.topics import phrase_scores, top_phrases, with_terms
+from nabd.operators.topics import phrase_scores, top_phrases, with_terms, with_words
 from nabd.plans.staging import stage
 
 KEY = "request_id"
 
 
 def enriched_posts(
-    posts: DataFrame, prepared: DataFrame, deduplicate=True, score=with_lexicon_sentiment
+    posts: DataFrame, prepared: DataFrame, deduplicate=True, score=with_lexicon_sentiment, tokens=with_terms
 ) -> Selection:
     """Selected, cleaned, valid and scored posts, each once, with the set of requests that share it.
 
     Work that depends on the post alone (cleaning, sentiment, tokens, term counts) happens here,
-    however many requests share the post.
+    however many requests share the post. `tokens` says what stands for a post's document: its counted
+    terms, or `with_words` for topics, which count only those that can matter.
     """
     selected = select_posts(posts, prepared, deduplicate, staged=stage)
     scored = score(valid_posts(clean_posts(selected.posts)))
-    tokens = with_search_text(scored, F.col("cleaned_text"), "_norm")
-    enriched = tokens.select(
+    normalized = with_search_text(scored, F.col("cleaned_text"), "_norm")
+    enriched = normalized.select(
         "post_id",
         "set_id",
         "created_at",
@@ -56,7 +57,7 @@ def enriched_posts(
         "score",
         tx.topic_document(F.col("_norm")).alias("document"),
     )
-    return Selection(stage(with_terms(enriched), "posts"), selected.sets, selected.twins)
+    return Selection(stage(tokens(enriched), "posts"), selected.sets, selected.twins)
 
 
 def request_twins(sets: DataFrame) -> DataFrame:
@@ -147,7 +148,7 @@ def analyze(
     `completed_results` gives the rows to publish.
     """
     prepared = stage(prepare_requests(requests, default_dataset_ids), "requests")
-    enriched = enriched_posts(posts, prepared, deduplicate, score)
+    enriched = enriched_posts(posts, prepared, deduplicate, score, with_words)
     matched = enriched.posts
     known = enriched.sets.join(matched.select("set_id").distinct(), "set_id", "left_semi")
     shared = stage(request_twins(known), "twins")
@@ -157,7 +158,7 @@ def analyze(
     keys = SharedRows((KEY,), prepared.count(), stage(known.join(alone, KEY).select("set_id", KEY), "sets"))
 
     stats = overall_stats(matched, keys)
-    documents = matched.filter(F.size("terms") > 0).select("set_id", "post_id", "terms")
+    documents = matched.filter(F.size("words") > 0).select("set_id", "post_id", "words")
     topics = top_phrases(phrase_scores(documents, keys, vocabulary_size), keys, n_topics)
     influencers = detect_influencers(matched, keys, top_n)
     nodes, edges = interaction_network(matched, keys, max_nodes, max_edges)
