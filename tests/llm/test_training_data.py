@@ -189,6 +189,45 @@ def test_line_dedup_of_rows_that_share_an_id(spark):
         assert kept == ordered((i, "" if t in gone else cut.get(t, t)) for i, t, _ in data)
 
 
+def test_line_dedup_of_many_near_copies(spark, monkeypatch):
+    """Links of near copies are all counted, and the copies do not meet pair by pair."""
+    rng = random.Random(5)
+    words = [f"w{i}" for i in range(400)]
+    base = [rng.sample(words, 40), rng.sample(words, 12), rng.sample(words, 70)]
+    base.append(base[0][:34] + base[2][:6])  # near the first, so links lead from one group to the other
+    rows = []
+    for i in range(360):
+        line = [rng.choice(words) if rng.random() < 0.04 else w for w in base[i % 4]]
+        if i % 7 == 0:
+            line += rng.sample(words, rng.randint(1, 8))
+        rows.append((rng.choice([i, i, i, 7, None]), " ".join(line) + "\n" + " ".join(rng.sample(words, 9)), "a"))
+    found = [(i, k, frozenset(x.split())) for i, t, _ in rows for k, x in enumerate(t.split("\n"))]
+    place = lambda f: (f[0] is not None, f[0] or 0, f[1])  # noqa: E731  nulls first
+    sets = {f[2] for f in found}
+    near = {s: [t for t in sets if s != t and 10 * len(s & t) >= 8 * len(s | t)] for s in sets}
+    earliest = {s: min(place(f) for f in found if f[2] == s) for s in sets}
+    want = {i: [0, 0, set(), 0] for i, _, _ in rows}
+    for f in found:
+        w = want[f[0]]
+        w[0] += 1
+        w[3] += len(near[f[2]])
+        if min(earliest[s] for s in (f[2], *near[f[2]])) < place(f):
+            w[1] += 1
+            w[2].add(f[1])
+    want = [(i, a, b, ",".join(map(str, sorted(c))), d) for i, (a, b, c, d) in want.items()]
+    made, stage = {}, lines.stage
+
+    def counting(df, name):
+        out = stage(df, name)
+        made[name] = out.count()
+        return out
+
+    monkeypatch.setattr(lines, "stage", counting)
+    assert ordered(map(tuple, lines.digest(make(spark, rows)).collect())) == ordered(want)
+    assert sum(map(len, near.values())) > 10_000 and made["line-members"] > 200
+    assert made["line-pairs"] < 3_000
+
+
 def test_toxicity_learns_and_reads_clauses(spark):
     rng = random.Random(2)
     plain = [f"word{i}" for i in range(80)]
