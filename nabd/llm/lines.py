@@ -286,11 +286,8 @@ def family_links(members: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     linked &= (F.col("x_d") + F.col("y_d") - 2 * F.size(shared) <= slack) & (F.get(shared, 0) == F.col("word"))
     met = _renamed(by_word, "x", "c", "word").join(_renamed(by_word, "y", "c", "word"), ["c", "word"]).filter(linked)
     one = F.lit(1).cast("long").alias("n_links")
-    for letter, other in ("xy", "yx"):
-        counted = counted.unionByName(
-            met.select(F.col(f"{letter}_id").alias("id"), one, F.col(f"{other}_first").alias("other"))
-        )
-    return counted
+    ends = [F.struct(F.col(f"{a}_id").alias("id"), one, F.col(f"{b}_first").alias("other")) for a, b in ("xy", "yx")]
+    return counted.unionByName(met.select(F.explode(F.array(*ends)).alias("end")).select("end.*"))
 
 
 def links(docs: DataFrame, classes: DataFrame, ranks: list[int], threshold: float = THRESHOLD) -> DataFrame:
