@@ -132,7 +132,11 @@ def one_bit_links(classes: DataFrame) -> DataFrame:
 
 
 def segment_links(classes: DataFrame, max_distance: int) -> DataFrame:
-    """(a, b): links between different components of `classes` (fp, component)."""
+    """(a, b): links between different components of `classes` (fp, component).
+
+    Spark sizes the keyed table by that of `classes`, though it has a row for each mask: where that
+    looks small enough for a broadcast, all keys would go through the driver. So both joins merge.
+    """
     masks, before = index_masks(max_distance)
     keyed = classes.select("fp", "component", _variants(F.col("fp"), masks))
     keys = ["bit", "part"]
@@ -140,7 +144,7 @@ def segment_links(classes: DataFrame, max_distance: int) -> DataFrame:
     first = keyed.groupBy(*keys).agg(
         F.min("component").alias("first"), F.max("component").alias("last")
     ).filter("first < last").drop("last")
-    mixed = keyed.join(first, keys)
+    mixed = keyed.join(first.hint("merge"), keys)
     left = mixed.select(*keys, "fp", "component")
     right = mixed.filter("component <> first").select(
         *keys, F.col("fp").alias("fp2"), F.col("component").alias("component2")
@@ -152,7 +156,7 @@ def segment_links(classes: DataFrame, max_distance: int) -> DataFrame:
         earlier = _longs([b[i] if i < len(b) else -1 for b in before])  # -1: every pair differs there
         once &= differ.bitwiseAND(F.get(earlier, F.col("bit"))) != 0
     return (
-        left.join(right, keys)
+        left.join(right.hint("merge"), keys)
         .filter(near & once & (F.col("component") != F.col("component2")))
         .select(
             F.least("component", "component2").alias("a"),

@@ -474,6 +474,18 @@ def test_simhash_links_all_distances(spark, distance):
     assert got == near
 
 
+def test_simhash_keys_are_not_broadcast(spark):
+    """The keyed rows are many times what Spark takes them for, and must not pass through the driver."""
+    rng = random.Random(4)
+    fps = [rng.getrandbits(64) - (1 << 63) for _ in range(40)]
+    fps += [fp ^ 0b1011 for fp in fps]
+    classes = spark.createDataFrame([(fp, fp) for fp in fps], "fp long, component long")
+    links = simhash.segment_links(classes, 4)
+    assert len(links.collect()) == 40
+    plan = links._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
 @pytest.mark.parametrize("distance", [1, 2, 3, 4, 7])
 def test_simhash_pairs_are_taken_once(distance):
     masks, before = simhash.index_masks(distance)
