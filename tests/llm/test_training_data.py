@@ -624,6 +624,20 @@ def test_empty_tables(spark, docs):
         assert out.count() == 0
 
 
+def test_pipeline_keys_of_fingerprints_are_not_broadcast(spark, sf, monkeypatch):
+    plans, staged = [], simhash.stage
+
+    def stage(df, name="stage"):
+        if name == "links":
+            plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return staged(df, name)
+
+    monkeypatch.setattr(simhash, "stage", stage)
+    docs = corpus_pipeline.read(spark, sf, "documents").limit(60)
+    assert corpus_pipeline.simhash_stage(spark, docs, sf).count()
+    assert plans and all("SortMergeJoin" in p and "Broadcast" not in p for p in plans)
+
+
 def test_pipeline(spark, sf):
     """Each stage against a plain reading of its rule, on what the one before kept."""
     names = [name for name, _ in corpus_pipeline.STAGES]
