@@ -2,6 +2,10 @@
 
 A post is removed when an earlier kept post is at least `threshold` similar. The answer is exact:
 
+* a term that only one text holds adds to no cosine. Where such terms carry more than 1 - threshold^2
+  of a post's squared length, the post is similar to nothing and kept at once: terms are counted, a
+  post's squared length is summed where its terms meet their counts, and only the posts that are left
+  get a vector, of the terms they share. Terms are known by 96 bits of a hash, and never moved;
 * posts with equal vectors are one row from the start (the first one stands for all);
 * two vectors can only be similar when they share a term of their prefix, the few rarest terms
   that carry more than 1 - threshold^2 of the squared length (published prefix filtering);
@@ -14,10 +18,13 @@ A post is removed when an earlier kept post is at least `threshold` similar. The
   larger one by rounds that keep every post without an undecided earlier neighbour.
 """
 
+import hashlib
 from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -39,6 +46,8 @@ _ROUNDS = 3
 _GRID = 64
 _MARGIN = 1e-9
 _DIGITS = 12
+#: Texts whose terms are counted together in Python.
+_TEXTS_AT_ONCE = 128
 
 
 def _terms() -> Column:
@@ -54,9 +63,103 @@ def _near_vocabulary(texts: DataFrame, size: int | None) -> DataFrame:
     if size is not None:
         stats = top_k(stats, (), [F.desc("cf"), F.asc("term")], size).drop("rank")
     best = attach(stats, texts.agg(F.sum("copies").alias("n")), ())
-    idf = F.ln((F.lit(1) + F.col("n")) / (F.lit(1) + F.col("df"))) + F.lit(1.0)
     ordered = global_rank(best, [F.asc("df"), F.asc("term")], "t")
-    return ordered.select("term", "t", idf.alias("idf"))
+    return ordered.select("term", "t", _idf(F.col("n"), F.col("df")).alias("idf"))
+
+
+def _idf(n, df: Column) -> Column:
+    return F.ln((F.lit(1) + n) / (F.lit(1) + df)) + F.lit(1.0)
+
+
+def _entries(texts: DataFrame) -> DataFrame:
+    """(post_id, copies, a, b, tf): the distinct terms of each text; a and b are a term's hash.
+
+    A word has 128 bits of BLAKE2b; a pair of words has those of both words, multiplied and added.
+    """
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for start in range(0, whole.num_rows, _TEXTS_AT_ONCE):
+                batch = whole.slice(start, _TEXTS_AT_ONCE)
+                words = batch.column("words")
+                coded = words.flatten().dictionary_encode()
+                names = coded.dictionary.cast(pa.binary()).to_pylist()
+                code, n = coded.indices.to_numpy().astype(np.int64), len(names)
+                text = np.repeat(np.arange(len(words)), words.value_lengths().to_numpy())
+                inside = text[1:] == text[:-1]
+                # Terms are numbers here: a word its code, a pair more than any word.
+                pairs = ((code[:-1] + 1) * n + code[1:])[inside]
+                width = n * (n + 1)
+                keys = np.concatenate([text * width + code, text[1:][inside] * width + pairs])
+                keys, tf = np.unique(keys, return_counts=True)
+                text, term = np.divmod(keys, max(width, 1))
+                before, last = np.divmod(term, max(n, 1))
+                digests = b"".join(hashlib.blake2b(w, digest_size=16).digest() for w in names)
+                own = np.frombuffer(bytes(16) + digests, np.uint64).reshape(-1, 2)  # the first: no word
+                a = own[last + 1, 0] + own[before, 0] * np.uint64(0x9E3779B97F4A7C15)
+                b = own[last + 1, 1] + own[before, 1] * np.uint64(0xC2B2AE3D27D4EB4F)
+                columns = [batch.column(c).take(pa.array(text)) for c in ("post_id", "copies")]
+                columns += [pa.array(a.view(np.int64)), pa.array((b >> np.uint64(32)).astype(np.uint32).view(np.int32))]
+                columns.append(pa.array(tf.astype(np.int32)))
+                yield pa.RecordBatch.from_arrays(columns, ["post_id", "copies", "a", "b", "tf"])
+
+    rows = texts.select("post_id", "copies", tx.words(F.col("_norm")).alias("words"))
+    id_type = dict(texts.dtypes)["post_id"]
+    return rows.mapInArrow(cut, f"post_id {id_type}, copies long, a long, b int, tf int")
+
+
+def open_vectors(texts: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
+    """Vectors of the posts that may be similar to another, and post_id of those that have terms.
+
+    Vectors are (post_id, ts, ws) over the terms that two such posts share, scaled by the length over
+    all terms, with what tells equal ones: `_s1`, `_s2`, and `_own` where no other can be equal.
+    """
+    n = texts.agg(F.sum("copies")).first()[0]
+    term = ["a", "b"]
+    again = not texts.groupBy("post_id").count().filter("count > 1").isEmpty()
+
+    def entries(of: DataFrame) -> DataFrame:
+        found = _entries(of)
+        if again:  # rows of one post_id are one post
+            sums = F.sum("copies").alias("copies"), F.sum("tf").alias("tf")
+            found = found.groupBy("post_id", *term).agg(*sums)
+        return found
+
+    every = entries(texts)
+    shared = every.groupBy(*term).agg(F.sum("copies").alias("df"), F.count("*").alias("posts"))
+    shared = stage(shared.filter("posts > 1").drop("posts"), "near_shared")
+    weight = F.col("tf") * _idf(n, F.coalesce("df", "copies"))
+    squares = every.join(shared, term, "left").select("post_id", "df", (weight * weight).alias("w2"))
+    lengths = squares.groupBy("post_id").agg(
+        F.sum("w2").alias("all"), F.sum(F.when(F.col("df").isNotNull(), F.col("w2"))).alias("met"),
+        F.count("*").alias("terms"),
+    )
+    lengths = stage(lengths, "near_lengths")
+    least = threshold * threshold - _MARGIN
+    some = lengths.filter(F.coalesce("met", F.lit(0.0)) >= least * F.col("all"))
+    held = entries(texts.join(some.select("post_id"), "post_id", "left_semi")).join(shared, term)
+    held = stage(held.select("post_id", *term, "tf", "df"), "near_entries")
+    common = held.groupBy(*term, "df").agg(F.count("*").alias("posts")).filter("posts > 1")
+    vocab = global_rank(common.drop("posts"), [F.asc("df"), F.asc("a"), F.asc("b")], "t")
+    packed = (
+        held.join(vocab.select(*term, "t", _idf(n, F.col("df")).alias("idf")), term)
+        .groupBy("post_id")
+        .agg(F.sort_array(F.collect_list(F.struct("t", "tf", "idf"))).alias("v"))
+    )
+    ws = let(F.sqrt("all"), lambda m: F.transform("v", lambda x: x["tf"] * x["idf"] / m))
+    vectors = packed.join(lengths, "post_id").select(
+        "post_id", F.col("v.t").alias("ts"), ws.alias("ws"), F.col("v.tf").alias("_tf"), "terms"
+    )
+    # An equal vector would share all terms. Lengths are sums in any order, so the counts are compared.
+    own = F.when(F.size("ts") < F.col("terms"), F.col("post_id"))
+    vectors = vectors.filter(F.aggregate("ws", F.lit(0.0), lambda m, w: m + w * w) >= least).select(
+        "post_id", "ts", "ws", own.alias("_own"),
+        F.xxhash64("ts", "_tf").alias("_s1"), F.xxhash64(F.lit(1), "_tf", "ts").alias("_s2"),
+    )
+    vectors = stage(vectors, "near_vectors")
+    for table in (shared, held):
+        release(table)
+    return vectors, lengths.select("post_id")
 
 
 def near_vectors(texts: DataFrame, size: int | None = None) -> DataFrame:
@@ -81,7 +184,8 @@ def near_vectors(texts: DataFrame, size: int | None = None) -> DataFrame:
 
 
 def _prefix_length(ws: Column, threshold: float) -> Column:
-    start = F.struct(F.lit(1.0).alias("rest"), F.lit(0).alias("k"))
+    length = F.aggregate(ws, F.lit(0.0), lambda s, w: s + w * w)
+    start = F.struct(length.alias("rest"), F.lit(0).alias("k"))
     bound = threshold * threshold - _MARGIN
 
     def step(s: Column, w: Column) -> Column:
@@ -143,17 +247,23 @@ def _candidates(
     own = profiles.select("post_id", "cell", "mass")
     theirs = own.withColumnsRenamed({"post_id": "head", "cell": "head_cell", "mass": "head_mass"})
     cell = F.least("cell", "head_cell")
-    left = (F.lit(1.0) - F.get("mass", cell)) * (F.lit(1.0) - F.get("head_mass", cell))
-    bound = F.col("shared") + F.sqrt(F.greatest(left, F.lit(0.0)))
+    later = [F.element_at(m, -1) - F.get(m, cell) for m in ("mass", "head_mass")]
+    left = F.greatest(later[0], F.lit(0.0)) * F.greatest(later[1], F.lit(0.0))
+    bound = F.col("shared") + F.sqrt(left)
     paired = shared.join(own, "post_id").join(theirs, "head")
     return paired.filter(bound >= threshold - _MARGIN).select("head", "post_id")
 
 
 def _similar(pairs: DataFrame, vectors: DataFrame, threshold: float) -> DataFrame:
-    """Pairs (head, post_id) whose vectors reach the threshold."""
+    """Pairs (head, post_id) whose vectors reach the threshold. Only vectors in a pair are taken apart."""
+    pairs = stage(pairs, "pairs")
+
+    def entries(end: str, weight: str) -> DataFrame:
+        paired = pairs.select(F.col(end).alias("post_id")).distinct()
+        apart = F.inline(F.arrays_zip(F.col("ts").alias("t"), F.col("ws").alias(weight)))
+        return vectors.join(paired, "post_id", "left_semi").select(F.col("post_id").alias(end), apart)
 
-    own = vectors.select("post_id", F.inline(F.arrays_zip(F.col("ts").alias("t"), F.col("ws").alias("w"))))
-    theirs = own.select(F.col("post_id").alias("head"), "t", F.col("w").alias("head_w"))
+    own, theirs = entries("post_id", "w"), entries("head", "head_w")
     cosine = F.sum(F.col("w") * F.col("head_w"))  # sums in any order, so compare all but the last digits
     return (
         pairs.join(own, "post_id")
@@ -340,14 +450,22 @@ def dedup_near(
     )
     groups = keyed.groupBy("_h").agg(F.min("post_id").alias("post_id"), F.count("*").alias("copies"))
     texts = stage(keyed.join(groups.drop("_h"), "post_id"), "near_distinct")
-    vectors = stage(near_vectors(texts, max_features), "near_vectors")
-    same = [F.xxhash64("ts", "ws").alias("_s1"), F.xxhash64(F.lit(1), "ws", "ts").alias("_s2")]
-    first = vectors.select("post_id", *same).groupBy("_s1", "_s2").agg(F.min("post_id").alias("post_id"))
-    distinct = stage(vectors.join(first, "post_id", "left_semi"), "vectors")
-    without_terms = texts.join(vectors, "post_id", "left_anti").select("_h")
-    unlike_any = stage(keyed.join(without_terms, "_h", "left_semi").select("post_id"), "unlike_any")
+    if max_features is None:
+        vectors, with_terms = open_vectors(texts, threshold)
+    else:
+        vectors = near_vectors(texts, max_features).withColumn("_own", F.lit(None).cast("long"))
+        same = [F.xxhash64("ts", "ws").alias("_s1"), F.xxhash64(F.lit(1), "ws", "ts").alias("_s2")]
+        vectors = stage(vectors.select("*", *same), "near_vectors")
+        with_terms = vectors.select("post_id")
+    first = vectors.groupBy("_own", "_s1", "_s2").agg(F.min("post_id").alias("post_id")).select("post_id")
+    distinct = stage(vectors.select("post_id", "ts", "ws").join(first, "post_id", "left_semi"), "vectors")
+    # Texts without a term of the vocabulary, each copy, and posts that are similar to nothing.
+    without_terms = texts.join(with_terms, "post_id", "left_anti").select("_h")
+    unlike_any = keyed.join(without_terms, "_h", "left_semi").select("post_id")
+    alone = with_terms.join(vectors, "post_id", "left_anti")
+    unlike_any = stage(unlike_any.unionByName(alone), "unlike_any")
     # From here on only distinct vectors are read: texts and all vectors need no room beside the rounds.
-    for table in (vectors, texts, keyed):
+    for table in (vectors, with_terms, texts, keyed):
         release(table)
     kept = _decided(distinct, threshold, walked_pairs)
     return posts.join(kept.unionByName(unlike_any), "post_id", "left_semi")

@@ -127,6 +127,37 @@ def test_near_dedup_equals_brute_force(make_posts, monkeypatch, seed, threshold,
     assert set(got) == set(want) and wordless <= set(got)
 
 
+@pytest.mark.parametrize("seed, threshold, width", [(4, 0.92, 16), (5, 0.7, 2), (6, 0.8, 1)])
+def test_near_dedup_over_all_terms_equals_brute_force(make_posts, monkeypatch, seed, threshold, width):
+    monkeypatch.setattr(near, "_FIRST_WIDTH", width)
+    monkeypatch.setattr(near, "_TEXTS_AT_ONCE", 7)
+    texts = near_texts(seed, 120) + [f"été {i} été {i} أحمد solo{i} other{i}" for i in range(10, 20)]
+    got = ids(near.dedup_near(make_posts(*[{"text": t} for t in texts]), threshold))
+    assert got == sorted(set(greedy_near(texts, threshold, None)) | {i for i, t in enumerate(texts) if t == "!"})
+
+
+def test_near_dedup_decides_only_what_may_be_similar(make_posts, monkeypatch):
+    """Texts of which most words are their own are kept without a vector; so are texts of a few shared words."""
+    own = [" ".join(f"w{i}x{k}" for k in range(20)) + " shared words" for i in range(6)]
+    copies = [" ".join(f"copy{k}" for k in range(60)), " ".join(f"copy{k}" for k in range(61))]
+    decided, seen = near._decided, set()
+
+    def rounds(vectors, *args):
+        seen.update(r.post_id for r in vectors.select("post_id").collect())
+        return decided(vectors, *args)
+
+    monkeypatch.setattr(near, "_decided", rounds)
+    got = ids(near.dedup_near(make_posts(*[{"text": t} for t in own + copies])))
+    assert got == [0, 1, 2, 3, 4, 5, 6] and seen == {6, 7}
+
+
+def test_near_dedup_takes_rows_of_one_id_as_one_post(make_posts):
+    words = [f"word{k}" for k in range(120)]
+    rows = [(0, words[:60]), (0, words[60:]), (1, words), (2, words[:60]), (3, ["few", "words"]), (3, ["few", "words"])]
+    got = ids(near.dedup_near(make_posts(*[{"post_id": i, "text": " ".join(w)} for i, w in rows])))
+    assert got == [0, 0, 3, 3]
+
+
 @pytest.mark.parametrize("n", [64, 500])
 def test_near_dedup_of_drifting_texts(make_posts, n):
     """Each text is a window moved on by one word, so each is similar to its neighbours alone."""
