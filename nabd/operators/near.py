@@ -72,20 +72,25 @@ def _idf(n, df: Column) -> Column:
 
 
 def _entries(texts: DataFrame) -> DataFrame:
-    """(post_id, copies, a, b, tf): the distinct terms of each text; a and b are a term's hash.
+    """(post_id, copies, a, b, tf): the distinct terms of texts cut in `words`; a and b are a term's hash.
 
     A word has 128 bits of BLAKE2b; a pair of words has those of both words, multiplied and added.
     """
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for start in range(0, whole.num_rows, _TEXTS_AT_ONCE):
-                batch = whole.slice(start, _TEXTS_AT_ONCE)
-                words = batch.column("words")
-                coded = words.flatten().dictionary_encode()
-                names = coded.dictionary.cast(pa.binary()).to_pylist()
-                code, n = coded.indices.to_numpy().astype(np.int64), len(names)
-                text = np.repeat(np.arange(len(words)), words.value_lengths().to_numpy())
+        for batch in batches:
+            words = batch.column("words")
+            coded = words.flatten().dictionary_encode()
+            names = coded.dictionary.cast(pa.binary()).to_pylist()
+            digests = b"".join(hashlib.blake2b(w, digest_size=16).digest() for w in names)
+            own = np.frombuffer(bytes(16) + digests, np.uint64).reshape(-1, 2)  # the first: no word
+            codes, n = coded.indices.to_numpy(), len(names)
+            sizes = words.value_lengths().to_numpy()
+            ends = np.concatenate([[0], np.cumsum(sizes)])
+            for start in range(0, len(sizes), _TEXTS_AT_ONCE):
+                few = sizes[start : start + _TEXTS_AT_ONCE]
+                code = codes[ends[start] : ends[start + len(few)]].astype(np.int64)
+                text = np.repeat(np.arange(len(few)), few)
                 inside = text[1:] == text[:-1]
                 # Terms are numbers here: a word its code, a pair more than any word.
                 pairs = ((code[:-1] + 1) * n + code[1:])[inside]
@@ -94,18 +99,16 @@ def _entries(texts: DataFrame) -> DataFrame:
                 keys, tf = np.unique(keys, return_counts=True)
                 text, term = np.divmod(keys, max(width, 1))
                 before, last = np.divmod(term, max(n, 1))
-                digests = b"".join(hashlib.blake2b(w, digest_size=16).digest() for w in names)
-                own = np.frombuffer(bytes(16) + digests, np.uint64).reshape(-1, 2)  # the first: no word
                 a = own[last + 1, 0] + own[before, 0] * np.uint64(0x9E3779B97F4A7C15)
                 b = own[last + 1, 1] + own[before, 1] * np.uint64(0xC2B2AE3D27D4EB4F)
-                columns = [batch.column(c).take(pa.array(text)) for c in ("post_id", "copies")]
+                columns = [batch.column(c).take(pa.array(start + text)) for c in ("post_id", "copies")]
                 columns += [pa.array(a.view(np.int64)), pa.array((b >> np.uint64(32)).astype(np.uint32).view(np.int32))]
                 columns.append(pa.array(tf.astype(np.int32)))
                 yield pa.RecordBatch.from_arrays(columns, ["post_id", "copies", "a", "b", "tf"])
 
-    rows = texts.select("post_id", "copies", tx.words(F.col("_norm")).alias("words"))
     id_type = dict(texts.dtypes)["post_id"]
-    return rows.mapInArrow(cut, f"post_id {id_type}, copies long, a long, b int, tf int")
+    schema = f"post_id {id_type}, copies long, a long, b int, tf int"
+    return texts.select("post_id", "copies", "words").mapInArrow(cut, schema)
 
 
 def open_vectors(texts: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
@@ -449,7 +452,10 @@ def dedup_near(
         "near_texts",
     )
     groups = keyed.groupBy("_h").agg(F.min("post_id").alias("post_id"), F.count("*").alias("copies"))
-    texts = stage(keyed.join(groups.drop("_h"), "post_id"), "near_distinct")
+    texts = keyed.join(groups.drop("_h"), "post_id")
+    if max_features is None:
+        texts = texts.select("post_id", "_h", "copies", tx.words(F.col("_norm")).alias("words"))
+    texts = stage(texts, "near_distinct")
     if max_features is None:
         vectors, with_terms = open_vectors(texts, threshold)
     else:
